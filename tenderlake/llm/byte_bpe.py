@@ -15,7 +15,7 @@ import base64
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -153,15 +153,21 @@ def _codec(path: str):
     return _loaded[path]
 
 
+def _by_rows(batch: pa.Array, work) -> pa.Array:
+    """work over a few rows at a time, so that a batch is never held as Python objects whole."""
+    parts = [pa.array(work(batch.slice(k, 256).to_pylist()), pa.binary()) for k in range(0, len(batch), 256)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
+
+
 def encode(docs: DataFrame, text: str = "text", path: str | None = None, ids: str = "ids") -> DataFrame:
     """docs with the ids of each whole text as packed little-endian unsigned 32-bit integers."""
     path = path or ranks_path()
 
-    @F.pandas_udf("binary")
-    def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("binary")
+    def packed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = _codec(path)[0]
-        for series in batches:
-            yield pd.Series([x.astype("<u4").tobytes() for x in encoder.texts([x or "" for x in series])], dtype=object)
+        for batch in batches:
+            yield _by_rows(batch, lambda rows: [x.astype("<u4").tobytes() for x in encoder.texts([x or "" for x in rows])])
 
     return docs.withColumn(ids, packed(docs[text]))
 
@@ -170,20 +176,21 @@ def decode(rows: DataFrame, ids: str = "ids", out: str = "decoded", path: str |
     """rows with the bytes that the packed ids stand for (null ids: none)."""
     path = path or ranks_path()
 
-    @F.pandas_udf("binary")
-    def plain(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("binary")
+    def plain(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         _, flat, size, offset = _codec(path)
-        for series in batches:
-            found = []
-            for x in series:
-                parts = []
-                every = np.frombuffer(x or b"", "<u4")
-                for k in range(0, len(every), 1 << 18):
-                    some = every[k : k + (1 << 18)].astype(np.int64)
-                    n = size[some]
-                    parts.append(flat[np.arange(n.sum()) + np.repeat(offset[some] - (np.cumsum(n) - n), n)].tobytes())
-                found.append(b"".join(parts))
-            yield pd.Series(found, dtype=object)
+
+        def bytes_of(ids: bytes | None) -> bytes:
+            parts = []
+            every = np.frombuffer(ids or b"", "<u4")
+            for k in range(0, len(every), 1 << 18):
+                some = every[k : k + (1 << 18)].astype(np.int64)
+                n = size[some]
+                parts.append(flat[np.arange(n.sum()) + np.repeat(offset[some] - (np.cumsum(n) - n), n)].tobytes())
+            return b"".join(parts)
+
+        for batch in batches:
+            yield _by_rows(batch, lambda rows: [bytes_of(x) for x in rows])
 
     return rows.withColumn(out, plain(rows[ids]))
 

@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,3 +48,8 @@ def free_name(df: DataFrame, base: str) -> str:
     while base.lower() in taken:
         base = "_" + base
     return base
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is computed once however often body names it, even where the optimizer copies expressions."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

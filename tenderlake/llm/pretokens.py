@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 
 OTHER, LETTER, NUMBER, SPACE, END = range(5)
-SLICE = 1 << 19  # code points handled at once
+SLICE = 1 << 18  # code points handled at once
 LONG = 64  # longer pre-tokens bypass the hash tables
 _END = "\ud800"  # no valid text holds a surrogate
 # Unicode White_Space.
@@ -187,7 +187,7 @@ class Encoder:
     (limit entries), when the cache starts anew, so memory stays bounded.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list], cut=by_class, prefix: str = "", limit: int = 1 << 20):
+    def __init__(self, encode: Callable[[list[str]], list], cut=by_class, prefix: str = "", limit: int = 1 << 18):
         self.encode, self.cut, self.prefix, self.limit = encode, cut, prefix, limit
         self.reset()
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, packing, token_counts
+from . import byte_bpe, chat, credential_scan, packing, quality, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,9 +28,28 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = credential_scan.digest(credential_scan.scan(docs, keep=["doc_id"]))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    out = quality.filter_quality(docs.select("doc_id", "lang", "text"), labels)
+    return out.select("doc_id", *quality.COUNTS, "base_failed", "kept")
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.perspectives(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op3_byte_bpe": op3_byte_bpe,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_secret_scan": op7_secret_scan,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_chat_format": op10_chat_format,
 }
 ORACLE: dict[str, str] = {}
