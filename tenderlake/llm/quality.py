@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, let
+from .common import free_name, let, written
 
 BLANK = "\\x20\\x09-\\x0D"
 RISK = 0.005  # false rejections allowed for each rule and stratum
@@ -139,8 +139,14 @@ def judge(measured: DataFrame, chosen: DataFrame, stratum: str = "lang") -> Data
     return joined.withColumn("kept", ~F.col("base_failed") & ~rejected).drop("_stratum", *[f"{rule}_from" for rule in LADDERS])
 
 
+def judge_quality(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """The columns of docs but text, with features and kept. Texts are read once and never shuffled: what was measured is
+    written, and labels are joined to that."""
+    measured = written(features(docs, text).drop(text), "measured")
+    return judge(measured, cutoffs(measured, labels, key, stratum, risk, delta), stratum)
+
+
 def filter_quality(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """docs with features and kept. Cutoffs come from the labelled documents, which are measured in a pass of their own."""
-    held = docs.join(labels.where("quality = 1").select(key).distinct(), key, "left_semi").select(key, stratum, text)
-    chosen = cutoffs(features(held, text), labels, key, stratum, risk, delta)
-    return judge(features(docs, text), chosen, stratum)
+    """docs, texts included, with features and kept. The cutoffs come from a pass of their own, so that no text is shuffled."""
+    measured = written(features(docs.select(key, stratum, text), text).drop(text), "measured")
+    return judge(features(docs, text), cutoffs(measured, labels, key, stratum, risk, delta), stratum)

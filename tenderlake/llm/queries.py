@@ -44,7 +44,7 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    out = quality.filter_quality(docs.select("doc_id", "lang", "text"), labels)
+    out = quality.judge_quality(docs.select("doc_id", "lang", "text"), labels)
     return out.select("doc_id", *quality.COUNTS, "base_failed", "kept")
 
 
