@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, credential_scan, embedding_dedup, minhash_dedup, packing, quality, token_counts
+from . import byte_bpe, chat, credential_scan, embedding_dedup, minhash_dedup, packing, quality, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,13 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.link_vectors(_table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write(_table(spark, sf_dir, "pages"))
+    pages = warc.resolved(warc.read(spark, archives))
+    sound = F.when(F.col("problem").isNull(), F.col("payload_digest")).otherwise(F.raise_error(F.col("problem")))
+    return pages.select("page_id", "payload_bytes", sound.alias("payload_digest"), "record_type", "refers_to")
+
+
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"), width=2, percent=80)
 
@@ -56,10 +63,43 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_embedding_dedup": op2_embedding_dedup,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_warc": op4_warc,
     "op5_minhash_dedup": op5_minhash_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_secret_scan": op7_secret_scan,
     "op9_quality_rules": op9_quality_rules,
     "op10_chat_format": op10_chat_format,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_embedding_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(embedding, x -> abs(x))) > 0
+        ), links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+            WHERE list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e) * list_inner_product(b.e, b.e)) >= 0.93
+        ), reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+        least AS (SELECT a, min(b) AS b FROM reach GROUP BY a), n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+        SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least(vec_id, coalesce(least.b, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(least.b, vec_id)) AS kept
+        FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN least ON least.a = vec_id""",
+    "op4_warc": """
+        WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS payload_digest, strlen(coalesce(html, ''))::BIGINT AS payload_bytes FROM pages),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to FROM f""",
+    "op10_chat_format": """
+        WITH t AS (SELECT conv_id, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS n FROM conversations),
+        p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
+        r AS (
+            SELECT t.conv_id, perspective, n, n // 64 AS block_no, text || '<|im_end|>' || chr(10) AS body, speaker = perspective AS own,
+                '<|im_start|>' || CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system' THEN 'system' ELSE 'user name=' || speaker END || chr(10) AS head
+            FROM t JOIN p ON t.conv_id = p.conv_id
+        ), s AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, block_no ORDER BY n) AS stop FROM r),
+        b AS (
+            SELECT conv_id, perspective, block_no, count(*) AS n_turns, max(stop) AS chars, string_agg(head || body, '' ORDER BY n) AS rendered,
+                string_agg(CASE WHEN own THEN (stop - length(body))::BIGINT || ':' || stop::BIGINT END, ',' ORDER BY n) AS mask
+            FROM s GROUP BY conv_id, perspective, block_no
+        )
+        SELECT conv_id, perspective, block_no::BIGINT AS block_no, n_turns, coalesce(sum(chars) OVER (PARTITION BY conv_id, perspective ORDER BY block_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS char_offset,
+            rendered, coalesce(mask, '') AS mask FROM b""",
+}
