@@ -65,7 +65,7 @@ def filter_bidder_name(text: Column, stop_phrases: Sequence[str] = STOP_PHRASES,
     t = F.regexp_replace(t, "^[()（）\\[\\]【】〔〕]+|[()（）\\[\\]【】〔〕]+$", "")
     t = F.regexp_replace(t, "[\\[\\]（）()]", "")
     for s in suffixes:
-        t = F.when(t.endswith(s), strip(F.substring(t, F.lit(1), F.length(t) - len(s)))).otherwise(t)
+        t = strip(F.regexp_replace(t, f"{s}$", ""))
     return squeeze_text(t)
 
 
