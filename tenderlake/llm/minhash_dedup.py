@@ -205,26 +205,30 @@ def _estimates(sketch: np.ndarray) -> np.ndarray:
 
 
 def _cluster(most: int):
-    """Inside a block pair: smallest id that each document reaches over sketches that may be similar, components apart."""
+    """Inside a block pair: components with documents whose sketches may be similar, each with the smallest one that it
+    reaches so: a row a component, however many documents it has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
         for rows in _runs(batches, ["key", "i", "j"], ["id", "comp", "sketch", "own", "i", "j"]):
-            comp = np.array(rows["comp"])
-            if len(comp) < 2 or (comp == comp[0]).all():
+            comp, of = np.unique(np.array(rows["comp"]), return_inverse=True)
+            if len(comp) < 2:
                 continue
-            id, own = np.array(rows["id"]), np.array(rows["own"])
-            may = (_estimates(np.array(rows["sketch"]).view(np.uint64)) <= most) & (comp[:, None] != comp[None, :])
+            own = np.array(rows["own"])
+            may = (_estimates(np.array(rows["sketch"]).view(np.uint64)) <= most) & (of[:, None] != of[None, :])
             if rows["i"][0] != rows["j"][0]:
                 may &= own[:, None] != own[None, :]
-            root = id.copy()
-            while True:
-                new = np.minimum(root, np.where(may, root[None, :], np.iinfo(np.int64).max).min(1))
-                if (new == root).all():
-                    break
-                root = new
-            some = may.any(1)
-            out += zip(id[some].tolist(), root[some].tolist(), strict=True)
+            a, b = np.nonzero(np.triu(may, 1))
+            pairs = np.unique(np.stack([np.minimum(of[a], of[b]), np.maximum(of[a], of[b])]), axis=1)
+            root = np.arange(len(comp))
+            for x, y in pairs.T.tolist():
+                while root[x] != x:
+                    x = root[x]
+                while root[y] != y:
+                    y = root[y]
+                root[max(x, y)] = min(x, y)
+            for x in np.flatnonzero(root != np.arange(len(comp))).tolist():
+                out.append((int(comp[x]), int(comp[root[x]])))
             if len(out) > 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out]), pa.array([x[1] for x in out])], ["a", "b"])
                 out = []
@@ -298,8 +302,8 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     spread = lambda df: df.repartition(*group).sortWithinPartitions(*group)
     blocks = spread(_chunked(open_.join(sketches, "id"), "key"))
     clusters = connected(blocks.mapInArrow(_cluster(most), "a long, b long"))
-    unsettled = clusters.select(F.col("node").alias("id"), F.col("component").alias("key")).join(comps.select(F.col("node").alias("id"), "component"), "id", "left")
-    unsettled = written(unsettled.select("key", "id", F.coalesce("component", "id").alias("comp")).join(sketches, "id"), "unsettled")
+    unsettled = open_.select("id", "comp").distinct().join(clusters.select(F.col("node").alias("comp"), F.col("component").alias("key")), "comp")
+    unsettled = written(unsettled.select("key", "id", "comp").join(sketches, "id"), "unsettled")
     texts = _needed(texts_all, id, unsettled.select("id")).dropDuplicates(["id"])
     more = written(spread(_chunked(unsettled.join(texts, "id"), "key")).mapInArrow(_settle(width, percent, most), "a long, b long"), "settled")
     final = connected(links.unionByName(more)) if not more.isEmpty() else comps
