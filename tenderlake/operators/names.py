@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import let
 from ..functions.text import filter_bidder_name, garbled_name, valid_company_name
 from .pages import leading_pages, page_set_union, tag_sections
 
@@ -18,22 +19,25 @@ SOURCES = ["regex", "answer", "table", "section", "file"]
 
 
 def _names(text: Column, patterns: Sequence[str]) -> Column:
-    each = [F.transform(F.regexp_extract_all(text, F.lit(f"(?Umd){p}"), F.lit(1)), lambda x: filter_bidder_name(x)) for p in patterns]
+    each = [F.transform(F.regexp_extract_all(text, F.lit(f"(?Umd){p}"), F.lit(1)), lambda x: _judged(filter_bidder_name(x))) for p in patterns]
     return F.flatten(F.array(*each))
 
 
+def _judged(name: Column) -> Column:
+    return let(name, lambda n: F.struct(n.alias("name"), valid_company_name(n).alias("valid"), garbled_name(n).alias("garbled")))
+
+
 def name_candidates(pages: DataFrame, patterns: Sequence[str] = LINE_NAMES) -> DataFrame:
     """doc_id, seq, name, valid, garbled: names by the line patterns on the first three pages, in order of pattern."""
-    rows = leading_pages(pages).select("doc_id", F.posexplode(_names(F.col("text"), patterns)).alias("seq", "name"))
-    return rows.withColumns({"valid": valid_company_name(F.col("name")), "garbled": garbled_name(F.col("name"))})
+    return leading_pages(pages).select("doc_id", F.posexplode(_names(F.col("text"), patterns)).alias("seq", "x")).select("doc_id", "seq", "x.*")
 
 
 def section_names(pages: DataFrame, patterns: Sequence[str] = SECTION_NAMES) -> DataFrame:
     """doc_id, name: the first valid and clean name on anchor pages and those that follow."""
     near = page_set_union(tag_sections(pages), "name_anchor")
-    rows = near.select("doc_id", "page_no", F.posexplode(_names(F.col("text"), patterns)).alias("seq", "name"))
-    good = rows.where(valid_company_name(F.col("name")) & ~garbled_name(F.col("name")))
-    return good.groupBy("doc_id").agg(F.min_by("name", F.struct("page_no", "seq")).alias("name"))
+    rows = near.select("doc_id", "page_no", F.posexplode(_names(F.col("text"), patterns)).alias("seq", "x"))
+    good = rows.where("x.valid and not x.garbled")
+    return good.groupBy("doc_id").agg(F.min_by("x.name", F.struct("page_no", "seq")).alias("name"))
 
 
 def table_names(tables: DataFrame, headers: Sequence[str] = NAME_HEADERS) -> DataFrame:
@@ -41,9 +45,9 @@ def table_names(tables: DataFrame, headers: Sequence[str] = NAME_HEADERS) -> Dat
     which = [F.array_position(F.transform("headers", lambda h: F.coalesce(h.contains(w), F.lit(False))), F.lit(True)) for w in headers]
     at = F.coalesce(*[F.when(w > 0, w) for w in which])
     rows = tables.withColumn("_at", at).where("_at is not null").select("doc_id", "table_no", "_at", F.posexplode("data").alias("row_no", "cells"))
-    rows = rows.select("doc_id", "table_no", "row_no", filter_bidder_name(F.get("cells", (F.col("_at") - 1).cast("int"))).alias("name")).where("row_no > 0")
-    good = rows.where(valid_company_name(F.col("name")) & ~garbled_name(F.col("name")))
-    return good.groupBy("doc_id").agg(F.min_by("name", F.struct("table_no", "row_no")).alias("name"))
+    rows = rows.where("row_no > 0").select("doc_id", "table_no", "row_no", _judged(filter_bidder_name(F.get("cells", (F.col("_at") - 1).cast("int")))).alias("x"))
+    good = rows.where("x.valid and not x.garbled")
+    return good.groupBy("doc_id").agg(F.min_by("x.name", F.struct("table_no", "row_no")).alias("name"))
 
 
 def pick_bidder_name(candidates: DataFrame) -> DataFrame:

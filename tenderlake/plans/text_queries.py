@@ -12,7 +12,7 @@ from ..functions import text as T
 from ..operators import names, pages, prices, rules, sections, tables
 from ..sources.tables import as_json, changed_documents, schema
 from ..operators.writes import check_schema
-from ..streaming.status import run_status_stream, score_on_complete, statuses
+from ..streaming.status import run_status_stream, score_on_complete
 from . import flows
 from .views import frames, with_views
 
@@ -293,8 +293,8 @@ def _status_stream(spark, sf_dir):
     import uuid
 
     name = f"status_{uuid.uuid4().hex}"
-    run_status_stream(spark, sf_dir, name, _scratch(spark), "events.parquet")
-    return spark.table(name).select("id", "status", F.col("value").alias("value"))
+    run_status_stream(spark, sf_dir, spark.read.parquet(f"{sf_dir}/events.parquet").schema, name, _scratch(spark), "events.parquet")
+    return spark.table(name).select("id", "status", "value")
 
 
 QUERIES["status_stream"] = _status_stream

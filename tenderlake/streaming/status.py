@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from ..operators.status import completion_status
 from ..operators.writes import replace_by_key
@@ -15,10 +16,6 @@ from ..operators.writes import replace_by_key
 STATUS_OF = {"signup": "pending", "view": "processing", "click": "processing", "purchase": "completed", "error": "error"}
 
 
-def event_schema(spark: SparkSession, path: str):
-    return spark.read.parquet(path).schema
-
-
 def statuses(events: DataFrame, id: str = "user_id", kind: str = "event_type", ts: str = "ts", value: str = "value") -> DataFrame:
     """id, latest (ts, status, value): the newest event of each bid; on a stream, state is one row a bid."""
     status = F.create_map(*[F.lit(x) for p in STATUS_OF.items() for x in p])[F.col(kind)]
@@ -29,9 +26,9 @@ def statuses(events: DataFrame, id: str = "user_id", kind: str = "event_type", t
     return latest.select("id", F.col("x.ts").alias("ts"), F.col("x.status").alias("status"), F.col("x.value").alias("value"))
 
 
-def run_status_stream(spark: SparkSession, source: str, name: str, checkpoint: str, pattern: str = "*") -> StreamingQuery:
-    """Run all events there are through the stream into an in-memory table of that name."""
-    events = spark.readStream.schema(event_schema(spark, source)).option("pathGlobFilter", pattern).parquet(source)
+def run_status_stream(spark: SparkSession, source: str, kind: StructType, name: str, checkpoint: str, pattern: str = "*") -> StreamingQuery:
+    """Run all events (of schema kind) in the folder source through the stream into an in-memory table of that name."""
+    events = spark.readStream.schema(kind).option("pathGlobFilter", pattern).parquet(source)
     query = statuses(events).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
