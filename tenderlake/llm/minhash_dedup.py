@@ -181,6 +181,21 @@ def _chunked(members: DataFrame, group: str) -> DataFrame:
     return rows.select(*members.columns, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
 
 
+def _across(members: DataFrame) -> DataFrame:
+    """members (key, id, comp, ...) of buckets with several components, once for each pair of blocks in which they meet
+    others. Members of the bucket's smallest component, most of a large group as a rule, meet only the rest, which
+    meets itself too; so a large component isn't copied for pairs of its own."""
+    low = members.groupBy("key").agg(F.min("comp").alias("low"))
+    rows = members.join(low, "key").withColumn("main", F.col("comp") == F.col("low")).drop("low")
+    sizes = rows.groupBy("key").agg(F.ceil(F.count_if("main") / BLOCK).cast("int").alias("mains"), F.ceil(F.count_if(~F.col("main")) / BLOCK).cast("int").alias("rests"))
+    rows = rows.join(sizes, "key")
+    place = lambda n: F.pmod(F.xxhash64("id", F.lit(3)), n).cast("int")
+    rows = rows.withColumn("own", F.when(F.col("main"), place(F.col("mains"))).otherwise(F.col("mains") + place(F.col("rests"))))
+    first = F.when(F.col("main"), F.col("mains")).otherwise(0)
+    rows = rows.withColumn("other", F.explode(F.sequence(first, F.col("mains") + F.col("rests") - 1)))
+    return rows.select(*members.columns, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
+
+
 def _runs(batches: Iterator[pa.RecordBatch], names: list[str], pick: list[str]) -> Iterator[dict[str, list]]:
     """Groups of rows that follow each other with equal values in names."""
     key, have = None, {n: [] for n in pick}
@@ -300,7 +315,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     open_ = written(joined.join(mixed, "key", "left_semi"), "open")
     group = ["key", "i", "j"]
     spread = lambda df: df.repartition(*group).sortWithinPartitions(*group)
-    blocks = spread(_chunked(open_.join(sketches, "id"), "key"))
+    blocks = spread(_across(open_.join(sketches, "id")))
     clusters = connected(blocks.mapInArrow(_cluster(most), "a long, b long"))
     unsettled = open_.select("id", "comp").distinct().join(clusters.select(F.col("node").alias("comp"), F.col("component").alias("key")), "comp")
     unsettled = written(unsettled.select("key", "id", "comp").join(sketches, "id"), "unsettled")
