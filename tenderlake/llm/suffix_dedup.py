@@ -29,14 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, written
+from .common import forget, free_name, written
 from .pretokens import _mix
 
 WIDTH = 100
 GRAM = 32
 CROWD = 4096  # contexts of one anchor that a task sorts together
-SHARD = 1 << 20  # bytes sorted in one suffix array
-SLICE = 1 << 20
+SHARD = 1 << 16  # bytes sorted in one suffix array, unless one anchor has more: arrays of this size stay in the cache
+SLICE = 1 << 18
 FILTER_BITS = 27
 
 
@@ -47,27 +47,38 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
         return np.array(sorted(range(n), key=lambda i: s[i:].tolist()), np.int64)
     t = np.zeros(n + 4, np.uint64)
     t[:n] = s
-    n0, n1 = (n + 2) // 3, (n + 1) // 3
-    i = np.arange(n + n0 - n1)
-    sample = np.concatenate([i[i % 3 == 1], i[i % 3 == 2]])
-    b21, b42 = np.uint64(21), np.uint64(42)
-    triple = t[sample] << b42 | t[sample + 1] << b21 | t[sample + 2]
-    order = np.argsort(triple)
-    ordered = triple[order]
-    name = np.empty(len(sample), np.int64)
-    name[order] = np.cumsum(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    if name.max() < len(sample):
-        order = suffix_array(name)
+    b21, low = np.uint64(21), np.uint64((1 << 21) - 1)
+    # A sampled position n, where the first residue needs one, ends the triples of that residue with zeros.
+    sample = np.concatenate([np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)])
+    ones, number = len(range(1, n + (n % 3 == 1), 3)), np.arange(len(sample), dtype=np.uint64)
+    wide, places = int(t.max()).bit_length(), len(sample).bit_length()
+    if 3 * wide + places <= 64:  # the place fits beside the triple, and sorting values is faster than sorting places
+        shift, wide = np.uint64(places), np.uint64(wide)
+        triple = np.sort(((t[sample] << wide | t[sample + 1]) << wide | t[sample + 2]) << shift | number)
+        order = (triple & np.uint64((1 << places) - 1)).astype(np.int64)
+        ordered = triple >> shift
     else:
-        order = np.argsort(name)
+        triple = t[sample] << np.uint64(42) | t[sample + 1] << b21 | t[sample + 2]
+        order = np.argsort(triple)
+        ordered = triple[order]
+    new = np.ones(len(sample), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    names = np.cumsum(new)
+    if names[-1] < len(sample):
+        name = np.empty(len(sample), np.int64)
+        name[order] = names
+        order = suffix_array(name)
     rank = np.zeros(n + 4, np.uint64)
     by_sample = sample[order]
-    rank[by_sample] = np.arange(1, len(order) + 1)
-    third = by_sample[by_sample % 3 == 1] - 1
-    third = third[np.argsort(t[third], kind="stable")]
-    by_sample = by_sample[by_sample < n]
-    one, two = by_sample[by_sample % 3 == 1], by_sample[by_sample % 3 == 2]
-    key1 = lambda p: t[p] << b42 | rank[p + 1]
+    rank[by_sample] = number + np.uint64(1)
+    is_one = order < ones
+    one, two = by_sample[is_one], by_sample[~is_one]
+    third = one - 1
+    by_first = np.sort(t[third] << b21 | np.arange(len(third), dtype=np.uint64))
+    third = third[(by_first & low).astype(np.int64)]
+    if n % 3 == 1:
+        by_sample, one = by_sample[by_sample < n], one[one < n]
+    key1 = lambda p: t[p] << b21 | rank[p + 1]
     key2 = lambda p: t[p] << np.uint64(43) | t[p + 1] << np.uint64(22) | rank[p + 2]
     at = np.arange(len(third)) + np.searchsorted(key1(one), key1(third)) + np.searchsorted(key2(two), key2(third))
     out = np.empty(n, np.int64)
@@ -274,9 +285,10 @@ def repeated_runs(docs: DataFrame, id: str = "doc_id", text: str = "text", width
     classes = found.groupBy("gram", "c1", "c2").agg(F.min(F.struct("id", "at")).alias("first"), F.count(F.lit(1)).alias("n"))
     classes = written(classes, "classes")
     again = found.join(classes.where("n > 1"), ["gram", "c1", "c2"]).where(F.struct("id", "at") != F.col("first"))
-    runs = again.where(F.col("size") >= width).select("id", F.col("left").alias("start"), (F.col("left") + F.col("size")).alias("stop"))
+    runs = written(again.where(F.col("size") >= width).select("id", F.col("left").alias("start"), (F.col("left") + F.col("size")).alias("stop")), "again")
     several = classes.groupBy("gram").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1").select("gram")
     firsts = _bitmap(classes.join(several, "gram", "left_semi").select("first.id", "first.at"), ["id", "at"])
+    forget(found, classes)
     # The bitmap may let other occurrences through; they do no harm, as their strings are repeats.
     rows = written(own.mapInArrow(_contexts(shared, width, firsts), "gram long, id long, at long, left long, size long, bytes binary"), "firsts")
     level = rows.select("gram", "id", "at", "left", "bytes", F.lit(0).cast("long").alias("least"), F.lit(width - GRAM).cast("long").alias("most"))
