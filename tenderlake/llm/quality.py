@@ -7,6 +7,11 @@ k of n good documents would be rejected: with probability 1 - delta no cutoff in
 the good documents of its stratum (Bonferroni over strata and rules; in a ladder fixed-sequence testing, which stops at
 the first failure and needs no correction). A rule without a passing cutoff is not used in that stratum.
 
+Strata with so few good labels that no cutoff could pass even without a false rejection are tested together, as one
+pooled stratum, and use its cutoffs: the bound then holds for the good documents of these strata taken together. Sizes
+alone decide who is pooled, and the correction counts the pool as one stratum. Strata without any good label, and a pool
+that is still too small, have the base rules only.
+
 Edge cases: null text counts as empty (no words: fails the base rules); words are runs of anything but ASCII white space,
 so texts of any length and script are measured whole; a null stratum is a stratum of its own; a document labelled twice
 counts once, as good if any label says so; labels that are null are ignored; repeated rows each get their row; empty
@@ -118,17 +123,25 @@ def _tail(n: Column, k: Column, p: float) -> Column:
 
 
 def cutoffs(measured: DataFrame, labels: DataFrame, key: str = "doc_id", stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """A row for each stratum with a column for each rule: the strictest cutoff that passed, or null."""
+    """A row for each stratum, pooled or not, with a column for each rule: the strictest cutoff that passed, or null."""
     good = labels.where(F.col("quality").isNotNull()).groupBy(key).agg(F.max("quality").alias("good")).where("good = 1").select(key)
     held = measured.select(key, stratum, *LADDERS).join(good, key, "left_semi")
     sums = [F.count_if(F.col(rule) >= cut).alias(f"{rule}_{i}") for rule, ladder in LADDERS.items() for i, cut in enumerate(ladder)]
     by_stratum = held.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"), *sums)
     cells = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(i).alias("step"), F.lit(cut).cast("long").alias("cut"), F.col(f"{rule}_{i}").alias("k")) for rule, ladder in LADDERS.items() for i, cut in enumerate(ladder)])
-    rows = by_stratum.select(stratum, "n", F.count(F.lit(1)).over(Window.partitionBy()).alias("strata"), F.explode(cells).alias("cell")).select(stratum, "n", "strata", "cell.*")
-    passes = (F.col("k") <= F.col("n") * risk) & (_tail(F.col("n"), F.when(F.col("k") <= F.col("n") * risk, F.col("k")).otherwise(0), risk) <= delta / len(LADDERS) / F.col("strata"))
-    so_far = F.min(passes).over(Window.partitionBy(stratum, "rule").orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
+    # No more is tested than there are strata, so a stratum that may stand alone by their number can pass by its own size.
+    strata = F.count(F.lit(1)).over(Window.partitionBy())
+    pooled = by_stratum.withColumn("pooled", _tail(F.col("n"), F.lit(0).cast("long"), risk) > delta / len(LADDERS) / strata)
+    pooled = pooled.groupBy("pooled", F.when(~F.col("pooled"), F.col(stratum)).alias("own")).agg(
+        F.sort_array(F.collect_list(F.struct(F.col(stratum).alias("stratum")))).alias("members"), *[F.sum(c).alias(c) for c in by_stratum.columns if c != stratum]
+    )
+    # The groups are counted before the explode: in one select with it, the window would count the exploded rows.
+    rows = pooled.withColumn("groups", F.count(F.lit(1)).over(Window.partitionBy())).select("members", "n", "groups", F.explode(cells).alias("cell")).select("members", "n", "groups", "cell.*")
+    passes = (F.col("k") <= F.col("n") * risk) & (_tail(F.col("n"), F.when(F.col("k") <= F.col("n") * risk, F.col("k")).otherwise(0), risk) <= delta / len(LADDERS) / F.col("groups"))
+    so_far = F.min(passes).over(Window.partitionBy("members", "rule").orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
     chosen = rows.withColumn("ok", so_far).where("ok")
-    return chosen.groupBy(stratum).agg(*[F.min(F.when(F.col("rule") == rule, F.col("cut"))).alias(f"{rule}_from") for rule in LADDERS])
+    chosen = chosen.groupBy("members").agg(*[F.min(F.when(F.col("rule") == rule, F.col("cut"))).alias(f"{rule}_from") for rule in LADDERS])
+    return chosen.select(F.explode("members").alias("member"), *[f"{rule}_from" for rule in LADDERS]).select(F.col("member.stratum").alias(stratum), *[f"{rule}_from" for rule in LADDERS])
 
 
 def judge(measured: DataFrame, chosen: DataFrame, stratum: str = "lang") -> DataFrame:

@@ -34,6 +34,25 @@ def test_quality_keeps_clean_documents_and_rejects_junk(spark):
     assert kept[1] > 0.985 and kept[0] < 0.5, kept
 
 
+def test_quality_rejects_junk_in_every_language(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    of = quality.judge_quality(docs, labels).join(labels, "doc_id").where("not base_failed").groupBy("lang", "quality").agg(F.avg(F.col("kept").cast("int")))
+    kept = {(r[0], r[1]): r[2] for r in of.collect()}
+    for lang in ("en", "de", "fr", "es"):
+        assert kept[lang, 1] > 0.985 and kept[lang, 0] < 0.5, kept
+
+
+def test_quality_pools_strata_that_are_too_small(spark):
+    """a stands alone; b and c pass together, but not by the rule that b alone would fail; d has no label."""
+    scores = [f"if({where}, 1000, 0) as {rule}" for rule, where in {**dict.fromkeys(quality.LADDERS, "false"), "upper_share": "lang = 'b' and id % 70 = 0"}.items()]
+    docs = spark.range(3600).selectExpr("id", "case when id < 2000 then 'a' when id < 2700 then 'b' when id < 3400 then 'c' else 'd' end as lang")
+    measured, labels = docs.selectExpr("id as doc_id", "lang", *scores), docs.where("lang <> 'd'").selectExpr("id as doc_id", "1 as quality")
+    got = {r["lang"]: r for r in quality.cutoffs(measured, labels).collect()}
+    assert set(got) == {"a", "b", "c"}
+    assert all(got[x][f"{rule}_from"] == (None if x != "a" and rule == "upper_share" else ladder[-1]) for x in got for rule, ladder in quality.LADDERS.items())
+    assert quality.cutoffs(measured.where("lang in ('b', 'd')"), labels).count() == 0  # 700 labels are too few, pooled or not
+
+
 def test_quality_bound_is_the_exact_binomial_tail(spark):
     from math import comb
 
