@@ -1,6 +1,6 @@
 """Secret scan with multipart credential linking, in DataFrame functions only.
 
-Base kinds (assign, access, hex) are always reported. Weaker candidates - short access identifiers, 40-character keys,
+Base kinds (assign, access, hex) are always reported. Weaker candidates - short or temporary access identifiers, 40-character keys,
 hex runs of 16 to 23 characters - are parts: a part is reported only when a part of another role (access identifier,
 secret, endpoint) lies within ``scope`` code points of it in the same document. The interval join runs over the parts of
 a document in order of place: the running maximum of ends before and the next start after a part, by role, say whether an
@@ -23,7 +23,7 @@ SCOPE = 256
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # equals the runs AKIA[A-Z0-9]+ of 20 characters or more
 HEX = r"[0-9a-f]{24,}"  # equals the runs [0-9a-f]+ of 24 characters or more
-PARTS = r"""https?://[^\x20\x09-\x0D"'<>]+|(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/])|(?<![0-9a-zA-Z])[0-9a-f]{16,23}(?![0-9a-zA-Z])|(?<![A-Z0-9])A(?:KIA|SIA)[A-Z0-9]{8,15}(?![A-Z0-9])"""
+PARTS = r"""https?://[^\x20\x09-\x0D"'<>]+|(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/])|(?<![0-9a-zA-Z])[0-9a-f]{16,23}(?![0-9a-zA-Z])|(?<![A-Z0-9])A(?:KIA[A-Z0-9]{8,15}|SIA[A-Z0-9]{8,})(?![A-Z0-9])"""
 #: Kinds in order of the report; role of each.
 KINDS = {"assign": "secret", "access": "access", "hex": "secret", "weak_access": "access", "weak_key": "secret", "weak_hex": "secret", "endpoint": "endpoint"}
 ROLES = ["access", "secret", "endpoint"]
@@ -43,7 +43,7 @@ def _matches(text: Column, pattern: str, number: int, kind) -> Column:
 
 
 def _part_kind(x: Column) -> Column:
-    return F.when(x.startswith("http"), "endpoint").when(x.rlike("^[0-9a-f]{16,23}$"), "weak_hex").when(x.rlike("^A[KS]IA[A-Z0-9]{8,15}$"), "weak_access").when(x.rlike("[0-9]") & x.rlike("[a-z]") & x.rlike("[A-Z]"), "weak_key")
+    return F.when(x.startswith("http"), "endpoint").when(x.rlike("^[0-9a-f]{16,23}$"), "weak_hex").when(x.rlike("^A(?:KIA[A-Z0-9]{8,15}|SIA[A-Z0-9]{8,})$"), "weak_access").when(x.rlike("[0-9]") & x.rlike("[a-z]") & x.rlike("[A-Z]"), "weak_key")
 
 
 def scan(docs: DataFrame, text: str = "text", scope: int = SCOPE, keep: list[str] | None = None) -> DataFrame:

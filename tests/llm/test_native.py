@@ -84,6 +84,21 @@ def test_weak_parts_need_a_complement_nearby(spark, docs):
     assert [x[0] for x in spans[10]] == ["weak_access"]  # the endpoint is near it, the hex run is far from both
 
 
+KEY = "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY12"
+
+
+def _spans(spark, *texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    return [[(s["kind"], r["text"][s["start"] : s["end"]]) for s in r["spans"]] for r in credential_scan.scan(df).orderBy("doc_id").collect()]
+
+
+def test_full_temporary_identifiers_link_with_their_key(spark):
+    assert len(KEY) == 40
+    one, alone, longer = _spans(spark, f"ASIAIOSFODNN7EXAMPLE {KEY}", "ASIAIOSFODNN7EXAMPLE", f"{KEY} ASIA{'A1' * 18} x")
+    assert one == [("weak_access", "ASIAIOSFODNN7EXAMPLE"), ("weak_key", KEY)] and alone == []
+    assert longer == [("weak_key", KEY), ("weak_access", "ASIA" + "A1" * 18)]
+
+
 def test_redaction_puts_marks_in_place_of_spans(spark, docs):
     out = {r["doc_id"]: r["text"] for r in credential_scan.redact(credential_scan.scan(docs)).where("lang = 'xx' and doc_id in (2, 4, 7, 9)").collect()}
     assert out[4] == "one" and out[2] == ""
