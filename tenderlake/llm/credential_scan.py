@@ -4,7 +4,8 @@ Base kinds (assign, access, hex) are always reported. Weaker candidates - short
 hex runs of 16 to 23 characters - are parts: a part is reported only when a part of another role (access identifier,
 secret, endpoint) lies within ``scope`` code points of it in the same document. The interval join runs over the parts of
 a document in order of place: the running maximum of ends before and the next start after a part, by role, say whether an
-interval of that role is near enough, so no pairs are built.
+interval of that role is near enough, so no pairs are built. Endpoints are scanned on their own, so that parts within a
+URL stay candidates, and the endpoint that holds them is near them.
 
 Places come from the lengths of matches and of the text between them, summed along the document. Edge cases: null text
 counts as empty; texts are scanned whole, any length; repeated rows are scanned row by row; no match gives no spans (the
@@ -23,7 +24,11 @@ SCOPE = 256
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # equals the runs AKIA[A-Z0-9]+ of 20 characters or more
 HEX = r"[0-9a-f]{24,}"  # equals the runs [0-9a-f]+ of 24 characters or more
-PARTS = r"""https?://[^\x20\x09-\x0D"'<>]+|(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/])|(?<![0-9a-zA-Z])[0-9a-f]{16,23}(?![0-9a-zA-Z])|(?<![A-Z0-9])A(?:KIA[A-Z0-9]{8,15}|SIA[A-Z0-9]{8,})(?![A-Z0-9])"""
+ENDPOINT = r"""https?://[^\x20\x09-\x0D"'<>]+"""
+WEAK = r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/])|(?<![0-9a-zA-Z])[0-9a-f]{16,23}(?![0-9a-zA-Z])|(?<![A-Z0-9])A(?:KIA[A-Z0-9]{8,15}|SIA[A-Z0-9]{8,})(?![A-Z0-9])"
+#: Keys with a slash beside them, which are keys only within an endpoint; none of them is a match of WEAK.
+URL_KEY = r"(?<=/)[A-Za-z0-9+]{40}(?![A-Za-z0-9+])|(?<![A-Za-z0-9+/])[A-Za-z0-9+]{40}(?=/)"
+PARTS = f"{ENDPOINT}|{WEAK}|{URL_KEY}"  # a text without a match has no parts
 #: Kinds in order of the report; role of each.
 KINDS = {"assign": "secret", "access": "access", "hex": "secret", "weak_access": "access", "weak_key": "secret", "weak_hex": "secret", "endpoint": "endpoint"}
 ROLES = ["access", "secret", "endpoint"]
@@ -43,7 +48,11 @@ def _matches(text: Column, pattern: str, number: int, kind) -> Column:
 
 
 def _part_kind(x: Column) -> Column:
-    return F.when(x.startswith("http"), "endpoint").when(x.rlike("^[0-9a-f]{16,23}$"), "weak_hex").when(x.rlike("^A(?:KIA[A-Z0-9]{8,15}|SIA[A-Z0-9]{8,})$"), "weak_access").when(x.rlike("[0-9]") & x.rlike("[a-z]") & x.rlike("[A-Z]"), "weak_key")
+    return F.when(x.rlike("^[0-9a-f]{16,23}$"), "weak_hex").when(x.rlike("^A(?:KIA[A-Z0-9]{8,15}|SIA[A-Z0-9]{8,})$"), "weak_access").when(_mixed(x), "weak_key")
+
+
+def _mixed(x: Column) -> Column:
+    return x.rlike("[0-9]") & x.rlike("[a-z]") & x.rlike("[A-Z]")
 
 
 def scan(docs: DataFrame, text: str = "text", scope: int = SCOPE, keep: list[str] | None = None) -> DataFrame:
@@ -56,7 +65,9 @@ def scan(docs: DataFrame, text: str = "text", scope: int = SCOPE, keep: list[str
         _matches(t, ASSIGN, 0, assign_kind),
         _matches(t, ACCESS, 1, lambda x: F.lit("access")),
         _matches(t, HEX, 2, lambda x: F.lit("hex")),
-        _matches(t, PARTS, 3, _part_kind),
+        _matches(t, WEAK, 3, _part_kind),
+        _matches(t, ENDPOINT, 4, lambda x: F.lit("endpoint")),
+        _matches(t, URL_KEY, 5, lambda x: F.when(_mixed(x), "url_key")),
     )
     rows = docs.select(F.struct(*(keep or docs.columns)).alias("row"), F.monotonically_increasing_id().alias("rid"), found.alias("found"))
     rows = rows.select("rid", "row", F.posexplode_outer("found").alias("pos", "part"))
@@ -64,6 +75,8 @@ def scan(docs: DataFrame, text: str = "text", scope: int = SCOPE, keep: list[str
     rows = rows.select("rid", F.when(F.coalesce(F.col("pos"), F.lit(0)) == 0, F.col("row")).alias("row"), "part.*").repartition("rid")
     of_pattern = Window.partitionBy("rid", "pattern").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(of_pattern)).withColumn("start", F.col("end") - F.col("len"))
+    within = F.max(F.when(F.col("kind") == "endpoint", F.col("end"))).over(Window.partitionBy("rid").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)) >= F.col("end")
+    rows = rows.withColumn("kind", F.when(F.col("kind") == "url_key", F.when(within, "weak_key")).otherwise(F.col("kind")))
     role = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])[F.col("kind")]
     order = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
     rows = rows.withColumn("role", role).withColumn("order", order)

@@ -99,6 +99,18 @@ def test_full_temporary_identifiers_link_with_their_key(spark):
     assert longer == [("weak_key", KEY), ("weak_access", "ASIA" + "A1" * 18)]
 
 
+def test_parts_within_a_url_are_found(spark):
+    query, user, path, plain, alone = _spans(
+        spark, f"https://s3.example.com/?AWSAccessKeyId=ASIAIOSFODNN7&Signature={KEY}", f"see https://AKIA1234567890:{KEY}@h.example/x", f"https://h.example/{KEY} and https://h.example/?k={KEY}/y", f"a/{KEY} https://h.example/x", "https://h.example/x?page=12"
+    )
+    assert query == [("weak_access", "ASIAIOSFODNN7"), ("weak_key", KEY)]
+    assert user == [("weak_access", "AKIA1234567890"), ("weak_key", KEY)]
+    assert path == [("weak_key", KEY), ("weak_key", KEY)]
+    assert plain == [] and alone == []  # a slash before a key counts within a URL only
+    hexed = "0123456789abcdef01"
+    assert _spans(spark, f"https://h.example/?sig={hexed}", hexed) == [[("weak_hex", hexed)], []]
+
+
 def test_redaction_puts_marks_in_place_of_spans(spark, docs):
     out = {r["doc_id"]: r["text"] for r in credential_scan.redact(credential_scan.scan(docs)).where("lang = 'xx' and doc_id in (2, 4, 7, 9)").collect()}
     assert out[4] == "one" and out[2] == ""
