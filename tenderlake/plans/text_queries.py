@@ -290,11 +290,8 @@ query("check_schema", "v_rules", sql="SELECT * FROM (VALUES ('id', true, 'bigint
 
 def _status_stream(spark, sf_dir):
     """The stream over all events, then its table."""
-    import uuid
-
-    name = f"status_{uuid.uuid4().hex}"
-    run_status_stream(spark, sf_dir, spark.read.parquet(f"{sf_dir}/events.parquet").schema, name, _scratch(spark), "events.parquet")
-    return spark.table(name).select("id", "status", "value")
+    latest = run_status_stream(spark, sf_dir, spark.read.parquet(f"{sf_dir}/events.parquet").schema, _scratch(spark), _scratch(spark), "events.parquet")
+    return latest.select("id", "status", "value")
 
 
 QUERIES["status_stream"] = _status_stream

@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..operators.status import completion_status
@@ -26,12 +25,21 @@ def statuses(events: DataFrame, id: str = "user_id", kind: str = "event_type", t
     return latest.select("id", F.col("x.ts").alias("ts"), F.col("x.status").alias("status"), F.col("x.value").alias("value"))
 
 
-def run_status_stream(spark: SparkSession, source: str, kind: StructType, name: str, checkpoint: str, pattern: str = "*") -> StreamingQuery:
-    """Run all events (of schema kind) in the folder source through the stream into an in-memory table of that name."""
+def run_status_stream(spark: SparkSession, source: str, kind: StructType, target: str, checkpoint: str, pattern: str = "*") -> DataFrame:
+    """Run all new events (of schema kind) in the folder source through the stream: what each batch changes is written to
+    target/updates, one folder a batch so that a repeated batch is harmless, and the newest row of each id to
+    target/latest, which is returned. Nothing is collected."""
+    updates, latest = f"{target}/updates", f"{target}/latest"
+    statuses(spark.createDataFrame([], kind)).write.mode("overwrite").parquet(f"{updates}/batch=-1")  # without events the folder is there
+
+    def handle(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{updates}/batch={epoch}")
+
     events = spark.readStream.schema(kind).option("pathGlobFilter", pattern).parquet(source)
-    query = statuses(events).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return query
+    statuses(events).writeStream.outputMode("update").foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    newest = spark.read.parquet(updates).groupBy("id").agg(F.max(F.struct("ts", "status", "value")).alias("x")).select("id", "x.*")
+    newest.write.mode("overwrite").parquet(latest)
+    return spark.read.parquet(latest)
 
 
 def score_on_complete(target: str, load: Callable[[], tuple[DataFrame, DataFrame]], score: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:

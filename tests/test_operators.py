@@ -96,3 +96,20 @@ def test_price_scores_of_seven_bidders(spark):
     df = spark.createDataFrame([(1, n, p) for n, p, _ in bidders], "project_id long, bidder_name string, price double")
     top = spark.createDataFrame([(1, 40.0)], "project_id long, max_price_score double")
     assert {r["bidder_name"]: r["price_score"] for r in scores.score_prices(df, top).collect()} == {n: s for n, _, s in bidders}
+
+
+def test_status_stream_keeps_its_table_in_files(spark, tmp_path):
+    from tenderlake.streaming.status import run_status_stream
+
+    source, target, checkpoint = (f"file://{tmp_path}/{x}" for x in ("source", "target", "checkpoint"))
+
+    def run(*rows):
+        events = spark.createDataFrame(rows, "user_id long, event_type string, ts string, value double").withColumn("ts", F.to_timestamp("ts"))
+        events.coalesce(1).write.mode("append").parquet(source)
+        out = run_status_stream(spark, source, events.schema, target, checkpoint)
+        assert out.inputFiles()
+        return {r["id"]: (r["status"], r["value"]) for r in out.collect()}
+
+    assert run((1, "signup", "2024-01-05 00:00:00", 1.0), (2, "view", "2024-01-05 00:00:00", 2.0), (1, "click", "2024-01-06 00:00:00", 3.0)) == {1: ("processing", 3.0), 2: ("processing", 2.0)}
+    # The next batch brings one older event and one newer one.
+    assert run((1, "error", "2024-01-01 00:00:00", 4.0), (2, "purchase", "2024-02-01 00:00:00", 5.0), (3, "x", "2023-01-01 00:00:00", 6.0)) == {1: ("processing", 3.0), 2: ("completed", 5.0), 3: ("x", 6.0)}
