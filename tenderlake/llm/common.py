@@ -2,24 +2,41 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH = 8 << 20  # bytes of an Arrow batch that goes to a Python worker
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one of our own only where that is unset."""
+    """The folder all executors share (spark.checkpoint.dir). Where that is unset, a local session gets a temporary one;
+    on a cluster, whose executors would each write to a disk of their own, it is refused."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tenderlake-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, in whose session Arrow batches hold BATCH bytes at most from now on: ten thousand long texts in one batch, or
+    64 MB of them, would be held several times over in each Python worker and in Spark's buffers."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = df.sparkSession.conf.get(key, "64m").lower()
+    size = re.fullmatch(r"(-?\d+)([kmg]?)b?", now)
+    if not size or int(size[1]) <= 0 or int(size[1]) << {"": 0, "k": 10, "m": 20, "g": 30}[size[2]] > BATCH:
+        df.sparkSession.conf.set(key, str(BATCH))
+    return df
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

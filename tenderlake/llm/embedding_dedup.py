@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, written
+from .common import free_name, small_batches, written
 from .components import connected
 
 AXES = 6
@@ -165,7 +165,7 @@ def _compare(cosine: float):
 
 def link_vectors(rows: DataFrame, cosine: float = 0.93, id: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """rows with n_links, component_id and kept; only vectors of equal labels are compared."""
-    rows = rows.drop(*[c for c in rows.columns if c.lower() in ("n_links", "component_id", "kept")])
+    rows = small_batches(rows).drop(*[c for c in rows.columns if c.lower() in ("n_links", "component_id", "kept")])
     key, rep, lab = (free_name(rows, c) for c in ("key", "rep", "lab"))
     eps = float(np.sqrt(2 - 2 * cosine)) + 1e-6
     packed = written(_packed(rows, vector, key).withColumn(lab, F.col(label).cast("string")), "vectors")

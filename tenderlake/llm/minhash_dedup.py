@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_batches, written
 from .components import connected
 
 BANDS, ROWS = 40, 4
@@ -52,7 +52,7 @@ class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -293,7 +293,7 @@ def _settle(width: int, percent: int, most: int):
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """doc id, n_shingles, component_id, kept: one row per row of docs."""
     most = most_differing_bits(percent / 100)
-    texts_all = docs.select(id, F.col(text).alias("text"))
+    texts_all = small_batches(docs).select(id, F.col(text).alias("text"))
     rows = written(_sketched(docs, id, text, width), "sketched")
     usable = rows.where("n > 0 and id is not null")
     classes = usable.groupBy("same").agg(F.min("id").alias("rep"))

@@ -16,17 +16,18 @@ gives an empty result; extra columns stay, columns of the output's names in the
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import pretokens
-from .common import free_name, written
+from .common import free_name, small_batches, written
 
 CAPACITY = 2048
 _loaded: dict = {}
@@ -44,19 +45,25 @@ def _tokenizer(path: str):
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        special = [x.content for x in t.get_added_tokens_decoder().values()]
-        cached = pretokens.Encoder(lambda strings: [e.ids for e in t.encode_batch(strings, add_special_tokens=False)])
-        _loaded[path] = t, special, cached
+        special = {x.content: i for i, x in t.get_added_tokens_decoder().items()}
+
+        def encode(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            got = [e.ids for e in t.encode_batch_fast(strings, add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(got), np.int32), np.fromiter(map(len, got), np.int64, len(got))
+
+        _loaded[path] = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None, special, pretokens.Encoder(encode)
     return _loaded[path]
 
 
 def encode_texts(path: str, texts: list[str]) -> Iterator[np.ndarray]:
-    """Ids of each text as the tokenizer gives them, without added special tokens. Texts that hold the string of a
-    special token, which the library recognises inside texts, go to it whole."""
-    t, special, cached = _tokenizer(path)
-    odd = {i for i, x in enumerate(texts) if any(s in x for s in special)}
-    for i, ids in enumerate(cached.texts([("" if i in odd else x) for i, x in enumerate(texts)])):
-        yield np.array(t.encode(texts[i], add_special_tokens=False).ids, np.int32) if i in odd else ids
+    """Ids of each text as the tokenizer gives them, without added special tokens. The string of a special token, which
+    the library recognises inside texts, is one id, and the text before and after it is encoded on its own."""
+    mark, special, cached = _tokenizer(path)
+    parts = [mark.split(x) if mark else [x] for x in texts]
+    ids = cached.texts([p for x in parts for p in x[::2]])
+    for x in parts:
+        first = next(ids)
+        yield first if len(x) == 1 else np.concatenate([first, *(y for s in x[1::2] for y in ([special[s]], next(ids)))]).astype(np.int32)
 
 
 def token_pieces(docs: DataFrame, text: str = "text", path: str | None = None, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
@@ -85,13 +92,13 @@ def token_pieces(docs: DataFrame, text: str = "text", path: str | None = None, c
                         column.append(x)
                     size += stop - at
                     at, stop = stop, stop + capacity
-                if size > 4_000_000:
+                if size > 1_000_000:
                     yield flush(out)
                     out, size = ([], [], [], [], []), 0
             if out[0]:
                 yield flush(out)
 
-    return docs.select(*names, text).mapInArrow(run, schema)
+    return small_batches(docs).select(*names, text).mapInArrow(run, schema)
 
 
 def patterns(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
@@ -167,12 +174,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, length: str = "length") ->
     order = np.argsort(np.array(keys, np.int64))
     plan = pieces.sparkSession.sparkContext.broadcast(tuple(np.array(x, np.int64)[order] for x in (keys, first, offsets)))
 
-    @F.pandas_udf("sequence_id long, offset long")
-    def place(size: pd.Series, rank: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("struct<sequence_id:long,offset:long>")
+    def place(size: pa.Array, rank: pa.Array) -> pa.Array:
         keys, first, offsets = plan.value
-        rank = rank.to_numpy(np.int64)
-        i = np.searchsorted(keys, size.to_numpy(np.int64) << 44 | rank, "right") - 1
-        return pd.DataFrame({"sequence_id": first[i] + rank, "offset": offsets[i]})
+        rank = rank.to_numpy(zero_copy_only=False).astype(np.int64)
+        i = np.searchsorted(keys, size.to_numpy(zero_copy_only=False).astype(np.int64) << 44 | rank, "right") - 1
+        return pa.StructArray.from_arrays([pa.array(first[i] + rank), pa.array(offsets[i])], ["sequence_id", "offset"])
 
     before = Window.partitionBy(length).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     by_part = by_part.withColumn(base, F.coalesce(F.sum(base).over(before), F.lit(0)))

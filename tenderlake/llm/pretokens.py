@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 
 OTHER, LETTER, NUMBER, SPACE, END = range(5)
-SLICE = 1 << 18  # code points handled at once
+SLICE = 1 << 19  # code points handled at once
 LONG = 64  # longer pre-tokens bypass the hash tables
 _END = "\ud800"  # no valid text holds a surrogate
 # Unicode White_Space.
@@ -93,8 +93,11 @@ class Batch:
         start = cut(cp)
         at = np.flatnonzero(start)
         length = np.diff(at, append=len(cp))
-        place = np.arange(len(cp)) - np.repeat(at, length)
-        value = _random_by_code_point()[cp] * _PLACE[place & (LONG - 1)]
+        place = np.arange(len(cp), dtype=np.int32)
+        place -= np.repeat(at.astype(np.int32), length)
+        place &= LONG - 1
+        value = _random_by_code_point()[cp]
+        value *= _PLACE[place]
         h = np.add.reduceat(value, at) + length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         is_end = cp[at] == 0xD800
         real = ~is_end
@@ -138,7 +141,7 @@ class HashTable:
     """Open addressing over arrays: 64-bit keys (0 is free) to int32 values."""
 
     def __init__(self, capacity: int = 1 << 12):
-        self.size = 1 << max(8, (2 * capacity - 1).bit_length())
+        self.size = 1 << max(8, (capacity * 5 // 3).bit_length())
         self.keys, self.values, self.count = np.zeros(self.size, np.uint64), np.zeros(self.size, np.int32), 0
 
     def find(self, keys: np.ndarray) -> np.ndarray:
@@ -159,10 +162,10 @@ class HashTable:
 
     def add(self, keys: np.ndarray, values: np.ndarray) -> None:
         """Distinct keys that the table doesn't hold yet."""
-        if 2 * (self.count + len(keys)) > self.size:
+        if 5 * (self.count + len(keys)) > 4 * self.size:
             old = self.keys != 0
             k, v = self.keys[old], self.values[old]
-            self.__init__(2 * (self.count + len(keys)))
+            self.__init__(self.count + len(keys))
             self._put(k, v)
         self._put(keys, values)
 
@@ -183,45 +186,66 @@ class HashTable:
 class Encoder:
     """Encodes whole texts through a worker's cache of pre-tokens.
 
-    encode: list of pre-token strings to a list of id sequences; it sees each pre-token once until the cache is full
-    (limit entries), when the cache starts anew, so memory stays bounded.
+    encode: list of pre-token strings to their ids one after another, and the number of ids of each. A full cache
+    (limit entries, or 8 ids for each of them) keeps what has been found again since it was full last, if that is half of
+    it at most, and starts anew otherwise. Long pre-tokens are held for one slice only. So memory is bounded by the limit
+    and a slice. Pre-tokens are told apart by 64-bit hashes; their strings are not compared.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list], cut=by_class, prefix: str = "", limit: int = 1 << 18):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], cut=by_class, prefix: str = "", limit: int = 1 << 19):
         self.encode, self.cut, self.prefix, self.limit = encode, cut, prefix, limit
-        self.reset()
-
-    def reset(self) -> None:
-        self.table, self.n, self.used = HashTable(), 0, 0
-        self.offset, self.size, self.ids = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.int32)
+        self._start(np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32))
+
+    def _start(self, hashes: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
+        self.table, self.n, self.used = HashTable(max(1 << 12, len(hashes))), len(size), len(ids)
+        self.size, self.ids, self.again = size, ids, np.zeros(len(size), bool)
+        self.offset = (np.cumsum(size) - size).astype(np.int32)
+        self.kept = self.n, self.used
+        self.table.add(hashes, np.arange(self.n, dtype=np.int32))
+
+    def _trim(self) -> None:
+        full = np.flatnonzero(self.table.keys)
+        hashes, entry = self.table.keys[full], self.table.values[full]
+        some = self.again[entry]
+        if 2 * some.sum() > self.limit:
+            some[:] = False
+        hashes, entry = hashes[some], entry[some]
+        size = self.size[entry]
+        self._start(hashes, size, self.ids[_ranges(self.offset[entry], size)])
+
+    @staticmethod
+    def _grown(x: np.ndarray, n: int) -> np.ndarray:
+        return x if n <= len(x) else np.concatenate([x, np.zeros(max(n, len(x) * 3 // 2) - len(x), x.dtype)])
 
     def _append(self, strings: list[str]) -> np.ndarray:
-        got = self.encode(strings)
-        size = np.fromiter(map(len, got), np.int64, len(got))
-        while self.n + len(got) > len(self.size):
-            self.offset, self.size = np.concatenate([self.offset, self.offset]), np.concatenate([self.size, self.size])
-        flat = np.concatenate([np.asarray(x, np.int32) for x in got]) if len(got) else np.zeros(0, np.int32)
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, self.ids])
-        self.ids[self.used : self.used + len(flat)] = flat
-        new = np.arange(self.n, self.n + len(got), dtype=np.int32)
-        self.size[new], self.offset[new] = size, self.used + np.cumsum(size) - size
-        self.n, self.used = self.n + len(got), self.used + len(flat)
+        flat, size = self.encode(strings)
+        n, used = self.n + len(size), self.used + len(flat)
+        self.size, self.offset, self.again, self.ids = self._grown(self.size, n), self._grown(self.offset, n), self._grown(self.again, n), self._grown(self.ids, used)
+        self.ids[self.used : used], self.size[self.n : n], self.again[self.n : n] = flat, size, False
+        self.offset[self.n : n] = self.used + np.cumsum(size) - size if len(flat) else 0
+        new = np.arange(self.n, n, dtype=np.int32)
+        self.n, self.used = n, used
         return new
 
     def entries(self, batch: Batch) -> np.ndarray:
-        if self.n > self.limit:
-            self.reset()
+        """Places in size and offset, valid until the next call."""
+        self.n, self.used = self.kept
+        if len(self.ids) > 16 * self.limit:
+            self.ids = self.ids[: self.used].copy()
+        if self.n > self.limit or self.used > 8 * self.limit:
+            self._trim()
         found = self.table.find(batch.hash)
+        self.again[found[found >= 0]] = True
         missing = np.flatnonzero((found < 0) & (batch.length <= LONG))
         if len(missing):
             keys, first, back = np.unique(batch.hash[missing], return_index=True, return_inverse=True)
-            new = self._append([batch.string(i) for i in missing[first]])
+            new = self._append([batch.string(i) for i in missing[first].tolist()])
             self.table.add(keys, new)
             found[missing] = new[back]
+        self.kept = self.n, self.used
         long = np.flatnonzero(batch.length > LONG)
         if len(long):
-            found[long] = self._append([batch.string(i) for i in long])
+            found[long] = self._append([batch.string(i) for i in long.tolist()])
         return found
 
     def counts(self, texts: list[str]) -> np.ndarray:
@@ -238,8 +262,7 @@ class Encoder:
             batch = Batch(parts, self.cut)
             e = self.entries(batch)
             size = self.size[e]
-            total = int(size.sum())
-            ids = self.ids[np.arange(total) + np.repeat(self.offset[e] - (np.cumsum(size) - size), size)]
+            ids = self.ids[_ranges(self.offset[e], size)]
             cuts = np.cumsum(np.bincount(batch.text_of, weights=size, minlength=len(parts)).astype(np.int64))
             for k, i in enumerate(owner):
                 yield i, ids[cuts[k - 1] if k else 0 : cuts[k]]
@@ -255,3 +278,9 @@ class Encoder:
         while at < len(texts):
             yield np.concatenate(have) if len(have) != 1 and have else have[0] if have else np.zeros(0, np.int32)
             at, have = at + 1, []
+
+
+def _ranges(offset: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """offset, offset + 1, ... of each, size of them."""
+    n = size.astype(np.int64)
+    return np.arange(n.sum()) + np.repeat(offset - (np.cumsum(n) - n), n)

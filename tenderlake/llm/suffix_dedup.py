@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, free_name, written
+from .common import forget, free_name, small_batches, written
 from .pretokens import _mix
 
 WIDTH = 100
@@ -272,7 +272,7 @@ def _halves(width: int):
 
 def repeated_runs(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """id, start, stop: runs of bytes to remove; they may overlap."""
-    own = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
+    own = small_batches(docs).select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in _groups(batches, width):

@@ -14,12 +14,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import pretokens
+from .common import small_batches
 
 HOT = 1 << 16  # entries of the broadcast table: 10 bytes each, so at most 0.7 MB
 PER_TASK = 1 << 13  # entries of a task's summary
@@ -50,8 +50,13 @@ def _encoder(path: str) -> pretokens.Encoder:
         # The library puts one mark before a text: it stands for the first mark of the pre-token.
         # A lone mark is left when a text ends in one blank; an empty text would get no mark.
         lone = [model.piece_to_id("▁")] if not model.is_unknown(model.piece_to_id("▁")) else [0] * 3
-        counts = lambda strings: [lone if len(s) == 1 else ids for s, ids in zip(strings, model.encode([s[1:] for s in strings], num_threads=1), strict=True)]
-        _models[path] = pretokens.Encoder(counts, pretokens.by_mark, " ")
+
+        def sizes(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            """No ids, as only their number counts."""
+            got = model.encode([s[1:] for s in strings], num_threads=1)
+            return np.zeros(0, np.int32), np.array([len(lone if len(s) == 1 else ids) for s, ids in zip(strings, got, strict=True)], np.int64)
+
+        _models[path] = pretokens.Encoder(sizes, pretokens.by_mark, " ")
     return _models[path]
 
 
@@ -75,7 +80,7 @@ def _summaries(path: str, text: str):
                 seen[known[old]] += n[old]
                 new = ~old
                 strings = [b.string(i) for i in at[new]]
-                size = np.array([len(x) for x in encoder.encode(strings)], np.int64)
+                size = encoder.encode(strings)[1]
                 keys, seen, tokens = np.concatenate([keys, h[new]]), np.concatenate([seen, n[new]]), np.concatenate([tokens, size])
                 if len(keys) > _KEPT:
                     top = np.argpartition(-seen, _KEPT // 4)[: _KEPT // 4]
@@ -100,16 +105,16 @@ def frequent_pretokens(docs: DataFrame, path: str, text: str = "text") -> tuple[
 
 def count_tokens(docs: DataFrame, text: str = "text", path: str | None = None, limit: int = 4096) -> DataFrame:
     """docs with n_bytes, n_tokens and over_limit (n_tokens > limit)."""
-    path = path or model_path()
+    path, docs = path or model_path(), small_batches(docs)
     table = docs.sparkSession.sparkContext.broadcast(frequent_pretokens(docs, path, text))
 
-    @F.pandas_udf("long")
-    def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("long")
+    def tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder, (keys, sizes) = _encoder(path), table.value
         hot = pretokens.HashTable(max(1, len(keys)))
         hot.add(keys, sizes.astype(np.int32))
-        for series in batches:
-            texts = [x or "" for x in series]
+        for batch in batches:
+            texts = [x or "" for x in batch.to_pylist()]
             out = np.zeros(len(texts), np.int64)
             for parts, owner in pretokens.slices(texts, " "):
                 b = pretokens.Batch(parts, pretokens.by_mark)
@@ -120,7 +125,7 @@ def count_tokens(docs: DataFrame, text: str = "text", path: str | None = None, l
                 entry = encoder.entries(b)
                 size[missed] = encoder.size[entry]
                 out += np.bincount(np.asarray(owner)[b.text_of], weights=size, minlength=len(texts)).astype(np.int64)
-            yield pd.Series(out)
+            yield pa.array(out)
 
     keep = [c for c in docs.columns if c.lower() not in ("n_bytes", "n_tokens", "over_limit")]
     out = docs.select(*[docs[c] for c in keep], F.octet_length(F.coalesce(docs[text], F.lit(""))).cast("long").alias("n_bytes"), tokens(docs[text]).alias("n_tokens"))
