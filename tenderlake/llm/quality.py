@@ -1,20 +1,22 @@
 """Quality rules with cutoffs whose false rejections are bounded, in DataFrame functions only.
 
-``features`` measures every whole text. ``cutoffs`` takes labelled documents as holdouts: nothing is fitted on them, the
-ladders of cutoffs are fixed beforehand. For each stratum and rule the cutoffs are tested from the mildest to the
-strictest, and a cutoff passes if the exact binomial tail P(Bin(n, risk) <= k) is at most delta / (strata * rules), where
-k of n good documents would be rejected: with probability 1 - delta no cutoff in use rejects more than a share ``risk`` of
-the good documents of its stratum (Bonferroni over strata and rules; in a ladder fixed-sequence testing, which stops at
-the first failure and needs no correction). A rule without a passing cutoff is not used in that stratum.
-
-Strata with so few good labels that no cutoff could pass even without a false rejection are tested together, as one
-pooled stratum, and use its cutoffs: the bound then holds for the good documents of these strata taken together. Sizes
-alone decide who is pooled, and the correction counts the pool as one stratum. Strata without any good label, and a pool
-that is still too small, have the base rules only.
+``features`` measures every whole text. ``cutoffs`` takes labelled documents as holdouts: nothing is fitted on them, and the
+configurations are fixed beforehand. A configuration is a set of rules (all of them, or all but one) and a level of
+strictness, which is a place in each rule's ladder. What is tested is its joint verdict: it passes in a stratum if the
+exact binomial tail P(Bin(n, risk) <= k) is at most delta / (strata * sets of rules), where it would reject k of n good
+documents. Each set's levels are tested from the mildest to the strictest and end at the first failure (fixed-sequence
+testing, which needs no correction); Bonferroni covers strata and sets. So with probability 1 - delta no stratum's verdict
+rejects more than a share ``risk`` of its good documents, whichever passing configuration is taken: the one that rejects
+most of the documents labelled bad, then the strictest, then the one with all rules.
+
+Strata with so few good labels that nothing could pass even without a false rejection are tested together, as one pooled
+stratum, and use its cutoffs: the bound then holds for the good documents of these strata taken together. Sizes alone
+decide who is pooled, and the correction counts the pool as one stratum. Strata without any good label, and a pool that is
+still too small, have the base rules only. What comes to the driver is two counts of strata.
 
 Edge cases: null text counts as empty (no words: fails the base rules); words are runs of anything but ASCII white space,
 so texts of any length and script are measured whole; a null stratum is a stratum of its own; a document labelled twice
-counts once, as good if any label says so; labels that are null are ignored; repeated rows each get their row; empty
+counts once, as good if any label says so, and so do repeated rows in cutoffs; labels that are null are ignored; repeated rows each get their row; empty
 documents or labels give an empty result or unused rules; result columns of the input are replaced, other columns stay.
 """
 
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import free_name, let, written
 
 BLANK = "\\x20\\x09-\\x0D"
-RISK = 0.005  # false rejections allowed for each rule and stratum
+RISK = 0.005  # false rejections of the joint verdict allowed in a stratum
 DELTA = 0.05
 #: Scores in thousandths (mean word length: hundredths) and their ladders, from mild to strict; a document is rejected from the cutoff on.
 LADDERS: dict[str, list[int]] = {
@@ -39,6 +41,9 @@ LADDERS: dict[str, list[int]] = {
     "shout_share": [900, 700, 500, 400, 300, 200, 150, 100],
     "word_length": [2000, 1600, 1400, 1300, 1200, 1150, 1100, 1050, 1000],
 }
+#: All rules, and all but one; levels of strictness (ladders that are shorter stay at their strictest cutoff).
+RULE_SETS = [list(LADDERS), *[[r for r in LADDERS if r != left_out] for left_out in LADDERS]]
+LEVELS = max(map(len, LADDERS.values()))
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -122,26 +127,36 @@ def _tail(n: Column, k: Column, p: float) -> Column:
     return F.aggregate(terms, F.struct(first.alias("term"), F.exp(first).alias("sum")), step)["sum"]
 
 
+def _first_level(rules: list[str]) -> Column:
+    """The mildest level at which one of the rules rejects a document, LEVELS if none does."""
+    of = [F.coalesce(*[F.when(F.col(rule) >= cut, F.lit(i)) for i, cut in enumerate(LADDERS[rule])], F.lit(LEVELS)) for rule in rules]
+    return F.least(*of)
+
+
 def cutoffs(measured: DataFrame, labels: DataFrame, key: str = "doc_id", stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """A row for each stratum, pooled or not, with a column for each rule: the strictest cutoff that passed, or null."""
-    good = labels.where(F.col("quality").isNotNull()).groupBy(key).agg(F.max("quality").alias("good")).where("good = 1").select(key)
-    held = measured.select(key, stratum, *LADDERS).join(good, key, "left_semi")
-    sums = [F.count_if(F.col(rule) >= cut).alias(f"{rule}_{i}") for rule, ladder in LADDERS.items() for i, cut in enumerate(ladder)]
-    by_stratum = held.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"), *sums)
-    cells = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(i).alias("step"), F.lit(cut).cast("long").alias("cut"), F.col(f"{rule}_{i}").alias("k")) for rule, ladder in LADDERS.items() for i, cut in enumerate(ladder)])
+    """A row for each stratum in which a configuration passed, with a column for each rule: its cutoff, or null if unused."""
+    by_doc = labels.where(F.col("quality").isNotNull()).groupBy(key).agg(F.max("quality").alias("good"))
+    held = measured.select(key, stratum, *LADDERS).join(by_doc, key)
+    # Rows of one id count once, by the strictest of them.
+    held = held.groupBy(key, stratum, "good").agg(*[F.min(_first_level(rules)).alias(f"set{s}") for s, rules in enumerate(RULE_SETS)])
+    sums = [F.count_if((F.col("good") == good) & (F.col(f"set{s}") <= i)).alias(f"{name}_{s}_{i}") for name, good in (("k", 1), ("bad", 0)) for s in range(len(RULE_SETS)) for i in range(LEVELS)]
+    by_stratum = written(held.groupBy(stratum).agg(F.count_if(F.col("good") == 1).alias("n"), *sums).where("n > 0"), "strata")
     # No more is tested than there are strata, so a stratum that may stand alone by their number can pass by its own size.
-    strata = F.count(F.lit(1)).over(Window.partitionBy())
-    pooled = by_stratum.withColumn("pooled", _tail(F.col("n"), F.lit(0).cast("long"), risk) > delta / len(LADDERS) / strata)
-    pooled = pooled.groupBy("pooled", F.when(~F.col("pooled"), F.col(stratum)).alias("own")).agg(
-        F.sort_array(F.collect_list(F.struct(F.col(stratum).alias("stratum")))).alias("members"), *[F.sum(c).alias(c) for c in by_stratum.columns if c != stratum]
-    )
-    # The groups are counted before the explode: in one select with it, the window would count the exploded rows.
-    rows = pooled.withColumn("groups", F.count(F.lit(1)).over(Window.partitionBy())).select("members", "n", "groups", F.explode(cells).alias("cell")).select("members", "n", "groups", "cell.*")
-    passes = (F.col("k") <= F.col("n") * risk) & (_tail(F.col("n"), F.when(F.col("k") <= F.col("n") * risk, F.col("k")).otherwise(0), risk) <= delta / len(LADDERS) / F.col("groups"))
-    so_far = F.min(passes).over(Window.partitionBy("members", "rule").orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
-    chosen = rows.withColumn("ok", so_far).where("ok")
-    chosen = chosen.groupBy("members").agg(*[F.min(F.when(F.col("rule") == rule, F.col("cut"))).alias(f"{rule}_from") for rule in LADDERS])
-    return chosen.select(F.explode("members").alias("member"), *[f"{rule}_from" for rule in LADDERS]).select(F.col("member.stratum").alias(stratum), *[f"{rule}_from" for rule in LADDERS])
+    alone = _tail(F.col("n"), F.lit(0).cast("long"), risk) <= delta / len(RULE_SETS) / max(1, by_stratum.count())
+    placed = by_stratum.withColumn("alone", alone).withColumn("own", F.when(alone, F.col(stratum)))
+    groups = placed.where("alone").count() + bool(placed.where("not alone").limit(1).count())
+    pooled = placed.groupBy("alone", "own").agg(*[F.sum(c).alias(c) for c in by_stratum.columns if c != stratum])
+    cells = F.array(*[F.struct(F.lit(s).alias("set"), F.lit(i).alias("level"), F.col(f"k_{s}_{i}").alias("k"), F.col(f"bad_{s}_{i}").alias("bad")) for s in range(len(RULE_SETS)) for i in range(LEVELS)])
+    rows = pooled.select("alone", "own", "n", F.explode(cells).alias("cell")).select("alone", "own", "n", "cell.*")
+    few = F.col("k") <= F.col("n") * risk  # more could not pass, and their tail would take long to add up
+    passes = few & (_tail(F.col("n"), F.when(few, F.col("k")).otherwise(0), risk) <= delta / len(RULE_SETS) / max(1, groups))
+    so_far = F.min(passes).over(Window.partitionBy("alone", "own", "set").orderBy("level").rowsBetween(Window.unboundedPreceding, 0))
+    best = F.max_by(F.struct("set", "level"), F.struct("bad", "level", -F.col("set"))).alias("best")
+    chosen = rows.withColumn("ok", so_far).where("ok").groupBy("alone", "own").agg(best)
+    at = lambda rule: F.get(F.array(*[F.lit(x).cast("long") for x in LADDERS[rule]]), F.least(F.col("best.level"), F.lit(len(LADDERS[rule]) - 1)))
+    used = lambda rule: F.col("best.set").isin(*[s for s, rules in enumerate(RULE_SETS) if rule in rules])
+    chosen = chosen.select(F.col("alone").alias("a"), F.col("own").alias("o"), *[F.when(used(rule), at(rule)).alias(f"{rule}_from") for rule in LADDERS])
+    return placed.join(chosen, (F.col("alone") == F.col("a")) & F.col("own").eqNullSafe(F.col("o"))).select(stratum, *[f"{rule}_from" for rule in LADDERS])
 
 
 def judge(measured: DataFrame, chosen: DataFrame, stratum: str = "lang") -> DataFrame:
@@ -160,6 +175,7 @@ def judge_quality(docs: DataFrame, labels: DataFrame, text: str = "text", key: s
 
 
 def filter_quality(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """docs, texts included, with features and kept. The cutoffs come from a pass of their own, so that no text is shuffled."""
-    measured = written(features(docs.select(key, stratum, text), text).drop(text), "measured")
-    return judge(features(docs, text), cutoffs(measured, labels, key, stratum, risk, delta), stratum)
+    """docs, texts included, with features and kept. Texts are measured once and written with their features; the cutoffs
+    read only the columns they need, and no text is shuffled."""
+    measured = written(features(docs, text), "measured")
+    return judge(measured, cutoffs(measured, labels, key, stratum, risk, delta), stratum)
