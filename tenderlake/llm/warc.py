@@ -1,9 +1,11 @@
 """WARC archives: writing pages as records, and reading records back with segments put together.
 
 Writing: a record holds an HTTP response with a chunked body. Of pages with equal payloads of at least ``least`` bytes the
-one with the smallest id is the response and the others are revisits that refer to it. A block longer than ``segment``
-bytes is cut: the first segment is in the response record, the others in continuation records that name it as their
-origin. Records are rows of a text sink whose line separator is the end of a record, so Spark writes the archives.
+one with the smallest id is the response and the others are revisits that name its record. Which is which is told from
+ids and digests alone; payloads are dealt out once, by page. A block longer than ``segment`` bytes is cut: the first
+segment is in the response record, the others in continuation records that name it as their origin. A record's name holds
+the page id and a digest of url and payload, so it is known before the record is written. Records are rows of a text sink
+whose line separator is the end of a record, so Spark writes the archives, at most PER_FILE records in each.
 
 Reading: archive files are parsed by Spark tasks, one file at a time, record by record. Continuations are grouped by
 origin, put in order of their segment numbers, checked (numbers without a gap, total length as the last says), joined, and
@@ -11,7 +13,7 @@ the chunked transfer framing is decoded. A record that fails a check has a text
 
 Edge cases: null or empty html is an empty payload (always a response); null urls are written as urn:none and read back
 as null; rows with a null page id are written and read back, and never are responses that others refer to; repeated rows
-are written each; payloads are written and read whole, whatever their length; no pages give no records; extra columns are ignored.
+are written each (under one name) and read back each; payloads are written and read whole, whatever their length; no pages give no records; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import new_path, small_batches, written
 
 LEAST = 100
 SEGMENT = 32 << 10
 CHUNK = 4 << 10
+PER_FILE = 20_000  # records in an archive: under 1 GB with segments of 32 KB, as a reader's task holds an archive at once
 _END = "\r\n\r\n"
 _HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 
@@ -75,12 +78,11 @@ def _records(segment: int):
             out: list[str] = []
             size = 0
             for k in range(batch.num_rows):
-                uid, page, url, html, digest, first = (batch.column(n)[k].as_py() for n in ("uid", "id", "url", "html", "digest", "first"))
-                name = f"<urn:page:{'none' if page is None else page}:{uid}>"
+                name, url, html, digest, first = (batch.column(n)[k].as_py() for n in ("name", "url", "html", "digest", "first"))
                 target = "urn:none" if url is None else re.sub(r"[\x00-\x20\x7f%]", lambda m: f"%{ord(m[0]):02x}", url)
                 fields = [("WARC-Record-ID", name), ("WARC-Date", "2024-01-01T00:00:00Z"), ("WARC-Target-URI", target), ("WARC-Payload-Digest", f"sha256:{digest}"), ("Content-Type", "application/http; msgtype=response")]
                 if first is not None:
-                    more = [("WARC-Type", "revisit"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{first}>")]
+                    more = [("WARC-Type", "revisit"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", first)]
                     out.append(_record(more + fields, _HEAD))
                 else:
                     block = _HEAD + chunked(html.encode())
@@ -107,14 +109,19 @@ def _records(segment: int):
 
 def write(pages: DataFrame, path: str | None = None, id: str = "page_id", url: str = "url", html: str = "html", least: int = LEAST, segment: int = SEGMENT) -> str:
     """Write the archives (gzip) and return their folder."""
-    path = path or new_path(pages.sparkSession, "warc")
+    path = path or new_path(small_batches(pages).sparkSession, "warc")
     text = F.coalesce(F.col(html), F.lit(""))
     rows = pages.select(F.col(id).cast("long").alias("id"), F.col(url).alias("url"), text.alias("html"), F.sha2(text, 256).alias("digest"))
-    firsts = rows.where(F.octet_length("html") >= least).groupBy("digest").agg(F.min("id").alias("least_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1 and least_id is not null").select("digest", "least_id")
-    known = rows.join(firsts, "digest", "left").withColumn("uid", F.monotonically_increasing_id())
-    known = known.withColumn("first", F.when((F.octet_length("html") >= least) & ~F.col("id").eqNullSafe(F.col("least_id")), F.col("least_id")))
-    records = known.select("uid", "id", "url", F.when(F.col("first").isNull(), F.col("html")).alias("html"), "digest", "first").mapInArrow(_records(segment), "value string")
-    records.write.option("lineSep", _END).option("compression", "gzip").text(path)
+    mark = F.substring(F.sha2(F.concat_ws(" ", "digest", "url"), 256), 1, 16)
+    rows = rows.withColumn("name", F.concat(F.lit("<urn:page:"), F.coalesce(F.col("id").cast("string"), F.lit("none")), F.lit(":"), mark, F.lit(">")))
+    ids = written(rows.where(F.octet_length("html") >= least).select("id", "digest", "name"), "page-ids")
+    firsts = ids.where("id is not null").groupBy("digest").agg(F.min(F.struct("id", "name")).alias("least")).select("digest", F.col("least.id").alias("least_id"), F.col("least.name").alias("first"))
+    # Both sides of this join and of the next are tables, so that Spark can split a page of which there are very many copies.
+    revisits = ids.join(written(firsts, "firsts"), "digest").where(~F.col("id").eqNullSafe(F.col("least_id"))).select("name", "first")
+    revisits = written(revisits.groupBy("name").agg(F.first("first").alias("first")), "revisits")
+    known = rows.join(revisits, "name", "left")
+    records = known.select("name", "url", F.when(F.col("first").isNull(), F.col("html")).alias("html"), "digest", "first").mapInArrow(_records(segment), "value string")
+    records.write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", PER_FILE).text(path)
     return path
 
 
@@ -191,22 +198,22 @@ def records(spark: SparkSession, path: str) -> DataFrame:
 def whole(raw: DataFrame) -> DataFrame:
     """Response, revisit and other records with their segments joined: block, and problem where a check failed."""
     single = raw.where("origin is null and number is null").select("type", "id", "target", "digest", "refers_to", "block", F.when(F.col("short"), "block shorter than its length").alias("problem"))
-    cut = raw.where("origin is not null or number is not null")
-    part = F.struct("number", F.hex("block").alias("hex"), "short")
-    of = cut.groupBy(F.coalesce("origin", "id").alias("id")).agg(
-        *[F.max(F.when(F.col("origin").isNull(), F.col(c))).alias(c) for c in ("type", "target", "digest", "refers_to")],
-        F.max("total").alias("total"),
-        F.array_sort(F.collect_list(part)).alias("parts"),
-    )
-    block = F.unhex(F.array_join(F.transform("parts", lambda x: x["hex"]), ""))
+    cut = raw.where("origin is not null or number is not null").withColumn("id", F.coalesce("origin", "id"))
+    # Rows that were written twice have the same name: their segments are equal.
+    fields = ["type", "target", "digest", "refers_to"]
+    cut = cut.groupBy("id", "number").agg(*[F.max(F.when(F.col("origin").isNull(), F.col(c))).alias(c) for c in fields], F.max("total").alias("total"), F.first("block").alias("block"), F.max("short").alias("short"), F.count(F.lit(1)).alias("copies"))
+    part = F.struct("number", F.decode("block", "ISO-8859-1").alias("bytes"), "short")
+    of = cut.groupBy("id").agg(*[F.max(c).alias(c) for c in [*fields, "total", "copies"]], F.array_sort(F.collect_list(part)).alias("parts"))
     gap = F.exists(F.transform("parts", lambda x, i: F.coalesce(x["number"] != i + 1, F.lit(True)) | x["short"]), lambda x: x)
-    of = of.withColumn("block", block)
+    of = of.withColumn("block", F.encode(F.array_join(F.transform("parts", lambda x: x["bytes"]), ""), "ISO-8859-1"))
     problem = F.when(F.col("type").isNull() | gap, "segment missing").when(F.coalesce(F.octet_length("block") != F.col("total"), F.lit(True)), "segments don't have the total length")
-    return single.unionByName(of.select("type", "id", "target", "digest", "refers_to", "block", problem.alias("problem")))
+    of = of.withColumn("problem", problem).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return single.unionByName(of.select("type", "id", "target", "digest", "refers_to", "block", "problem"))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, url, record_type, refers_to (a page id), digest (of the header), payload, problem: a row a page."""
+    """page_id, url, record_id, record_type, refers_to (a page id), refers_to_record, digest (of the header), payload,
+    problem: a row a page."""
 
     @F.arrow_udf("struct<payload:binary,problem:string>")
     def payload(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -228,7 +235,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     response = F.col("type") == "response"
     plain = F.url_decode(F.regexp_replace("target", "\\+", "%2b"))
     return rows.select(
-        number("id").alias("page_id"), F.when(F.col("target") != "urn:none", plain).alias("url"), F.col("type").alias("record_type"), F.when(~response, number("refers_to")).alias("refers_to"),
+        number("id").alias("page_id"), F.when(F.col("target") != "urn:none", plain).alias("url"), F.col("type").alias("record_type"), F.when(~response, number("refers_to")).alias("refers_to"), F.col("id").alias("record_id"), F.when(~response, F.col("refers_to")).alias("refers_to_record"),
         F.regexp_replace("digest", "^sha256:", "").alias("digest"), F.when(response & F.col("problem").isNull(), F.col("got.payload")).alias("payload"), F.coalesce("problem", F.when(response, F.col("got.problem"))).alias("problem"),
     )
 
@@ -236,11 +243,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def resolved(pages: DataFrame) -> DataFrame:
     """Pages as read, with payload_bytes and payload_digest of the full payload: a revisit's are those of the page that it
     refers to. problem also tells of a digest that isn't the header's, and of a revisit without its response."""
-    # Only what a revisit needs is joined: lengths and digests, not payloads.
-    own = pages.select("page_id", "url", "record_type", "refers_to", "digest", F.octet_length("payload").cast("long").alias("size"), F.sha2("payload", 256).alias("sha"), "problem")
-    of = own.where("record_type = 'response' and page_id is not null").groupBy("page_id").agg(F.max(F.struct("size", "sha")).alias("of"))
-    both = own.join(of.select(F.col("page_id").alias("refers_to"), "of"), "refers_to", "left")
-    size, sha = F.coalesce("size", F.when(F.col("record_type") == "revisit", F.col("of.size"))), F.coalesce("sha", F.when(F.col("record_type") == "revisit", F.col("of.sha")))
-    both = both.withColumn("payload_bytes", size).withColumn("payload_digest", sha)
+    # Only what a revisit needs is joined: lengths and digests, not payloads. A response is complete as it is. Both sides of
+    # the join are tables, so that Spark can split the revisits of one response.
+    own = pages.select("page_id", "url", "record_id", "record_type", "refers_to", "refers_to_record", "digest", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), "problem")
+    own = written(own, "records")
+    is_revisit = F.coalesce(F.col("record_type") == "revisit", F.lit(False)) & F.col("refers_to_record").isNotNull()
+    of = own.where("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to_record")).agg(F.max(F.struct("payload_bytes", "payload_digest")).alias("of"))
+    revisits = own.where(is_revisit).drop("payload_bytes", "payload_digest").join(written(of, "responses"), "refers_to_record", "left").withColumns({"payload_bytes": F.col("of.payload_bytes"), "payload_digest": F.col("of.payload_digest")})
+    both = own.where(~is_revisit).unionByName(revisits.drop("of"))
     wrong = F.when(F.col("payload_digest").isNull(), "no payload").when(F.col("payload_digest") != F.col("digest"), "digest differs")
     return both.select("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", F.coalesce("problem", wrong).alias("problem"))

@@ -9,6 +9,7 @@ from tenderlake.llm import warc
 ROWS = [
     (5, "http://a/ b?x=1%20+2", "é" * 80), (3, None, "é" * 80), (9, "u", "é" * 80), (4, "u", "short"), (2, "u", "short"), (7, "u", None), (8, "u", ""),
     (10, "u", "日本語\r\n\r\nWARC/1.1\r\n0\r\n\r\n" * 9000), (None, "u", "é" * 80), (11, "u\r\nX: y", "b" * 100), (12, "u", "c" * 99), (13, "u", "c" * 99), (14, "u", "d" * 200), (14, "u", "d" * 200),
+    (15, "u", "ü" * 50_000), (15, "u", "ü" * 50_000), (15, "v", "ü" * 50_000), (16, "u", "ü" * 50_000), (None, "w", "ü" * 50_000), (None, None, "only here" * 20),
 ]
 
 
@@ -19,6 +20,9 @@ def test_round_trip(spark):
     assert raw.where("type = 'continuation'").count() > 5
     read = warc.read(spark, path).cache()
     assert read.where("problem is not null").count() == 0
+    named = {r["record_id"] for r in read.where("record_type = 'response'").collect()}
+    again = [r["refers_to_record"] for r in read.where("record_type = 'revisit'").collect()]
+    assert len(again) == 5 and set(again) <= named
     html = {r["page_id"]: (r["url"], bytes(r["payload"])) for r in read.where("record_type = 'response'").collect()}
     assert html[10] == ("u", ROWS[7][2].encode()) and html[7][1] == b"" and html[11][0] == "u\r\nX: y" and html[3][0] is None
     out = sorted(((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"], r["problem"]) for r in warc.resolved(read).collect()), key=str)
