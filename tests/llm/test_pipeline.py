@@ -41,7 +41,7 @@ def test_stages_equal_brute_force(spark):
     # Repeated passages.
     cut = brute.repeats(list(text["near duplicates"].items()))
     assert set(text["repeated passages"]) == {i for i, (n, gone, _, _) in cut.items() if not n or gone < n}
-    assert all(len(t.encode()) == cut[i][0] - cut[i][1] for i, t in text["repeated passages"].items() if "�" not in t)
+    assert all(0 <= cut[i][0] - cut[i][1] - len(t.encode()) <= 6 * cut[i][2] for i, t in text["repeated passages"].items())  # a cut may split a character at both ends
     # Secrets: none of the base kinds is left, and texts without any stay as they were.
     assert set(text["secrets"]) == set(text["repeated passages"])
     for i, t in text["repeated passages"].items():

@@ -24,9 +24,10 @@ def _documents():
     return rows
 
 
-@pytest.mark.parametrize("crowd", [3, 4096])
-def test_removed_bytes_equal_brute_force(spark, monkeypatch, crowd):
+@pytest.mark.parametrize(("crowd", "bits"), [(3, 27), (4096, 27), (3, 6)])
+def test_removed_bytes_equal_brute_force(spark, monkeypatch, crowd, bits):
     monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+    monkeypatch.setattr(suffix_dedup, "FILTER_BITS", bits)  # with 6 bits places are joined to the texts
     rows = _documents()
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, kept int, got int").repartition(5)
     out = suffix_dedup.remove_repeats(df).withColumn("sha", F.sha2("kept", 256)).collect()
@@ -45,3 +46,21 @@ def test_small_table_equals_brute_force(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     out = suffix_dedup.remove_repeats(rows).withColumn("sha", F.sha2("kept", 256)).collect()
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["sha"]) for r in out} == brute.repeats([tuple(r) for r in rows.collect()])
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    rng = np.random.default_rng(8)
+    word = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    shared, other, long = word(300), word(400), word(250)
+    rows = [(1, shared + word(50)), (2, word(20) + shared), (2, other), (3, long), (3, long + word(60)), (3, long)]
+    out = {r["text"]: r["n_removed"] for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[rows[0][1]] == 0 and out[rows[1][1]] == 300 and out[rows[2][1]] == 0
+    assert sorted([out[rows[3][1]], out[rows[4][1]]]) == [0, 250]  # either text of id 3 may come first
+
+
+def test_split_characters_leave_the_text(spark):
+    rows = [(1, "é" * 60 + "1"), (2, "x" + "é" * 60 + "2"), (3, "aé" * 70), (4, "é" * 3 + "aé" * 70)]
+    for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), width=101).collect():
+        assert "\ufffd" not in r["kept_text"] and set(r["kept_text"]) <= set(r["text"]) and bytes(r["kept"]).decode("utf-8", "ignore") == r["kept_text"]
+    with pytest.raises(ValueError):
+        suffix_dedup.repeated_runs(spark.createDataFrame([], "id long, tie long, text string"), 10)
