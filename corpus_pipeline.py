@@ -34,10 +34,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the bytes of passages that came earlier; documents of which nothing is left go. A character that
-    a cut has split becomes a replacement character."""
+    """Documents without the bytes of passages that came earlier, and without what a cut leaves of a character that it has
+    split; documents of which nothing is left go."""
     out = suffix_dedup.remove_repeats(docs).where("n_bytes = 0 or n_removed < n_bytes")
-    return _with_text(out, F.make_valid_utf8(F.col("kept").cast("string")))
+    return _with_text(out, F.col("kept_text"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
