@@ -8,12 +8,12 @@
 3. Buckets whose members are now in one component are done. In the others, blocks of sketches are compared across
    components (a run of blocks, never a bucket in one task), which leaves clusters of documents that may still be linked.
    Clusters are then checked block by block on full sets, best estimates first; pairs that have become connected by then
-   are skipped. So a group of any size costs about one check a document, and no link between different texts is lost,
+   are skipped. Texts go only to the blocks in which sketches say that they may have a partner. So a group of any size costs about one check a document, and no link between different texts is lost,
    but for those that no band brings together: (1 - s**ROWS)**BANDS, 7e-10 at a similarity s of 0.8.
 
 Edge cases: texts without words (null, empty, blank) have no shingles and link with nothing; a text with fewer words than
 a shingle has one shingle, its whole sequence; texts are taken whole; equal rows are duplicates of each other, and rows of
-the same id count as linked; rows with a null id link with nothing (component null, kept); an empty table gives an empty
+the same id count as linked, whatever their texts; rows with a null id link with nothing (component null, kept); an empty table gives an empty
 result; columns n_shingles, component_id and kept of the input are replaced, other columns stay.
 """
 
@@ -145,6 +145,7 @@ def _needed(docs: DataFrame, id: str, ids: DataFrame) -> DataFrame:
             yield pa.array((shared.value[p >> 6] >> (p & 63)) & 1 == 1)
 
     own = docs.select(F.col(id).cast("long").alias("id"), F.col("text")).where("id is not null")
+    # Beyond some 10**8 ids the bitmap lets most rows through, and the joins drop them.
     return own.where(maybe(F.pmod(F.xxhash64("id"), F.lit(1 << _FILTER_BITS))))
 
 
@@ -253,6 +254,24 @@ def _cluster(most: int):
     return run
 
 
+def _may_link(most: int):
+    """Inside a block pair of a cluster: the documents that have a partner of another component by their sketches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "id", "comp", "sketch", "i", "j", "own"]
+        for rows in _runs(batches, ["key", "i", "j"], names):
+            own, comp = np.array(rows["own"]), np.array(rows["comp"])
+            may = (_estimates(np.array(rows["sketch"]).view(np.uint64)) <= most) & (comp[:, None] != comp[None, :])
+            if rows["i"][0] != rows["j"][0]:
+                may &= own[:, None] != own[None, :]
+            some = np.flatnonzero(may.any(1)).tolist()
+            if some:
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array([rows[n][k] for k in some], kind) for n, kind in zip(names, kinds, strict=True)], names)
+
+    return run
+
+
 def _settle(width: int, percent: int, most: int):
     """Inside a block pair of a cluster: links on full sets across components, best estimates first, until all that can
     be connected is."""
@@ -290,15 +309,38 @@ def _settle(width: int, percent: int, most: int):
     return run
 
 
+def _nodes(rows: DataFrame) -> tuple[DataFrame, DataFrame | None, bool]:
+    """Classes of rows with equal sets: same, rep (smallest id) and node, which is rep, or for all but one class of a rep a
+    hash that is larger than any id; links between nodes of rows that share an id (None: there are none); whether ids repeat."""
+    classes = rows.groupBy("same").agg(F.min("id").alias("rep"))
+    lead = classes.groupBy("rep").agg(F.min("same").alias("lead"), F.count(F.lit(1)).alias("n"))
+    lead = written(lead.where("n > 1").select(F.col("rep").alias("clash"), "lead"), "clashes")
+    if lead.isEmpty():
+        classes = classes.withColumn("node", F.col("rep"))
+    else:
+        hashed = F.shiftright(F.xxhash64("same"), 2).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+        classes = classes.join(lead, classes["rep"] == lead["clash"], "left").withColumn("node", F.when(F.col("lead") != F.col("same"), hashed).otherwise(F.col("rep"))).select("same", "rep", "node")
+    classes = written(classes, "classes")
+    twice = rows.groupBy("id").agg(F.min("same").alias("lo"), F.max("same").alias("hi"), F.count(F.lit(1)).alias("n"))
+    twice = written(twice.where("n > 1").select("id", F.expr("lo <> hi").alias("differ")), "repeated-ids")
+    several = twice.where("differ").select("id")
+    if several.isEmpty():
+        return classes, None, not twice.isEmpty()
+    of = written(rows.join(several, "id").select("id", "same").distinct().join(classes.select("same", "node"), "same").select("id", "node"), "nodes-of-ids")
+    return classes, of.join(of.groupBy("id").agg(F.min("node").alias("b")), "id").where("node <> b").select(F.col("node").alias("a"), "b"), True
+
+
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """doc id, n_shingles, component_id, kept: one row per row of docs."""
     most = most_differing_bits(percent / 100)
-    texts_all = small_batches(docs).select(id, F.col(text).alias("text"))
-    rows = written(_sketched(docs, id, text, width), "sketched")
+    rows = written(_sketched(small_batches(docs), id, text, width), "sketched")
     usable = rows.where("n > 0 and id is not null")
-    classes = usable.groupBy("same").agg(F.min("id").alias("rep"))
-    reps = usable.join(classes.select("same", F.col("rep").alias("id")), ["same", "id"], "left_semi")
-    reps = written(reps.dropDuplicates(["id"]).select("id", "sketch", "bands"), "representatives")
+    classes, shared, repeated = _nodes(usable.select("id", "same"))
+    once = lambda texts: texts.dropDuplicates(["id"]) if repeated else texts
+    # Both sides of this join and of the last are tables, so that Spark can split a set that very many rows have.
+    reps = usable.join(classes.select("same", F.col("rep").alias("id"), "node"), ["same", "id"]).select("node", "sketch", "bands", "same", "id")
+    reps = written(reps.dropDuplicates(["node"]).select(F.col("node").alias("id"), "sketch", "bands", "same", F.col("id").alias("rep")), "representatives")
+    texts_all = _texts(docs, id, text, width, reps) if shared is not None else docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     placed = reps.select("id", F.explode("bands").alias("key"))
     leads = placed.groupBy("key").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "lead")
     members = written(placed.join(leads, "key"), "members")
@@ -306,8 +348,9 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     pairs = members.where("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
     pairs = pairs.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sketch_a")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sketch_b")), "b")
     pairs = written(pairs.where(_differing("sketch_a", "sketch_b") <= most).select("a", "b"), "pairs")
-    texts = _needed(texts_all, id, pairs.select(F.col("a").alias("id")).union(pairs.select("b")))
+    texts = once(_needed(texts_all, "id", pairs.select(F.col("a").alias("id")).union(pairs.select("b"))))
     links = written(_confirm(pairs, texts, width, percent), "confirmed")
+    links = links if shared is None else links.unionByName(shared)
     comps = connected(links)
 
     joined = members.join(comps.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
@@ -318,12 +361,29 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     blocks = spread(_across(open_.join(sketches, "id")))
     clusters = connected(blocks.mapInArrow(_cluster(most), "a long, b long"))
     unsettled = open_.select("id", "comp").distinct().join(clusters.select(F.col("node").alias("comp"), F.col("component").alias("key")), "comp")
-    unsettled = written(unsettled.select("key", "id", "comp").join(sketches, "id"), "unsettled")
-    texts = _needed(texts_all, id, unsettled.select("id")).dropDuplicates(["id"])
-    more = written(spread(_chunked(unsettled.join(texts, "id"), "key")).mapInArrow(_settle(width, percent, most), "a long, b long"), "settled")
+    unsettled = written(unsettled.select("key", "id", "comp").join(sketches, "id").select("key", "id", "comp", "sketch"), "unsettled")
+    open_pairs = spread(_chunked(unsettled, "key")).mapInArrow(_may_link(most), "key long, id long, comp long, sketch array<long>, i int, j int, own int")
+    open_pairs = written(open_pairs, "open-pairs")
+    texts = once(_needed(texts_all, "id", open_pairs.select("id")))
+    more = written(spread(open_pairs.join(texts, "id")).mapInArrow(_settle(width, percent, most), "a long, b long"), "settled")
     final = connected(links.unionByName(more)) if not more.isEmpty() else comps
 
-    of_class = classes.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("same", F.coalesce("component", "rep").alias("component"))
-    out = rows.select("id", "n", "same").join(of_class, "same", "left")
-    component = F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")))
-    return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col(id) == F.col("component_id"), F.lit(True)))
+    of_class = classes.join(final, "node", "left").select("same", F.coalesce("component", "node").alias("component"))
+    out = rows.select("id", "n", "same").where("n > 0 and id is not null").join(written(of_class, "components-of-classes"), "same", "left").select("id", "n", "component")
+    out = out.unionByName(rows.where("not (n > 0 and id is not null)").select("id", "n", F.col("id").alias("component")))
+    return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.col("component").alias("component_id")).withColumn("kept", F.coalesce(F.col(id) == F.col("component_id"), F.lit(True)))
+
+
+def _texts(docs: DataFrame, id: str, text: str, width: int, reps: DataFrame) -> DataFrame:
+    """id (a representative's node) and text, where ids don't tell texts apart."""
+    import xxhash
+
+    @F.arrow_udf("binary")
+    def set_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([xxhash.xxh3_128_digest(shingle_set(t, width).tobytes()) for t in batch.to_pylist()], pa.binary())
+
+    own = docs.select(F.col(id).cast("long").alias("rep"), F.col(text).alias("text")).withColumn("same", set_of("text"))
+    return own.join(reps.select("same", "rep", "id"), ["same", "rep"]).select("id", "text")
+
+

@@ -72,6 +72,14 @@ def test_near_duplicates_of_repeated_and_null_rows(spark):
     assert sorted(out, key=str) == [(1, 1, True), (1, 1, True), (2, 1, False), (None, None, True)]
 
 
+def test_rows_of_one_id_with_different_texts_are_linked(spark):
+    base = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcd"]
+    near = [x + " more" for x in base]
+    rows = [(1, base[0]), (1, base[1]), (2, near[0]), (3, near[1]), (4, base[2]), (5, base[3]), (6, near[2]), (6, near[3]), (7, base[3] + " other words " + base[0])]
+    out = {(r["doc_id"], r["component_id"]) for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()}
+    assert out == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 4), (7, 7)}
+
+
 def test_near_duplicates_on_the_small_table(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     out = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash_dedup.near_duplicates(rows, width=2).collect()}
