@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import pretokens
-from .common import small_batches
+from .common import frugal, small_batches
 
 
 def ranks_path(name: str = "byte_bpe_multi_50k.tiktoken") -> str:
@@ -227,6 +227,7 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, ids: st
     path = path or ranks_path()
 
     @F.arrow_udf("binary")
+    @frugal
     def packed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = _codec(path)[0]
         for batch in batches:
@@ -240,6 +241,7 @@ def decode(rows: DataFrame, ids: str = "ids", out: str = "decoded", path: str |
     path = path or ranks_path()
 
     @F.arrow_udf("binary")
+    @frugal
     def plain(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         _, flat, size, offset = _codec(path)
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, small_batches, written
+from .common import free_name, frugal, small_batches, written
 from .components import connected
 
 AXES = 6
@@ -39,6 +39,7 @@ def _packed(rows: DataFrame, vector: str, key: str) -> DataFrame:
     """rows with the vector's components as packed doubles, null where it can't link."""
 
     @F.arrow_udf("binary")
+    @frugal
     def pack(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             out = []
@@ -68,7 +69,7 @@ def _axes(distinct: DataFrame) -> dict[int, np.ndarray]:
             i, j = np.indices(s.shape)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(s.size, d)), pa.array(i.ravel()), pa.array(j.ravel()), pa.array(s.ravel())], ["d", "i", "j", "s"])
 
-    rows = distinct.select("key").mapInArrow(moments, "d long, i long, j long, s double").groupBy("d", "i", "j").agg(F.sum("s").alias("s")).collect()
+    rows = distinct.select("key").mapInArrow(frugal(moments), "d long, i long, j long, s double").groupBy("d", "i", "j").agg(F.sum("s").alias("s")).collect()
     full: dict[int, np.ndarray] = {}
     for d, i, j, s in rows:
         full.setdefault(d, np.zeros((d + 1, d + 1)))[i, j] = s
@@ -175,6 +176,7 @@ def link_vectors(rows: DataFrame, cosine: float = 0.93, id: str = "vec_id", vect
     axes = rows.sparkSession.sparkContext.broadcast(_axes(distinct))
 
     @F.arrow_udf("array<double>")
+    @frugal
     def project(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             out = []
@@ -190,10 +192,10 @@ def link_vectors(rows: DataFrame, cosine: float = 0.93, id: str = "vec_id", vect
     placed = placed.withColumns({c: F.floor(F.get("at", F.lit(i)) / eps) for i, c in enumerate(cells)})
     order = ["label", "dim", *cells, "id"]
     ordered = placed.repartitionByRange(*order).sortWithinPartitions(*order).select("label", "dim", "id", "at", "key", "n")
-    blocks = written(ordered.mapInArrow(_blocks, "idx long, label string, dim long, lo array<double>, hi array<double>, ids binary, counts binary, vectors binary"), "blocks")
+    blocks = written(ordered.mapInArrow(frugal(_blocks), "idx long, label string, dim long, lo array<double>, hi array<double>, ids binary, counts binary, vectors binary"), "blocks")
     side = lambda s: blocks.select(F.col("label"), F.col("dim"), F.col("idx").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("ids", "counts", "vectors")])
     both = _pairs(blocks, eps).join(side("a"), ["label", "dim", "a"]).join(side("b"), ["label", "dim", "b"]).withColumn("same", F.expr("a = b"))
-    found = written(both.drop("label", "a", "b").mapInArrow(_compare(cosine), "id long, n long, root long"), "found")
+    found = written(both.drop("label", "a", "b").mapInArrow(frugal(_compare(cosine)), "id long, n long, root long"), "found")
     counts = found.groupBy("id").agg(F.sum("n").alias("n_others"))
     comps = connected(found.select(F.col("id").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("id"), "component")
     classes = distinct.select(F.col("label").alias(lab), F.col("key").alias(key), F.col("id"), "n").join(counts, "id", "left").join(comps, "id", "left")

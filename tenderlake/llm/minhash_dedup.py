@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import frugal, small_batches, written
 from .components import connected
 
 BANDS, ROWS = 40, 4
@@ -119,7 +119,7 @@ def _sketched(docs: DataFrame, id: str, text: str, width: int) -> DataFrame:
                 lists = lambda rows, w: pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(rows)), w).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(same, pa.binary()), lists(band, BANDS), lists(sketch, SKETCH_BITS // 64)], ["id", "n", "same", "bands", "sketch"])
 
-    return docs.select(F.col(id).cast("long").alias("id"), text).mapInArrow(run, "id long, n long, same binary, bands array<long>, sketch array<long>")
+    return docs.select(F.col(id).cast("long").alias("id"), text).mapInArrow(frugal(run), "id long, n long, same binary, bands array<long>, sketch array<long>")
 
 
 def _differing(a: str, b: str):
@@ -139,6 +139,7 @@ def _needed(docs: DataFrame, id: str, ids: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     @F.arrow_udf("boolean")
+    @frugal
     def maybe(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for place in batches:
             p = place.to_numpy(zero_copy_only=False)
@@ -170,7 +171,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
 
     left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     both = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(frugal(run), "a long, b long")
 
 
 def _chunked(members: DataFrame, group: str) -> DataFrame:
@@ -359,13 +360,13 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     group = ["key", "i", "j"]
     spread = lambda df: df.repartition(*group).sortWithinPartitions(*group)
     blocks = spread(_across(open_.join(sketches, "id")))
-    clusters = connected(blocks.mapInArrow(_cluster(most), "a long, b long"))
+    clusters = connected(blocks.mapInArrow(frugal(_cluster(most)), "a long, b long"))
     unsettled = open_.select("id", "comp").distinct().join(clusters.select(F.col("node").alias("comp"), F.col("component").alias("key")), "comp")
     unsettled = written(unsettled.select("key", "id", "comp").join(sketches, "id").select("key", "id", "comp", "sketch"), "unsettled")
-    open_pairs = spread(_chunked(unsettled, "key")).mapInArrow(_may_link(most), "key long, id long, comp long, sketch array<long>, i int, j int, own int")
+    open_pairs = spread(_chunked(unsettled, "key")).mapInArrow(frugal(_may_link(most)), "key long, id long, comp long, sketch array<long>, i int, j int, own int")
     open_pairs = written(open_pairs, "open-pairs")
     texts = once(_needed(texts_all, "id", open_pairs.select("id")))
-    more = written(spread(open_pairs.join(texts, "id")).mapInArrow(_settle(width, percent, most), "a long, b long"), "settled")
+    more = written(spread(open_pairs.join(texts, "id")).mapInArrow(frugal(_settle(width, percent, most)), "a long, b long"), "settled")
     final = connected(links.unionByName(more)) if not more.isEmpty() else comps
 
     of_class = classes.join(final, "node", "left").select("same", F.coalesce("component", "node").alias("component"))
@@ -379,6 +380,7 @@ def _texts(docs: DataFrame, id: str, text: str, width: int, reps: DataFrame) ->
     import xxhash
 
     @F.arrow_udf("binary")
+    @frugal
     def set_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             yield pa.array([xxhash.xxh3_128_digest(shingle_set(t, width).tobytes()) for t in batch.to_pylist()], pa.binary())

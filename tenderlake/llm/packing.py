@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import pretokens
-from .common import free_name, small_batches, written
+from .common import free_name, frugal, small_batches, written
 
 CAPACITY = 2048
 _loaded: dict = {}
@@ -98,7 +98,7 @@ def token_pieces(docs: DataFrame, text: str = "text", path: str | None = None, c
             if out[0]:
                 yield flush(out)
 
-    return small_batches(docs).select(*names, text).mapInArrow(run, schema)
+    return small_batches(docs).select(*names, text).mapInArrow(frugal(run), schema)
 
 
 def patterns(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, free_name, small_batches, written
+from .common import forget, free_name, frugal, small_batches, written
 from .pretokens import _mix
 
 WIDTH = 100
@@ -171,7 +171,7 @@ def _pick(docs: DataFrame, rows: DataFrame, columns: list[str], places: DataFram
             np.bitwise_or.at(value, place, np.uint64(1) << (at & 63).astype(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(value.view(np.int64))], ["word", "bits"])
 
-    words = rows.select(*columns).mapInArrow(bits, "word long, bits long").groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
+    words = rows.select(*columns).mapInArrow(frugal(bits), "word long, bits long").groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
     out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
     out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
     return docs, rows.sparkSession.sparkContext.broadcast(out)
@@ -328,11 +328,11 @@ def repeated_runs(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(np.minimum(n, 2))], ["gram", "n"])
 
     docs = docs.select("id", "tie", "text")
-    twice = docs.mapInArrow(grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1")
+    twice = docs.mapInArrow(frugal(grams), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1")
     twice = written(twice.select("gram"), "grams")
-    places = docs.mapInArrow(_anchor_rows(width), "gram long, id long, tie long, at long").join(twice, "gram", "left_semi")
+    places = docs.mapInArrow(frugal(_anchor_rows(width)), "gram long, id long, tie long, at long").join(twice, "gram", "left_semi")
     some, shared = _pick(docs, twice, ["gram"], places)
-    found = written(some.mapInArrow(_contexts(width, shared), "gram long, id long, tie long, at long, left long, size long, c1 long, c2 long"), "contexts")
+    found = written(some.mapInArrow(frugal(_contexts(width, shared)), "gram long, id long, tie long, at long, left long, size long, c1 long, c2 long"), "contexts")
     classes = found.groupBy("gram", "c1", "c2").agg(F.min(F.struct("id", "tie", "at")).alias("first"), F.count(F.lit(1)).alias("n"))
     classes = written(classes, "classes")
     again = found.join(classes.where("n > 1"), ["gram", "c1", "c2"]).where(F.struct("id", "tie", "at") != F.col("first"))
@@ -342,7 +342,7 @@ def repeated_runs(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     some, first = _pick(docs, firsts, ["id", "tie", "at"])
     forget(found, classes)
     # A bitmap may let other occurrences through; they do no harm, as their strings are repeats.
-    rows = written(some.mapInArrow(_contexts(width, shared, first, True), "gram long, id long, tie long, at long, left long, size long, bytes binary"), "firsts")
+    rows = written(some.mapInArrow(frugal(_contexts(width, shared, first, True)), "gram long, id long, tie long, at long, left long, size long, bytes binary"), "firsts")
     forget(firsts, twice)
     level = rows.select("gram", "id", "tie", "at", "left", "bytes", F.lit(0).cast("long").alias("least"), F.lit(width - GRAM).cast("long").alias("most"))
     order = ["id", "tie", "left", "at", "least", "most"]
@@ -351,10 +351,10 @@ def repeated_runs(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         crowded = written(crowded, "crowded")
         more = not crowded.isEmpty()
         calm = level.join(crowded, "gram", "left_anti") if more else level
-        runs = runs.unionByName(calm.select("gram", "id", "tie", "left", "bytes").repartition("gram").sortWithinPartitions("gram").mapInArrow(_repeats(width), "id long, tie long, start long, stop long"))
+        runs = runs.unionByName(calm.select("gram", "id", "tie", "left", "bytes").repartition("gram").sortWithinPartitions("gram").mapInArrow(frugal(_repeats(width)), "id long, tie long, start long, stop long"))
         if not more:
             return runs
-        halves = written(level.join(crowded, "gram", "left_semi").mapInArrow(_halves(width), "gram long, id long, tie long, at long, left long, bytes binary, least long, most long"), "halves")
+        halves = written(level.join(crowded, "gram", "left_semi").mapInArrow(frugal(_halves(width)), "gram long, id long, tie long, at long, left long, bytes binary, least long, most long"), "halves")
         # Both sides of the join are tables, so that Spark can split a string with very many places.
         heads = written(halves.groupBy("gram", "bytes").agg(F.min(F.struct(*order)).alias("first")), "level")
         rest = halves.join(heads, ["gram", "bytes"]).where(F.struct(*order) != F.col("first"))
@@ -374,6 +374,7 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", widt
     by_doc = runs.groupBy(F.col("id").alias("_id"), F.col("tie").alias("_tie")).agg(F.array_sort(F.collect_set("run")).alias("_runs"))
 
     @F.arrow_udf("struct<kept:binary,kept_text:string,n_bytes:long,n_removed:long,n_spans:long>")
+    @frugal
     def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, runs in batches:
             out = []

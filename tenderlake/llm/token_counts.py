@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import pretokens
-from .common import small_batches
+from .common import frugal, small_batches
 
 HOT = 1 << 16  # entries of the broadcast table: 10 bytes each, so at most 0.7 MB
 PER_TASK = 1 << 13  # entries of a task's summary
@@ -97,7 +97,7 @@ def frequent_pretokens(docs: DataFrame, path: str, text: str = "text") -> tuple[
     """Hashes and token counts of at most HOT frequent pre-tokens. Every task reads all its texts and hands on at most
     PER_TASK rows, which are summed by hash; the occurrences themselves are never shuffled. Which pre-tokens are in the
     table changes the speed only, never a count."""
-    spread = docs.select(text).mapInArrow(_summaries(path, text), "hash long, tokens long, seen long")
+    spread = docs.select(text).mapInArrow(frugal(_summaries(path, text)), "hash long, tokens long, seen long")
     top = spread.groupBy("hash").agg(F.first("tokens").alias("tokens"), F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "hash").limit(HOT)
     rows = top.select("hash", "tokens").toArrow()
     return rows.column("hash").to_numpy().view(np.uint64), rows.column("tokens").to_numpy().astype(np.uint16)
@@ -109,6 +109,7 @@ def count_tokens(docs: DataFrame, text: str = "text", path: str | None = None, l
     table = docs.sparkSession.sparkContext.broadcast(frequent_pretokens(docs, path, text))
 
     @F.arrow_udf("long")
+    @frugal
     def tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder, (keys, sizes) = _encoder(path), table.value
         hot = pretokens.HashTable(max(1, len(keys)))

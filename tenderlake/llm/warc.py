@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, small_batches, written
+from .common import frugal, new_path, small_batches, written
 
 LEAST = 100
 SEGMENT = 32 << 10
@@ -120,7 +120,7 @@ def write(pages: DataFrame, path: str | None = None, id: str = "page_id", url: s
     revisits = ids.join(written(firsts, "firsts"), "digest").where(~F.col("id").eqNullSafe(F.col("least_id"))).select("name", "first")
     revisits = written(revisits.groupBy("name").agg(F.first("first").alias("first")), "revisits")
     known = rows.join(revisits, "name", "left")
-    records = known.select("name", "url", F.when(F.col("first").isNull(), F.col("html")).alias("html"), "digest", "first").mapInArrow(_records(segment), "value string")
+    records = known.select("name", "url", F.when(F.col("first").isNull(), F.col("html")).alias("html"), "digest", "first").mapInArrow(frugal(_records(segment)), "value string")
     records.write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", PER_FILE).text(path)
     return path
 
@@ -192,7 +192,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def records(spark: SparkSession, path: str) -> DataFrame:
     """The records of all archives under path, as they are in the files."""
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_parse, _SCHEMA)
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(frugal(_parse), _SCHEMA)
 
 
 def whole(raw: DataFrame) -> DataFrame:
@@ -216,6 +216,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     problem: a row a page."""
 
     @F.arrow_udf("struct<payload:binary,problem:string>")
+    @frugal
     def payload(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             out = []
