@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import any_of
+from .text import any_of, strip
 
 CONTEXT_LIMIT = 8000
 # Patterns of answers and formulas.
@@ -15,7 +15,16 @@ POINTS = r"(?U)(\d+(?:\.\d+)?)\s*分"
 DEFAULT_REASON = "未提供理由。"
 FORMULA_MARK, VARIABLES_MARK, NOTES_MARK = "价格计算公式:", "变量定义:", "计算说明:"
 ANSWER_FORMULAS = [r"投标报价得分\s*[:：]?\s*[=＝][^;\n]*", r"价格分\s*[:：]?\s*[=＝][^;\n]*", r"得分\s*[:：]?\s*[=＝][^;\n]*", r"评标基准价\s*[:：]?\s*[=＝][^;\n]*"]
-STANDARD_FORMULAS = [r"投标报价得分[^\n]*?[=＝][^\n]*", r"价格分[^\n]*?[=＝][^\n]*", r"评标基准价[^\n]*?[=＝][^\n]*", r"基准价[^\n]*?[=＝][^\n]*"]
+STANDARD_FORMULAS = [
+    r"投标报价得分[^\n]*?[=＝][^\n]*",
+    r"价格分[^\n]*?[=＝][^\n]*",
+    r"得分[^\n]*?[=＝][^\n]*?投标.*?价.*?\/.*?投标.*?价.*?[\*×].*?100",
+    r"评标基准价[^\n]*?[=＝][^\n]*",
+    r"基准价[^\n]*?[=＝][^\n]*",
+    r"投标报价得分.*?＝.*?评标基准价.*?／.*?投标报价.*?×.*?价格分值",
+    r"满足招标文件要求且投标报价最低的投标报价为评标基准价，其价格分为满分。其他投标人的价格分统一按照下列公式计算：投标报价得分＝（评标基准价/投标报价）\*40%*100",
+]
+PRICE_LINE = r'"([^"]+)"\s*:\s*([0-9]+\.?[0-9]*)'
 FORMULA_WORDS = ["评标基准价", "投标报价", "价格分", "得分", "满分", "最低"]
 
 
@@ -46,24 +55,23 @@ def parse_score_answer(response: Column, max_score: Column) -> Column:
 
 def parse_price_answer(response: Column) -> Column:
     """map(bidder, score) of the first reading that works: the whole text as an object (even an empty one), objects in it,
-    lines "name": number. Values that are no numbers are left out."""
+    the first "name": number of each line. Values that are no numbers are left out."""
     number = lambda m: F.map_filter(F.transform_values(m, lambda k, v: v.try_cast("double")), lambda k, v: v.isNotNull())
     whole = F.when(F.try_parse_json(response).isNotNull() & response.rlike(r"^\s*\{"), F.from_json(response, "map<string,string>"))
     objects = F.transform(F.regexp_extract_all(response, F.lit(r"(\{[^}]+\})"), F.lit(1)), lambda x: number(F.coalesce(F.from_json(x, "map<string,string>"), F.create_map().cast("map<string,string>"))))
     merged = F.aggregate(objects, F.create_map().cast("map<string,double>"), lambda acc, m: F.map_from_entries(F.concat(F.map_entries(F.map_filter(acc, lambda k, v: ~F.map_contains_key(m, k))), F.map_entries(m))))
-    pattern = r'"([^"\n]+)"\s*[:：]\s*(\d+(?:\.\d+)?)'
-    names, values = F.regexp_extract_all(response, F.lit(pattern), F.lit(1)), F.regexp_extract_all(response, F.lit(pattern), F.lit(2))
-    pairs = F.arrays_zip(names.alias("n"), values.alias("v"))
+    said = lambda x: F.struct(F.regexp_extract(x, PRICE_LINE, 1).alias("n"), F.regexp_extract(x, PRICE_LINE, 2).alias("v"))
+    pairs = F.filter(F.transform(F.split(strip(response), "\n"), said), lambda p: p["v"] != "")
     lines = F.aggregate(pairs, F.create_map().cast("map<string,double>"), lambda acc, p: F.map_from_entries(F.concat(F.map_entries(F.map_filter(acc, lambda k, v: k != p["n"])), F.array(F.struct(p["n"].alias("key"), p["v"].try_cast("double").alias("value"))))))
     return F.coalesce(F.when(whole.isNotNull(), number(whole)), F.when(F.size(merged) > 0, merged), lines)
 
 
 def parse_formula(text: Column) -> Column:
     """struct(formula, definition, explanation, benchmark, full_score) of a described price formula."""
-    after = lambda mark: F.nullif(F.trim(F.regexp_extract(text, f"{mark}([^\n]*)", 1)), F.lit(""))
+    after = lambda mark: F.nullif(strip(F.regexp_extract(text, f"{mark}([^\n]*)", 1)), F.lit(""))
     lines = F.split(text, "\n")
     plain = F.get(F.filter(lines, lambda x: x.contains("=") | (x.contains("/") & x.rlike("[×*]"))), F.lit(0))
-    formula = F.when(text.contains(FORMULA_MARK), F.coalesce(after(FORMULA_MARK), text)).otherwise(F.coalesce(F.when(text.contains(":"), F.trim(plain)), text))
+    formula = F.when(text.contains(FORMULA_MARK), F.coalesce(after(FORMULA_MARK), text)).otherwise(F.coalesce(F.when(text.contains(":"), strip(plain)), text))
     benchmark = F.when(any_of(text, ["评标基准价", "基准价"]), F.lit("基准价"))
     full = F.coalesce(F.regexp_extract(text, POINTS, 1).try_cast("double"), F.regexp_extract(text, r"(?U)满分\s*(\d+(?:\.\d+)?)", 1).try_cast("double"))
     return F.struct(formula.alias("formula"), after(VARIABLES_MARK).alias("definition"), after(NOTES_MARK).alias("explanation"), benchmark.alias("benchmark"), full.alias("full_score"))
@@ -72,7 +80,7 @@ def parse_formula(text: Column) -> Column:
 def formula_from_answer(text: Column) -> Column:
     """First line after the mark, else the first formula, else the first 200 characters."""
     marked = F.substring_index(F.regexp_extract(text, f"(?s){FORMULA_MARK}\\s*(.*)", 1), "\n", 1)
-    return F.when(F.length(F.coalesce(text, F.lit(""))) == 0, "").when(text.contains(FORMULA_MARK), F.trim(marked)).otherwise(F.coalesce(_first(text, ANSWER_FORMULAS), F.substring(text, 1, 200)))
+    return F.when(F.length(F.coalesce(text, F.lit(""))) == 0, "").when(text.contains(FORMULA_MARK), strip(marked)).otherwise(F.coalesce(_first(text, ANSWER_FORMULAS), F.substring(text, 1, 200)))
 
 
 def formula_from_standard(text: Column) -> Column:

@@ -20,6 +20,11 @@ def round_half_up(x: Column, digits: int = 2) -> Column:
     return F.round(x.cast("decimal(28,6)"), digits).cast("double")
 
 
+def plain_number(x: Column) -> Column:
+    """A double as text without exponent or thousands marks, with one decimal at least."""
+    return F.call_function("format_number", x.cast("double"), F.lit("#0.0###############"))
+
+
 def str_to_float(text: Column) -> Column:
     """A number with thousands commas; null if it isn't one."""
     return F.replace(text, F.lit(","), F.lit("")).try_cast("double")

@@ -19,9 +19,15 @@ UPDATE_WORDS = ["公司", "有限", "股份", "集团", "厂", "院", "所", "
 BRACKETS = "[\\]()（）【】〔〕\\[]"
 NAME_CHARACTERS = "[一-龥A-Za-z0-9·．.（）()有限公司集团股份]"
 PRICE_RULE_WORDS = {"rows": ["价格", "报价", "投标报价", "金额", "费用"], "text": ["价格", "报价", "单价", "金额", "基准价"], "scores": ["价格", "price", "报价"]}
+STRIPPED = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 SCORE_PATTERNS = [r"(?U)(\d+(?:\.\d+)?)\s*分", r"(?U)\((\d+(?:\.\d+)?)\s*分\)", r"(?U)满分\s*(\d+(?:\.\d+)?)"]
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, STRIPPED, "")
+
+
 def any_of(text: Column, words: Sequence[str]) -> Column:
     """Whether text contains one of the words (false for null)."""
     found = F.lit(False)
@@ -35,8 +41,7 @@ def clean_page_text(text: Column) -> Column:
     t = F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n|\r| | ", "\n")
     t = F.translate(t, *PAGE_PUNCTUATION)
     t = F.regexp_replace(F.regexp_replace(t, "\n+", "\n"), " +", " ")
-    lines = F.array_join(F.transform(F.split(t, "\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), "\n")
-    return F.regexp_replace(lines, r"(?U)^\s+|\s+$", "")
+    return strip(F.array_join(F.transform(F.split(t, "\n"), strip), "\n"))
 
 
 def clean_cell_text(text: Column) -> Column:
@@ -53,12 +58,11 @@ def clean_criteria_name(text: Column) -> Column:
     t = squeeze_text(text)
     t = F.regexp_replace(t, r"(?U)^[（(]*\d+[.-]?\d*[）)]*\s*", "")
     t = F.regexp_replace(t, r"(?U)\s*[（(]*\d+分?[）)]*$", "")
-    return F.trim(F.regexp_replace(t, f"[{CRITERIA_MARKS}]", ""))
+    return strip(F.regexp_replace(t, f"[{CRITERIA_MARKS}]", ""))
 
 
 def filter_bidder_name(text: Column, stop_phrases: Sequence[str] = STOP_PHRASES, suffixes: Sequence[str] = NAME_SUFFIXES) -> Column:
     """The name before the first stop phrase (phrases in order), without brackets and one stamp word at its end."""
-    strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
     t = strip(F.regexp_replace(strip(F.coalesce(text, F.lit(""))), "^[:：]+", ""))
     for phrase in stop_phrases:
         t = strip(F.substring_index(t, phrase, 1))
@@ -82,7 +86,7 @@ def garbled_name(name: Column, allowed: str = NAME_CHARACTERS) -> Column:
 
 def name_update_reason(name: Column, words: Sequence[str] = UPDATE_WORDS) -> Column:
     """Null if a new name may be stored, else why not."""
-    t = F.trim(F.coalesce(name, F.lit("")))
+    t = strip(F.coalesce(name, F.lit("")))
     return F.when(F.length(t) < 2, "名称过短").when(~any_of(t, words), "名称缺少公司关键词")
 
 
@@ -103,7 +107,7 @@ def score_in_text(text: Column, patterns: Sequence[str] = SCORE_PATTERNS) -> Col
 
 def row_to_rule_text(cells: Column) -> Column:
     """Non-blank cells, trimmed, joined by blanks."""
-    return F.array_join(F.filter(F.transform(cells, lambda c: F.trim(F.coalesce(c, F.lit("")))), lambda c: c != ""), " ")
+    return F.array_join(F.filter(F.transform(cells, lambda c: strip(F.coalesce(c, F.lit("")))), lambda c: c != ""), " ")
 
 
 def count_word(text: Column, word: str) -> Column:

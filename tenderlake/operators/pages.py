@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import any_of, count_word
+from ..functions.text import any_of, count_word, strip
 
 # Words by which pages are told.
 SECTIONS = {"summary": ["投标一览表", "开标一览表", "价格一览表"], "price_part": ["价格文件", "报价部分"], "bond": ["一览表", "保证金", "保函"], "name_anchor": ["授权委托书", "法定代表人授权书", "投标一览表", "投标报价一览表", "开标一览表", "投标函", "资格审查", "制造商名称"]}
@@ -20,10 +20,15 @@ def tag_sections(pages: DataFrame, sections: dict[str, Sequence[str]] = SECTIONS
     return pages.withColumns({tag: any_of(F.col("text"), words) for tag, words in sections.items()})
 
 
-def count_keywords(pages: DataFrame, evaluation: Sequence[str] = EVALUATION_WORDS, words: Sequence[str] = COUNTED_WORDS) -> DataFrame:
-    """Pages that mention an evaluation word: text length and one count for each word (n_0, n_1, ...)."""
+def count_keywords(pages: DataFrame, evaluation: Sequence[str] = EVALUATION_WORDS, words: Sequence[str] = COUNTED_WORDS, fragments: DataFrame | None = None) -> DataFrame:
+    """Pages that mention an evaluation word: text length, one count for each word (n_0, n_1, ...) and, where the table
+    fragments (doc_id, page) are given, has_tables."""
     counts = [count_word(F.col("text"), w).alias(f"n_{i}") for i, w in enumerate(words)]
-    return pages.where(any_of(F.col("text"), evaluation)).select("doc_id", "page_no", F.length("text").alias("text_length"), *counts)
+    out = pages.where(any_of(F.col("text"), evaluation)).select("doc_id", "page_no", F.length("text").alias("text_length"), *counts)
+    if fragments is None:
+        return out
+    with_tables = fragments.select("doc_id", F.col("page").alias("page_no")).distinct().withColumn("has_tables", F.lit(True))
+    return out.join(with_tables, ["doc_id", "page_no"], "left").withColumn("has_tables", F.coalesce("has_tables", F.lit(False)))
 
 
 def keyword_page_summary(pages: DataFrame, evaluation: Sequence[str] = EVALUATION_WORDS) -> DataFrame:
@@ -34,7 +39,7 @@ def keyword_page_summary(pages: DataFrame, evaluation: Sequence[str] = EVALUATIO
 
 def page_quality(pages: DataFrame, prior_failures: DataFrame, short: int = 20, scanned: int = 100) -> DataFrame:
     """doc_id, page_no, failed (empty and not recorded before), needs_ocr, doc_chars, doc_scanned."""
-    n = F.length(F.trim(F.coalesce(F.col("text"), F.lit(""))))
+    n = F.length(strip(F.coalesce(F.col("text"), F.lit(""))))
     of_doc = pages.groupBy("doc_id").agg(F.sum(n).alias("doc_chars"))
     known = prior_failures.select("doc_id", "page_no", F.lit(True).alias("known")).distinct()
     out = pages.withColumn("n", n).join(of_doc, "doc_id").join(known, ["doc_id", "page_no"], "left")

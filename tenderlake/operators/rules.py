@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_criteria_name, is_price_rule, name_similarity, score_in_text, squeeze_text
-
+from ..functions.numbers import plain_number
+from ..functions.text import clean_criteria_name, is_price_rule, name_similarity, score_in_text, squeeze_text, strip
 
 
 def _flag() -> Column:
@@ -47,25 +47,37 @@ def parent_max_totals(rules: DataFrame) -> DataFrame:
     return of.unionByName(price).select("project_id", pos.alias("pos"), "parent", "max_score", "children")
 
 
+def _parents(rules: DataFrame, project: str = "project_id") -> tuple[DataFrame, DataFrame]:
+    """Parents of rules that are no price rules (project, parent, m: what they state, sums: their children's sum, null
+    without children, top: m made sums where both differ by more than 0.1), and each project's last price rule (price)."""
+    has = F.nullif("Child_Item_Name", F.lit("")).isNotNull()
+    kids = F.sum(F.when(has, F.coalesce(F.col("Child_max_score"), F.lit(0)).cast("double")))
+    own = rules.where(~_flag()).groupBy(project, F.col("Parent_Item_Name").alias("parent")).agg(F.coalesce(F.max("Parent_max_score"), F.lit(0)).cast("double").alias("m"), kids.alias("sums"))
+    own = own.withColumn("top", F.when(F.abs(F.col("m") - F.col("sums")) > 0.1, F.col("sums")).otherwise(F.col("m")))
+    top = F.coalesce(F.nullif("Child_max_score", F.lit(0)), F.col("Parent_max_score")).cast("double")
+    return own, rules.where(_flag()).groupBy(project).agg(F.max_by(top, "id").alias("price"))
+
+
 def rule_total_check(rules: DataFrame, target: float = 100.0, tolerance: float = 0.1) -> DataFrame:
-    """project_id, total, off (total isn't the target), parents_off (parents whose maximum isn't their children's sum)."""
-    kids = rules.where(~_flag()).groupBy("project_id", "Parent_Item_Name").agg(F.sum(F.coalesce("Child_max_score", F.lit(0))).alias("s"), F.max("Parent_max_score").alias("m"))
-    of = kids.groupBy("project_id").agg(F.sum("s").alias("s"), F.count_if(F.abs(F.col("s") - F.col("m")) > tolerance).alias("parents_off"))
-    price = rules.where(_flag()).groupBy("project_id").agg(F.sum(F.coalesce(F.nullif("Child_max_score", F.lit(0)), F.col("Parent_max_score"))).alias("p"))
-    out = of.join(price, "project_id", "full").withColumn("total", (F.coalesce("s", F.lit(0)) + F.coalesce("p", F.lit(0))).cast("double"))
+    """project_id, total, off (total isn't the target), parents_off (parents whose maximum isn't their children's sum).
+    Parents without children count by their own maximum; of several price rules the last one counts."""
+    own, price = _parents(rules)
+    of = own.groupBy("project_id").agg(F.sum("top").alias("s"), F.count_if(F.abs(F.col("sums") - F.col("m")) > tolerance).alias("parents_off"))
+    out = of.join(price, "project_id", "full").withColumn("total", F.coalesce("s", F.lit(0.0)) + F.coalesce("price", F.lit(0.0)))
     return out.select("project_id", "total", (F.abs(F.col("total") - target) > tolerance).alias("off"), F.coalesce("parents_off", F.lit(0)).alias("parents_off"))
 
 
 def normalise_to_100(rules: DataFrame) -> DataFrame:
-    """Parent maxima made their children's sums; where the total isn't 100 and the price rule has more than 30, the other
-    rules are scaled to 100 less the price rule's maximum. Adds parent_max and child_max (doubles)."""
-    own, project = Window.partitionBy("project_id", "Parent_Item_Name"), Window.partitionBy("project_id")
-    child = F.coalesce(F.col("Child_max_score"), F.lit(0)).cast("double")
-    rows = rules.withColumn("child_max", F.when(~_flag(), child)).withColumn("price_max", F.when(_flag(), F.coalesce(F.nullif("Child_max_score", F.lit(0)), F.col("Parent_max_score")).cast("double")))
-    rows = rows.withColumn("sums", F.sum("child_max").over(own)).withColumn("price", F.coalesce(F.sum("price_max").over(project), F.lit(0.0))).withColumn("others", F.sum("child_max").over(project))
-    parent = F.when(F.abs(F.col("sums") - F.coalesce(F.col("Parent_max_score"), F.lit(0))) > 0.1, F.col("sums")).otherwise(F.col("Parent_max_score").cast("double"))
+    """Parents' maxima made their children's sums (those without children keep theirs); where the total isn't 100 and the
+    last price rule has more than 30, the other rules are scaled to 100 less its maximum. Adds parent_max and child_max."""
+    own, price = _parents(rules)
+    of = own.groupBy("project_id").agg(F.sum("top").alias("others")).join(price, "project_id", "left").withColumn("price", F.coalesce("price", F.lit(0.0)))
     scale = F.when((F.abs(F.col("others") + F.col("price") - 100) > 0.1) & (F.col("price") > 30) & (F.col("others") > 0), (100 - F.col("price")) / F.col("others")).otherwise(1.0)
-    return rows.withColumns({"parent_max": F.when(_flag(), F.col("price_max")).otherwise(parent * scale), "child_max": F.col("child_max") * scale}).select(*rules.columns, "parent_max", "child_max")
+    tops = own.join(of.select("project_id", scale.alias("scale")), "project_id").select(F.col("project_id").alias("_project"), "parent", F.col("top") * F.col("scale"), "scale").toDF("_project", "parent", "_top", "_scale")
+    rows = rules.join(tops, ~_flag() & (F.col("project_id") == F.col("_project")) & F.col("Parent_Item_Name").eqNullSafe(F.col("parent")), "left")
+    stated = F.coalesce(F.nullif("Child_max_score", F.lit(0)), F.col("Parent_max_score")).cast("double")
+    child = F.when(F.nullif("Child_Item_Name", F.lit("")).isNotNull(), F.coalesce("Child_max_score", F.lit(0)).cast("double") * F.col("_scale"))
+    return rows.withColumns({"parent_max": F.when(_flag(), stated).otherwise(F.col("_top")), "child_max": F.when(~_flag(), child)}).select(*rules.columns, "parent_max", "child_max")
 
 
 # The rules a project gets that has none.
@@ -84,13 +96,25 @@ def standard_rules(rules: DataFrame) -> DataFrame:
     return rules.where(~_flag()).select("project_id", F.coalesce(F.nullif("Child_Item_Name", F.lit("")), F.col("Parent_Item_Name")).alias("item"), F.coalesce("Child_max_score", "Parent_max_score").alias("max_score"), "description")
 
 
+# Reasons that no answer gives.
+VETO_REASON, SUM_REASON, PENDING_REASON = "否决项规则，需人工核查是否违反", "分数由子项汇总得出。", "价格分需要等所有投标方分析完成后综合计算。已提取报价: "
+
+
 def veto_and_tree_scores(rules: DataFrame, leaf_scores: DataFrame) -> DataFrame:
-    """project_id, bid_id, name, level, score, leaves: children (a veto rule scores 0), and parents with the sum of theirs."""
-    kids = rules.where(~_flag() & F.col("Child_Item_Name").isNotNull()).select("project_id", F.col("Parent_Item_Name").alias("parent"), F.col("Child_Item_Name").alias("item"), F.coalesce("is_veto", F.lit(False)).alias("veto"))
-    leaves = leaf_scores.join(kids, ["project_id", "item"]).withColumn("score", F.when(F.col("veto"), 0.0).otherwise(F.coalesce("score", F.lit(0.0))))
-    low = leaves.select("project_id", "bid_id", F.col("item").alias("name"), F.lit(2).alias("level"), "score", F.lit(1).cast("long").alias("leaves"))
-    high = leaves.groupBy("project_id", "bid_id", F.coalesce("parent", F.lit("")).alias("name")).agg(F.sum("score").alias("score"), F.count(F.lit(1)).alias("leaves")).withColumn("level", F.lit(1))
-    return low.unionByName(high)
+    """project_id, bid_id, name, level, max_score, score, reason, is_veto, leaves. Leaves (level 2) have their scores out of
+    leaf_scores (project_id, bid_id, item, score and perhaps reason, extracted_price); a veto rule has maximum and score 0
+    and a fixed reason; a price rule has score 0 until prices are compared, and a reason that holds its price. Parents
+    (level 1) have the sum of their leaves, whose number is leaves."""
+    top = F.coalesce(F.nullif("Child_max_score", F.lit(0)), F.col("Parent_max_score")).cast("double")
+    veto = F.coalesce("is_veto", F.lit(False))
+    kids = rules.where(_flag() | F.col("Child_Item_Name").isNotNull()).select("project_id", F.col("Parent_Item_Name").alias("parent"), F.coalesce("Child_Item_Name", "Parent_Item_Name").alias("item"), veto.alias("is_veto"), _flag().alias("price_leaf"), top.alias("max_score"), F.col("Child_Item_Name").isNotNull().alias("is_child"), F.coalesce("Parent_max_score", F.lit(0)).cast("double").alias("parent_max"))
+    text = lambda c, kind: F.col(c) if c in leaf_scores.columns else F.lit(None).cast(kind)
+    leaves = leaf_scores.select("project_id", "bid_id", "item", F.col("score").alias("given"), text("reason", "string").alias("said"), text("extracted_price", "double").alias("extracted_price")).join(kids, ["project_id", "item"])
+    leaves = leaves.withColumn("score", F.when(F.col("is_veto") | F.col("price_leaf"), 0.0).otherwise(F.coalesce("given", F.lit(0.0))))
+    reason = F.when(F.col("is_veto"), VETO_REASON).when(F.col("price_leaf"), F.concat(F.lit(PENDING_REASON), F.coalesce(plain_number(F.col("extracted_price")), F.lit("None")))).otherwise(F.col("said"))
+    low = leaves.select("project_id", "bid_id", F.col("item").alias("name"), F.when(F.col("is_child"), 2).otherwise(1).alias("level"), F.when(F.col("is_veto"), 0.0).otherwise(F.col("max_score")).alias("max_score"), "score", reason.alias("reason"), "is_veto", F.lit(1).cast("long").alias("leaves"))
+    high = leaves.where("is_child").groupBy("project_id", "bid_id", F.coalesce("parent", F.lit("")).alias("name")).agg(F.max("parent_max").alias("max_score"), F.sum("score").alias("score"), F.count(F.lit(1)).alias("leaves"))
+    return low.unionByName(high.withColumns({"level": F.lit(1), "reason": F.lit(SUM_REASON), "is_veto": F.lit(False)}))
 
 
 def flatten_rules(tree: DataFrame, live: bool = True) -> DataFrame:
@@ -114,18 +138,19 @@ def number_rules(rows: DataFrame) -> DataFrame:
     """rows (doc, row_no, project_cell, ...) with parent_no and child_no: a row with a project cell starts a parent, the
     others are its children; rows before the first parent are left out."""
     order = Window.partitionBy("doc").orderBy("row_no")
-    is_parent = F.coalesce(F.trim("project_cell") != "", F.lit(False))
+    is_parent = F.coalesce(strip(F.col("project_cell")) != "", F.lit(False))
     out = rows.withColumn("_p", is_parent).withColumn("parent_no", F.sum(F.col("_p").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).where("parent_no > 0")
     nth = F.sum((~F.col("_p")).cast("int")).over(Window.partitionBy("doc", "parent_no").orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0))
     return out.withColumn("child_no", F.when(~F.col("_p"), nth.cast("int"))).drop("_p")
 
 
-def attach_parent(rules: DataFrame) -> DataFrame:
+def attach_parent(rules: DataFrame, levels: int = 8) -> DataFrame:
     """rules (doc, numbering array<string>) with parent: the numbering of the nearest rule before, in order of numbering,
-    that is less deep (depths 1 and 2)."""
+    that is less deep. Rules deeper than levels hang on the nearest one above that depth."""
     order = Window.partitionBy("doc").orderBy("numbering").rowsBetween(Window.unboundedPreceding, -1)
-    top = F.last(F.when(F.size("numbering") == 1, F.col("numbering")), ignorenulls=True).over(order)
-    return rules.withColumn("parent", F.when(F.size("numbering") > 1, top))
+    depth = F.size("numbering")
+    above = [F.when(F.least(depth, F.lit(levels)) == d, F.last(F.when(depth < d, F.col("numbering")), ignorenulls=True).over(order)) for d in range(2, levels + 1)]
+    return rules.withColumn("parent", F.coalesce(*above))
 
 
 def rules_from_rows(rows: DataFrame) -> DataFrame:
@@ -145,15 +170,16 @@ def rules_from_rows(rows: DataFrame) -> DataFrame:
 LINE_RULES = [r"^\s*([（\(]?\s*(?:价格分|报价分)\s*[）\)]?.*?)[\s（\(]+(\d{1,2}(?:\.\d)?)\s*分[\)）]?", r"([^\n\(]*?[一-龥]+[^\n\)]*?)\s*[\(（]\s*(\d{1,2}(?:\.\d)?)\s*分\s*[\)）]", r"([^\n\(]*?[一-龥]+[^\n\)]*?)\s+(\d{1,2}(?:\.\d)?)\s*分"]
 
 
-def rules_from_text(lines: DataFrame, patterns: list[str] = LINE_RULES, price_words: list[str] | None = None) -> DataFrame:
+def rules_from_text(lines: DataFrame, patterns: list[str] = LINE_RULES, price_words: list[str] | None = None, fold: bool = True) -> DataFrame:
     """Rules in lines (doc, line_no, line): every match of every pattern with a valid score and a name of 3 to 99
-    characters; numbered in order of line, pattern and match."""
+    characters; numbered in order of line, pattern and match. With fold, similar rules of a document become one."""
     every = F.flatten(F.array(*[F.transform(F.arrays_zip(F.regexp_extract_all("line", F.lit(f"(?Ui){p}"), F.lit(1)).alias("a"), F.regexp_extract_all("line", F.lit(f"(?Ui){p}"), F.lit(2)).alias("b")), lambda x: x) for p in patterns]))
     found = lines.select("doc", "line_no", F.posexplode(every).alias("k", "x"))
     d = F.col("x.b").try_cast("double")
     found = found.select("doc", "line_no", "k", clean_criteria_name(F.col("x.a")).alias("criteria_name"), d.alias("max_score")).where((F.length("criteria_name") > 2) & (F.length("criteria_name") < 100) & (F.col("max_score") > 0))
     nth = F.row_number().over(Window.partitionBy("doc").orderBy("line_no", "k"))
-    return found.select("doc", nth.alias("nth"), "criteria_name", "max_score", is_price_rule("text", F.col("criteria_name"), words=price_words).alias("is_price_criteria"))
+    out = found.select("doc", nth.alias("nth"), "criteria_name", "max_score", F.col("criteria_name").alias("description"), is_price_rule("text", F.col("criteria_name"), words=price_words).alias("is_price_criteria"))
+    return out if not fold else out.join(dedupe_similar_rules(out).select("doc", "nth"), ["doc", "nth"], "left_semi")
 
 
 def dedupe_similar_rules(rules: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -189,3 +215,15 @@ def price_rule_from_text(texts: DataFrame, rules: DataFrame) -> DataFrame:
     first = rules.where(_flag()).groupBy("doc").agg(F.min("nth").alias("nth"))
     at = found.join(first, "doc", "left").select("doc", F.coalesce("nth", F.lit(99)).alias("nth"), F.lit("价格分").alias("criteria_name"), F.col("top").alias("max_score"), F.col("said").alias("description"), F.lit(True).alias("is_price_criteria"))
     return rules.join(at.select("doc", "nth"), ["doc", "nth"], "left_anti").unionByName(at.select(*rules.columns))
+
+
+def adjusted_tree(rules: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """rules (doc, parent_no, child_no, criteria_name, max_score, description, is_price_criteria) with parents' maxima and
+    totals as normalise_to_100 makes them. Documents of docs (doc) that have no rule get the default ones."""
+    flat = rules.select(F.col("doc").alias("project_id"), F.struct("parent_no", "child_no").alias("id"), F.col("parent_no").alias("Parent_Item_Name"), F.when(F.col("child_no").isNull(), F.col("max_score")).alias("Parent_max_score"), F.when(F.col("child_no").isNotNull(), F.col("criteria_name")).alias("Child_Item_Name"), F.when(F.col("child_no").isNotNull(), F.col("max_score")).alias("Child_max_score"), "is_price_criteria", F.struct("criteria_name", "description").alias("said"))
+    top = F.when(F.col("id.child_no").isNotNull(), F.col("child_max")).otherwise(F.col("parent_max"))
+    out = normalise_to_100(flat).select(F.col("project_id").alias("doc"), "id.parent_no", "id.child_no", "said.criteria_name", top.alias("max_score"), "said.description", "is_price_criteria")
+    if docs is None:
+        return out
+    missing = default_rules(docs.select(F.col("doc").alias("id")).distinct(), out.select(F.col("doc").alias("project_id")))
+    return out.unionByName(missing.select(F.col("project_id").alias("doc"), F.col("nth").alias("parent_no"), F.lit(None).cast("int").alias("child_no"), F.col("name").alias("criteria_name"), "max_score", "description", "is_price_criteria"))

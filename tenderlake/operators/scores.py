@@ -12,12 +12,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import round_half_up
-from ..functions.text import is_price_rule
+from ..functions.numbers import let, plain_number, round_half_up
+from ..functions.text import PRICE_RULE_WORDS, any_of
 
 ITEM = "Child_Item_Name string, criteria_name string, Parent_Item_Name string, max_score double, score string, reason string, is_price_criteria boolean, extracted_price double"
 ITEMS = f"array<struct<{ITEM.replace(' string', ': string').replace(' double', ': double').replace(' boolean', ': boolean')}, children: array<struct<{ITEM.replace(' string', ': string').replace(' double', ': double').replace(' boolean', ': boolean')}>>>>"
 PRICE_ITEM = "价格"
+PRICED = "array<struct<score: string, is_price_criteria: boolean, extracted_price: double>>"
+DEPTH = 8  # levels of children that are followed in a tree of scores
+# What a recalculated price score is explained by, and a price score with and without a price.
+NEW_REASON, PRICE_REASON, NO_PRICE_REASON = "根据评标规则重新计算的价格分: ", "根据价格评分规则计算得出。提取到的报价为: ", "未提取到有效报价，价格分设为0"
 
 
 def score_items(results: DataFrame) -> DataFrame:
@@ -36,10 +40,12 @@ def bid_prices(results: DataFrame) -> DataFrame:
     """project_id, bidder_name, price: a price item's price in the list first, else extracted_price; of a bidder's rows the
     last (by id) with a price."""
     text = F.col("detailed_scores")
-    items = F.filter(F.when(text.rlike(r"^\s*\["), F.from_json(text, ITEMS)), lambda x: F.coalesce(x["is_price_criteria"], F.lit(False)))
+    items = F.filter(F.when(text.rlike(r"^\s*\["), F.from_json(text, PRICED)), lambda x: F.coalesce(x["is_price_criteria"], F.lit(False)))
     of_item = F.get(F.transform(items, lambda x: F.coalesce(x["extracted_price"], x["score"].try_cast("double"))), F.lit(0))
-    priced = results.withColumn("price", F.coalesce(of_item, F.col("extracted_price"))).where("price is not null")
-    return priced.groupBy("project_id", "bidder_name").agg(F.max_by("price", "id").alias("price"))
+    priced = results.select("project_id", "bidder_name", "id", F.coalesce(of_item, F.col("extracted_price")).alias("price"))
+    # Rows without a price come last in order, so that the JSON text is read once and not for a filter too.
+    last = F.max_by("price", F.struct(F.col("price").isNotNull(), F.col("id")))
+    return priced.groupBy("project_id", "bidder_name").agg(last.alias("price")).where("price is not null")
 
 
 def lowest_price(prices: DataFrame) -> DataFrame:
@@ -76,9 +82,11 @@ def price_scores(results: DataFrame, rules: DataFrame, answers: DataFrame | None
 
 
 def paired_price_score(prices: DataFrame, tops: DataFrame) -> DataFrame:
-    """Price scores only where a project has two priced bids or more, else 0."""
-    alone = F.count("price").over(Window.partitionBy("project_id")) < 2
-    return score_prices(prices, tops).withColumn("price_score", F.when(alone, 0.0).otherwise(F.col("price_score")))
+    """Price scores, with their reason, only where a project has two priced bids or more, else 0; 0 without a price."""
+    n = prices.groupBy("project_id").agg(F.count("price").alias("_n"))
+    out = score_prices(prices, tops).join(n, "project_id").withColumn("price_score", F.when(F.col("_n") < 2, 0.0).otherwise(F.col("price_score"))).drop("_n")
+    reason = F.when(F.col("price").isNull(), NO_PRICE_REASON).otherwise(F.concat(F.lit(PRICE_REASON), plain_number(F.col("price"))))
+    return out.withColumn("reason", reason)
 
 
 def other_scores_total(results: DataFrame, price_word: str = PRICE_ITEM) -> DataFrame:
@@ -87,14 +95,35 @@ def other_scores_total(results: DataFrame, price_word: str = PRICE_ITEM) -> Data
     return results.select("id").join(items.groupBy("id").agg(F.sum("score").alias("s")), "id", "left").select("id", F.coalesce("s", F.lit(0.0)).alias("other_total"))
 
 
+def _items(tree: Column) -> Column:
+    return F.try_variant_get(tree, "$", "array<variant>")
+
+
+def _field(item: Column, name: str, kind: str) -> Column:
+    return F.try_variant_get(item, f"$.{name}", kind)
+
+
+def _is_price_item(item: Column) -> Column:
+    return any_of(F.lower(_field(item, "criteria_name", "string")), PRICE_RULE_WORDS["scores"]) | F.coalesce(_field(item, "is_price_criteria", "boolean"), F.lit(False))
+
+
+def _price_score(items: Column, depth: int = DEPTH) -> Column:
+    """The first price item's score, else the first score but 0 below an item; null if there is none."""
+    below = lambda x: F.nullif(_price_score(_field(x, "children", "array<variant>"), depth - 1), F.lit(0.0)) if depth > 1 else F.lit(None).cast("double")
+    own = lambda x: F.coalesce(F.when(_is_price_item(x), _field(x, "score", "double")), below(x))
+    return F.get(F.array_compact(F.transform(items, own)), F.lit(0))
+
+
 def find_price_score(results: DataFrame) -> DataFrame:
-    """id, found_score: the first price item's score, depth first; a child counts if its score isn't 0; none is 0."""
-    item = lambda x: is_price_rule("scores", F.coalesce(x["criteria_name"], x["Child_Item_Name"]), flag=x["is_price_criteria"])
-    number = lambda x: F.coalesce(x["score"].try_cast("double"), F.lit(0.0))
-    children = lambda x: F.transform(F.filter(F.coalesce(x["children"], F.array().cast(ITEMS.replace(ITEMS, "array<struct<" + ITEMS.split("children: array<struct<")[1][:-2]))), lambda c: item(c) & (number(c) != 0)), number)
-    tree = F.from_json("detailed_scores", ITEMS)
-    found = F.flatten(F.transform(tree, lambda x: F.when(item(x), F.array(number(x))).otherwise(children(x))))
-    return results.select("id", F.coalesce(F.get(found, F.lit(0)), F.lit(0.0)).alias("found_score"))
+    """id, found_score: in a list the first price item's score, depth first, where what is found below an item counts if it
+    isn't 0; in a map the first number, or object with a score, under a key that names a price; none is 0."""
+    text = F.col("detailed_scores")
+    listed = _price_score(_items(F.try_parse_json(text)))
+    pairs = F.map_entries(F.when(text.rlike(r"^\s*\{"), F.from_json(text, "map<string,variant>")))
+    value = lambda v: F.coalesce(F.when(~F.schema_of_variant(v).startswith("STRING"), F.try_variant_get(v, "$", "double")), _field(v, "score", "double"))
+    named = lambda k: any_of(k, [PRICE_ITEM]) | any_of(F.lower(k), ["price"])
+    mapped = F.get(F.array_compact(F.transform(F.filter(pairs, lambda x: named(x["key"])), lambda x: value(x["value"]))), F.lit(0))
+    return results.select("id", F.coalesce(listed, mapped, F.lit(0.0)).alias("found_score"))
 
 
 def first_per_bidder(results: DataFrame) -> DataFrame:
@@ -187,15 +216,33 @@ def partial_results(results: DataFrame, n: int = 5) -> DataFrame:
     return results.select("id", F.to_json(short).alias("partial"))
 
 
+def _with_price(item: Column, new: Column, depth: int = DEPTH) -> Column:
+    """A score item (variant) with the new price score, if it is a price item, and its children likewise."""
+    said = {"score": new.cast("variant"), "reason": F.concat(F.lit(NEW_REASON), plain_number(new)).cast("variant"), "is_price_criteria": F.lit(True).cast("variant")}
+    put = F.create_map(*[x for k, v in said.items() for x in (F.lit(k), v)])
+
+    def changed(fields: Column) -> Column:
+        out = F.when(_is_price_item(item), F.map_concat(F.map_filter(fields, lambda k, v: ~k.isin(*said)), put)).otherwise(fields)
+        if depth > 1:
+            kids = _field(item, "children", "array<variant>")
+            below = F.create_map(F.lit("children"), F.to_variant_object(F.transform(kids, lambda x: _with_price(x, new, depth - 1))))
+            out = let(out, lambda m: F.when(F.size(kids) > 0, F.map_concat(F.map_filter(m, lambda k, v: k != "children"), below)).otherwise(m))
+        return F.to_variant_object(out)
+
+    fields = F.try_variant_get(item, "$", "map<string,variant>")
+    return F.when(fields.isNull(), item).otherwise(let(fields, changed))
+
+
 def update_price_in_scores(results: DataFrame, scored: DataFrame) -> DataFrame:
-    """results whose price items in detailed_scores (list or map) have the bidder's new price score."""
+    """results whose price items in detailed_scores have the bidder's new price score: in a list the items named or flagged
+    as prices at any depth up to DEPTH, with reason and flag; in a map the values under keys that name a price. Everything
+    else stays as it is (fields of objects come in order of name); so do texts that are neither, and bidders without one."""
     new = results.join(scored.select("project_id", "bidder_name", F.col("price_score").alias("_new")), ["project_id", "bidder_name"], "left")
     text = F.col("detailed_scores")
-    is_price = lambda x: is_price_rule("scores", F.coalesce(x["Child_Item_Name"], x["criteria_name"]), flag=x["is_price_criteria"])
-    put = lambda x: F.when(is_price(x), x.withField("score", F.col("_new").cast("string")).withField("is_price_criteria", F.lit(True))).otherwise(x)
-    listed = F.to_json(F.transform(F.from_json(text, ITEMS), put))
-    mapped = F.to_json(F.transform_values(F.from_json(text, "map<string,string>"), lambda k, v: F.when(k.contains(PRICE_ITEM), F.col("_new").cast("string")).otherwise(v)))
-    out = F.when(F.col("_new").isNull(), text).when(text.rlike(r"^\s*\["), listed).when(text.rlike(r"^\s*\{"), mapped).otherwise(text)
+    tree = F.try_parse_json(text)
+    listed = F.transform(_items(tree), lambda x: _with_price(x, F.col("_new")))
+    mapped = F.transform_values(F.try_variant_get(tree, "$", "map<string,variant>"), lambda k, v: F.when(any_of(k, PRICE_RULE_WORDS["scores"]), F.col("_new").cast("variant")).otherwise(v))
+    out = F.when(F.col("_new").isNull(), text).otherwise(F.coalesce(F.to_json(listed), F.to_json(F.to_variant_object(mapped)), text))
     return new.withColumn("detailed_scores", out).select(*results.columns)
 
 

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_cell_text
+from ..functions.text import clean_cell_text, strip
 
 RULE_HEADERS = ["评价项目", "评价标准"]
 
@@ -18,7 +18,7 @@ RULE_HEADERS = ["评价项目", "评价标准"]
 def header_similarity(a: Column, b: Column) -> Column:
     """Share of places where both are blank, equal, or one holds the other."""
     n = F.greatest(F.size(a), F.size(b))
-    t = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    t = lambda c: strip(F.coalesce(c, F.lit("")))
     alike = F.zip_with(a, b, lambda x, y: (t(x) == t(y)) | ((t(x) != "") & (t(y) != "") & (t(x).contains(t(y)) | t(y).contains(t(x)))))
     short = F.least(F.size(a), F.size(b))
     same = F.aggregate(F.slice(alike, F.lit(1), F.greatest(short, F.lit(0))), F.lit(0), lambda s, x: s + x.cast("int"))
@@ -26,7 +26,7 @@ def header_similarity(a: Column, b: Column) -> Column:
 
 
 def _filled(data: Column) -> Column:
-    cells = F.aggregate(data, F.lit(0), lambda s, r: s + F.size(F.filter(r, lambda c: F.trim(F.coalesce(c, F.lit(""))) != "")))
+    cells = F.aggregate(data, F.lit(0), lambda s, r: s + F.size(F.filter(r, lambda c: strip(F.coalesce(c, F.lit(""))) != "")))
     return F.when(F.size(data) > 0, cells / F.size(data))
 
 
@@ -51,7 +51,7 @@ def merge_page_tables(fragments: DataFrame) -> DataFrame:
     without their first row, cells cleaned."""
     part = F.struct("page", "table_index", "headers", "data")
     of = continued(fragments).groupBy("doc_id", F.col("island").alias("table_no")).agg(F.array_sort(F.collect_list(part)).alias("all"))
-    rows = F.flatten(F.transform("all", lambda x, i: F.when(i == 0, x["data"]).otherwise(F.slice(x["data"], 2, 1_000_000))))
+    rows = F.flatten(F.transform("all", lambda x, i: F.when(i == 0, x["data"]).otherwise(F.slice(x["data"], F.lit(2), F.size(x["data"])))))
     clean = F.transform(rows, lambda r: F.transform(r, clean_cell_text))
     out = of.withColumn("data", clean)
     return out.select("doc_id", "table_no", F.array_min(F.transform("all", lambda x: x["page"])).alias("start_page"), F.array_max(F.transform("all", lambda x: x["page"])).alias("end_page"), F.size("all").alias("page_count"), F.size("data").alias("total_rows"), F.transform(F.get("all", F.lit(0))["headers"], clean_cell_text).alias("headers"), "data")

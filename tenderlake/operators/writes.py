@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.text import strip
+
 
 def replace_by_key(target: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """target without the rows whose key new has, and the rows of new."""
@@ -18,7 +20,7 @@ def patch_rows(target: DataFrame, patch: DataFrame, key: str, columns: Sequence[
     """target with the values of patch (one row a key) where they aren't blank; patched says which rows it named."""
     named = patch.select(F.col(key), F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in columns])
     out = target.join(named, key, "left")
-    new = {c: F.coalesce(F.when(F.trim(F.col(f"_new_{c}").cast("string")) != "", F.col(f"_new_{c}")), F.col(c)) for c in columns}
+    new = {c: F.coalesce(F.when(strip(F.col(f"_new_{c}").cast("string")) != "", F.col(f"_new_{c}")), F.col(c)) for c in columns}
     return out.withColumns(new).withColumn("patched", F.coalesce("_hit", F.lit(False))).select(*target.columns, "patched")
 
 
@@ -41,10 +43,11 @@ def add_missing_columns(df: DataFrame, schema: StructType) -> DataFrame:
 
 
 def check_schema(df: DataFrame, schema: StructType) -> DataFrame:
-    """field, exists, actual_type: the fields of schema first, then others that df has."""
+    """field, exists, actual_type, n_values (rows that have one): the fields of schema and others that df has."""
     actual = {f.name: f.dataType.simpleString() for f in df.schema}
-    rows = [(f.name, f.name in actual, actual.get(f.name)) for f in schema] + [(n, True, t) for n, t in actual.items() if n not in schema.names]
-    return df.sparkSession.createDataFrame(rows, "field string, exists boolean, actual_type string")
+    counts = df.agg(*[F.count(F.col(f"`{n}`")).alias(n) for n in actual])
+    one = lambda n: F.struct(F.lit(n).alias("field"), F.lit(n in actual).alias("exists"), F.lit(actual.get(n)).cast("string").alias("actual_type"), (F.col(f"`{n}`") if n in actual else F.lit(0)).cast("long").alias("n_values"))
+    return counts.select(F.explode(F.array(*[one(n) for n in [*schema.names, *(n for n in actual if n not in schema.names)]])).alias("x")).select("x.*")
 
 
 def upsert_result(bids: DataFrame, results: DataFrame, analyses: DataFrame) -> tuple[DataFrame, DataFrame]:

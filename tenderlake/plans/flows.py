@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.answers import build_prompt, parse_score_answer
 from ..operators.pages import bid_rule_pairs, page_ranges, relevant_pages
-from ..operators.rules import rules_from_rows
+from ..operators.rules import adjusted_tree, rules_from_rows
 from ..operators.tables import merge_page_tables, rule_rows
 
 
@@ -30,5 +30,6 @@ def score_bids(asked: DataFrame, answers: DataFrame) -> DataFrame:
 
 
 def extract_rules(fragments: DataFrame) -> DataFrame:
-    """Rules of the rule tables that fragments make up: doc, parent_no, child_no, criteria_name, max_score, ..."""
-    return rules_from_rows(rule_rows(merge_page_tables(fragments)))
+    """Rules of the rule tables that fragments make up (doc, parent_no, child_no, criteria_name, max_score, description,
+    is_price_criteria), with parents' maxima and totals adjusted; documents without such a table get the default rules."""
+    return adjusted_tree(rules_from_rows(rule_rows(merge_page_tables(fragments))), fragments.select(F.col("doc_id").alias("doc")))

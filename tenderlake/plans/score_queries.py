@@ -49,14 +49,15 @@ def _(results, rules):
     return out.select("project_id", "bidder_name", F.round(F.col("price") * 100).cast("long").alias("price_cents"), F.round("price_score", 1).alias("price_score"))
 
 
-@query("paired_price_score", "v_results", "v_rules", sql=f"WITH {_SCORED} SELECT project_id, bidder_name, price, CASE WHEN count(price) OVER (PARTITION BY project_id) < 2 THEN 0 ELSE price_score END AS price_score FROM scored")
+@query("paired_price_score", "v_results", "v_rules", sql=f"""WITH {_SCORED} SELECT project_id, bidder_name, price, CASE WHEN count(price) OVER (PARTITION BY project_id) < 2 THEN 0 ELSE price_score END AS price_score,
+    concat('根据价格评分规则计算得出。提取到的报价为: ', cast(price AS string)) AS reason FROM scored""")
 def _(results, rules):
     return S.paired_price_score(S.bid_prices(results), S.price_rule_max(rules)).drop("benchmark")
 
 
 _OTHER = "other AS (SELECT id, coalesce(sum(score) FILTER (NOT price_item AND item NOT LIKE '价格%'), 0) AS other_total FROM {v_items} GROUP BY 1)"
 query("other_scores_total", "v_results", sql=f"WITH {_OTHER} SELECT * FROM other")(S.other_scores_total)
-query("find_price_score", "v_results", sql="SELECT id, CASE WHEN flag = 'R' THEN 7.0e0 ELSE 0.0e0 END AS found_score FROM {v_bids}")(S.find_price_score)
+query("find_price_score", "v_scores", sql="""SELECT id, CASE WHEN detailed_scores LIKE '{%' THEN 4.0e0 WHEN detailed_scores LIKE '%投标报价%' THEN 3.0e0 WHEN detailed_scores LIKE '%is_price%' THEN 7.0e0 ELSE 0.0e0 END AS found_score FROM {v_scores}""")(S.find_price_score)
 query("first_per_bidder", "v_results", sql="SELECT min(id) AS id, project_id, bidder_name FROM {v_bids} GROUP BY project_id, bidder_name")(lambda r: S.first_per_bidder(r).select("id", "project_id", "bidder_name"))
 
 
@@ -99,11 +100,17 @@ def _(rules):
 query("partial_results", "v_results", sql="""SELECT id, concat('[', string_agg(concat('{"item":"', item, '"', CASE WHEN score IS NULL THEN '' ELSE concat(',"score":', cast(cast(score AS int) AS string), '.0') END, '}'), ',' ORDER BY pos), ']') AS partial FROM {v_items} WHERE pos < 5 GROUP BY id""")(S.partial_results)
 
 
-@query("update_price_in_scores", "v_results", "v_rules", sql=f"WITH {_SCORED} SELECT r.id, CASE WHEN flag = 'R' THEN coalesce(s.price_score, 7.0e0) END AS new_score FROM {{v_results}} r JOIN {{v_bids}} b ON b.id = r.id LEFT JOIN scored s ON s.project_id = r.project_id AND s.bidder_name = r.bidder_name")
-def _(results, rules):
-    out = S.update_price_in_scores(results, S.score_prices(S.bid_prices(results), S.price_rule_max(rules)))
-    new = S.score_items(out.select("id", "detailed_scores")).where("price_item").select("id", F.col("score").alias("new_score"))
-    return results.select("id").join(new, "id", "left")
+_NEW_ITEM = """'"reason":"根据评标规则重新计算的价格分: ', cast(n AS string), '","score":', cast(n AS string), '}'"""
+_UPDATED = """, j AS (SELECT t.id, t.detailed_scores, b.qty, cast(b.disc AS string) AS d, s.price_score AS n FROM {v_scores} t JOIN {v_bids} b ON b.id = t.id LEFT JOIN scored s ON s.project_id = t.project_id AND s.bidder_name = t.bidder_name)
+    SELECT id, CASE WHEN n IS NULL OR qty % 4 = 3 THEN detailed_scores
+        WHEN qty % 4 = 0 THEN concat('[{"children":[{"criteria_name":"团队","score":1},{"criteria_name":"投标报价","extra":"e","is_price_criteria":true,', NEW_ITEM, '],"criteria_name":"技术","score":', d, ',"weight":2.5}]')
+        WHEN qty % 4 = 1 THEN concat('{"价格分":', cast(n AS string), ',"其他":{"score":1},"方案":', d, '}')
+        ELSE concat('[{"Child_Item_Name":"方案","score":', d, '},{"is_price_criteria":true,"note":null,', NEW_ITEM, ']') END AS detailed_scores FROM j""".replace("NEW_ITEM", _NEW_ITEM)
+
+
+@query("update_price_in_scores", "v_results", "v_rules", "v_scores", sql=f"WITH {_SCORED}" + _UPDATED)
+def _(results, rules, scores):
+    return S.update_price_in_scores(scores, S.score_prices(S.bid_prices(results), S.price_rule_max(rules))).select("id", "detailed_scores")
 
 
 @query("merge_score_maps", "v_results", sql="""WITH o AS (SELECT id, '团队' AS item, 9.5e0 AS score FROM {v_bids} WHERE qty % 4 = 0 UNION ALL SELECT id, '其他', 1.0e0 FROM {v_bids} WHERE qty % 4 = 0)
@@ -132,18 +139,26 @@ query("inherit_parent", "v_rules", sql="""SELECT id, last_value(nullif(Parent_It
 query("drop_incomplete_rules", "v_rules", sql="SELECT id FROM {v_rules} WHERE is_price_criteria OR Child_Item_Name IS NOT NULL OR Child_max_score IS NOT NULL")(lambda r: R.drop_incomplete_rules(r).select("id"))
 query("parent_max_totals", "v_rules", sql="""WITH k AS (SELECT project_id, 0 AS l, min(id) AS first, Parent_Item_Name AS parent, cast(sum(Child_max_score) AS double) AS max_score, string_agg(Child_Item_Name, ',' ORDER BY id) AS children FROM {v_rules} WHERE NOT is_price_criteria AND Parent_Item_Name IS NOT NULL AND Child_Item_Name IS NOT NULL GROUP BY 1, 4
     UNION ALL SELECT project_id, 1, id, Parent_Item_Name, cast(Parent_max_score AS double), '价格分' FROM {v_rules} WHERE is_price_criteria) SELECT project_id, cast(row_number() OVER (PARTITION BY project_id ORDER BY l, first) AS int) AS pos, parent, max_score, children FROM k""")(R.parent_max_totals)
-query("rule_total_check", "v_rules", sql="""WITH k AS (SELECT project_id, Parent_Item_Name, sum(Child_max_score) AS s, max(Parent_max_score) AS m FROM {v_rules} WHERE NOT is_price_criteria GROUP BY 1, 2), o AS (SELECT project_id, sum(s) AS s, count(*) FILTER (abs(s - m) > 0.1) AS parents_off FROM k GROUP BY 1),
-    p AS (SELECT project_id, sum(Parent_max_score) AS p FROM {v_rules} WHERE is_price_criteria GROUP BY 1) SELECT project_id, cast(s + coalesce(p, 0) AS double) AS total, abs(s + coalesce(p, 0) - 100) > 0.1 AS off, parents_off FROM o LEFT JOIN p USING (project_id)""")(R.rule_total_check)
-query("normalise_to_100", "v_rules", sql="""WITH r AS (SELECT *, CASE WHEN NOT is_price_criteria THEN cast(Child_max_score AS double) END AS c, CASE WHEN is_price_criteria THEN cast(Parent_max_score AS double) END AS p FROM {v_rules}),
-    s AS (SELECT *, sum(c) OVER (PARTITION BY project_id, Parent_Item_Name) AS sums, coalesce(sum(p) OVER (PARTITION BY project_id), 0) AS price, sum(c) OVER (PARTITION BY project_id) AS others FROM r),
-    t AS (SELECT *, CASE WHEN abs(others + price - 100) > 0.1 AND price > 30 AND others > 0 THEN (100 - price) / others ELSE 1.0e0 END AS f FROM s)
-    SELECT id, cast(round(CASE WHEN is_price_criteria THEN p ELSE CASE WHEN abs(sums - coalesce(Parent_max_score, 0)) > 0.1 THEN sums ELSE Parent_max_score END * f END * 1000) AS bigint) AS parent_max, cast(round(c * f * 1000) AS bigint) AS child_max FROM t""")(lambda r: R.normalise_to_100(r).select("id", F.round(F.col("parent_max") * 1000).cast("long").alias("parent_max"), F.round(F.col("child_max") * 1000).cast("long").alias("child_max")))
+_TREE = """g AS (SELECT project_id, Parent_Item_Name AS parent, coalesce(max(Parent_max_score), 0) * 1.0e0 AS m, sum(CASE WHEN Child_Item_Name IS NOT NULL THEN coalesce(Child_max_score, 0) END) * 1.0e0 AS s FROM {v_rules_more} WHERE NOT is_price_criteria GROUP BY 1, 2),
+    t AS (SELECT *, CASE WHEN abs(m - s) > 0.1 THEN s ELSE m END AS top FROM g), o AS (SELECT project_id, sum(top) AS others, count(*) FILTER (abs(s - m) > 0.1) AS parents_off FROM t GROUP BY 1),
+    p AS (SELECT project_id, arg_max(Parent_max_score, id) * 1.0e0 AS price FROM {v_rules_more} WHERE is_price_criteria GROUP BY 1)"""
+query("rule_total_check", "v_rules_more", sql=f"WITH {_TREE} SELECT project_id, others + coalesce(price, 0) AS total, abs(others + coalesce(price, 0) - 100) > 0.1 AS off, parents_off FROM o LEFT JOIN p USING (project_id)")(R.rule_total_check)
+query("normalise_to_100", "v_rules_more", sql=f"""WITH {_TREE}, f AS (SELECT project_id, CASE WHEN abs(others + coalesce(price, 0) - 100) > 0.1 AND price > 30 AND others > 0 THEN (100 - price) / others ELSE 1.0e0 END AS f FROM o LEFT JOIN p USING (project_id))
+    SELECT id, cast(round(CASE WHEN is_price_criteria THEN Parent_max_score ELSE top * f END * 1000) AS bigint) AS parent_max, cast(round(CASE WHEN NOT is_price_criteria AND Child_Item_Name IS NOT NULL THEN coalesce(Child_max_score, 0) * f END * 1000) AS bigint) AS child_max
+    FROM {{v_rules_more}} r JOIN f ON f.project_id = r.project_id LEFT JOIN t ON t.project_id = r.project_id AND t.parent IS NOT DISTINCT FROM r.Parent_Item_Name AND NOT r.is_price_criteria""")(lambda r: R.normalise_to_100(r).select("id", F.round(F.col("parent_max") * 1000).cast("long").alias("parent_max"), F.round(F.col("child_max") * 1000).cast("long").alias("child_max")))
 query("default_rules", "v_projects", "v_rules", sql="SELECT id AS project_id, nth, name, max_score, is_price_criteria FROM (SELECT id FROM {v_projects} WHERE id % 3 = 0) p CROSS JOIN (SELECT 1 AS nth, '技术方案' AS name, 60.0e0 AS max_score, false AS is_price_criteria UNION ALL SELECT 2, '价格分', 40.0e0, true) d")(lambda p, r: R.default_rules(p, r.where("project_id % 3 <> 0")).drop("description"))
 query("standard_rules", "v_rules", sql="SELECT project_id, Child_Item_Name AS item, Child_max_score AS max_score, description FROM {v_rules} WHERE NOT is_price_criteria")(R.standard_rules)
 query("rules_view", "v_projects", "v_rules", sql="""SELECT project_id, Parent_Item_Name AS category, coalesce(Child_Item_Name, Parent_Item_Name) AS name, cast(coalesce(Child_max_score, Parent_max_score) AS double) AS max_score, r.description, 1.0e0 AS weight FROM {v_rules} r JOIN {v_projects} p ON p.id = r.project_id WHERE scoring_rules_summary IS NULL
     UNION ALL SELECT id, '总', status, 100.0e0, 'd', 1.0e0 FROM {v_projects} WHERE scoring_rules_summary IS NOT NULL""")(R.rules_view)
-query("veto_and_tree_scores", "v_results", "v_rules", sql=f"""WITH {_CHILDREN}, l AS (SELECT i.project_id, i.id AS bid_id, i.item, parent, CASE WHEN is_veto THEN 0.0e0 ELSE coalesce(score, 0) END AS score FROM {{v_items}} i JOIN kids ON kids.project_id = i.project_id AND kids.item = i.item)
-    SELECT project_id, bid_id, item AS name, 2 AS level, score, cast(1 AS bigint) AS leaves FROM l UNION ALL SELECT project_id, bid_id, coalesce(parent, ''), 1, sum(score), count(*) FROM l GROUP BY project_id, bid_id, coalesce(parent, '')""")(lambda r, ru: R.veto_and_tree_scores(ru, S.score_items(r).select("project_id", F.col("id").alias("bid_id"), "item", "score")))
+@query("veto_and_tree_scores", "v_results", "v_rules", sql=f"""WITH k AS (SELECT project_id, Parent_Item_Name AS parent, Child_Item_Name AS item, Child_max_score * 1.0e0 AS top, coalesce(Parent_max_score, 0) * 1.0e0 AS pmax, is_veto FROM {{v_rules}} WHERE NOT is_price_criteria),
+    l AS (SELECT i.project_id, i.id AS bid_id, i.item, parent, is_veto, top, pmax, CASE WHEN is_veto THEN 0.0e0 ELSE coalesce(score, 0) END AS score FROM {{v_items}} i JOIN k ON k.project_id = i.project_id AND k.item = i.item)
+    SELECT project_id, bid_id, item AS name, 2 AS level, CASE WHEN is_veto THEN 0 ELSE top END AS max_score, score, CASE WHEN is_veto THEN '{R.VETO_REASON}' END AS reason, is_veto, cast(1 AS bigint) AS leaves FROM l
+    UNION ALL SELECT project_id, bid_id, coalesce(parent, ''), 1, max(pmax), sum(score), '{R.SUM_REASON}', false, count(*) FROM l GROUP BY project_id, bid_id, coalesce(parent, '')
+    UNION ALL SELECT r.project_id, r.id, '价格', 1, 40.0e0, 0.0e0, concat('{R.PENDING_REASON}', coalesce(cast(extracted_price AS string), 'None')), false, 1 FROM {{v_results}} r JOIN {{v_rules}} u ON u.project_id = r.project_id AND u.is_price_criteria""")
+def _(results, rules):
+    named = S.score_items(results).select("project_id", F.col("id").alias("bid_id"), "item", "score", F.lit(None).cast("double").alias("extracted_price"))
+    priced = results.select("project_id", F.col("id").alias("bid_id"), F.lit("价格").alias("item"), F.lit(None).cast("double").alias("score"), "extracted_price")
+    return R.veto_and_tree_scores(rules, named.unionByName(priced))
 
 
 @query("flatten_rules", "part", sql="""SELECT p_partkey AS project_id, CASE WHEN p_size % 2 = 0 THEN concat('T', p_brand) ELSE p_name END AS Parent_Item_Name, CASE WHEN p_size % 2 = 0 THEN p_size END AS Parent_max_score, CASE WHEN p_size % 2 <> 0 THEN p_name END AS Child_Item_Name, CASE WHEN p_size % 2 <> 0 THEN p_size END AS Child_max_score, false AS is_price_criteria, 1 AS id FROM {part}
@@ -165,7 +180,13 @@ query("project_code", "orders", sql="SELECT o_orderkey, concat('PRJ-', strftime(
 # Progress.
 query("completion_status", "v_bids", sql="""SELECT project_id, count(*) AS n_bids, count(*) FILTER (processing_status = 'completed') AS n_completed, count(*) FILTER (processing_status = 'error') AS n_error, count(*) FILTER (processing_status = 'processing') AS n_open,
     CASE WHEN count(*) FILTER (processing_status = 'processing') > 0 THEN 'processing' WHEN count(*) FILTER (processing_status = 'error') > 0 THEN 'completed_with_errors' ELSE 'completed' END AS status FROM {v_bids} GROUP BY 1""")(P.completion_status)
-query("progress_report", "v_bids", sql="""SELECT id, project_id, processing_status, CASE WHEN progress_total_rules = 0 THEN 0.0e0 ELSE progress_completed_rules * 100.0e0 / progress_total_rules END AS percent, count(*) FILTER (processing_status IN ('completed', 'error')) OVER (PARTITION BY project_id) * 100.0e0 / count(*) OVER (PARTITION BY project_id) AS overall_percent FROM {v_bids}""")(P.progress_report)
+@query("progress_report", "v_bids", sql="""SELECT id, project_id, processing_status, bidder_name, progress_completed_rules AS progress_completed, progress_total_rules AS progress_total, CASE WHEN progress_total_rules = 0 THEN 0.0e0 ELSE progress_completed_rules * 100.0e0 / progress_total_rules END AS percent,
+    count(*) FILTER (processing_status IN ('completed', 'error')) OVER (PARTITION BY project_id) * 100.0e0 / count(*) OVER (PARTITION BY project_id) AS overall_percent, CASE WHEN qty % 3 = 0 THEN concat('[{"item":"a","score":', cast(qty AS string), '}]') END AS partial_analysis_results FROM {v_bids}""")
+def _(bids):
+    partial = F.when(F.col("qty") % 3 == 0, F.concat(F.lit('[{"score": '), F.col("qty").cast("string"), F.lit(', "item": "a"}]'))).when(F.col("qty") % 3 == 1, "{broken")
+    return P.progress_report(bids.withColumn("partial_analysis_results", partial))
+
+
 query("recalc_gate", "v_bids", "v_results", "v_rules", sql=f"WITH {_SCORED}, ready AS (SELECT project_id FROM {{v_bids}} GROUP BY 1 HAVING count(*) FILTER (flag <> 'N') < 20) SELECT b.project_id, b.bidder_name, price, benchmark, coalesce(price_score, 0) AS price_score FROM (SELECT DISTINCT project_id, bidder_name FROM {{v_bids}}) b JOIN ready USING (project_id) JOIN tops USING (project_id) LEFT JOIN scored USING (project_id, bidder_name)")(lambda b, r, ru: P.recalc_gate(_gated(b), r, ru))
 
 
@@ -177,7 +198,13 @@ def _gated(bids):
     return bids.withColumn("processing_status", F.when(many, "processing").otherwise("completed"))
 
 
-query("project_overview", "v_projects", "v_bids", "v_results", sql="""SELECT p.id, coalesce(b.n, 0) AS bid_count, coalesce(r.n, 0) AS result_count FROM {v_projects} p LEFT JOIN (SELECT project_id, count(*) AS n FROM {v_bids} WHERE qty > 10 GROUP BY 1) b ON b.project_id = p.id LEFT JOIN (SELECT project_id, count(*) AS n FROM {v_results} WHERE total_score > 90 GROUP BY 1) r ON r.project_id = p.id""")(lambda p, b, r: P.project_overview(p, b.where("qty > 10"), r.where("total_score > 90")).select("id", "bid_count", "result_count"))
+@query("project_overview", "v_projects", "v_bids", "v_results", sql="""SELECT p.id, coalesce(b.n, 0) AS bid_count, coalesce(r.n, 0) AS result_count, concat('2024-01-', lpad(cast(1 + p.id % 28 AS string), 2, '0'), 'T00:00:', lpad(cast(p.id % 60 AS string), 2, '0'), CASE WHEN p.id % 2 = 1 THEN '.500000' ELSE '' END) AS created_at FROM {v_projects} p
+    LEFT JOIN (SELECT project_id, count(*) AS n FROM {v_bids} WHERE qty > 10 GROUP BY 1) b ON b.project_id = p.id LEFT JOIN (SELECT project_id, count(*) AS n FROM {v_results} WHERE total_score > 90 GROUP BY 1) r ON r.project_id = p.id""")
+def _(projects, bids, results):
+    at = F.expr("make_timestamp(2024, 1, cast(1 + id % 28 as int), 0, 0, cast(id % 60 + if(id % 2 = 1, 0.5, 0) as decimal(8, 6)))")
+    return P.project_overview(projects.withColumn("created_at", at), bids.where("qty > 10"), results.where("total_score > 90")).select("id", "bid_count", "result_count", "created_at")
+
+
 query("project_bidders", "v_bids", sql="SELECT project_id, id, bidder_name, processing_status, file_path, file_size FROM {v_bids}")(P.project_bidders)
 query("bid_rule_pairs", "v_bids", "v_rules", sql=f"WITH {_CHILDREN} SELECT b.id AS bid_id, b.project_id, rule_id, item FROM {{v_bids}} b JOIN kids USING (project_id)")(lambda b, r: _pairs(b, r).select("bid_id", "project_id", "rule_id", "item"))
 

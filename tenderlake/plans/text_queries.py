@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from ..sources.tables import as_json, changed_documents, schema
 from ..operators.writes import check_schema
 from ..streaming.status import run_status_stream, score_on_complete
 from . import flows
+from .score_queries import _SCORED as SCORED
 from .views import frames, with_views
 
 QUERIES, ORACLE = {}, {}
@@ -34,16 +37,20 @@ def _docpages(documents):
 
 
 _DOCPAGES = "d AS (SELECT doc_id, unnest(range(len(l)))::INT AS page_no, unnest(l) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM {documents}) x)"
-_TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+_BLANK = r"[\s\x{000b}\x{001c}-\x{001f}\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_trim = lambda x: rf"regexp_replace({x}, '^{_BLANK}+|{_BLANK}+$', '', 'g')"
 _HAS = lambda c, *words: "(" + " OR ".join(f"contains({c}, '{w}')" for w in words) + ")"
 
 # Cleaning.
 query("clean_page_text", "documents", sql=rf"""WITH a AS (SELECT doc_id, translate(regexp_replace(regexp_replace(text, '\r\n|\r|\x{{2028}}|\x{{2029}}', chr(10), 'g'), '\x{{00a0}}', ' ', 'g'), '．，（）：；', '.,():;') AS t FROM {{documents}}),
-    b AS (SELECT doc_id, regexp_replace(regexp_replace(t, '\n+', chr(10), 'g'), ' +', ' ', 'g') AS t FROM a) SELECT doc_id, md5({_TRIM.format("array_to_string(list_transform(string_split(t, chr(10)), lambda x: " + _TRIM.format('x') + "), chr(10))")}) AS clean FROM b""")(lambda d: d.select("doc_id", F.md5(T.clean_page_text(F.col("text"))).alias("clean")))
+    b AS (SELECT doc_id, regexp_replace(regexp_replace(t, '\n+', chr(10), 'g'), ' +', ' ', 'g') AS t FROM a) SELECT doc_id, md5({_trim("array_to_string(list_transform(string_split(t, chr(10)), lambda x: " + _trim('x') + "), chr(10))")}) AS clean FROM b""")(lambda d: d.select("doc_id", F.md5(T.clean_page_text(F.col("text"))).alias("clean")))
 query("clean_cell_text", "documents", sql=r"SELECT doc_id, md5(regexp_replace(text, '[\x{0000}-\x{0020}\x{007f}-\x{00a0}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{206f}\x{3000}\x{feff}]', '', 'g')) AS clean FROM {documents}")(lambda d: d.select("doc_id", F.md5(T.clean_cell_text(F.col("text"))).alias("clean")))
 query("squeeze_text", "documents", sql=r"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^ | $', '', 'g')) AS clean FROM {documents}")(lambda d: d.select("doc_id", F.md5(T.squeeze_text(F.col("text"))).alias("clean")))
 query("clean_criteria_name", "part", sql="SELECT p_partkey, p_name AS name FROM {part}")(lambda p: p.select("p_partkey", T.clean_criteria_name(F.concat(F.lit("(12) ★"), "p_name", F.lit(" （"), F.col("p_size").cast("string"), F.lit("分）"))).alias("name")))
-query("filter_bidder_name", "documents", sql=rf"WITH {_DOCPAGES} SELECT doc_id, page_no, regexp_replace({_TRIM.format('split_part(split_part(ltrim(' + _TRIM.format('text') + ', chr(58)), ' + chr(39) + 'the' + chr(39) + ', 1), ' + chr(39) + ' of' + chr(39) + ', 1)')}, '\s+', ' ', 'g') AS name FROM d WHERE NOT regexp_matches(text, '[\[\]()]')")(lambda d: _docpages(d).where(~F.col("text").rlike(r"[\[\]()]")).select("doc_id", "page_no", T.filter_bidder_name(F.col("text"), ["the", " of"], []).alias("name")))
+_NAMED = _trim("regexp_replace(" + _trim("text") + ", '^[:：]+', '')")
+_CUT = _trim("split_part(" + _trim(f"split_part({_NAMED}, 'the', 1)") + ", ' of', 1)")
+_BARE = rf"regexp_replace(regexp_replace({_CUT}, '^[()（）\[\]【】〔〕]+|[()（）\[\]【】〔〕]+$', '', 'g'), '[\[\]（）()]', '', 'g')"
+query("filter_bidder_name", "documents", sql=rf"WITH {_DOCPAGES} SELECT doc_id, page_no, regexp_replace(regexp_replace({_trim("regexp_replace(" + _BARE + ", 'ing$', '')")}, '{_BLANK}+', ' ', 'g'), '^ | $', '', 'g') AS name FROM d")(lambda d: _docpages(d).select("doc_id", "page_no", T.filter_bidder_name(F.col("text"), ["the", " of"], ["ing"]).alias("name")))
 query("valid_company_name", "documents", sql=f"WITH {_DOCPAGES} SELECT doc_id, page_no, length(text) > 5 AND {_HAS('text', 'th', 'er')} AND NOT {_HAS('text', 'qu', 'ing')} AS valid FROM d")(lambda d: _docpages(d).select("doc_id", "page_no", T.valid_company_name(F.col("text"), ["th", "er"], ["qu", "ing"]).alias("valid")))
 query("garbled_name", "documents", sql=rf"WITH {_DOCPAGES}, n AS (SELECT *, length(text) AS n, length(regexp_replace(text, '[a-z ]', '', 'g')) AS noise FROM d) SELECT doc_id, page_no, n < 6 OR regexp_matches(text, '[\[\]()（）【】〔〕]') OR noise * 5 > n OR noise > greatest(1, n // 6) AS garbled FROM n")(lambda d: _docpages(d).select("doc_id", "page_no", T.garbled_name(F.col("text"), "[a-z ]").alias("garbled")))
 query("validate_name_update", "customer", sql="SELECT c_custkey, CASE WHEN length(trim(c_name)) < 2 THEN '名称过短' WHEN NOT contains(c_name, '7') THEN '名称缺少公司关键词' END AS reason FROM {customer}")(lambda c: c.select("c_custkey", T.name_update_reason(F.col("c_name"), ["7"]).alias("reason")))
@@ -67,9 +74,18 @@ query("price_confidence", "lineitem", sql="SELECT l_orderkey, l_linenumber, cast
 # Pages.
 _SECT = {"summary": ["the "], "price_part": ["ing"], "bond": ["or", "qu"], "name_anchor": ["with"]}
 query("tag_sections", "documents", sql=f"WITH {_DOCPAGES} SELECT doc_id, page_no, {', '.join(_HAS('text', *w) + ' AS ' + t for t, w in _SECT.items())} FROM d")(lambda d: pages.tag_sections(_docpages(d), _SECT).drop("text"))
-query("count_keywords", "documents", sql=f"WITH {_DOCPAGES} SELECT doc_id, page_no, length(text)::INT AS text_length, ((length(text) - length(replace(text, 'th', ''))) // 2)::INT AS n_0, ((length(text) - length(replace(text, 'ing', ''))) // 3)::INT AS n_1 FROM d WHERE {_HAS('text', 'with', 'from')}")(lambda d: pages.count_keywords(_docpages(d), ["with", "from"], ["th", "ing"]))
+query("count_keywords", "documents", sql=f"WITH {_DOCPAGES} SELECT doc_id, page_no, length(text)::INT AS text_length, ((length(text) - length(replace(text, 'th', ''))) // 2)::INT AS n_0, ((length(text) - length(replace(text, 'ing', ''))) // 3)::INT AS n_1, (doc_id + page_no) % 3 = 0 AS has_tables FROM d WHERE {_HAS('text', 'with', 'from')}")(lambda d: pages.count_keywords(_docpages(d), ["with", "from"], ["th", "ing"], _docpages(d).where("(doc_id + page_no) % 3 = 0").select("doc_id", F.col("page_no").alias("page"))))
 query("keyword_page_summary", "documents", sql=f"WITH {_DOCPAGES} SELECT doc_id, string_agg(page_no::VARCHAR, ',' ORDER BY page_no) AS pages FROM d WHERE {_HAS('text', 'with', 'from')} GROUP BY 1")(lambda d: pages.keyword_page_summary(_docpages(d), ["with", "from"]))
-query("page_quality", "documents", sql=f"WITH {_DOCPAGES}, n AS (SELECT *, length(trim(text)) AS n FROM d) SELECT doc_id, page_no, n = 0 AND doc_id % 7 <> 0 AS failed, n < 20 AS needs_ocr, sum(n) OVER (PARTITION BY doc_id) AS doc_chars, sum(n) OVER (PARTITION BY doc_id) < 100 AS doc_scanned FROM n")(lambda d: pages.page_quality(_docpages(d), _docpages(d).where("doc_id % 7 = 0").select("doc_id", "page_no")))
+_BLANKED = "CASE WHEN page_no % 5 = 3 THEN concat(chr(9), chr(12288), chr(160)) WHEN page_no % 5 = 4 THEN concat(chr(11), text, chr(12288)) ELSE text END"
+
+
+def _blanked(documents):
+    """Pages some of which are nothing but white space of several kinds, or have it at their ends."""
+    no = F.col("page_no") % 5
+    return _docpages(documents).withColumn("text", F.when(no == 3, "\t\u3000\u00a0").when(no == 4, F.concat(F.lit("\x0b"), "text", F.lit("\u3000"))).otherwise(F.col("text")))
+
+
+query("page_quality", "documents", sql=f"WITH {_DOCPAGES}, n AS (SELECT doc_id, page_no, length({_trim(_BLANKED)}) AS n FROM d) SELECT doc_id, page_no, n = 0 AND doc_id % 7 <> 0 AS failed, n < 20 AS needs_ocr, sum(n) OVER (PARTITION BY doc_id) AS doc_chars, sum(n) OVER (PARTITION BY doc_id) < 100 AS doc_scanned FROM n")(lambda d: pages.page_quality(_blanked(d), _docpages(d).where("doc_id % 7 = 0").select("doc_id", "page_no")))
 query("page_with_next", "conversations", sql="SELECT conv_id AS doc_id, turn AS page_no, md5(concat_ws(chr(10), text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn))) AS context FROM {conversations}")(lambda c: pages.page_with_next(_turns(c)).select("doc_id", "page_no", F.md5("context").alias("context")))
 query("page_set_union", "documents", sql=f"WITH {_DOCPAGES}, t AS (SELECT *, {_HAS('text', 'with')} AS t FROM d), u AS (SELECT *, coalesce(lag(t) OVER (PARTITION BY doc_id ORDER BY page_no), false) AS b FROM t) SELECT doc_id, page_no FROM u WHERE t OR b")(lambda d: pages.page_set_union(pages.tag_sections(_docpages(d), {"t": ["with"]}), "t").select("doc_id", "page_no"))
 query("leading_pages", "documents", sql=f"WITH {_DOCPAGES} SELECT doc_id, string_agg(text, chr(10) ORDER BY page_no) AS text FROM d WHERE page_no < 3 GROUP BY 1")(lambda d: pages.leading_pages(_docpages(d)))
@@ -93,7 +109,8 @@ query("relevant_pages", "conversations", sql=f"WITH {_REL} SELECT pair_id, doc_i
 query("page_ranges", "conversations", sql=f"""WITH {_REL}, g AS (SELECT pair_id, page_no, text, page_no - row_number() OVER (PARTITION BY pair_id ORDER BY page_no) AS run FROM r JOIN {{conversations}} c ON c.conv_id = r.doc_id AND c.turn = r.page_no),
     o AS (SELECT pair_id, min(page_no) AS a, concat('--- Pages ', min(page_no) + 1, '-', max(page_no) + 1, ' ---', chr(10), string_agg(text, chr(10) ORDER BY page_no)) AS part FROM g GROUP BY pair_id, run) SELECT pair_id, md5(string_agg(part, chr(10) || chr(10) ORDER BY a)) AS context FROM o GROUP BY 1""")(lambda c: pages.page_ranges(pages.relevant_pages(_pairs(_turns(c)), _turns(c)), _turns(c)).select("pair_id", F.md5("context").alias("context")))
 query("slice_scoring_section", "documents", sql=None)(lambda d: sections.slice_scoring_section(d, ["with", "from"], ["there"], ["zz"], "ing"))
-query("build_prompt", "documents", sql="SELECT doc_id, least(length(text), 8000) + CASE WHEN length(text) > 8000 THEN 12 ELSE 0 END AS n FROM {documents}")(lambda d: d.select("doc_id", (F.length(A.build_prompt(F.lit("a"), F.lit(""), F.lit(5), F.col("text"))) - F.length(A.build_prompt(F.lit("a"), F.lit(None).cast("string"), F.lit(5), F.lit("")))).alias("n")))
+query("build_prompt", "documents", sql="""SELECT doc_id, md5('角色: 专业的评标专家' || chr(10) || '评分标准' || chr(10) || '名称: a' || chr(10) || '描述: ' || CASE WHEN doc_id % 2 = 0 THEN 'N/A' ELSE lang END || chr(10) || '满分: 5' || chr(10) || '投标文件相关内容:' || chr(10) || '---' || chr(10) || substr(text, 1, 8000)
+    || CASE WHEN length(text) > 8000 THEN chr(10) || '... (内容已截断)' ELSE '' END || chr(10) || '---' || chr(10) || '给出 0 到 5 之间的分数，只输出 JSON: {"score": 分数, "reason": "理由"}' || chr(10)) AS prompt FROM {documents}""")(lambda d: d.select("doc_id", F.md5(A.build_prompt(F.lit("a"), F.when(F.col("doc_id") % 2 == 0, "").otherwise(F.col("lang")), F.lit(5), F.col("text"))).alias("prompt")))
 
 # Answers.
 _K = "cast(json_extract(props, '$.k') AS double)"
@@ -134,9 +151,23 @@ query("dedupe_prices", "lineitem", sql=f"WITH {_CANDS}, s AS (SELECT *, row_numb
 query("top_candidates", "lineitem", sql=f"WITH {_CANDS}, s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, value DESC, page_no, source_rank) AS place FROM c) SELECT doc_id, value, place FROM s WHERE place <= 2")(lambda x: prices.top_candidates(prices.union_candidates(_pricepages(x)), 2).select("doc_id", "value", "place"))
 _BEST = "b AS (SELECT doc_id, coalesce(max(value) FILTER (source_rank = 0), max(value)) AS price FROM c GROUP BY 1)"
 query("select_best_price", "lineitem", sql=f"WITH {_CANDS}, {_BEST} SELECT * FROM b")(lambda x: prices.select_best_price(prices.dedupe_prices(prices.union_candidates(_pricepages(x))), _pricepages(x)))
-query("extract_bid_price", "lineitem", sql=f"WITH {_CANDS}, {_BEST}, n AS (SELECT doc_id, count(DISTINCT value) AS n FROM c GROUP BY 1) SELECT d.doc_id, price, price IS NOT NULL AS price_extracted, coalesce(n, 0) AS n_candidates FROM (SELECT DISTINCT doc_id FROM o) d LEFT JOIN b ON b.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id")(lambda x: prices.extract_bid_price(_pricepages(x)))
+query("extract_bid_price", "lineitem", sql=f"WITH {_CANDS}, {_BEST}, n AS (SELECT doc_id, count(DISTINCT value) AS n FROM c GROUP BY 1) SELECT d.doc_id, price, price IS NOT NULL AS price_extracted, coalesce(n, 0) AS n_candidates, (d.doc_id % 2 + 1)::INT AS price_extraction_attempts FROM (SELECT DISTINCT doc_id FROM o) d LEFT JOIN b ON b.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id")(lambda x: prices.extract_bid_price(_pricepages(x), attempts=x.select(F.col("l_orderkey").alias("doc_id")).distinct().where("doc_id % 2 = 1").withColumn("price_extraction_attempts", F.lit(1))))
 query("total_price_context", "lineitem", sql="SELECT l_orderkey, l_linenumber, l_returnflag = 'R' OR l_extendedprice > 10000 AS total FROM {lineitem}")(lambda x: x.select("l_orderkey", "l_linenumber", prices.total_price_context(F.concat(F.when(F.col("l_returnflag") == "R", "合计 ").otherwise("无 "), F.when(F.col("l_linenumber") % 2 == 0, F.format_number("l_extendedprice", 2)).otherwise(F.call_function("format_number", F.col("l_extendedprice"), F.lit("#0.0###")))), F.col("l_extendedprice")).alias("total")))
-query("extract_bonds", "lineitem", sql=f"WITH {_PRICEPAGES} SELECT doc_id, page_no, q * 100 AS value, 80.0e0 AS confidence FROM o WHERE tax = 0")(lambda x: prices.extract_bonds(_pricepages(x)).select("doc_id", "page_no", "value", "confidence"))
+
+
+def _bondpages(lineitem):
+    """Figures, numerals with blanks, other pages' words, and totals beside them."""
+    rows = _pricepages(lineitem).drop("text")
+    q, kind = F.col("page_no") + 1 + F.col("doc_id") % 40, (F.col("doc_id") + F.col("page_no")) % 5
+    figure = F.concat(F.lit("履约保证金：￥"), F.format_number(q * 100, 2))
+    numerals = F.concat(F.lit("投标保证金： "), F.regexp_replace(_numeral(q), "元整", ""), F.lit(" 万元"))
+    other = F.concat(F.lit("说明\n押金: "), q.cast("string"), F.lit(" 和 押金: 9"))
+    total = F.concat(F.lit("合计 投标保证金: "), q.cast("string"))
+    return rows.withColumn("text", F.when(kind == 0, figure).when(kind == 1, numerals).when(kind == 2, other).when(kind == 3, total).otherwise("说明 押金: 0 和 押金: 7"))
+
+
+query("extract_bonds", "lineitem", sql=f"""WITH {_PRICEPAGES}, b AS (SELECT doc_id, page_no, (page_no + 1 + doc_id % 40)::DOUBLE AS q, (doc_id + page_no) % 5 AS kind FROM o)
+    SELECT doc_id, page_no, CASE kind WHEN 0 THEN q * 100 WHEN 1 THEN q * 10000 ELSE q END AS value, CASE kind WHEN 0 THEN 80.0e0 WHEN 1 THEN 70.0e0 ELSE 60.0e0 END AS confidence, CASE kind WHEN 0 THEN '保证金阿拉伯数字' WHEN 1 THEN '保证金中文大写' ELSE '保证金窗口匹配(押金)' END AS reason FROM b WHERE kind < 3""")(lambda x: prices.extract_bonds(_bondpages(x)))
 
 
 # Names: a supplier is a document of three pages.
@@ -177,7 +208,7 @@ query("pick_bidder_name", "supplier", sql=f"SELECT s_suppkey AS doc_id, {_NAME}
 def _fragments(lineitem):
     one = lineitem.groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page")).agg(F.min("l_returnflag").alias("f"), F.min("l_linestatus").alias("s"), F.min("l_quantity").cast("int").alias("q"))
     head = F.array(F.col("f"), F.col("s"), F.lit("评价项目"))
-    body = F.array(F.col("q").cast("string"), F.lit(""), F.concat(F.lit(" a "), F.col("page").cast("string")))
+    body = F.array(F.when(F.col("q") % 3 == 0, "\t").otherwise(F.col("q").cast("string")), F.lit(""), F.concat(F.lit(" a "), F.col("page").cast("string")))
     return one.select("doc_id", "page", F.lit(0).alias("table_index"), (F.col("q") % 2).alias("cols"), head.alias("headers"), F.array(head, body).alias("data"))
 
 
@@ -185,9 +216,9 @@ _FRAGS = """f AS (SELECT l_orderkey AS doc_id, l_linenumber AS page, min(l_retur
     g AS (SELECT *, lag(page) OVER w AS pp, lag(q) OVER w AS pq, lag(f) OVER w AS pf, lag(s) OVER w AS ps FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY page)),
     h AS (SELECT *, CASE WHEN page = pp + 1 AND q % 2 = pq % 2 THEN 0 ELSE 1 END AS fresh FROM g),
     i AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY page) AS island FROM h)"""
-query("merge_page_tables", "lineitem", sql=f"WITH {_FRAGS} SELECT doc_id, island AS table_no, min(page) AS start_page, max(page) AS end_page, count(*)::INT AS page_count, (count(*) + 1)::INT AS total_rows, concat(arg_min(f, page), arg_min(s, page), '评价项目') AS headers FROM i GROUP BY 1, 2")(lambda x: tables.merge_page_tables(_fragments(x)).withColumn("headers", F.array_join("headers", "")).drop("data"))
+query("merge_page_tables", "lineitem", sql=f"WITH {_FRAGS} SELECT doc_id, island AS table_no, min(page) AS start_page, max(page) AS end_page, count(*)::INT AS page_count, (count(*) + 1)::INT AS total_rows, concat(arg_min(f, page), arg_min(s, page), '评价项目') AS headers, concat(arg_min(f, page), '|', arg_min(s, page), '|评价项目|', string_agg(concat(CASE WHEN q % 3 = 0 THEN '' ELSE q::VARCHAR END, '||a', page), '|' ORDER BY page)) AS data FROM i GROUP BY 1, 2")(lambda x: tables.merge_page_tables(_fragments(x)).withColumn("headers", F.array_join("headers", "")).withColumn("data", F.array_join(F.flatten("data"), "|")))
 query("header_similarity", "lineitem", sql=f"WITH {_FRAGS} SELECT doc_id, page, ((f = pf)::INT + (s = ps)::INT + 1) / 3.0e0 AS similarity FROM g WHERE pf IS NOT NULL")(lambda x: _similar(x, tables.header_similarity, "headers"))
-query("content_similarity", "lineitem", sql=f"WITH {_FRAGS} SELECT doc_id, page, 1.0e0 AS similarity FROM g WHERE pf IS NOT NULL")(lambda x: _similar(x, tables.content_similarity, "data"))
+query("content_similarity", "lineitem", sql=f"WITH {_FRAGS} SELECT doc_id, page, CASE WHEN (q % 3 = 0) = (pq % 3 = 0) THEN 1.0e0 ELSE 1 - 0.5e0 / 2.5e0 END AS similarity FROM g WHERE pf IS NOT NULL")(lambda x: _similar(x, tables.content_similarity, "data"))
 
 
 def _similar(lineitem, measure, column):
@@ -198,30 +229,63 @@ def _similar(lineitem, measure, column):
 
 
 query("filter_rule_tables", "lineitem", sql=f"WITH {_FRAGS} SELECT doc_id, page FROM f WHERE f = 'R'")(lambda x: tables.filter_rule_tables(_fragments(x), ["评价 项目".replace(" ", ""), "R"]).select("doc_id", "page"))
-query("table_rows", "lineitem", sql=f"WITH {_FRAGS} SELECT doc_id, page, 0 AS col_no, f AS header, q::VARCHAR AS cell FROM f UNION ALL SELECT doc_id, page, 1, s, '' FROM f UNION ALL SELECT doc_id, page, 2, '评价项目', concat('a', page) FROM f")(lambda x: tables.table_rows(_fragments(x).withColumn("table_no", F.col("page"))).select("doc_id", F.col("table_no").alias("page"), "col_no", "header", "cell"))
+query("table_rows", "lineitem", sql=f"WITH {_FRAGS} SELECT doc_id, page, 0 AS col_no, f AS header, CASE WHEN q % 3 = 0 THEN '' ELSE q::VARCHAR END AS cell FROM f UNION ALL SELECT doc_id, page, 1, s, '' FROM f UNION ALL SELECT doc_id, page, 2, '评价项目', concat('a', page) FROM f")(lambda x: tables.table_rows(_fragments(x).withColumn("table_no", F.col("page"))).select("doc_id", F.col("table_no").alias("page"), "col_no", "header", "cell"))
 
 
-# Rule rows: a brand is a document, its parts are rows.
+# Rule rows: fifty parts are a document's rows.
 def _rulerows(part):
-    cell = F.when(F.col("p_size") % 4 == 0, F.concat(F.lit("项目"), F.col("p_partkey").cast("string")))
-    return part.select(F.col("p_brand").alias("doc"), F.col("p_partkey").alias("row_no"), cell.alias("project_cell"), F.concat("p_name", F.lit(" ("), F.col("p_size").cast("string"), F.lit("分)")).alias("detail"), F.lit("标准").alias("standard"))
+    price = F.col("p_partkey") % 50 == 48
+    cell = F.when(price, "价格分").when(F.col("p_size") % 4 == 0, F.concat(F.lit("项目"), F.col("p_partkey").cast("string"))).when(F.col("p_size") % 4 == 1, "\u3000\t")
+    points = F.when(price, 40).otherwise(F.col("p_size") % 20 + 1)
+    return part.select(F.floor(F.col("p_partkey") / 50).alias("doc"), F.col("p_partkey").alias("row_no"), cell.alias("project_cell"), F.col("p_name").alias("detail"), F.concat(points.cast("string"), F.lit("分")).alias("standard"))
 
 
-_ROWS = """r AS (SELECT p_brand AS doc, p_partkey AS row_no, p_name, p_size, p_size % 4 = 0 AS is_parent FROM {part}), n AS (SELECT *, cast(sum(is_parent::INT) OVER (PARTITION BY doc ORDER BY row_no) AS int) AS parent_no FROM r),
-    k AS (SELECT *, cast(CASE WHEN NOT is_parent THEN sum((NOT is_parent)::INT) OVER (PARTITION BY doc, parent_no ORDER BY row_no) END AS int) AS child_no FROM n WHERE parent_no > 0)"""
+_ROWS = """r AS (SELECT p_partkey // 50 AS doc, p_partkey AS row_no, p_name, p_partkey % 50 = 48 AS price, p_partkey % 50 = 48 OR p_size % 4 = 0 AS is_parent, CASE WHEN p_partkey % 50 = 48 THEN 40 ELSE p_size % 20 + 1 END AS points FROM {part}),
+    n AS (SELECT *, cast(sum(is_parent::INT) OVER (PARTITION BY doc ORDER BY row_no) AS int) AS parent_no FROM r),
+    k AS (SELECT *, cast(CASE WHEN NOT is_parent THEN sum((NOT is_parent)::INT) OVER (PARTITION BY doc, parent_no ORDER BY row_no) END AS int) AS child_no, max(price::INT) OVER (PARTITION BY doc, parent_no) AS under FROM n WHERE parent_no > 0),
+    u AS (SELECT doc, parent_no, child_no, CASE WHEN price THEN '价格分' WHEN is_parent THEN concat('项目', row_no) ELSE p_name END AS criteria_name, points * 1.0e0 AS max_score, CASE WHEN price THEN p_name ELSE concat(points, '分') END AS description, price AS is_price_criteria FROM k WHERE is_parent OR under = 0)"""
 query("number_rules", "part", sql=f"WITH {_ROWS} SELECT doc, row_no, parent_no, child_no FROM k")(lambda p: rules.number_rules(_rulerows(p)).select("doc", "row_no", "parent_no", "child_no"))
-query("rules_from_rows", "part", sql=f"WITH {_ROWS} SELECT doc, parent_no, child_no, CASE WHEN is_parent THEN concat('项目', row_no) ELSE concat(p_name, ' (', p_size, '分)') END AS criteria_name, p_size::DOUBLE AS max_score, '标准' AS description, false AS is_price_criteria FROM k")(lambda p: rules.rules_from_rows(_rulerows(p)))
-query("attach_parent", "part", sql=f"WITH {_ROWS} SELECT doc, parent_no, child_no, CASE WHEN child_no IS NOT NULL THEN lpad(parent_no::VARCHAR, 4, '0') END AS parent FROM k")(lambda p: rules.attach_parent(rules.number_rules(_rulerows(p)).withColumn("numbering", F.array_compact(F.array(F.lpad(F.col("parent_no").cast("string"), 4, "0"), F.lpad(F.col("child_no").cast("string"), 4, "0"))))).select("doc", "parent_no", "child_no", F.array_join("parent", ".").alias("parent")))
-query("rules_from_text", "part", sql="SELECT p_partkey AS doc, concat('评审', CASE WHEN p_size % 2 = 0 THEN '报价' ELSE '服务' END) AS criteria_name, p_size::DOUBLE AS max_score, p_size % 2 = 0 AS is_price_criteria FROM {part}")(lambda p: rules.rules_from_text(p.select(F.col("p_partkey").alias("doc"), F.lit(0).alias("line_no"), F.concat(F.lit("评审"), F.when(F.col("p_size") % 2 == 0, "报价").otherwise("服务"), F.lit("("), F.col("p_size").cast("string"), F.lit("分)")).alias("line"))).drop("nth"))
-query("dedupe_similar_rules", "part", sql="SELECT p_brand AS doc, count(*) AS n FROM (SELECT DISTINCT p_brand, p_type FROM {part} WHERE p_size % 2 = 0) x GROUP BY 1")(lambda p: rules.dedupe_similar_rules(p.where("p_size % 2 = 0").select(F.col("p_brand").alias("doc"), F.col("p_partkey").alias("nth"), F.md5("p_type").alias("criteria_name"), F.col("p_size").cast("double").alias("max_score")), threshold=1.0).groupBy("doc").agg(F.count(F.lit(1)).alias("n")))
-query("price_rule_from_text", "part", sql="SELECT p_partkey AS doc, CASE WHEN p_size > 10 THEN '价格分' ELSE 'old' END AS criteria_name, CASE WHEN p_size > 10 THEN p_size ELSE 5 END::DOUBLE AS max_score FROM {part}")(lambda p: rules.price_rule_from_text(p.select(F.col("p_partkey").alias("doc"), F.concat(F.lit("评标基准价为最低价，价格分："), F.col("p_size").cast("string"), F.lit("分")).alias("text")), p.select(F.col("p_partkey").alias("doc"), F.lit(1).alias("nth"), F.lit("old").alias("criteria_name"), F.lit(5.0).alias("max_score"), F.lit("").alias("description"), F.lit(True).alias("is_price_criteria"))).select("doc", "criteria_name", "max_score"))
-query("extract_rules", "part", sql=f"WITH r AS (SELECT p_brand AS doc, count(*) FILTER (p_size % 4 = 0) AS parents FROM {{part}} GROUP BY 1) SELECT doc, parents FROM r WHERE parents > 0")(lambda p: flows.extract_rules(_rulefragments(p)).where("child_no is null").groupBy("doc").agg(F.count(F.lit(1)).alias("parents")))
+query("rules_from_rows", "part", sql=f"WITH {_ROWS} SELECT * FROM u")(lambda p: rules.rules_from_rows(_rulerows(p)))
+
+
+def _numberings(part):
+    """Nine parts are a rule tree of three levels; some are missing, so that rules hang on what is left above them."""
+    k = F.col("p_partkey") % 9
+    number = lambda x: F.lpad(x.cast("string"), 3, "0")
+    deep = F.array(number(F.floor(F.col("p_partkey") / 9) % 7), number(F.floor(k / 5)), number(k))
+    depth = F.when(k == 0, 1).when(k.isin(1, 5), 2).otherwise(3)
+    return part.where("p_size % 6 <> 0").select(F.floor(F.col("p_partkey") / 63).alias("doc"), "p_partkey", F.slice(deep, F.lit(1), depth).alias("numbering"))
+
+
+query("attach_parent", "part", sql="""WITH n AS (SELECT p_partkey // 63 AS doc, p_partkey, p_partkey % 9 AS k, lpad((p_partkey // 9 % 7)::VARCHAR, 3, '0') AS a, lpad((p_partkey % 9 // 5)::VARCHAR, 3, '0') AS b FROM {part} WHERE p_size % 6 <> 0),
+    m AS (SELECT doc, p_partkey, CASE WHEN k = 0 THEN 1 WHEN k IN (1, 5) THEN 2 ELSE 3 END AS depth, CASE WHEN k = 0 THEN a WHEN k IN (1, 5) THEN concat(a, '.', b) ELSE concat(a, '.', b, '.', lpad(k::VARCHAR, 3, '0')) END AS num FROM n)
+    SELECT doc, p_partkey, CASE depth WHEN 2 THEN last_value(CASE WHEN depth < 2 THEN num END IGNORE NULLS) OVER w WHEN 3 THEN last_value(CASE WHEN depth < 3 THEN num END IGNORE NULLS) OVER w END AS parent FROM m WINDOW w AS (PARTITION BY doc ORDER BY num ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")(lambda p: rules.attach_parent(_numberings(p)).select("doc", "p_partkey", F.array_join("parent", ".").alias("parent")))
+
+
+def _rulelines(part):
+    """Two lines that say the same rule, with points that differ by one."""
+    name = F.concat(F.lit("评审"), F.when(F.col("p_size") % 2 == 0, "报价").otherwise("服务"))
+    line = lambda k, open_, close: F.struct(F.lit(k).alias("line_no"), F.concat(name, F.lit(open_), (F.col("p_size") + k).cast("string"), F.lit(f"分{close}")).alias("line"))
+    return part.select(F.col("p_partkey").alias("doc"), F.explode(F.array(line(0, "(", ")"), line(1, " ", ""))).alias("x")).select("doc", "x.*")
+
+
+query("rules_from_text", "part", sql="SELECT p_partkey AS doc, 2 AS nth, concat('评审', CASE WHEN p_size % 2 = 0 THEN '报价' ELSE '服务' END) AS criteria_name, (p_size + 1)::DOUBLE AS max_score, concat('评审', CASE WHEN p_size % 2 = 0 THEN '报价' ELSE '服务' END) AS description, p_size % 2 = 0 AS is_price_criteria FROM {part}")(lambda p: rules.rules_from_text(_rulelines(p)))
+#: Its greedy fold in order has no SQL that is fast on whole tables; tests compare it with brute force.
+query("dedupe_similar_rules", "part")(lambda p: rules.dedupe_similar_rules(p.select(F.floor(F.col("p_partkey") / 20).alias("doc"), F.col("p_partkey").alias("nth"), F.col("p_name").alias("criteria_name"), F.col("p_size").cast("double").alias("max_score"))))
+query("price_rule_from_text", "part", sql="SELECT p_partkey AS doc, 1 AS nth, CASE WHEN p_size > 10 THEN '价格分' ELSE 'old' END AS criteria_name, CASE WHEN p_size > 10 THEN p_size ELSE 5 END::DOUBLE AS max_score, CASE WHEN p_size > 10 THEN '评标基准价为最低价，价格分' ELSE '' END AS description, true AS is_price_criteria FROM {part}")(lambda p: rules.price_rule_from_text(p.select(F.col("p_partkey").alias("doc"), F.concat(F.lit("评标基准价为最低价，价格分："), F.col("p_size").cast("string"), F.lit("分")).alias("text")), p.select(F.col("p_partkey").alias("doc"), F.lit(1).alias("nth"), F.lit("old").alias("criteria_name"), F.lit(5.0).alias("max_score"), F.lit("").alias("description"), F.lit(True).alias("is_price_criteria"))))
+_DEFAULTS = " UNION ALL ".join(f"SELECT {n} AS n, '{name}' AS name, {top}.0e0 AS top, '{text}' AS said, {str(flag).lower()} AS flag" for n, name, top, text, flag, _ in rules.DEFAULTS)
+query("extract_rules", "part", sql=f"""WITH {_ROWS}, g AS (SELECT doc, parent_no, max(max_score) FILTER (child_no IS NULL) AS m, sum(max_score) FILTER (child_no IS NOT NULL) AS s FROM u WHERE NOT is_price_criteria GROUP BY 1, 2), t AS (SELECT *, CASE WHEN abs(m - s) > 0.1 THEN s ELSE m END AS top FROM g),
+    o AS (SELECT doc, sum(top) AS others FROM t GROUP BY 1), p AS (SELECT doc, arg_max(max_score, parent_no) AS price FROM u WHERE is_price_criteria GROUP BY 1),
+    f AS (SELECT d.doc, CASE WHEN abs(others + coalesce(price, 0) - 100) > 0.1 AND price > 30 AND others > 0 THEN (100 - price) / others ELSE 1.0e0 END AS f FROM (SELECT DISTINCT doc FROM u) d LEFT JOIN o ON o.doc = d.doc LEFT JOIN p ON p.doc = d.doc)
+    SELECT u.doc, u.parent_no, u.child_no, replace(criteria_name, ' ', '') AS criteria_name, cast(round(CASE WHEN is_price_criteria THEN max_score WHEN child_no IS NULL THEN top * f ELSE max_score * f END * 1000) AS bigint) AS max_score, replace(description, ' ', '') AS description, is_price_criteria FROM u JOIN f ON f.doc = u.doc LEFT JOIN t ON t.doc = u.doc AND t.parent_no = u.parent_no WHERE u.doc % 7 <> 3
+    UNION ALL SELECT doc, n, NULL, name, cast(top * 1000 AS bigint), said, flag FROM (SELECT DISTINCT p_partkey // 50 AS doc FROM {{part}}) d CROSS JOIN ({_DEFAULTS}) x WHERE doc % 7 = 3 OR doc NOT IN (SELECT doc FROM u)""")(lambda p: flows.extract_rules(_rulefragments(p)).withColumn("max_score", F.round(F.col("max_score") * 1000).cast("long")))
 
 
 def _rulefragments(part):
-    head = F.array(F.lit("评价 项目"), F.lit("内容"), F.lit("评价标准"))
-    of = part.groupBy(F.col("p_brand").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name", "p_size"))).alias("all"))
-    rows = F.transform("all", lambda x: F.array(F.when(x["p_size"] % 4 == 0, F.concat(F.lit("项目"), x["p_partkey"].cast("string"))).otherwise(""), x["p_name"], F.lit("标准")))
+    """A table for each document of fifty rows, a seventh of which have another header."""
+    of = _rulerows(part).groupBy(F.col("doc").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("row_no", "project_cell", "detail", "standard"))).alias("all"))
+    head = F.array(F.when(F.col("doc_id") % 7 == 3, "其他").otherwise("评价 项目"), F.lit("内容"), F.lit("评价标准"))
+    rows = F.transform("all", lambda x: F.array(F.coalesce(x["project_cell"], F.lit("")), x["detail"], x["standard"]))
     return of.select("doc_id", F.lit(1).alias("page"), F.lit(0).alias("table_index"), F.lit(3).alias("cols"), head.alias("headers"), F.concat(F.array(head), rows).alias("data"))
 
 
@@ -231,33 +295,44 @@ def _asked(bids, rules_):
     return flows.prompts(bids, rules_, bids.select(F.col("id").alias("doc_id"), F.posexplode(text).alias("page_no", "text")))
 
 
-@query("score_bids", "v_bids", "v_rules", sql="""WITH kids AS (SELECT * FROM {v_rules} WHERE Child_Item_Name IS NOT NULL AND NOT is_price_criteria) SELECT b.id AS bid_id, b.project_id, sum(CASE WHEN r.id % 10 = 4 THEN 0.0e0 ELSE least(qty % 30, Child_max_score) END)::DOUBLE AS total_score FROM {v_bids} b JOIN kids r ON r.project_id = b.project_id WHERE qty % 4 = 0 GROUP BY 1, 2""")
+@query("score_bids", "v_bids", "v_rules", sql="""WITH kids AS (SELECT * FROM {v_rules} WHERE Child_Item_Name IS NOT NULL AND NOT is_price_criteria), s AS (SELECT b.id AS bid_id, r.*, CASE WHEN r.id % 10 = 4 THEN 0.0e0 ELSE least(qty % 30, Child_max_score) * 1.0e0 END AS score FROM {v_bids} b JOIN kids r ON r.project_id = b.project_id)
+    SELECT bid_id, project_id, sum(score) AS total_score, concat('[', string_agg(concat('{"Child_Item_Name":"', Child_Item_Name, '","max_score":', cast(Child_max_score * 1.0e0 AS string), ',"score":', cast(score AS string), ',"reason":"', CASE WHEN id % 10 = 4 THEN '模型调用失败: ' ELSE '未提供理由。' END, '"', CASE WHEN Parent_Item_Name IS NULL THEN '' ELSE concat(',"Parent_Item_Name":"', Parent_Item_Name, '"') END, '}'), ',' ORDER BY id), ']') AS detailed_scores FROM s GROUP BY 1, 2""")
 def _(bids, rules_):
-    asked = _asked(bids.where("qty % 4 = 0"), rules_)
+    asked = _asked(bids, rules_)
     said = asked.where("rule_id % 10 <> 4").join(bids.select(F.col("id").alias("bid_id"), "qty"), "bid_id").select("pair_id", F.concat(F.lit('{"score": '), (F.col("qty") % 30).cast("string"), F.lit("}")).alias("response"))
-    return flows.score_bids(asked, said).drop("detailed_scores")
+    return flows.score_bids(asked, said)
 
 
 # Sources, schemas, streams.
-query("load_tables", "v_rules", sql="SELECT id, project_id, Child_max_score FROM {v_rules}")(lambda r: _loaded(r))
+query("load_tables", "v_projects", "v_bids", "v_results", "v_rules", sql="""SELECT 'tender_project' AS name, count(*) AS n, sum(id) AS ids, count(scoring_rules_summary) AS filled FROM {v_projects} UNION ALL SELECT 'bid_document', count(*), sum(id), count(bidder_name) FROM {v_bids} UNION ALL SELECT 'analysis_result', count(*), sum(id), count(total_score) FROM {v_results}
+    UNION ALL SELECT 'scoring_rule', count(*), sum(id), count(Child_Item_Name) FROM {v_rules} UNION ALL SELECT 'score_modification_history', count(*), sum(id), count(detailed_scores) FROM {v_results} WHERE total_score > 90 UNION ALL SELECT 'project_audit_log', count(*), sum(id), count(status) FROM {v_projects}""")(lambda *tables_: _loaded(*tables_))
 
 
-def _loaded(rules_):
-    """Rules written as one of the tables and loaded with the fixed schemas."""
+def _loaded(projects, bids, results, rules_):
+    """Tables written without some of their columns and loaded with the fixed schemas."""
+    from functools import reduce
+
     from ..sources.tables import load_tables
 
-    spark = rules_.sparkSession
-    path = _scratch(spark)
-    for name in ("tender_project", "bid_document", "analysis_result", "score_modification_history", "project_audit_log"):
-        spark.createDataFrame([], schema(name)).write.parquet(f"{path}/{name}")
-    rules_.write.parquet(f"{path}/scoring_rule")
-    return load_tables(spark, path)["scoring_rule"].select("id", "project_id", "Child_max_score")
+    spark, path = projects.sparkSession, _scratch(projects.sparkSession)
+    history = results.where("total_score > 90").select("id", F.col("id").alias("result_id"), F.col("detailed_scores").alias("old_scores"))
+    log = projects.select("id", F.col("id").alias("project_id"), F.col("status").alias("operation"))
+    own = {"tender_project": projects, "bid_document": bids, "analysis_result": results, "scoring_rule": rules_, "score_modification_history": history, "project_audit_log": log}
+    filled = {"tender_project": "scoring_rules_summary", "bid_document": "bidder_name", "analysis_result": "total_score", "scoring_rule": "Child_Item_Name", "score_modification_history": "old_scores", "project_audit_log": "operation"}
+    for name, df in own.items():
+        kinds = {f.name: f.dataType for f in schema(name)}
+        df.select(*[F.col(c).cast(kinds[c]) for c in df.columns if c in kinds]).write.parquet(f"{path}/{name}")
+    loaded = load_tables(spark, path)
+    return reduce(lambda a, b: a.unionByName(b), [loaded[name].agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"), F.count(c).alias("filled")).select(F.lit(name).alias("name"), "n", "ids", "filled") for name, c in filled.items()])
 
 
 def _scratch(spark):
-    import uuid
-
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tenderlake-")
+    """A new folder that all executors share."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="tenderlake-")
     return f"{shared.rstrip('/')}/scratch-{uuid.uuid4().hex}"
 
 
@@ -284,8 +359,17 @@ def _changed(orders):
     return changed_documents(files, old).select("path")
 
 
-query("export_json", "nation", sql="""SELECT concat('{"n_nationkey":', n_nationkey, ',"n_name":"', n_name, '","n_regionkey":', n_regionkey, '}') AS json FROM {nation}""")(lambda n: as_json(n.select("n_nationkey", "n_name", "n_regionkey")))
-query("check_schema", "v_rules", sql="SELECT * FROM (VALUES ('id', true, 'bigint'), ('project_id', true, 'bigint'), ('Parent_Item_Name', true, 'string'), ('Parent_max_score', true, 'int'), ('Child_Item_Name', true, 'string'), ('Child_max_score', true, 'int'), ('description', true, 'string'), ('is_veto', true, 'boolean'), ('is_price_criteria', true, 'boolean'), ('price_formula', true, 'string')) t(field, \"exists\", actual_type)")(lambda r: check_schema(r, schema("scoring_rule")))
+query("export_json", "supplier", sql="""SELECT concat('{"s_suppkey":', s_suppkey, ',"s_name":"', s_name, '","s_nationkey":', CASE WHEN s_nationkey = 3 THEN 'null' ELSE s_nationkey::VARCHAR END, '}') AS json FROM {supplier}""")(lambda s: as_json(s.select("s_suppkey", "s_name", F.nullif("s_nationkey", F.lit(3)).alias("s_nationkey"))))
+query("check_schema", "v_rules", sql="""SELECT 'id' AS field, true AS "exists", 'bigint' AS actual_type, count(id) AS n_values FROM {v_rules} UNION ALL SELECT 'project_id', true, 'bigint', count(project_id) FROM {v_rules} UNION ALL SELECT 'Parent_Item_Name', true, 'string', count(Parent_Item_Name) FROM {v_rules} UNION ALL SELECT 'Parent_max_score', true, 'int', count(Parent_max_score) FROM {v_rules}
+    UNION ALL SELECT 'Child_Item_Name', true, 'string', count(Child_Item_Name) FROM {v_rules} UNION ALL SELECT 'Child_max_score', true, 'int', count(Child_max_score) FROM {v_rules} UNION ALL SELECT 'description', false, NULL, 0 UNION ALL SELECT 'is_veto', true, 'boolean', count(is_veto) FROM {v_rules}
+    UNION ALL SELECT 'is_price_criteria', true, 'boolean', count(is_price_criteria) FROM {v_rules} UNION ALL SELECT 'price_formula', true, 'string', count(price_formula) FROM {v_rules} UNION ALL SELECT 'note', true, 'string', count(CASE WHEN id % 2 = 0 THEN description END) FROM {v_rules}""")(lambda r: _checked(r))
+
+
+def _checked(rules_):
+    """Rules written with a column missing and one more, checked as they are in the files."""
+    path = _scratch(rules_.sparkSession)
+    rules_.withColumn("note", F.expr("if(id % 2 = 0, description, null)")).drop("description").write.parquet(path)
+    return check_schema(rules_.sparkSession.read.parquet(path), schema("scoring_rule"))
 
 
 def _status_stream(spark, sf_dir):
@@ -314,3 +398,4 @@ def _score_stream(spark, sf_dir):
 
 
 QUERIES["score_on_complete_stream"] = _score_stream
+ORACLE["score_on_complete_stream"] = with_views(f"""WITH {SCORED}, ready AS (SELECT project_id FROM {{v_bids}} GROUP BY 1 HAVING project_id % 2 = 0 OR count(*) FILTER (processing_status = 'processing') = 0) SELECT project_id, bidder_name, price, price_score FROM scored JOIN ready USING (project_id)""")

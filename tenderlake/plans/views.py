@@ -32,6 +32,15 @@ VIEWS = {
         CASE k WHEN 1 THEN CASE WHEN p_size % 7 = 0 THEN 25 ELSE 20 END WHEN 2 THEN 20 WHEN 3 THEN 10 WHEN 4 THEN 10 END AS Child_max_score,
         concat('rule ', p_name) AS description, k = 4 AND p_size % 13 = 0 AS is_veto, k = 5 AS is_price_criteria, cast(NULL AS string) AS price_formula
         FROM {part} CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5) ks WHERE NOT (k = 5 AND p_size % 11 = 0)""",
+    "v_rules_more": """SELECT * FROM {v_rules}
+        UNION ALL SELECT p_partkey * 10 + 6, p_partkey, '信誉', 10, cast(NULL AS string), cast(NULL AS int), 'no children', false, false, cast(NULL AS string) FROM {part} WHERE p_size % 3 = 0
+        UNION ALL SELECT p_partkey * 10 + 7, p_partkey, '报价', 35, cast(NULL AS string), cast(NULL AS int), 'a second price rule', false, true, cast(NULL AS string) FROM {part} WHERE p_size % 4 = 0""",
+    "v_scores": """SELECT id, project_id, bidder_name, CASE qty % 4
+            WHEN 0 THEN concat('[{"criteria_name":"技术","score":', cast(disc AS string), ',"weight":2.5,"children":[{"criteria_name":"团队","score":1},{"criteria_name":"投标报价","score":3,"extra":"e"}]}]')
+            WHEN 1 THEN concat('{"方案":', cast(disc AS string), ',"价格分":4,"其他":{"score":1}}')
+            WHEN 2 THEN concat('[{"Child_Item_Name":"方案","score":', cast(disc AS string), '},{"is_price_criteria":true,"score":7,"note":null}]')
+            ELSE concat('[{"criteria_name":"方案","score":', cast(disc AS string), '}]') END AS detailed_scores
+        FROM {v_bids}""",
     "v_projects": """SELECT p_partkey AS id, concat('P', cast(p_partkey AS string)) AS project_code, p_name AS name, p_type AS description, p_brand AS status,
         CASE WHEN p_size % 17 = 0 THEN concat('[{"category":"总","criteria_name":"', p_brand, '","max_score":100,"description":"d"}]') END AS scoring_rules_summary FROM {part}""",
     "v_events": """SELECT user_id AS id, user_id % 10 AS project_id, event_type, ts, cast(value AS int) AS value FROM {events}""",

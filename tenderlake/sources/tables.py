@@ -43,9 +43,9 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def export_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
 def as_json(df: DataFrame) -> DataFrame:
-    """One JSON object a row, nulls left out, text as it is."""
-    return df.select(F.to_json(F.struct(*df.columns)).alias("json"))
+    """One JSON object a row, with nulls, text as it is."""
+    return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("json"))

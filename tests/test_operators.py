@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from tenderlake.functions import answers, numbers, text
 from tenderlake.operators import names, prices, rules, sections, tables
 
+# Sample pages, names and answers whose results must match.
 PAGES = {
     "a": ["投标函\n投标项目：XXX项目\n投标报价：￥1,729,800.00\n大写：壹佰柒拾贰万玖仟捌佰元整", "投标一览表\n项目名称：XXX项目\n投标单位：山东创杰智慧装备科技有限公司\n小写金额：￥2,270,000.00\n大写金额：贰佰贰拾柒万元整", "其他页面内容\n分项报价：￥50,000.00\n其他内容..."],
     "b": ["没有价格", None, ""],
@@ -113,3 +114,102 @@ def test_status_stream_keeps_its_table_in_files(spark, tmp_path):
     assert run((1, "signup", "2024-01-05 00:00:00", 1.0), (2, "view", "2024-01-05 00:00:00", 2.0), (1, "click", "2024-01-06 00:00:00", 3.0)) == {1: ("processing", 3.0), 2: ("processing", 2.0)}
     # The next batch brings one older event and one newer one.
     assert run((1, "error", "2024-01-01 00:00:00", 4.0), (2, "purchase", "2024-02-01 00:00:00", 5.0), (3, "x", "2023-01-01 00:00:00", 6.0)) == {1: ("processing", 3.0), 2: ("completed", 5.0), 3: ("x", 6.0)}
+
+
+TREES = [
+    (1, 1, "a", '[{"Child_Item_Name":"x","score":5,"weight":2.50},{"criteria_name":"t","score":1,"children":[{"criteria_name":"u","children":[{"criteria_name":"PRICE","score":3,"k":[1]}]}]},7]'),
+    (2, 1, "b", '{"方案":1.5,"价格分":{"score":4}}'), (3, 1, "c", "oops"), (4, 1, "d", '[{"criteria_name":"报价","score":0},{"is_price_criteria":true,"score":9}]'), (5, 1, "e", None), (6, 1, "f", '[{"criteria_name":"报价"}]'), (7, 2, "a", '[{"criteria_name":"报价","score":1}]'),
+]
+
+
+def test_price_items_at_any_depth(spark):
+    import json
+
+    from tenderlake.operators import scores
+
+    results = spark.createDataFrame(TREES, "id long, project_id long, bidder_name string, detailed_scores string")
+    assert dict(scores.find_price_score(results).collect()) == {1: 3.0, 2: 4.0, 3: 0.0, 4: 0.0, 5: 0.0, 6: 0.0, 7: 1.0}
+    scored = spark.createDataFrame([(1, b, 12.5) for b in "abcdef"], "project_id long, bidder_name string, price_score double")
+    out = {r["id"]: r["detailed_scores"] for r in scores.update_price_in_scores(results, scored).collect()}
+    assert out[3] == "oops" and out[5] is None and out[7] == TREES[6][3]
+    put = {"score": 12.5, "is_price_criteria": True, "reason": scores.NEW_REASON + "12.5"}
+    want = json.loads(TREES[0][3])
+    want[1]["children"][0]["children"][0] |= put
+    assert json.loads(out[1]) == want and '"weight":2.5' in out[1]
+    assert json.loads(out[2]) == {"方案": 1.5, "价格分": 12.5}
+    assert json.loads(out[4]) == [{"criteria_name": "报价"} | put, put] and json.loads(out[6]) == [{"criteria_name": "报价"} | put]
+
+
+def test_parents_without_children_count_by_their_own_maximum(spark):
+    rows = [(1, 1, "T", 20, None, None, False), (2, 1, "C", 40, "c1", 40, False), (3, 1, "价格", 40, None, None, True), (4, 2, "T", 30, None, None, False), (5, 2, "P", 10, None, None, True), (6, 2, "P", 40, None, None, True)]
+    df = spark.createDataFrame(rows, "id long, project_id long, Parent_Item_Name string, Parent_max_score int, Child_Item_Name string, Child_max_score int, is_price_criteria boolean")
+    out = {r["id"]: (r["parent_max"], r["child_max"]) for r in rules.normalise_to_100(df).collect()}
+    assert out == {1: (20.0, None), 2: (40.0, 40.0), 3: (40.0, None), 4: (60.0, None), 5: (10.0, None), 6: (40.0, None)}
+    assert {r["project_id"]: (r["total"], r["off"]) for r in rules.rule_total_check(df).collect()} == {1: (100.0, False), 2: (70.0, True)}
+
+
+def test_bonds_in_numerals_with_blanks_and_first_matches(spark):
+    df = spark.createDataFrame([(1, 0, "投标保证金：伍 万元"), (1, 1, "x 押金: 0 和 押金: 500"), (1, 2, "押金: 合计 1" + "x" * 40 + "押金: 500")], "doc_id long, page_no int, text string")
+    assert {(r["page_no"], r["value"], r["confidence"]) for r in prices.extract_bonds(df).collect()} == {(0, 50000.0, 70.0), (2, 500.0, 60.0)}
+
+
+def test_white_space_of_any_kind_is_no_text(spark):
+    from tenderlake.operators import pages
+
+    df = spark.createDataFrame([(1, 0, "\n\t\u3000\n"), (1, 1, "\u3000x\x1f"), (1, 2, None)], "doc_id long, page_no int, text string")
+    out = {r["page_no"]: (r["failed"], r["doc_chars"]) for r in pages.page_quality(df, df.limit(0)).collect()}
+    assert out == {0: (True, 1), 1: (False, 1), 2: (True, 1)}
+    assert _one(spark, "\u3000\t", text.name_update_reason) == "名称过短"
+
+
+def test_price_answers_by_line(spark):
+    out = _one(spark, '"甲": 3 "乙": 4\n"丙"：5\n"丁": 6.', answers.parse_price_answer)
+    assert out == {"甲": 3.0, "丁": 6.0}
+
+
+def test_standard_formulas(spark):
+    assert _one(spark, "得分 = (投标报价最低价/投标报价) × 100", answers.formula_from_standard) == "得分 = (投标报价最低价/投标报价) × 100"
+    assert _one(spark, "投标报价得分 x\n无", answers.formula_from_standard) == "投标报价得分 x\n无"
+
+
+def test_similar_rules_equal_brute_force(spark):
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/part.parquet").selectExpr("cast(p_partkey div 20 as int)", "cast(p_partkey as int)", "p_name", "cast(p_size as double)").limit(1000).collect()]
+    df = spark.createDataFrame(rows, "doc int, nth int, criteria_name string, max_score double")
+    got = {(r["doc"], r["slot"]): (r["nth"], r["criteria_name"], r["max_score"]) for r in rules.dedupe_similar_rules(df).collect()}
+    kept: dict[int, list] = {}
+    for doc, nth, name, top in sorted(rows, key=lambda r: r[1]):
+        own = kept.setdefault(doc, [])
+        for k, (_, other, most) in enumerate(own):
+            a, b = set(other), set(name)
+            if name == other or name in other or other in name or len(a & b) / len(a | b) > 0.8:
+                own[k] = (nth, name, top) if top > most else own[k]
+                break
+        else:
+            own.append((nth, name, top))
+    assert got == {(doc, k): x for doc, own in kept.items() for k, x in enumerate(own)}
+    assert len(got) < len(rows)
+
+
+def test_rules_hang_on_the_nearest_less_deep_one(spark):
+    numbers_ = [["1"], ["1", "1"], ["1", "1", "1"], ["1", "1", "1", "1"], ["1", "2", "1"], ["2", "1", "1"], ["2", "2"]]
+    df = spark.createDataFrame([("d", x) for x in numbers_], "doc string, numbering array<string>")
+    out = {".".join(r["numbering"]): r["parent"] and ".".join(r["parent"]) for r in rules.attach_parent(df).collect()}
+    assert out == {"1": None, "1.1": "1", "1.1.1": "1.1", "1.1.1.1": "1.1.1", "1.2.1": "1.1", "2.1.1": "1.1", "2.2": "1"}
+
+
+def test_complete_projects_are_scored_over_batches_and_replays(spark, tmp_path):
+    from tenderlake.streaming.status import score_on_complete
+
+    target, kind = f"file://{tmp_path}/scores", "id long, project_id long, processing_status string"
+    results = spark.createDataFrame([(1, 10.0), (2, 20.0), (1, 30.0)], "project_id long, price double")
+    state = {"bids": [(1, 1, "completed"), (2, 1, "processing"), (3, 2, "completed")]}
+    handle = score_on_complete(target, lambda: (spark.createDataFrame(state["bids"], kind), results), lambda r: r.groupBy("project_id").agg(F.count(F.lit(1)).alias("n"), F.sum("price").alias("total")))
+    read = lambda: {(r["project_id"], r["n"], r["total"]) for r in spark.read.parquet(target).collect()}
+    first = spark.createDataFrame(state["bids"], kind)
+    handle(first, 0)
+    assert read() == {(2, 1, 20.0)}
+    state["bids"][1] = (2, 1, "completed")
+    second = spark.createDataFrame([state["bids"][1]], kind)
+    for _ in range(2):  # a batch that comes again changes nothing
+        handle(second, 1)
+        assert read() == {(1, 2, 40.0), (2, 1, 20.0)}
