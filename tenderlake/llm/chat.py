@@ -5,6 +5,9 @@ the mask covers what the assistant is to learn: the text of its turns with the e
 most ``block`` turns, in order, so that no task gathers a dialogue of any length; the blocks' texts one after the other
 are the whole rendering and ``char_offset`` says where a block starts in it. Masks are start:end pairs of code points in the block.
 
+Marks of the format within texts and names are broken up by a backslash, and line ends in names become blanks, so that no
+text can open another's turn. A speaker of the system's name is the system and no participant.
+
 Edge cases: null text counts as empty, a null speaker is named "unknown", null turns come first; turns with equal numbers
 are ordered by speaker and text, repeated rows are all rendered; a dialogue of system turns alone has no participant and
 gives no row; null dialogue ids form one dialogue; an empty table gives an empty result; extra columns are ignored.
@@ -12,7 +15,7 @@ gives no row; null dialogue ids form one dialogue; an empty table gives an empty
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -21,10 +24,14 @@ BLOCK = 64
 START, STOP = "<|im_start|>", "<|im_end|>\n"
 
 
+def _plain(text: Column) -> Column:
+    return F.replace(text, F.lit("<|im_"), F.lit("<\\|im_"))
+
+
 def numbered(turns: DataFrame, conv: str, turn: str, speaker: str, text: str) -> DataFrame:
     """conv, speaker, text, n: the place of each turn in its dialogue from 0. Rows are sorted over ranges that may cut a
     dialogue anywhere, and counted by range, so that a long dialogue is spread over tasks."""
-    rows = turns.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.coalesce(F.col(speaker), F.lit("unknown")).alias("speaker"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = turns.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.coalesce(F.col(speaker), F.lit("unknown")).alias("speaker"), _plain(F.coalesce(F.col(text), F.lit(""))).alias("text"))
     order = ["conv", "turn", "speaker", "text"]
     rows = written(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "turns")
     sizes = rows.groupBy("conv", "part").agg(F.count(F.lit(1)).alias("size"))
@@ -42,7 +49,7 @@ def perspectives(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", sp
     people = rows.where(F.col("speaker") != system).select(F.col("conv").alias("c"), F.col("speaker").alias("perspective")).distinct()
     each = rows.join(people, rows["conv"].eqNullSafe(people["c"])).drop("c")
     own = F.col("speaker") == F.col("perspective")
-    head = F.concat(F.lit(START), F.when(own, "assistant").when(F.col("speaker") == system, "system").otherwise(F.concat(F.lit("user name="), F.col("speaker"))), F.lit("\n"))
+    head = F.concat(F.lit(START), F.when(own, "assistant").when(F.col("speaker") == system, "system").otherwise(F.concat(F.lit("user name="), F.translate(_plain(F.col("speaker")), "\n\r", "  "))), F.lit("\n"))
     each = each.select("conv", "perspective", F.floor(F.col("n") / block).cast("long").alias("block_no"), "n", head.alias("head"), F.concat("text", F.lit(STOP)).alias("body"), own.alias("own"))
     group = Window.partitionBy("conv", "perspective", "block_no").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     each = each.withColumn("stop", F.sum(F.length("head") + F.length("body")).over(group))

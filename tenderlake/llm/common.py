@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 import re
 import tempfile
+import threading
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,9 +68,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
+    if scopes := getattr(_scopes, "open", None):
+        scopes[-1].append(out)
     return out
 
 
+_scopes = threading.local()
+
+
+@contextlib.contextmanager
+def tidy() -> Iterator[Callable[..., None]]:
+    """A scope at whose end the tables made by written() are deleted, but for those given to what it yields: what a result
+    still reads. These pass on to the scope around it, if there is one."""
+    scopes = _scopes.__dict__.setdefault("open", [])
+    made: list[DataFrame] = []
+    kept: list[DataFrame] = []
+    scopes.append(made)
+    try:
+        yield lambda *tables: kept.extend(tables)
+    finally:
+        scopes.pop()
+        forget(*[df for df in made if not any(df is k for k in kept)])
+        if scopes:
+            scopes[-1].extend(kept)
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete tables made by written() that no later plan reads."""
     for df in tables:

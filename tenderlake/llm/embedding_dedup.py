@@ -4,7 +4,8 @@ Unit vectors at cosine c are at distance sqrt(2 - 2c) = epsilon, and a projectio
 vectors are sorted by their grid cells (width epsilon) on the leading principal dimensions, within their label. The sorted
 sequence is cut into blocks; intervals of 16 blocks, of 16 such intervals and so on form a tree whose nodes know the box
 of their projections. The join descends from pairs of whole sequences to pairs of blocks, a Spark join a level, and
-drops a pair of intervals as soon as their boxes are more than epsilon apart. Surviving block pairs are compared exactly.
+drops a pair of intervals as soon as their boxes are more than epsilon apart. Surviving block pairs are compared exactly, in
+tiles of 8 by 8 blocks, so that a block's vectors travel once a tile and not once a pair.
 
 A pair of blocks hands on a count and a root for each linked vector, not its pairs. Equal vectors are folded into one
 before the join and count as links of each other. Edge cases: vectors that are null, empty, zero or hold null or
@@ -22,13 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, frugal, small_batches, written
+from .common import free_name, frugal, small_batches, tidy, written
 from .components import connected
 
 AXES = 6
 BLOCK = 512
 FANOUT_BITS = 4
-SEQ_BITS = 20  # blocks in a partition
+TILE_BITS = 3  # blocks of 8 meet blocks of 8 in a task
+SAMPLE, SAMPLE_BYTES, LENGTHS = 4096, 32 << 20, 16  # what axes are fitted on
 
 
 def _vectors(key: bytes) -> np.ndarray:
@@ -52,48 +54,33 @@ def _packed(rows: DataFrame, vector: str, key: str) -> DataFrame:
 
 
 def _axes(distinct: DataFrame) -> dict[int, np.ndarray]:
-    """The leading principal dimensions of the unit vectors of each length: sums of products over all rows, added up in
-    Spark; what comes back is bounded by the square of the length."""
-
-    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            by_length: dict[int, list] = {}
-            for key in batch.column(0).to_pylist():
-                by_length.setdefault(len(key) // 8, []).append(_vectors(key))
-            for d, rows in by_length.items():
-                m = np.array(rows)
-                m = np.hstack([m / np.sqrt((m * m).sum(1, keepdims=True)), np.ones((len(m), 1))])
-                sums[d] = sums.get(d, 0) + m.T @ m
-        for d, s in sums.items():
-            i, j = np.indices(s.shape)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(s.size, d)), pa.array(i.ravel()), pa.array(j.ravel()), pa.array(s.ravel())], ["d", "i", "j", "s"])
-
-    rows = distinct.select("key").mapInArrow(frugal(moments), "d long, i long, j long, s double").groupBy("d", "i", "j").agg(F.sum("s").alias("s")).collect()
-    full: dict[int, np.ndarray] = {}
-    for d, i, j, s in rows:
-        full.setdefault(d, np.zeros((d + 1, d + 1)))[i, j] = s
+    """The leading principal dimensions of the unit vectors of each of the LENGTHS most frequent lengths, fitted on a sample
+    of at most SAMPLE vectors and SAMPLE_BYTES of each, those with the smallest hashes. Other lengths use their first
+    coordinates. The axes decide how many blocks are compared, never what links."""
+    lengths = distinct.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").limit(LENGTHS).collect()
     out = {}
-    for d, m in full.items():
-        mean = m[:d, d] / m[d, d]
-        _, vectors = np.linalg.eigh(m[:d, :d] / m[d, d] - np.outer(mean, mean))
-        out[d] = vectors[:, ::-1][:, :AXES]
+    for d, _ in lengths:
+        most = max(1, min(SAMPLE, SAMPLE_BYTES // (8 * d)))
+        keys = distinct.where(F.col("dim") == d).select("key").orderBy(F.xxhash64("key"), "key").limit(most).toArrow().column(0).to_pylist()
+        m = np.array([_vectors(k) for k in keys])
+        m /= np.sqrt((m * m).sum(1, keepdims=True))
+        out[d] = np.linalg.svd(m - m.mean(0), full_matrices=False)[2][:AXES].T
     return out
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of at most BLOCK rows of one label and length, in grid order: idx, label, lo, hi, ids, counts, vectors."""
+    """Runs of at most BLOCK rows of one label and length, in grid order: part and seq (their place), label, dim, lo, hi, ids, counts, vectors."""
     from pyspark import TaskContext
 
     part, seq, have = TaskContext.get().partitionId(), 0, []
-    names = ["idx", "label", "dim", "lo", "hi", "ids", "counts", "vectors"]
+    names = ["part", "seq", "label", "dim", "lo", "hi", "ids", "counts", "vectors"]
 
     def block():
         p = np.array([x[3] for x in have])
-        return [part << SEQ_BITS | seq, have[0][0], have[0][1], p.min(0).tolist(), p.max(0).tolist(), np.array([x[2] for x in have], "<i8").tobytes(), np.array([x[5] for x in have], "<i8").tobytes(), b"".join(x[4] for x in have)]
+        return [part, seq, have[0][0], have[0][1], p.min(0).tolist(), p.max(0).tolist(), np.array([x[2] for x in have], "<i8").tobytes(), np.array([x[5] for x in have], "<i8").tobytes(), b"".join(x[4] for x in have)]
 
     def batch_of(rows):
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.binary(), pa.binary(), pa.binary()]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.binary(), pa.binary(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     for batch in batches:
@@ -135,71 +122,115 @@ def _pairs(blocks: DataFrame, eps: float) -> DataFrame:
     return pairs.select("label", "dim", F.col("a_up").alias("a"), F.col("b_up").alias("b"))
 
 
-def _compare(cosine: float):
+def _compare(cosine: float, eps: float):
+    """Exact comparison of the blocks of each tile (label, dim, ta, tb): a block of ta with one of tb, where their boxes are
+    near. A tile holds 2 ** TILE_BITS blocks of each side at most."""
+
+    def near(a: dict, b: dict) -> bool:
+        gap = np.maximum(0, np.maximum(a["lo"] - b["hi"], b["lo"] - a["hi"]))
+        return (gap * gap).sum() <= eps * eps
+
+    def links(a: dict, b: dict) -> Iterator[pa.RecordBatch]:
+        same = a["idx"] == b["idx"]
+        (ia, ca, x), (ib, cb, y) = ((s["ids"], s["counts"], s["vectors"]) for s in (a, b))
+        link = (x @ y.T) / np.outer(a["norms"], b["norms"]) >= cosine
+        if same:
+            np.fill_diagonal(link, False)
+        if not link.any():
+            return
+        big = np.iinfo(np.int64).max
+        ra, rb = ia.copy(), ib.copy()
+        while True:  # smallest id reachable inside the pair of blocks
+            na = np.minimum(ra, np.where(link, rb[None, :], big).min(1))
+            nb = np.minimum(rb, np.where(link, na[:, None], big).min(0))
+            if (na == ra).all() and (nb == rb).all():
+                break
+            ra, rb = na, nb
+        sides = [(ia, link @ cb, ra)] if same else [(ia, link @ cb, ra), (ib, ca @ link, rb)]
+        for ids, n, root in sides:
+            some = n > 0
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(n[some].astype(np.int64)), pa.array(root[some])], ["id", "n", "root"])
+
+    def tile(key: tuple, blocks: list[dict]) -> Iterator[pa.RecordBatch]:
+        _, _, ta, tb = key
+        for a in blocks:
+            for b in blocks:
+                if a["idx"] >> TILE_BITS == ta and b["idx"] >> TILE_BITS == tb and a["idx"] <= b["idx"] and near(a, b):
+                    yield from links(a, b)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, blocks = None, []
         for batch in batches:
             for k in range(batch.num_rows):
-                same, dim, ia, ca, va, ib, cb, vb = (batch.column(n)[k].as_py() for n in ("same", "dim", "ids_a", "counts_a", "vectors_a", "ids_b", "counts_b", "vectors_b"))
-                ia, ib, ca, cb = (np.frombuffer(x, "<i8") for x in (ia, ib, ca, cb))
-                a, b = np.frombuffer(va, "<f8").reshape(-1, dim), np.frombuffer(vb, "<f8").reshape(-1, dim)
-                dots = (a @ b.T) / np.outer(np.sqrt((a * a).sum(1)), np.sqrt((b * b).sum(1)))
-                link = dots >= cosine
-                if same:
-                    np.fill_diagonal(link, False)
-                if not link.any():
-                    continue
-                big = np.iinfo(np.int64).max
-                ra, rb = ia.copy(), ib.copy()
-                while True:  # smallest id reachable inside the pair of blocks
-                    na = np.minimum(ra, np.where(link, rb[None, :], big).min(1))
-                    nb = np.minimum(rb, np.where(link, na[:, None], big).min(0))
-                    if (na == ra).all() and (nb == rb).all():
-                        break
-                    ra, rb = na, nb
-                sides = [(ia, link @ cb, ra)] if same else [(ia, link @ cb, ra), (ib, ca @ link, rb)]
-                for ids, n, root in sides:
-                    some = n > 0
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(n[some].astype(np.int64)), pa.array(root[some])], ["id", "n", "root"])
+                row = {n: batch.column(n)[k].as_py() for n in batch.schema.names}
+                key = tuple(row[n] for n in ("label", "dim", "ta", "tb"))
+                if key != last:
+                    if blocks:
+                        yield from tile(last, blocks)
+                    last, blocks = key, []
+                vectors = np.frombuffer(row["vectors"], "<f8").reshape(-1, row["dim"])
+                blocks.append({"idx": row["idx"], "lo": np.array(row["lo"]), "hi": np.array(row["hi"]), "ids": np.frombuffer(row["ids"], "<i8"), "counts": np.frombuffer(row["counts"], "<i8"), "vectors": vectors, "norms": np.sqrt((vectors * vectors).sum(1))})
+        if blocks:
+            yield from tile(last, blocks)
 
     return run
 
 
+def _numbered(blocks: DataFrame) -> DataFrame:
+    """blocks with idx: their number in the whole sequence. What comes to the driver is a count for each partition."""
+    sizes = sorted((r[0], r[1]) for r in blocks.groupBy("part").agg(F.max("seq") + 1).collect())
+    rows, base = [], 0
+    for part, n in sizes:
+        rows.append((part, base))
+        base += n
+    bases = blocks.sparkSession.createDataFrame(rows, "part long, base long")
+    return blocks.join(bases, "part").withColumn("idx", F.col("base") + F.col("seq")).drop("part", "seq", "base")
+
+
 def link_vectors(rows: DataFrame, cosine: float = 0.93, id: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """rows with n_links, component_id and kept; only vectors of equal labels are compared."""
     rows = small_batches(rows).drop(*[c for c in rows.columns if c.lower() in ("n_links", "component_id", "kept")])
     key, rep, lab = (free_name(rows, c) for c in ("key", "rep", "lab"))
     eps = float(np.sqrt(2 - 2 * cosine)) + 1e-6
-    packed = written(_packed(rows, vector, key).withColumn(lab, F.col(label).cast("string")), "vectors")
-    usable = F.col(key).isNotNull() & F.col(lab).isNotNull() & F.col(id).isNotNull()
-    distinct = packed.where(usable).groupBy(F.col(lab).alias("label"), F.col(key).alias("key")).agg(F.min(F.col(id).cast("long")).alias("id"), F.count(F.lit(1)).alias("n"))
-    distinct = written(distinct.withColumn("dim", (F.octet_length("key") / 8).cast("long")), "distinct")
-    axes = rows.sparkSession.sparkContext.broadcast(_axes(distinct))
-
-    @F.arrow_udf("array<double>")
-    @frugal
-    def project(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            out = []
-            for k in batch.to_pylist():
-                v = _vectors(k)
-                p = np.zeros(AXES)
-                p[: min(AXES, len(v))] = v @ axes.value[len(v)] / np.sqrt(v @ v)
-                out.append(p.tolist())
-            yield pa.array(out, pa.list_(pa.float64()))
-
-    placed = distinct.withColumn("at", project("key"))
-    cells = [f"cell{i}" for i in range(AXES)]
-    placed = placed.withColumns({c: F.floor(F.get("at", F.lit(i)) / eps) for i, c in enumerate(cells)})
-    order = ["label", "dim", *cells, "id"]
-    ordered = placed.repartitionByRange(*order).sortWithinPartitions(*order).select("label", "dim", "id", "at", "key", "n")
-    blocks = written(ordered.mapInArrow(frugal(_blocks), "idx long, label string, dim long, lo array<double>, hi array<double>, ids binary, counts binary, vectors binary"), "blocks")
-    side = lambda s: blocks.select(F.col("label"), F.col("dim"), F.col("idx").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("ids", "counts", "vectors")])
-    both = _pairs(blocks, eps).join(side("a"), ["label", "dim", "a"]).join(side("b"), ["label", "dim", "b"]).withColumn("same", F.expr("a = b"))
-    found = written(both.drop("label", "a", "b").mapInArrow(frugal(_compare(cosine)), "id long, n long, root long"), "found")
-    counts = found.groupBy("id").agg(F.sum("n").alias("n_others"))
-    comps = connected(found.select(F.col("id").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("id"), "component")
-    classes = distinct.select(F.col("label").alias(lab), F.col("key").alias(key), F.col("id"), "n").join(counts, "id", "left").join(comps, "id", "left")
-    classes = classes.select(lab, key, (F.coalesce("n_others", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    own = F.when(usable, F.col("component_id")).otherwise(F.col(id).cast("long"))
-    out = packed.join(classes, [lab, key], "left").withColumn("n_links", F.when(usable, F.col("n_links")).otherwise(0).cast("long")).withColumn("component_id", own)
-    return out.withColumn("kept", F.coalesce(F.col(id) == F.col("component_id"), F.lit(True))).select(*rows.columns, "n_links", "component_id", "kept")
+    with tidy() as kept:
+        packed = written(_packed(rows, vector, key).withColumn(lab, F.col(label).cast("string")), "vectors")
+        usable = F.col(key).isNotNull() & F.col(lab).isNotNull() & F.col(id).isNotNull()
+        distinct = packed.where(usable).groupBy(F.col(lab).alias("label"), F.col(key).alias("key")).agg(F.min(F.col(id).cast("long")).alias("id"), F.count(F.lit(1)).alias("n"))
+        distinct = written(distinct.withColumn("dim", (F.octet_length("key") / 8).cast("long")), "distinct")
+        axes = rows.sparkSession.sparkContext.broadcast(_axes(distinct))
+
+        @F.arrow_udf("array<double>")
+        @frugal
+        def project(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for batch in batches:
+                out = []
+                for k in batch.to_pylist():
+                    v = _vectors(k)
+                    along = v @ axes.value[len(v)] if len(v) in axes.value else v[:AXES]
+                    p = np.zeros(AXES)
+                    p[: len(along)] = along / np.sqrt(v @ v)
+                    out.append(p.tolist())
+                yield pa.array(out, pa.list_(pa.float64()))
+
+        placed = distinct.withColumn("at", project("key"))
+        cells = [f"cell{i}" for i in range(AXES)]
+        placed = placed.withColumns({c: F.floor(F.get("at", F.lit(i)) / eps) for i, c in enumerate(cells)})
+        order = ["label", "dim", *cells, "id"]
+        ordered = placed.repartitionByRange(*order).sortWithinPartitions(*order).select("label", "dim", "id", "at", "key", "n")
+        blocks = written(ordered.mapInArrow(frugal(_blocks), "part long, seq long, label string, dim long, lo array<double>, hi array<double>, ids binary, counts binary, vectors binary"), "blocks")
+        blocks = _numbered(blocks)
+        tile = ["label", "dim", "ta", "tb"]
+        pairs = _pairs(blocks, eps).select("label", "dim", F.shiftright("a", TILE_BITS).alias("ta"), F.shiftright("b", TILE_BITS).alias("tb"), F.explode(F.array("a", "b")).alias("idx")).distinct()
+        # A block goes to a tile once, however many blocks it meets there.
+        both = pairs.join(blocks, ["label", "dim", "idx"]).repartition(*tile).sortWithinPartitions(*tile, "idx")
+        found = written(both.mapInArrow(frugal(_compare(cosine, eps)), "id long, n long, root long"), "found")
+        kept(packed, distinct, found)
+        counts = found.groupBy("id").agg(F.sum("n").alias("n_others"))
+        comps = connected(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
+        kept(comps)
+        comps = comps.select(F.col("node").alias("id"), "component")
+        classes = distinct.select(F.col("label").alias(lab), F.col("key").alias(key), F.col("id"), "n").join(counts, "id", "left").join(comps, "id", "left")
+        classes = classes.select(lab, key, (F.coalesce("n_others", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+        own = F.when(usable, F.col("component_id")).otherwise(F.col(id).cast("long"))
+        out = packed.join(classes, [lab, key], "left").withColumn("n_links", F.when(usable, F.col("n_links")).otherwise(0).cast("long")).withColumn("component_id", own)
+        return out.withColumn("kept", F.coalesce(F.col(id) == F.col("component_id"), F.lit(True))).select(*rows.columns, "n_links", "component_id", "kept")

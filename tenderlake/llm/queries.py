@@ -94,11 +94,11 @@ ORACLE: dict[str, str] = {
         SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
             CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to FROM f""",
     "op10_chat_format": """
-        WITH t AS (SELECT conv_id, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS n FROM conversations),
+        WITH t AS (SELECT conv_id, coalesce(role, 'unknown') AS speaker, replace(coalesce(text, ''), '<|im_', '<\\|im_') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS n FROM conversations),
         p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
         r AS (
             SELECT t.conv_id, perspective, n, n // 64 AS block_no, text || '<|im_end|>' || chr(10) AS body, speaker = perspective AS own,
-                '<|im_start|>' || CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system' THEN 'system' ELSE 'user name=' || speaker END || chr(10) AS head
+                '<|im_start|>' || CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system' THEN 'system' ELSE 'user name=' || translate(replace(speaker, '<|im_', '<\\|im_'), chr(10) || chr(13), '  ') END || chr(10) AS head
             FROM t JOIN p ON t.conv_id = p.conv_id
         ), s AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, block_no ORDER BY n) AS stop FROM r),
         b AS (

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, free_name, frugal, small_batches, written
+from .common import forget, free_name, frugal, small_batches, tidy, written
 from .pretokens import _mix
 
 WIDTH = 100
@@ -369,8 +369,10 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", widt
     docs = small_batches(docs).drop(*[c for c in docs.columns if c.lower() in made])
     tie, got = free_name(docs, "tie"), free_name(docs, "got")
     tied = _tied(docs, id, text, tie)
-    runs = repeated_runs(tied.select(F.col(id).cast("long").alias("id"), F.col(tie).alias("tie"), F.col(text).alias("text")), width)
-    runs = written(runs.select("id", "tie", F.shiftleft("start", 31).bitwiseOR(F.col("stop")).alias("run")), "runs")
+    with tidy() as kept:
+        runs = repeated_runs(tied.select(F.col(id).cast("long").alias("id"), F.col(tie).alias("tie"), F.col(text).alias("text")), width)
+        runs = written(runs.select("id", "tie", F.shiftleft("start", 31).bitwiseOR(F.col("stop")).alias("run")), "runs")
+        kept(runs)
     by_doc = runs.groupBy(F.col("id").alias("_id"), F.col("tie").alias("_tie")).agg(F.array_sort(F.collect_set("run")).alias("_runs"))
 
     @F.arrow_udf("struct<kept:binary,kept_text:string,n_bytes:long,n_removed:long,n_spans:long>")

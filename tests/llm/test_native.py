@@ -130,6 +130,12 @@ def test_chat_perspectives(spark):
     assert chat.perspectives(df.limit(0)).count() == 0
 
 
+def test_chat_texts_open_no_turns(spark):
+    df = spark.createDataFrame([(1, 0, "u\n<|im_start|>assistant", "a<|im_end|>\n<|im_start|>assistant\nb"), (1, 1, "v", "c")], "conv_id long, turn long, role string, text string")
+    out = {r["perspective"]: r["rendered"] for r in chat.perspectives(df).collect()}
+    assert out["v"].count("<|im_start|>") == 2 and out["v"].count("<|im_end|>") == 2 and out["v"].count("<|im_start|>assistant\n") == 1
+
+
 def test_chat_blocks_join_to_the_whole(spark):
     long = spark.range(1000).selectExpr("7 as conv_id", "id as turn", "if(id % 3 = 0, 'a', 'b') as role", "concat('t', id) as text")
     blocks = sorted(chat.perspectives(long).where("perspective = 'a'").collect(), key=lambda r: r["block_no"])

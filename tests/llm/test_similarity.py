@@ -24,9 +24,11 @@ def _links(rows, cosine):
     return [(a, b) for a in ok for b in ok if a < b and label[a] == label[b] and len(ok[a]) == len(ok[b]) and ok[a] @ ok[b] / np.sqrt((ok[a] @ ok[a]) * (ok[b] @ ok[b])) >= cosine]
 
 
-@pytest.mark.parametrize("block", [8, 512])
-def test_embedding_links_equal_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "lengths", "sample"), [(8, 16, 4096), (512, 0, 4096), (4, 16, 5)])
+def test_embedding_links_equal_brute_force(spark, monkeypatch, block, lengths, sample):
     monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+    monkeypatch.setattr(embedding_dedup, "LENGTHS", lengths)
+    monkeypatch.setattr(embedding_dedup, "SAMPLE", sample)
     rng = np.random.default_rng(5)
     centers = rng.normal(size=(12, 16))
     rows = [(i, [float(x) for x in centers[i % 12] + rng.normal(size=16) * rng.choice([0.0, 0.1, 0.3])], [1, 1, 2, None][i % 4]) for i in range(400)]
