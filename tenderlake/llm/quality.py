@@ -12,7 +12,7 @@ most of the documents labelled bad, then the strictest, then the one with all ru
 Strata with so few good labels that nothing could pass even without a false rejection are tested together, as one pooled
 stratum, and use its cutoffs: the bound then holds for the good documents of these strata taken together. Sizes alone
 decide who is pooled, and the correction counts the pool as one stratum. Strata without any good label, and a pool that is
-still too small, have the base rules only. What comes to the driver is two counts of strata.
+still too small, have the base rules only. What comes to the driver is counts of strata.
 
 Edge cases: null text counts as empty (no words: fails the base rules); words are runs of anything but ASCII white space,
 so texts of any length and script are measured whole; a null stratum is a stratum of its own; a document labelled twice
@@ -44,6 +44,7 @@ LADDERS: dict[str, list[int]] = {
 #: All rules, and all but one; levels of strictness (ladders that are shorter stay at their strictest cutoff).
 RULE_SETS = [list(LADDERS), *[[r for r in LADDERS if r != left_out] for left_out in LADDERS]]
 LEVELS = max(map(len, LADDERS.values()))
+FEW_STRATA = 10_000  # rows of some 60 bytes that may be sent to all tasks
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -156,12 +157,16 @@ def cutoffs(measured: DataFrame, labels: DataFrame, key: str = "doc_id", stratum
     at = lambda rule: F.get(F.array(*[F.lit(x).cast("long") for x in LADDERS[rule]]), F.least(F.col("best.level"), F.lit(len(LADDERS[rule]) - 1)))
     used = lambda rule: F.col("best.set").isin(*[s for s, rules in enumerate(RULE_SETS) if rule in rules])
     chosen = chosen.select(F.col("alone").alias("a"), F.col("own").alias("o"), *[F.when(used(rule), at(rule)).alias(f"{rule}_from") for rule in LADDERS])
-    return placed.join(chosen, (F.col("alone") == F.col("a")) & F.col("own").eqNullSafe(F.col("o"))).select(stratum, *[f"{rule}_from" for rule in LADDERS])
+    out = placed.join(chosen, (F.col("alone") == F.col("a")) & F.col("own").eqNullSafe(F.col("o"))).select(stratum, *[f"{rule}_from" for rule in LADDERS])
+    return written(out, "cutoffs")
 
 
 def judge(measured: DataFrame, chosen: DataFrame, stratum: str = "lang") -> DataFrame:
-    """measured with kept: false where a base rule failed or a score reaches its stratum's cutoff."""
+    """measured with kept: false where a base rule failed or a score reaches its stratum's cutoff. Strata are few as a rule;
+    if they are counted and few, their cutoffs go to all tasks and no row is dealt by stratum."""
     named = chosen.withColumnRenamed(stratum, "_stratum")
+    if chosen.count() <= FEW_STRATA:
+        named = F.broadcast(named)
     rejected = reduce(lambda a, b: a | b, [F.coalesce(F.col(rule) >= F.col(f"{rule}_from"), F.lit(False)) for rule in LADDERS])
     joined = measured.drop("kept").join(named, F.col(stratum).eqNullSafe(F.col("_stratum")), "left")
     return joined.withColumn("kept", ~F.col("base_failed") & ~rejected).drop("_stratum", *[f"{rule}_from" for rule in LADDERS])

@@ -2,6 +2,7 @@ import re
 import zlib
 
 import numpy as np
+import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -97,3 +98,29 @@ def test_patterns_use_every_piece_once():
                 used[k] = used.get(k, 0) + times
         assert used == counts
         assert sum(t for _, t in bins) <= 1.01 * sum(k * n for k, n in counts.items()) / 2048 + 1
+
+
+ODD = [(1, None), (2, ""), (3, " \n\t"), (4, "one two"), (5, "one two"), (5, "one two"), (None, "one two"), (6, "é" * 300), (7, "x" + "é" * 300), (8, "word " * 20_000), (9, " ".join(f"w{i}" for i in range(400))), (9, " ".join(f"w{i}" for i in range(400))), (10, "Password = abcdefgh " + "".join(f"{i} " for i in range(300)))]
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_take_odd_and_empty_tables(spark, name):
+    """Nulls in every column, empty, blank and very long texts, repeated rows, a column of a clashing name, no rows."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    rows = [(i, t, None if i == 4 else "en", None, None, "x", 1) for i, t in ODD]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept string, spans int")
+    out = stage(spark, docs, SF).collect()
+    ids = sorted(str(r["doc_id"]) for r in out)
+    if name == "quality rules":
+        assert ids == ["10", "9", "9"]
+    elif name == "near duplicates":
+        # One row of each group stays, with rows that repeat it; texts without words, and rows without an id, link with nothing.
+        assert ids == sorted(["1", "2", "3", "4", "None", "6", "7", "8", "9", "9", "10"])
+    elif name == "repeated passages":
+        text = {r["doc_id"]: r["text"] for r in out}
+        assert len(ids) == len(ODD) and text[7] == "x" and text[6] == "é" and len(text[8]) < 200
+    elif name == "secrets":
+        assert len(ids) == len(ODD) and all("abcdefgh" not in (r["text"] or "") for r in out)
+    else:
+        assert {str(i) for i, _ in ODD} == set(ids) and all(0 < r["length"] <= 2048 for r in out)
+    assert stage(spark, docs.limit(0), SF).count() == 0
