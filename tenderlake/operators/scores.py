@@ -24,28 +24,33 @@ DEPTH = 8  # levels of children that are followed in a tree of scores
 NEW_REASON, PRICE_REASON, NO_PRICE_REASON = "根据评标规则重新计算的价格分: ", "根据价格评分规则计算得出。提取到的报价为: ", "未提取到有效报价，价格分设为0"
 
 
-def score_items(results: DataFrame) -> DataFrame:
-    """results with one row an item: pos, item (Child_Item_Name, else criteria_name), score, price_item, item_price; lists
-    and maps alike. Results without items give none."""
-    text = F.col("detailed_scores")
+def _item_array(text: Column) -> Column:
+    """The items of a text of scores, a list or a map: array of (pos, item, score, price_item, item_price), null if neither."""
     from_list = F.when(text.rlike(r"^\s*\["), F.from_json(text, ITEMS))
     from_map = F.when(text.rlike(r"^\s*\{"), F.from_json(text, "map<string,string>"))
     name = lambda x: F.coalesce(F.nullif(x["Child_Item_Name"], F.lit("")), x["criteria_name"])
     flat = lambda x, i: F.struct(i.alias("pos"), name(x).alias("item"), x["score"].try_cast("double").alias("score"), F.coalesce(x["is_price_criteria"], F.lit(False)).alias("price_item"), x["extracted_price"].alias("item_price"))
     pairs = F.transform(F.map_entries(from_map), lambda x, i: F.struct(i.alias("pos"), x["key"].alias("item"), x["value"].try_cast("double").alias("score"), F.lit(False).alias("price_item"), F.lit(None).cast("double").alias("item_price")))
-    return results.withColumn("_item", F.explode(F.coalesce(F.transform(from_list, flat), pairs))).select(*results.columns, "_item.*")
+    return F.coalesce(F.transform(from_list, flat), pairs)
+
+
+def score_items(results: DataFrame) -> DataFrame:
+    """results with one row an item: pos, item (Child_Item_Name, else criteria_name), score, price_item, item_price; lists
+    and maps alike. Results without items give none."""
+    return results.withColumn("_item", F.explode(_item_array(F.col("detailed_scores")))).select(*results.columns, "_item.*")
 
 
-def bid_prices(results: DataFrame) -> DataFrame:
+def bid_prices(results: DataFrame, unpriced: bool = False) -> DataFrame:
     """project_id, bidder_name, price: a price item's price in the list first, else extracted_price; of a bidder's rows the
-    last (by id) with a price."""
+    last (by id) with a price. Bidders without a price are left out, or with unpriced have null."""
     text = F.col("detailed_scores")
     items = F.filter(F.when(text.rlike(r"^\s*\["), F.from_json(text, PRICED)), lambda x: F.coalesce(x["is_price_criteria"], F.lit(False)))
     of_item = F.get(F.transform(items, lambda x: F.coalesce(x["extracted_price"], x["score"].try_cast("double"))), F.lit(0))
     priced = results.select("project_id", "bidder_name", "id", F.coalesce(of_item, F.col("extracted_price")).alias("price"))
     # Rows without a price come last in order, so that the JSON text is read once and not for a filter too.
     last = F.max_by("price", F.struct(F.col("price").isNotNull(), F.col("id")))
-    return priced.groupBy("project_id", "bidder_name").agg(last.alias("price")).where("price is not null")
+    out = priced.groupBy("project_id", "bidder_name").agg(last.alias("price"))
+    return out if unpriced else out.where("price is not null")
 
 
 def lowest_price(prices: DataFrame) -> DataFrame:
@@ -76,9 +81,9 @@ def score_prices(prices: DataFrame, tops: DataFrame, answers: DataFrame | None =
 
 def price_scores(results: DataFrame, rules: DataFrame, answers: DataFrame | None = None) -> DataFrame:
     """Price scores of all bidders with a result, those without a price get 0; projects without a price rule are left out."""
-    scored = score_prices(bid_prices(results), price_rule_max(rules), answers)
-    bidders = results.select("project_id", "bidder_name").distinct().join(price_rule_max(rules).select("project_id"), "project_id", "left_semi")
-    return bidders.join(scored, ["project_id", "bidder_name"], "left").withColumn("price_score", F.coalesce("price_score", F.lit(0.0)))
+    scored = score_prices(bid_prices(results, unpriced=True), price_rule_max(rules), answers)
+    no_price = F.col("price").isNull()
+    return scored.withColumns({"benchmark": F.when(~no_price, F.col("benchmark")), "price_score": F.when(no_price, 0.0).otherwise(F.col("price_score"))})
 
 
 def paired_price_score(prices: DataFrame, tops: DataFrame) -> DataFrame:
@@ -89,10 +94,14 @@ def paired_price_score(prices: DataFrame, tops: DataFrame) -> DataFrame:
     return out.withColumn("reason", reason)
 
 
+def _other_total(text: Column, price_word: str = PRICE_ITEM) -> Column:
+    others = F.filter(_item_array(text), lambda x: ~x["price_item"] & ~F.coalesce(x["item"].startswith(price_word), F.lit(False)) & x["score"].isNotNull())
+    return F.coalesce(F.aggregate(others, F.lit(0.0), lambda total, x: total + x["score"]), F.lit(0.0))
+
+
 def other_scores_total(results: DataFrame, price_word: str = PRICE_ITEM) -> DataFrame:
     """id, other_total: the sum of numeric scores but those of price items, by flag or by name."""
-    items = score_items(results.select("id", "detailed_scores")).where(~F.col("price_item") & ~F.coalesce(F.col("item").startswith(price_word), F.lit(False)))
-    return results.select("id").join(items.groupBy("id").agg(F.sum("score").alias("s")), "id", "left").select("id", F.coalesce("s", F.lit(0.0)).alias("other_total"))
+    return results.select("id", _other_total(F.col("detailed_scores"), price_word).alias("other_total"))
 
 
 def _items(tree: Column) -> Column:
@@ -133,11 +142,13 @@ def first_per_bidder(results: DataFrame) -> DataFrame:
 
 def apply_totals(results: DataFrame, scored: DataFrame) -> DataFrame:
     """results whose first row of each scored bidder has the new price score, price and total (other scores + price score)."""
-    new = first_per_bidder(results).join(scored.select("project_id", "bidder_name", F.col("price_score").alias("new_score"), F.col("price").alias("new_price")), ["project_id", "bidder_name"])
-    new = new.join(other_scores_total(new), "id").select("id", "new_score", "new_price", round_half_up(F.col("other_total") + F.col("new_score")).alias("new_total"))
-    out = results.join(new, "id", "left")
-    changed = {"price_score": F.coalesce("new_score", "price_score"), "extracted_price": F.coalesce("new_price", "extracted_price"), "total_score": F.coalesce("new_total", "total_score")}
-    return out.withColumns(changed).select(*results.columns)
+    place = F.row_number().over(Window.partitionBy("project_id", "bidder_name").orderBy("id"))
+    new = scored.select("project_id", "bidder_name", F.col("price_score").alias("_score"), F.col("price").alias("_price"))
+    out = results.withColumn("_first", place == 1).join(new, ["project_id", "bidder_name"], "left")
+    hit = F.col("_first") & F.col("_score").isNotNull()
+    total = round_half_up(_other_total(F.col("detailed_scores")) + F.col("_score"))
+    put = {"price_score": F.col("_score"), "extracted_price": F.coalesce("_price", "extracted_price"), "total_score": total}
+    return out.withColumns({c: F.when(hit, x).otherwise(F.col(c)) for c, x in put.items()}).select(*results.columns)
 
 
 def rank_bidders(results: DataFrame, order: Sequence[Column] | None = None) -> DataFrame:
@@ -164,25 +175,32 @@ def bid_results(bids: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def item_scores(results: DataFrame, rules: DataFrame, missing: float | None = None, last: bool = False) -> DataFrame:
-    """One row for each result and child rule that is no price rule: the score of the first (or last) item of that name."""
+    """One row for each result and child rule that is no price rule: the score of the first (or last) item of that name.
+    Items are looked up in the result's own row, so results meet rules in one join by project."""
     children = rules.where(F.col("Child_Item_Name").isNotNull() & ~F.coalesce("is_price_criteria", F.lit(False))).select("project_id", F.col("id").alias("rule_id"), F.col("Parent_Item_Name").alias("parent"), F.col("Child_Item_Name").alias("item"))
-    found = score_items(results.select("id", "detailed_scores")).groupBy("id", "item").agg((F.max_by if last else F.min_by)("score", "pos").alias("score"))
-    out = results.select("id", "project_id", "bidder_name").join(children, "project_id").join(found, ["id", "item"], "left")
-    return out.withColumn("score", F.coalesce("score", F.lit(missing).cast("double")))
+    items = _item_array(F.col("detailed_scores"))
+
+    def scores(found: Column) -> Column:
+        names = F.transform(found, lambda x: x["item"])
+        firsts = F.filter(found, lambda x, i: F.coalesce(F.array_position(names, x["item"]) == i + 1, F.lit(False)))
+        return F.map_from_entries(F.transform(firsts, lambda x: F.struct(x["item"], x["score"])))
+
+    own = results.select("id", "project_id", "bidder_name", let(F.reverse(items) if last else items, scores).alias("_scores"))
+    out = own.join(children, "project_id").withColumn("score", F.try_element_at("_scores", F.col("item")))
+    return out.select("id", "item", "project_id", "bidder_name", "rule_id", "parent", F.coalesce("score", F.lit(missing).cast("double")).alias("score"))
 
 
 def score_summary(results: DataFrame, rules: DataFrame, items: Sequence[str] | None = None) -> DataFrame:
     """A row a result: scores by item, price score, total over the present scores and the price score, rank by the stored
     total. With a list of items, one column each; else one map, so that projects may have any items."""
-    long = item_scores(results, rules)
     if items:
-        by = long.groupBy("id").pivot("item", list(items)).agg(F.first("score", ignorenulls=True))
+        wanted = [F.first(F.when(F.col("item") == x, F.col("score")), ignorenulls=True).alias(x) for x in items]
     else:
-        by = long.where("item is not null").groupBy("id").agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("rule_id", "item", F.coalesce("score", F.lit(0.0)).alias("score")))), lambda x: F.struct(x["item"], x["score"]))).alias("item_scores"))
-    sums = long.groupBy("id").agg(F.sum("score").alias("items_total"))
+        wanted = [F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("rule_id", "item", F.coalesce("score", F.lit(0.0)).alias("score")))), lambda x: F.struct(x["item"], x["score"]))).alias("item_scores")]
+    by = item_scores(results, rules).groupBy("id").agg(*wanted, F.sum("score").alias("items_total"))
     own = rank_bidders(results).select("id", "project_id", "bidder_name", "rank", F.coalesce("price_score", F.lit(0.0)).alias("price_score"))
     total = round_half_up(F.coalesce("items_total", F.lit(0.0)) + F.col("price_score"))
-    return own.join(sums, "id", "left").join(by, "id", "left").withColumn("total", total).drop("items_total")
+    return own.join(by, "id", "left").withColumn("total", total).drop("items_total")
 
 
 def display_table(bids: DataFrame, results: DataFrame, rules: DataFrame) -> DataFrame:
