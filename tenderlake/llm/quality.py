@@ -1,13 +1,14 @@
 """Quality rules with cutoffs whose false rejections are bounded, in DataFrame functions only.
 
-``features`` measures every whole text. ``cutoffs`` takes labelled documents as holdouts: nothing is fitted on them, and the
-configurations are fixed beforehand. A configuration is a set of rules (all of them, or all but one) and a level of
-strictness, which is a place in each rule's ladder. What is tested is its joint verdict: it passes in a stratum if the
-exact binomial tail P(Bin(n, risk) <= k) is at most delta / (strata * sets of rules), where it would reject k of n good
-documents. Each set's levels are tested from the mildest to the strictest and end at the first failure (fixed-sequence
-testing, which needs no correction); Bonferroni covers strata and sets. So with probability 1 - delta no stratum's verdict
-rejects more than a share ``risk`` of its good documents, whichever passing configuration is taken: the one that rejects
-most of the documents labelled bad, then the strictest, then the one with all rules.
+``features`` measures every whole text. ``cutoffs`` takes labelled documents that pass the base rules as holdouts: nothing is
+fitted on them, and the configurations are fixed beforehand. A configuration is a set of rules (all of them, or all but
+one) and a level of strictness, which is a place in each rule's ladder. What is tested is its joint verdict: it passes in a
+stratum if the exact binomial tail P(Bin(n, risk) <= k) is at most delta / (strata * sets of rules), where it would reject k
+of n good documents. Each set's levels are tested from the mildest to the strictest and end at the first failure
+(fixed-sequence testing, which needs no correction); Bonferroni covers strata and sets. So with probability 1 - delta no
+stratum's verdict rejects more than a share ``risk`` of its good documents that pass the base rules, whichever passing
+configuration is taken: the one that rejects most of the documents labelled bad, then the strictest, then the one with all
+rules.
 
 Strata with so few good labels that nothing could pass even without a false rejection are tested together, as one pooled
 stratum, and use its cutoffs: the bound then holds for the good documents of these strata taken together. Sizes alone
@@ -137,7 +138,7 @@ def _first_level(rules: list[str]) -> Column:
 def cutoffs(measured: DataFrame, labels: DataFrame, key: str = "doc_id", stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """A row for each stratum in which a configuration passed, with a column for each rule: its cutoff, or null if unused."""
     by_doc = labels.where(F.col("quality").isNotNull()).groupBy(key).agg(F.max("quality").alias("good"))
-    held = measured.select(key, stratum, *LADDERS).join(by_doc, key)
+    held = measured.where("not base_failed").select(key, stratum, *LADDERS).join(by_doc, key)
     # Rows of one id count once, by the strictest of them.
     held = held.groupBy(key, stratum, "good").agg(*[F.min(_first_level(rules)).alias(f"set{s}") for s, rules in enumerate(RULE_SETS)])
     sums = [F.count_if((F.col("good") == good) & (F.col(f"set{s}") <= i)).alias(f"{name}_{s}_{i}") for name, good in (("k", 1), ("bad", 0)) for s in range(len(RULE_SETS)) for i in range(LEVELS)]

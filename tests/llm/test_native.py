@@ -46,7 +46,7 @@ def test_quality_pools_strata_that_are_too_small(spark):
     """a stands alone; b and c pass together, but not by the rule that b alone would fail; d has no label."""
     scores = [f"if({where}, 1000, 0) as {rule}" for rule, where in {**dict.fromkeys(quality.LADDERS, "false"), "upper_share": "lang = 'b' and id % 70 = 0"}.items()]
     docs = spark.range(3600).selectExpr("id", "case when id < 2000 then 'a' when id < 2700 then 'b' when id < 3400 then 'c' else 'd' end as lang")
-    measured, labels = docs.selectExpr("id as doc_id", "lang", *scores), docs.where("lang <> 'd'").selectExpr("id as doc_id", "1 as quality")
+    measured, labels = docs.selectExpr("id as doc_id", "lang", "false as base_failed", *scores), docs.where("lang <> 'd'").selectExpr("id as doc_id", "1 as quality")
     got = {r["lang"]: r for r in quality.cutoffs(measured, labels).collect()}
     assert set(got) == {"a", "b", "c"}
     assert all(got[x][f"{rule}_from"] == (None if x != "a" and rule == "upper_share" else ladder[-1]) for x in got for rule, ladder in quality.LADDERS.items())
@@ -87,9 +87,9 @@ def _independent_cutoffs(rows, risk, delta):
 
 def test_quality_cutoffs_equal_an_independent_search(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
-    measured = quality.features(docs.join(labels.select("doc_id"), "doc_id", "left_semi")).select("doc_id", "lang", *quality.LADDERS).cache()
+    measured = quality.features(docs.join(labels.select("doc_id"), "doc_id", "left_semi")).select("doc_id", "lang", "base_failed", *quality.LADDERS).cache()
     good = dict(labels.where("quality is not null").select("doc_id", "quality").collect())
-    rows = [(r["lang"], good[r["doc_id"]], r.asDict()) for r in measured.collect() if r["doc_id"] in good]
+    rows = [(r["lang"], good[r["doc_id"]], r.asDict()) for r in measured.collect() if r["doc_id"] in good and not r["base_failed"]]
     for risk, delta in ((quality.RISK, quality.DELTA), (0.02, 0.05), (0.002, 0.3)):
         want = _independent_cutoffs(rows, risk, delta)
         got = {r["lang"]: {x: r[f"{x}_from"] for x in quality.LADDERS} for r in quality.cutoffs(measured, labels, risk=risk, delta=delta).collect()}
