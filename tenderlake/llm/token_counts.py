@@ -3,7 +3,8 @@
 Two tiers: a compact broadcast table holds the token counts of the pre-tokens that are frequent over the whole corpus;
 what it misses is encoded once a worker and kept in that worker's bounded cache. A subword model whose pieces hold the
 word mark only at their front never merges over a place where a mark follows another character, so the sum over
-pre-tokens is the count of the whole text; ``check_pieces`` refuses a model for which that doesn't hold.
+pre-tokens is the count of the whole text; ``check_pieces`` refuses a model for which that doesn't hold, or which changes
+characters before it cuts. Pre-tokens are told apart by 64-bit hashes.
 
 Edge cases: null text counts as empty (0 bytes, 0 tokens); texts of any length are counted whole; repeated rows each get
 their row; an empty table gives an empty result; columns n_bytes, n_tokens and over_limit of the input are replaced.
@@ -36,6 +37,9 @@ def check_pieces(model) -> None:
     pieces = (model.id_to_piece(i) for i in range(model.vocab_size()))
     if any("▁" in p.lstrip("▁") for p in pieces):
         raise ValueError("pieces with a word mark after another character: counts by pre-token would differ")
+    probe = "ﬁＡ①e\u0301  b\t\u3000 "
+    if model.normalize(probe) != "▁" + probe.replace(" ", "▁"):
+        raise ValueError("the model normalises texts: counts by pre-token would differ")
 
 
 _models: dict = {}

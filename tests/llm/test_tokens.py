@@ -56,3 +56,36 @@ def test_a_full_cache_starts_anew():
         text = [" ".join(hashlib.md5(str(k * 100 + i).encode()).hexdigest() for i in range(40))]
         assert next(small.texts(text)).tolist() == next(large.texts(text)).tolist()
     assert small.n < 400
+
+
+def test_models_that_change_texts_are_refused():
+    class Model:
+        vocab_size, id_to_piece = lambda self: 1, lambda self, i: "a"
+
+        def normalize(self, text):
+            return "▁" + text.replace(" ", "▁").lower().replace("ﬁ", "fi")
+
+    with pytest.raises(ValueError):
+        token_counts.check_pieces(Model())
+
+
+def test_memory_of_the_cache_is_bounded_by_ids_and_long_pretokens():
+    codec = byte_bpe.ByteBpe(byte_bpe.load_ranks(byte_bpe.ranks_path()))
+    cached = pretokens.Encoder(codec.encode, limit=1000)
+    for k in range(12):
+        long = "".join(chr(0x4E00 + (i * 7919 + k) % 20000) for i in range(20_000))
+        assert sum(map(len, cached.texts([long, "one two"]))) == len(codec.encode([long])[0]) + 2
+    assert cached.kept[1] < 100 and len(cached.ids) < 200_000
+
+
+def test_one_queue_for_many_pretokens_equals_one_each(monkeypatch):
+    rng = random.Random(5)
+    codec = byte_bpe.ByteBpe(byte_bpe.load_ranks(byte_bpe.ranks_path()))
+    words = ["".join(rng.choices("aabethins é中", k=rng.randint(1, 60))) for _ in range(600)] + ["ab" * 400, "a" * 999]
+    want = [codec.encode_pretoken(w.encode()) for w in words]
+    for together, alone in ((2, 10**6), (10**9, 10**6), (5, 16)):
+        monkeypatch.setattr(byte_bpe, "TOGETHER", together)
+        monkeypatch.setattr(byte_bpe, "ALONE", alone)
+        ids, size = codec.encode(words)
+        at = size.cumsum()
+        assert [ids[b - n : b].tolist() for b, n in zip(at.tolist(), size.tolist(), strict=True)] == want
