@@ -44,8 +44,8 @@ def run_status_stream(spark: SparkSession, source: str, kind: StructType, target
 
 def score_on_complete(target: str, load: Callable[[], tuple[DataFrame, DataFrame]], score: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function: projects that a batch of bids (project_id, ...) touches and that are complete by then (load
-    gives all bids and results) get new scores. Writing one folder a project with dynamic overwrite makes a repeated
-    batch harmless."""
+    gives all bids and results; where these are partitioned by project_id, the joins below prune them to the projects
+    touched) get new scores. Writing one folder a project with dynamic overwrite makes a repeated batch harmless."""
 
     def handle(batch: DataFrame, _epoch: int) -> None:
         bids, results = load()
