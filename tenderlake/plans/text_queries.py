@@ -170,17 +170,20 @@ query("extract_bonds", "lineitem", sql=f"""WITH {_PRICEPAGES}, b AS (SELECT doc_
     SELECT doc_id, page_no, CASE kind WHEN 0 THEN q * 100 WHEN 1 THEN q * 10000 ELSE q END AS value, CASE kind WHEN 0 THEN 80.0e0 WHEN 1 THEN 70.0e0 ELSE 60.0e0 END AS confidence, CASE kind WHEN 0 THEN '保证金阿拉伯数字' WHEN 1 THEN '保证金中文大写' ELSE '保证金窗口匹配(押金)' END AS reason FROM b WHERE kind < 3""")(lambda x: prices.extract_bonds(_bondpages(x)))
 
 
-# Names: a supplier is a document of three pages.
+# Names: a supplier is a document of four pages, with a wording for each pattern.
 def _namepages(supplier):
     name = F.concat(F.lit("山东"), F.col("s_suppkey").cast("string"), F.lit("号创杰装备有限公司"))
-    kind = F.col("s_suppkey") % 3
-    first = F.when(kind == 0, F.concat(F.lit("投标人："), name, F.lit(" 地址 x"))).otherwise("封面")
-    second = F.when(kind == 1, F.concat(F.lit("投标函\n投标单位："), name)).otherwise("目录")
-    return supplier.select(F.col("s_suppkey").alias("doc_id"), F.posexplode(F.array(first, F.lit("正文"), F.lit("正文"), second)).alias("page_no", "text"))
+    kind, v = F.col("s_suppkey") % 3, F.floor(F.col("s_suppkey") / 3) % 5
+    said = lambda before: F.concat(F.lit(before), name, F.lit(" 地址 x"))
+    first = F.when(v == 0, said("投 标 人：")).when(v == 1, said("投标单位名称:")).when(v == 2, said("供 应 商 名 称 ")).when(v == 3, F.concat(F.lit("  "), name, F.lit(" "))).otherwise(said("致："))
+    there = lambda before: F.concat(F.lit(before), name, F.lit(" 承担"))
+    second = F.when(v == 0, there("投标函\n投标单位： ")).when(v == 1, there("资格审查\n供应商 ")).when(v == 2, there("授权委托书\n由 ")).when(v == 3, F.concat(F.lit("开标一览表\n"), name)).otherwise(there("制造商名称："))
+    return supplier.select(F.col("s_suppkey").alias("doc_id"), F.posexplode(F.array(F.when(kind == 0, first).otherwise("封面"), F.lit("正文"), F.lit("正文"), F.when(kind == 1, second).otherwise("目录"))).alias("page_no", "text"))
 
 
 _NAME = "concat('山东', s_suppkey, '号创杰装备有限公司')"
-query("name_candidates", "supplier", sql=f"SELECT s_suppkey AS doc_id, {_NAME} AS name, true AS valid, false AS garbled FROM {{supplier}} WHERE s_suppkey % 3 = 0")(lambda s: names.name_candidates(_namepages(s)).drop("seq"))
+_SHORT = f"CASE WHEN s_suppkey % 3 = 0 AND s_suppkey // 3 % 5 = 4 THEN replace({_NAME}, '公司', '') ELSE {_NAME} END"
+query("name_candidates", "supplier", sql=f"SELECT s_suppkey AS doc_id, {_SHORT} AS name, true AS valid, false AS garbled FROM {{supplier}} WHERE s_suppkey % 3 = 0")(lambda s: names.name_candidates(_namepages(s)).drop("seq"))
 query("section_names", "supplier", sql=f"SELECT s_suppkey AS doc_id, {_NAME} AS name FROM {{supplier}} WHERE s_suppkey % 3 = 1")(lambda s: names.section_names(_namepages(s)))
 
 
@@ -201,7 +204,7 @@ def _picked(s):
     return names.pick_bidder_name(regex.unionByName(section).unionByName(table))
 
 
-query("pick_bidder_name", "supplier", sql=f"SELECT s_suppkey AS doc_id, {_NAME} AS name, CASE s_suppkey % 3 WHEN 0 THEN 'regex' WHEN 1 THEN 'section' ELSE 'table' END AS source FROM {{supplier}}")(_picked)
+query("pick_bidder_name", "supplier", sql=f"SELECT s_suppkey AS doc_id, {_SHORT} AS name, CASE s_suppkey % 3 WHEN 0 THEN 'regex' WHEN 1 THEN 'section' ELSE 'table' END AS source FROM {{supplier}}")(_picked)
 
 
 # Tables: an order's lines are fragments, one a page.
