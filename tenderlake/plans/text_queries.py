@@ -135,7 +135,9 @@ def _pricepages(lineitem):
 
     no = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity")) - 1
     price = F.format_number("l_extendedprice", 2)
-    text = F.when(F.col("l_returnflag") == "R", F.concat(F.lit("投标一览表\n小写金额：￥"), price, F.lit("\n其他"))).when(F.col("l_returnflag") == "A", F.concat(F.lit("说明\n合计: "), price)).otherwise(F.concat(F.lit("无 "), price))
+    small = F.when(no % 4 == 0, "小写金额：￥").when(no % 4 == 1, "投标报价: ￥ ").when(no % 4 == 2, "总报价 ￥").otherwise("人民币（小写）：￥")
+    total = F.when(no % 3 == 0, "合计: ").when(no % 3 == 1, "总计 ").otherwise("投标报价：")
+    text = F.when(F.col("l_returnflag") == "R", F.concat(F.lit("投标一览表\n"), small, price, F.lit("\n其他"))).when(F.col("l_returnflag") == "A", F.concat(F.lit("说明\n"), total, price)).otherwise(F.concat(F.lit("无 "), price))
     bond = F.when(F.col("l_tax") == 0, F.concat(F.lit("\n投标保证金：￥"), F.format_number(F.col("l_quantity") * 100, 2))).otherwise("")
     return lineitem.select(F.col("l_orderkey").alias("doc_id"), no.alias("page_no"), F.concat(text, bond).alias("text"))
 
