@@ -30,6 +30,7 @@ from . import pretokens
 from .common import free_name, frugal, small_batches, written
 
 CAPACITY = 2048
+CACHED = 1 << 18  # pre-tokens that a worker keeps: some 15 MB beside the tokenizer's 50 MB
 _loaded: dict = {}
 
 
@@ -51,7 +52,7 @@ def _tokenizer(path: str):
             got = [e.ids for e in t.encode_batch_fast(strings, add_special_tokens=False)]
             return np.fromiter(chain.from_iterable(got), np.int32), np.fromiter(map(len, got), np.int64, len(got))
 
-        _loaded[path] = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None, special, pretokens.Encoder(encode)
+        _loaded[path] = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None, special, pretokens.Encoder(encode, limit=CACHED)
     return _loaded[path]
 
 
