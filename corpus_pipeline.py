@@ -2,6 +2,12 @@
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns the DataFrame that, written as Parquet
 and read again, is the next one's docs. All but the last return the columns of documents.
+
+Edge cases, the same at every size: a null or empty text fails the base rules of the first stage; a stage that meets one all
+the same keeps it (near duplicates: it links with nothing; repeated passages: it is empty afterwards; packing: the end id
+alone). Texts of any length are taken whole. Rows with a null id link with nothing and lose nothing; a null language is a
+stratum of its own; other nulls are passed on. Repeated rows are judged, cleaned and packed each, and count as one document
+where documents are compared. No rows give no rows. Columns beside those of documents are dropped, whatever their names.
 """
 
 from __future__ import annotations
