@@ -211,7 +211,7 @@ class Encoder:
             some[:] = False
         hashes, entry = hashes[some], entry[some]
         size = self.size[entry]
-        self._start(hashes, size, self.ids[_ranges(self.offset[entry], size)])
+        self._start(hashes, size, self.ids[_ranges(self.offset[entry], size)] if self.used else self.ids[:0])  # none where only counts are kept
 
     @staticmethod
     def _grown(x: np.ndarray, n: int) -> np.ndarray:

@@ -58,6 +58,14 @@ def test_a_full_cache_starts_anew():
     assert small.n < 400
 
 
+def test_a_full_cache_of_counts_starts_anew():
+    encode = token_counts._encoder(token_counts.model_path()).encode
+    small, large = (pretokens.Encoder(encode, pretokens.by_mark, " ", limit=limit) for limit in (50, 1 << 19))
+    for k in range(30):
+        text = [" ".join(hashlib.md5(str((k + i) % 35 if i < 12 else k * 100 + i).encode()).hexdigest() for i in range(40))]
+        assert small.counts(text).tolist() == large.counts(text).tolist()
+
+
 def test_models_that_change_texts_are_refused():
     class Model:
         vocab_size, id_to_piece = lambda self: 1, lambda self, i: "a"
