@@ -30,7 +30,7 @@ from . import pretokens
 from .common import free_name, frugal, small_batches, written
 
 CAPACITY = 2048
-CACHED = 1 << 18  # pre-tokens that a worker keeps: some 15 MB beside the tokenizer's 50 MB
+CACHED = 1 << 19  # pre-tokens that a worker keeps: some 30 MB beside the tokenizer's 50 MB
 _loaded: dict = {}
 
 
@@ -40,8 +40,8 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def _tokenizer(path: str):
-    if path not in _loaded:
+def _tokenizer(path: str, cached: int = CACHED):
+    if (path, cached) not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -52,22 +52,22 @@ def _tokenizer(path: str):
             got = [e.ids for e in t.encode_batch_fast(strings, add_special_tokens=False)]
             return np.fromiter(chain.from_iterable(got), np.int32), np.fromiter(map(len, got), np.int64, len(got))
 
-        _loaded[path] = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None, special, pretokens.Encoder(encode, limit=CACHED)
-    return _loaded[path]
+        _loaded[path, cached] = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None, special, pretokens.Encoder(encode, limit=cached)
+    return _loaded[path, cached]
 
 
-def encode_texts(path: str, texts: list[str]) -> Iterator[np.ndarray]:
+def encode_texts(path: str, texts: list[str], cached: int = CACHED) -> Iterator[np.ndarray]:
     """Ids of each text as the tokenizer gives them, without added special tokens. The string of a special token, which
     the library recognises inside texts, is one id, and the text before and after it is encoded on its own."""
-    mark, special, cached = _tokenizer(path)
+    mark, special, encoder = _tokenizer(path, cached)
     parts = [mark.split(x) if mark else [x] for x in texts]
-    ids = cached.texts([p for x in parts for p in x[::2]])
+    ids = encoder.texts([p for x in parts for p in x[::2]])
     for x in parts:
         first = next(ids)
         yield first if len(x) == 1 else np.concatenate([first, *(y for s in x[1::2] for y in ([special[s]], next(ids)))]).astype(np.int32)
 
 
-def token_pieces(docs: DataFrame, text: str = "text", path: str | None = None, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
+def token_pieces(docs: DataFrame, text: str = "text", path: str | None = None, capacity: int = CAPACITY, end_id: int = 0, cached: int = CACHED) -> DataFrame:
     """One row per piece in place of each document's row: its other columns, then piece, start, length and ids (packed
     little-endian unsigned 32-bit integers, the last piece ends with end_id)."""
     path = path or tokenizer_path()
@@ -85,7 +85,7 @@ def token_pieces(docs: DataFrame, text: str = "text", path: str | None = None, c
                 other = [batch.column(k).take(pa.array(out[0], pa.int64())) for k in range(len(names))]
                 return pa.RecordBatch.from_arrays([*other, pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.binary())], [*names, "piece", "start", "length", "ids"])
 
-            for i, ids in enumerate(encode_texts(path, texts)):
+            for i, ids in enumerate(encode_texts(path, texts, cached)):
                 ids = np.append(ids, end_id).astype("<u4")
                 at, stop = 0, len(ids) % capacity or min(len(ids), capacity)
                 while at < len(ids):
