@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tenderlake.llm import credential_scan, minhash_dedup, packing, quality, suffix_dedup
 from tenderlake.llm.common import new_path
 
+CACHED = 1 << 18  # pre-tokens that a packing worker keeps, few, as workers of the stages before are still there
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -53,7 +54,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The places of the documents' pieces in training sequences of 2048 tokens."""
-    pieces = packing.token_pieces(docs.select("doc_id", "source", "text"))
+    pieces = packing.token_pieces(docs.select("doc_id", "source", "text"), cached=CACHED)
     return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 
 
