@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, credential_scan, embedding_dedup, minhash_dedup, packing, quality, repair, suffix_dedup, token_counts, warc
+from . import byte_bpe, centroids, chat, credential_scan, embedding_dedup, minhash_dedup, packing, quality, repair, suffix_dedup, token_counts, token_files, warc
+from .common import new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,11 +65,32 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.perspectives(_table(spark, sf_dir, "conversations"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "token-files")
+    token_files.write(_table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"), path)
+    return token_files.documents(spark, path).select("doc_id", "start", "n_tokens", token_files.ids_crc32("ids").alias("ids_crc32"))
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = centroids.cluster(_table(spark, sf_dir, "embeddings"))
+    return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2("centroid", 256).alias("centroid_sha256"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     damaged = repair.damage(_table(spark, sf_dir, "conversations"))
     return repair.summaries(repair.repair(damaged, copies="copies"))
 
 
+_ROUNDS = ", ".join(
+    f"""a{r} AS MATERIALIZED (
+            SELECT n, vec_id, e, min(struct_pack(d := d, c := c)) AS best
+            FROM (SELECT n, vec_id, v.e, c, list_sum(list_transform(list_zip(v.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v, c{r} c) x GROUP BY ALL
+        ), m{r} AS (SELECT c, i, sum(x) AS s, count(*) AS k FROM (SELECT best.c AS c, unnest(range(64)) AS i, unnest(e) AS x FROM a{r}) y GROUP BY c, i),
+        c{r + 1} AS MATERIALIZED (
+            SELECT o.c, coalesce(l.e, o.e) AS e FROM c{r} o LEFT JOIN (SELECT c, list(((s - ((s % k) + k) % k) // k)::BIGINT ORDER BY i) AS e FROM m{r} GROUP BY c) l ON l.c = o.c
+        )"""
+    for r in range(11)
+)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -80,6 +102,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_chat_format": op10_chat_format,
+    "op11_token_files": op11_token_files,
+    "op12_centroid_clusters": op12_centroid_clusters,
     "op13_conversation_repair": op13_conversation_repair,
 }
 ORACLE: dict[str, str] = {
@@ -99,6 +123,16 @@ ORACLE: dict[str, str] = {
         f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
         SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
             CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to FROM f""",
+    "op12_centroid_clusters": f"""
+        WITH v AS MATERIALIZED (
+            SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), c0 AS MATERIALIZED (
+            SELECT place - 1 AS c, e FROM (SELECT e, row_number() OVER (ORDER BY sha256('3:' || vec_id), vec_id, n) AS place FROM v WHERE vec_id IS NOT NULL) x WHERE place <= 8
+        ), {_ROUNDS}
+        SELECT vec_id, best.c::INT AS cluster, best.d AS distance, sum(best.d) OVER (PARTITION BY best.c)::BIGINT AS cluster_inertia, sum(best.d) OVER ()::BIGINT AS inertia,
+            sha256(array_to_string(c10.e, ',')) AS centroid_sha256
+        FROM a10 JOIN c10 ON c10.c = best.c""",
     "op10_chat_format": """
         WITH t AS (SELECT conv_id, coalesce(role, 'unknown') AS speaker, replace(coalesce(text, ''), '<|im_', '<\\|im_') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS n FROM conversations),
         p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
