@@ -133,6 +133,44 @@ ORACLE: dict[str, str] = {
         SELECT vec_id, best.c::INT AS cluster, best.d AS distance, sum(best.d) OVER (PARTITION BY best.c)::BIGINT AS cluster_inertia, sum(best.d) OVER ()::BIGINT AS inertia,
             sha256(array_to_string(c10.e, ',')) AS centroid_sha256
         FROM a10 JOIN c10 ON c10.c = best.c""",
+    # Costs to go by state (q0 at the start, q1 after system, q2 after user, q3 after assistant) with letters and lines, from the last turn to the first.
+    "op13_conversation_repair": """
+        WITH RECURSIVE d AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(4294967295::UBIGINT, list_reduce(
+                list_prepend(4294967295::UBIGINT, flatten(list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: [ascii(c)::UBIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+                lambda a, x: xor(xor(a, x) >> 1, CASE WHEN xor(a, x) & 1 = 1 THEN 3988292384::UBIGINT ELSE 0::UBIGINT END))) % 20 AS code FROM conversations
+        ), e AS (
+            SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role, CASE code WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+                unnest(range(CASE code WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM d
+        ), f AS (
+            SELECT *, left(role, 1) AS i, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n FROM e
+        ), g AS MATERIALIZED (
+            SELECT *, lag(i) OVER (PARTITION BY conv_id ORDER BY n) AS before, CASE WHEN bare = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 'd' WHEN right(bare, 1) IN ('.', '!', '?') THEN '' ELSE 't' END AS fault FROM f
+        ), r AS (
+            SELECT conv_id, max(n) AS n, {'c': 0, 'a': '', 't': ''} AS q0, {'c': 10, 'a': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'} AS q1, {'c': 5, 'a': 'I', 't': chr(10) || 'assistant:'} AS q2, {'c': 0, 'a': '', 't': ''} AS q3
+            FROM g GROUP BY conv_id
+            UNION ALL
+            SELECT conv_id, n - 1, list_min([q0, {'c': q2.c + 5, 'a': 'I' || q2.a, 't': chr(10) || 'user:' || q2.t}]), list_min([q1, {'c': q2.c + 5, 'a': 'I' || q2.a, 't': chr(10) || 'user:' || q2.t}]), q2, q3 FROM (
+                SELECT conv_id, n, q0, q1, list_min([q2, {'c': q3.c + 5, 'a': 'I' || q3.a, 't': chr(10) || 'assistant:' || q3.t}]) AS q2, list_min([q3, {'c': q2.c + 5, 'a': 'I' || q2.a, 't': chr(10) || 'user:' || q2.t}]) AS q3 FROM (
+                    SELECT r.conv_id, r.n,
+                        list_min([{'c': q0.c + 2, 'a': 'D' || q0.a, 't': q0.t}, CASE WHEN stays THEN as_user END, CASE WHEN stays AND i = 's' THEN {'c': q1.c + x, 'a': 'K' || q1.a, 't': line || q1.t} END, CASE WHEN stays AND i = 'u' THEN kept_user END]) AS q0,
+                        list_min([{'c': q1.c + 2, 'a': 'D' || q1.a, 't': q1.t}, CASE WHEN stays THEN as_user END, CASE WHEN stays AND i = 'u' THEN kept_user END]) AS q1,
+                        list_min([{'c': q2.c + 2, 'a': 'D' || q2.a, 't': q2.t}, CASE WHEN stays THEN {'c': q3.c + x + 1, 'a': 'R' || q3.a, 't': chr(10) || 'assistant:' || text || q3.t} END, CASE WHEN stays AND i = 'a' THEN {'c': q3.c + x, 'a': 'K' || q3.a, 't': line || q3.t} END]) AS q2,
+                        list_min([{'c': q3.c + 2, 'a': 'D' || q3.a, 't': q3.t}, CASE WHEN stays THEN as_user END, CASE WHEN stays AND i = 'u' THEN kept_user END]) AS q3
+                    FROM (
+                        SELECT r.*, i, text, fault NOT IN ('b', 'd') AS stays, CASE WHEN fault = 't' THEN 5 ELSE 0 END AS x, chr(10) || role || ':' || text AS line,
+                            {'c': q2.c + x + 1, 'a': 'R' || q2.a, 't': chr(10) || 'user:' || text || q2.t} AS as_user, {'c': q2.c + x, 'a': 'K' || q2.a, 't': line || q2.t} AS kept_user
+                        FROM r JOIN g ON g.conv_id IS NOT DISTINCT FROM r.conv_id AND g.n = r.n
+                    ) r
+                ) o
+            ) p
+        ), s AS (
+            SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+                count(*) FILTER (before || i NOT IN ('su', 'ua', 'au')) AS illegal FROM g GROUP BY conv_id
+        )
+        SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+            coalesce(q0.c, 0)::BIGINT AS cost, coalesce(q0.a, '') AS audit, sha256(coalesce(substr(q0.t, 2), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM c.conv_id AND r.n = 0""",
     "op10_chat_format": """
         WITH t AS (SELECT conv_id, coalesce(role, 'unknown') AS speaker, replace(coalesce(text, ''), '<|im_', '<\\|im_') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS n FROM conversations),
         p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
