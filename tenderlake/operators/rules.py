@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import plain_number
+from ..functions.numbers import let, plain_number
 from ..functions.text import clean_criteria_name, is_price_rule, name_similarity, score_in_text, squeeze_text, strip
 
 
@@ -101,20 +101,23 @@ VETO_REASON, SUM_REASON, PENDING_REASON = "否决项规则，需人工核查是
 
 
 def veto_and_tree_scores(rules: DataFrame, leaf_scores: DataFrame) -> DataFrame:
-    """project_id, bid_id, name, level, max_score, score, reason, is_veto, leaves. Leaves (level 2) have their scores out of
-    leaf_scores (project_id, bid_id, item, score and perhaps reason, extracted_price); a veto rule has maximum and score 0
-    and a fixed reason; a price rule has score 0 until prices are compared, and a reason that holds its price. Parents
-    (level 1) have the sum of their leaves, whose number is leaves."""
+    """project_id, bid_id, rule_id, name, level, max_score, score, reason, is_veto, leaves. Leaves (level 2) have their scores
+    out of leaf_scores (project_id, bid_id, rule_id, score and perhaps reason, extracted_price), by the id of their rule, as
+    items of one name may stand under several parents; a veto rule has maximum and score 0 and a fixed reason; a price rule
+    has score 0 until prices are compared, and a reason that holds its price. Parents (level 1, without a rule id) have the
+    sum of their leaves, whose number is leaves. Scores without a rule id go to the rules of their item's name (item)."""
     top = F.coalesce(F.nullif("Child_max_score", F.lit(0)), F.col("Parent_max_score")).cast("double")
     veto = F.coalesce("is_veto", F.lit(False))
-    kids = rules.where(_flag() | F.col("Child_Item_Name").isNotNull()).select("project_id", F.col("Parent_Item_Name").alias("parent"), F.coalesce("Child_Item_Name", "Parent_Item_Name").alias("item"), veto.alias("is_veto"), _flag().alias("price_leaf"), top.alias("max_score"), F.col("Child_Item_Name").isNotNull().alias("is_child"), F.coalesce("Parent_max_score", F.lit(0)).cast("double").alias("parent_max"))
+    kids = rules.where(_flag() | F.col("Child_Item_Name").isNotNull()).select("project_id", F.col("id").alias("rule_id"), F.col("Parent_Item_Name").alias("parent"), F.coalesce("Child_Item_Name", "Parent_Item_Name").alias("item"), veto.alias("is_veto"), _flag().alias("price_leaf"), top.alias("max_score"), F.col("Child_Item_Name").isNotNull().alias("is_child"), F.coalesce("Parent_max_score", F.lit(0)).cast("double").alias("parent_max"))
     text = lambda c, kind: F.col(c) if c in leaf_scores.columns else F.lit(None).cast(kind)
-    leaves = leaf_scores.select("project_id", "bid_id", "item", F.col("score").alias("given"), text("reason", "string").alias("said"), text("extracted_price", "double").alias("extracted_price")).join(kids, ["project_id", "item"])
+    by_id = "rule_id" in leaf_scores.columns
+    given = leaf_scores.select("project_id", "bid_id", "rule_id" if by_id else "item", F.col("score").alias("given"), text("reason", "string").alias("said"), text("extracted_price", "double").alias("extracted_price"))
+    leaves = given.join(kids, ["project_id", "rule_id" if by_id else "item"])
     leaves = leaves.withColumn("score", F.when(F.col("is_veto") | F.col("price_leaf"), 0.0).otherwise(F.coalesce("given", F.lit(0.0))))
     reason = F.when(F.col("is_veto"), VETO_REASON).when(F.col("price_leaf"), F.concat(F.lit(PENDING_REASON), F.coalesce(plain_number(F.col("extracted_price")), F.lit("None")))).otherwise(F.col("said"))
-    low = leaves.select("project_id", "bid_id", F.col("item").alias("name"), F.when(F.col("is_child"), 2).otherwise(1).alias("level"), F.when(F.col("is_veto"), 0.0).otherwise(F.col("max_score")).alias("max_score"), "score", reason.alias("reason"), "is_veto", F.lit(1).cast("long").alias("leaves"))
+    low = leaves.select("project_id", "bid_id", "rule_id", F.col("item").alias("name"), F.when(F.col("is_child"), 2).otherwise(1).alias("level"), F.when(F.col("is_veto"), 0.0).otherwise(F.col("max_score")).alias("max_score"), "score", reason.alias("reason"), "is_veto", F.lit(1).cast("long").alias("leaves"))
     high = leaves.where("is_child").groupBy("project_id", "bid_id", F.coalesce("parent", F.lit("")).alias("name")).agg(F.max("parent_max").alias("max_score"), F.sum("score").alias("score"), F.count(F.lit(1)).alias("leaves"))
-    return low.unionByName(high.withColumns({"level": F.lit(1), "reason": F.lit(SUM_REASON), "is_veto": F.lit(False)}))
+    return low.unionByName(high.withColumns({"rule_id": F.lit(None).cast("long"), "level": F.lit(1), "reason": F.lit(SUM_REASON), "is_veto": F.lit(False)}))
 
 
 def flatten_rules(tree: DataFrame, live: bool = True) -> DataFrame:
@@ -144,13 +147,32 @@ def number_rules(rows: DataFrame) -> DataFrame:
     return out.withColumn("child_no", F.when(~F.col("_p"), nth.cast("int"))).drop("_p")
 
 
-def attach_parent(rules: DataFrame, levels: int = 8) -> DataFrame:
+def attach_parent(rules: DataFrame, block: int = 1024) -> DataFrame:
     """rules (doc, numbering array<string>) with parent: the numbering of the nearest rule before, in order of numbering,
-    that is less deep. Rules deeper than levels hang on the nearest one above that depth."""
-    order = Window.partitionBy("doc").orderBy("numbering").rowsBetween(Window.unboundedPreceding, -1)
-    depth = F.size("numbering")
-    above = [F.when(F.least(depth, F.lit(levels)) == d, F.last(F.when(depth < d, F.col("numbering")), ignorenulls=True).over(order)) for d in range(2, levels + 1)]
-    return rules.withColumn("parent", F.coalesce(*above))
+    that is less deep, whatever the depth. A stack of the rules that may still become parents is folded over blocks of a
+    document's numberings; what a block leaves on the stack is carried to the blocks after it."""
+    each = rules.where("numbering is not null").select("doc", "numbering").distinct()
+    each = each.withColumn("n", F.row_number().over(Window.partitionBy("doc").orderBy("numbering")))
+    one = F.struct("n", F.size("numbering").alias("depth"), "numbering")
+    blocks = each.groupBy("doc", F.floor(F.col("n") / block).alias("b")).agg(F.array_sort(F.collect_list(one)).alias("all"), F.min(F.size("numbering")).alias("least"))
+    numbering, stack = rules.schema["numbering"].dataType.simpleString(), f"array<{blocks.schema['all'].dataType.elementType.simpleString()}>"
+    nearest = lambda open_, depth: F.try_element_at(F.filter(open_, lambda e: e["depth"] < depth), F.lit(-1))["numbering"]
+
+    def step(state: Column, x: Column) -> Column:
+        return let(F.filter(state["open"], lambda e: e["depth"] < x["depth"]), lambda open_: F.struct(F.concat(open_, F.array(x)).alias("open"), F.concat(state["parents"], F.array(F.try_element_at(open_, F.lit(-1))["numbering"])).alias("parents")))
+
+    folded = blocks.withColumn("f", F.aggregate("all", F.struct(F.array().cast(stack).alias("open"), F.array().cast(f"array<{numbering}>").alias("parents")), step))
+
+    def carry(state: Column, x: Column) -> Column:
+        kept = F.filter(state["open"], lambda e: e["depth"] < x["least"])
+        return F.struct(F.concat(kept, x["open"]).alias("open"), F.concat(state["before"], F.array(F.struct(x["b"].alias("b"), state["open"].alias("open")))).alias("before"))
+
+    of = folded.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("b", "least", F.col("f.open").alias("open")))).alias("blocks"))
+    before = F.aggregate("blocks", F.struct(F.array().cast(stack).alias("open"), F.array().cast(f"array<struct<b:bigint,open:{stack}>>").alias("before")), carry)["before"]
+    carried = of.select("doc", F.explode(before).alias("x")).select("doc", "x.b", F.col("x.open").alias("open"))
+    own = F.transform("all", lambda x, i: F.struct(x["numbering"].alias("numbering"), F.coalesce(F.get("f.parents", i), nearest(F.col("open"), x["depth"])).alias("parent")))
+    found = folded.join(carried, ["doc", "b"]).select("doc", F.explode(own).alias("x")).select("doc", "x.numbering", "x.parent")
+    return rules.join(found, ["doc", "numbering"], "left").select(*rules.columns, "parent")
 
 
 def rules_from_rows(rows: DataFrame) -> DataFrame:

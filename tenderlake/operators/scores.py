@@ -7,10 +7,13 @@ Child_Item_Name, Child_max_score, description, is_price_criteria. Nothing here g
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.numbers import let, plain_number, round_half_up
 from ..functions.text import PRICE_RULE_WORDS, any_of
@@ -19,7 +22,7 @@ ITEM = "Child_Item_Name string, criteria_name string, Parent_Item_Name string, m
 ITEMS = f"array<struct<{ITEM.replace(' string', ': string').replace(' double', ': double').replace(' boolean', ': boolean')}, children: array<struct<{ITEM.replace(' string', ': string').replace(' double', ': double').replace(' boolean', ': boolean')}>>>>"
 PRICE_ITEM = "价格"
 PRICED = "array<struct<score: string, is_price_criteria: boolean, extracted_price: double>>"
-DEPTH = 8  # levels of children that are followed in a tree of scores
+LEVELS = 3  # levels of a tree of scores that column functions go through; deeper trees are walked by a function of their own
 # What a recalculated price score is explained by, and a price score with and without a price.
 NEW_REASON, PRICE_REASON, NO_PRICE_REASON = "根据评标规则重新计算的价格分: ", "根据价格评分规则计算得出。提取到的报价为: ", "未提取到有效报价，价格分设为0"
 
@@ -116,23 +119,83 @@ def _is_price_item(item: Column) -> Column:
     return any_of(F.lower(_field(item, "criteria_name", "string")), PRICE_RULE_WORDS["scores"]) | F.coalesce(_field(item, "is_price_criteria", "boolean"), F.lit(False))
 
 
-def _price_score(items: Column, depth: int = DEPTH) -> Column:
+def _deeper(items: Column, levels: int = LEVELS) -> Column:
+    """Whether items have children below that many levels."""
+    kids = lambda x: _field(x, "children", "array<variant>")
+    return F.coalesce(F.exists(items, lambda x: F.coalesce(F.size(kids(x)) > 0, F.lit(False)) if levels == 1 else _deeper(kids(x), levels - 1)), F.lit(False))
+
+
+def _is_price(item: dict) -> bool:
+    name = item.get("criteria_name")
+    return isinstance(name, str) and any(w in name.lower() for w in PRICE_RULE_WORDS["scores"]) or item.get("is_price_criteria") is True
+
+
+def _number(x: object) -> float | None:
+    try:
+        return None if isinstance(x, (list, dict)) else float(x)
+    except (TypeError, ValueError):
+        return None
+
+
+def _found(items: list) -> float | None:
+    """What _price_score gives, for a tree of any depth: lists that are being gone through wait on a stack."""
+    stack = [iter(items)]
+    while stack:
+        item = next(stack[-1], stack)
+        if item is stack:
+            stack.pop()
+        elif isinstance(item, dict):
+            score = _number(item.get("score")) if _is_price(item) else None
+            if score is not None and (score != 0 or len(stack) == 1):
+                return score
+            if score is not None:  # a score of 0 below an item ends its list
+                stack.pop()
+            elif isinstance(item.get("children"), list):
+                stack.append(iter(item["children"]))
+    return None
+
+
+@F.arrow_udf(T.DoubleType())
+def _deep_price_score(texts: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else _found(json.loads(x)) for x in texts.to_pylist()], pa.float64())
+
+
+@F.arrow_udf(T.StringType())
+def _deep_with_price(texts: pa.Array, news: pa.Array, reasons: pa.Array) -> pa.Array:
+    """What _with_price gives for the items of trees of any depth."""
+    out = []
+    for text, new, reason in zip(texts.to_pylist(), news.to_pylist(), reasons.to_pylist(), strict=True):
+        items = None if text is None else json.loads(text)
+        todo = [items] if items else []
+        while todo:
+            for item in todo.pop():
+                if isinstance(item, dict):
+                    if _is_price(item):
+                        item |= {"score": new, "reason": reason, "is_price_criteria": True}
+                    if isinstance(item.get("children"), list):
+                        todo.append(item["children"])
+        out.append(None if items is None else json.dumps(items, ensure_ascii=False, sort_keys=True, separators=(",", ":")))
+    return pa.array(out, pa.string())
+
+
+def _price_score(items: Column, levels: int = LEVELS) -> Column:
     """The first price item's score, else the first score but 0 below an item; null if there is none."""
-    below = lambda x: F.nullif(_price_score(_field(x, "children", "array<variant>"), depth - 1), F.lit(0.0)) if depth > 1 else F.lit(None).cast("double")
+    below = lambda x: F.nullif(_price_score(_field(x, "children", "array<variant>"), levels - 1), F.lit(0.0)) if levels > 1 else F.lit(None).cast("double")
     own = lambda x: F.coalesce(F.when(_is_price_item(x), _field(x, "score", "double")), below(x))
     return F.get(F.array_compact(F.transform(items, own)), F.lit(0))
 
 
 def find_price_score(results: DataFrame) -> DataFrame:
-    """id, found_score: in a list the first price item's score, depth first, where what is found below an item counts if it
-    isn't 0; in a map the first number, or object with a score, under a key that names a price; none is 0."""
+    """id, found_score: in a list the first price item's score, depth first at any depth, where what is found below an item
+    counts if it isn't 0; in a map the first number, or object with a score, under a key that names a price; none is 0."""
     text = F.col("detailed_scores")
-    listed = _price_score(_items(F.try_parse_json(text)))
+    rows = results.select("id", "detailed_scores", _items(F.try_parse_json(text)).alias("_items")).withColumn("_deep", _deeper(F.col("_items")))
+    listed = F.when(F.col("_deep"), _deep_price_score(F.when(F.col("_deep"), text))).otherwise(_price_score(F.col("_items")))
     pairs = F.map_entries(F.when(text.rlike(r"^\s*\{"), F.from_json(text, "map<string,variant>")))
     value = lambda v: F.coalesce(F.when(~F.schema_of_variant(v).startswith("STRING"), F.try_variant_get(v, "$", "double")), _field(v, "score", "double"))
     named = lambda k: any_of(k, [PRICE_ITEM]) | any_of(F.lower(k), ["price"])
     mapped = F.get(F.array_compact(F.transform(F.filter(pairs, lambda x: named(x["key"])), lambda x: value(x["value"]))), F.lit(0))
-    return results.select("id", F.coalesce(listed, mapped, F.lit(0.0)).alias("found_score"))
+    return rows.select("id", F.coalesce(listed, mapped, F.lit(0.0)).alias("found_score"))
 
 
 def first_per_bidder(results: DataFrame) -> DataFrame:
@@ -234,16 +297,16 @@ def partial_results(results: DataFrame, n: int = 5) -> DataFrame:
     return results.select("id", F.to_json(short).alias("partial"))
 
 
-def _with_price(item: Column, new: Column, depth: int = DEPTH) -> Column:
+def _with_price(item: Column, new: Column, levels: int = LEVELS) -> Column:
     """A score item (variant) with the new price score, if it is a price item, and its children likewise."""
     said = {"score": new.cast("variant"), "reason": F.concat(F.lit(NEW_REASON), plain_number(new)).cast("variant"), "is_price_criteria": F.lit(True).cast("variant")}
     put = F.create_map(*[x for k, v in said.items() for x in (F.lit(k), v)])
 
     def changed(fields: Column) -> Column:
         out = F.when(_is_price_item(item), F.map_concat(F.map_filter(fields, lambda k, v: ~k.isin(*said)), put)).otherwise(fields)
-        if depth > 1:
+        if levels > 1:
             kids = _field(item, "children", "array<variant>")
-            below = F.create_map(F.lit("children"), F.to_variant_object(F.transform(kids, lambda x: _with_price(x, new, depth - 1))))
+            below = F.create_map(F.lit("children"), F.to_variant_object(F.transform(kids, lambda x: _with_price(x, new, levels - 1))))
             out = let(out, lambda m: F.when(F.size(kids) > 0, F.map_concat(F.map_filter(m, lambda k, v: k != "children"), below)).otherwise(m))
         return F.to_variant_object(out)
 
@@ -253,14 +316,16 @@ def _with_price(item: Column, new: Column, depth: int = DEPTH) -> Column:
 
 def update_price_in_scores(results: DataFrame, scored: DataFrame) -> DataFrame:
     """results whose price items in detailed_scores have the bidder's new price score: in a list the items named or flagged
-    as prices at any depth up to DEPTH, with reason and flag; in a map the values under keys that name a price. Everything
-    else stays as it is (fields of objects come in order of name); so do texts that are neither, and bidders without one."""
+    as prices at any depth, with reason and flag; in a map the values under keys that name a price. Everything else stays
+    as it is (fields of objects come in order of name); so do texts that are neither, and bidders without one."""
     new = results.join(scored.select("project_id", "bidder_name", F.col("price_score").alias("_new")), ["project_id", "bidder_name"], "left")
-    text = F.col("detailed_scores")
-    tree = F.try_parse_json(text)
-    listed = F.transform(_items(tree), lambda x: _with_price(x, F.col("_new")))
-    mapped = F.transform_values(F.try_variant_get(tree, "$", "map<string,variant>"), lambda k, v: F.when(any_of(k, PRICE_RULE_WORDS["scores"]), F.col("_new").cast("variant")).otherwise(v))
-    out = F.when(F.col("_new").isNull(), text).otherwise(F.coalesce(F.to_json(listed), F.to_json(F.to_variant_object(mapped)), text))
+    text, score = F.col("detailed_scores"), F.col("_new")
+    new = new.withColumn("_tree", F.when(score.isNotNull(), F.try_parse_json(text))).withColumn("_deep", _deeper(_items(F.col("_tree"))))
+    tree, deep = F.col("_tree"), F.col("_deep")
+    listed = F.to_json(F.transform(F.when(~deep, _items(tree)), lambda x: _with_price(x, score)))
+    walked = _deep_with_price(F.when(deep, text), score, F.concat(F.lit(NEW_REASON), plain_number(score)))
+    mapped = F.transform_values(F.try_variant_get(tree, "$", "map<string,variant>"), lambda k, v: F.when(any_of(k, PRICE_RULE_WORDS["scores"]), score.cast("variant")).otherwise(v))
+    out = F.when(score.isNull(), text).when(deep, walked).otherwise(F.coalesce(listed, F.to_json(F.to_variant_object(mapped)), text))
     return new.withColumn("detailed_scores", out).select(*results.columns)
 
 

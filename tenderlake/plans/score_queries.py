@@ -113,16 +113,9 @@ def _(results, rules, scores):
     return S.update_price_in_scores(scores, S.score_prices(S.bid_prices(results), S.price_rule_max(rules))).select("id", "detailed_scores")
 
 
-@query("merge_score_maps", "v_results", sql="""WITH o AS (SELECT id, '团队' AS item, 9.5e0 AS score FROM {v_bids} WHERE qty % 4 = 0 UNION ALL SELECT id, '其他', 1.0e0 FROM {v_bids} WHERE qty % 4 = 0)
+@query("merge_score_maps", "v_results", "v_bids", sql="""WITH o AS (SELECT id, '团队' AS item, 9.5e0 AS score FROM {v_bids} WHERE qty % 4 = 0 UNION ALL SELECT id, '其他', 1.0e0 FROM {v_bids} WHERE qty % 4 = 0)
     SELECT coalesce(i.id, o.id) AS id, coalesce(i.item, o.item) AS item, coalesce(o.score, i.score) AS score FROM {v_items} i FULL JOIN o ON o.id = i.id AND o.item = i.item""")
-def _(results):
-    return results
-
-
-QUERIES["merge_score_maps"] = lambda spark, sf_dir: _merged(*frames(spark, sf_dir, "v_results", "v_bids"))
-
-
-def _merged(results, bids):
+def _(results, bids):
     dynamic = bids.select("id", F.when(F.col("qty") % 4 == 0, '{"团队":{"score":9.5},"其他":1}').alias("dynamic_scores"))
     return S.merge_score_maps(results.join(dynamic, "id"))
 
@@ -150,15 +143,18 @@ query("default_rules", "v_projects", "v_rules", sql="SELECT id AS project_id, nt
 query("standard_rules", "v_rules", sql="SELECT project_id, Child_Item_Name AS item, Child_max_score AS max_score, description FROM {v_rules} WHERE NOT is_price_criteria")(R.standard_rules)
 query("rules_view", "v_projects", "v_rules", sql="""SELECT project_id, Parent_Item_Name AS category, coalesce(Child_Item_Name, Parent_Item_Name) AS name, cast(coalesce(Child_max_score, Parent_max_score) AS double) AS max_score, r.description, 1.0e0 AS weight FROM {v_rules} r JOIN {v_projects} p ON p.id = r.project_id WHERE scoring_rules_summary IS NULL
     UNION ALL SELECT id, '总', status, 100.0e0, 'd', 1.0e0 FROM {v_projects} WHERE scoring_rules_summary IS NOT NULL""")(R.rules_view)
-@query("veto_and_tree_scores", "v_results", "v_rules", sql=f"""WITH k AS (SELECT project_id, Parent_Item_Name AS parent, Child_Item_Name AS item, Child_max_score * 1.0e0 AS top, coalesce(Parent_max_score, 0) * 1.0e0 AS pmax, is_veto FROM {{v_rules}} WHERE NOT is_price_criteria),
-    l AS (SELECT i.project_id, i.id AS bid_id, i.item, parent, is_veto, top, pmax, CASE WHEN is_veto THEN 0.0e0 ELSE coalesce(score, 0) END AS score FROM {{v_items}} i JOIN k ON k.project_id = i.project_id AND k.item = i.item)
-    SELECT project_id, bid_id, item AS name, 2 AS level, CASE WHEN is_veto THEN 0 ELSE top END AS max_score, score, CASE WHEN is_veto THEN '{R.VETO_REASON}' END AS reason, is_veto, cast(1 AS bigint) AS leaves FROM l
-    UNION ALL SELECT project_id, bid_id, coalesce(parent, ''), 1, max(pmax), sum(score), '{R.SUM_REASON}', false, count(*) FROM l GROUP BY project_id, bid_id, coalesce(parent, '')
-    UNION ALL SELECT r.project_id, r.id, '价格', 1, 40.0e0, 0.0e0, concat('{R.PENDING_REASON}', coalesce(cast(extracted_price AS string), 'None')), false, 1 FROM {{v_results}} r JOIN {{v_rules}} u ON u.project_id = r.project_id AND u.is_price_criteria""")
+@query("veto_and_tree_scores", "v_results", "v_rules", sql=f"""WITH k AS (SELECT project_id, id AS rule_id, Parent_Item_Name AS parent, Child_Item_Name AS given, CASE WHEN Child_Item_Name = '资质' AND project_id % 2 = 0 THEN '方案' ELSE Child_Item_Name END AS item, Child_max_score * 1.0e0 AS top, coalesce(Parent_max_score, 0) * 1.0e0 AS pmax, is_veto FROM {{v_rules}} WHERE NOT is_price_criteria),
+    l AS (SELECT i.project_id, i.id AS bid_id, rule_id, k.item, parent, is_veto, top, pmax, CASE WHEN is_veto THEN 0.0e0 ELSE coalesce(score, 0) END AS score FROM {{v_items}} i JOIN k ON k.project_id = i.project_id AND k.given = i.item)
+    SELECT project_id, bid_id, rule_id, item AS name, 2 AS level, CASE WHEN is_veto THEN 0 ELSE top END AS max_score, score, CASE WHEN is_veto THEN '{R.VETO_REASON}' END AS reason, is_veto, cast(1 AS bigint) AS leaves FROM l
+    UNION ALL SELECT project_id, bid_id, NULL, coalesce(parent, ''), 1, max(pmax), sum(score), '{R.SUM_REASON}', false, count(*) FROM l GROUP BY project_id, bid_id, coalesce(parent, '')
+    UNION ALL SELECT r.project_id, r.id, u.id, '价格', 1, 40.0e0, 0.0e0, concat('{R.PENDING_REASON}', coalesce(cast(extracted_price AS string), 'None')), false, 1 FROM {{v_results}} r JOIN {{v_rules}} u ON u.project_id = r.project_id AND u.is_price_criteria""")
 def _(results, rules):
-    named = S.score_items(results).select("project_id", F.col("id").alias("bid_id"), "item", "score", F.lit(None).cast("double").alias("extracted_price"))
-    priced = results.select("project_id", F.col("id").alias("bid_id"), F.lit("价格").alias("item"), F.lit(None).cast("double").alias("score"), "extracted_price")
-    return R.veto_and_tree_scores(rules, named.unionByName(priced))
+    """In every second project two parents have a child of one name."""
+    given = S.item_scores(results, rules).select("project_id", F.col("id").alias("bid_id"), "rule_id", "score", F.lit(None).cast("double").alias("extracted_price"))
+    price = rules.where("is_price_criteria").select("project_id", F.col("id").alias("rule_id"))
+    priced = results.join(price, "project_id").select("project_id", F.col("id").alias("bid_id"), "rule_id", F.lit(None).cast("double").alias("score"), "extracted_price")
+    named = F.when((F.col("Child_Item_Name") == "资质") & (F.col("project_id") % 2 == 0), "方案").otherwise(F.col("Child_Item_Name"))
+    return R.veto_and_tree_scores(rules.withColumn("Child_Item_Name", named), given.unionByName(priced))
 
 
 @query("flatten_rules", "part", sql="""SELECT p_partkey AS project_id, CASE WHEN p_size % 2 = 0 THEN concat('T', p_brand) ELSE p_name END AS Parent_Item_Name, CASE WHEN p_size % 2 = 0 THEN p_size END AS Parent_max_score, CASE WHEN p_size % 2 <> 0 THEN p_name END AS Child_Item_Name, CASE WHEN p_size % 2 <> 0 THEN p_size END AS Child_max_score, false AS is_price_criteria, 1 AS id FROM {part}
@@ -199,10 +195,10 @@ def _gated(bids):
 
 
 @query("project_overview", "v_projects", "v_bids", "v_results", sql="""SELECT p.id, coalesce(b.n, 0) AS bid_count, coalesce(r.n, 0) AS result_count, concat('2024-01-', lpad(cast(1 + p.id % 28 AS string), 2, '0'), 'T00:00:', lpad(cast(p.id % 60 AS string), 2, '0'), CASE WHEN p.id % 2 = 1 THEN '.500000' ELSE '' END) AS created_at FROM {v_projects} p
-    LEFT JOIN (SELECT project_id, count(*) AS n FROM {v_bids} WHERE qty > 10 GROUP BY 1) b ON b.project_id = p.id LEFT JOIN (SELECT project_id, count(*) AS n FROM {v_results} WHERE total_score > 90 GROUP BY 1) r ON r.project_id = p.id""")
+    LEFT JOIN (SELECT project_id, count(*) AS n FROM {v_bids} GROUP BY 1) b ON b.project_id = p.id LEFT JOIN (SELECT project_id, count(*) AS n FROM {v_results} GROUP BY 1) r ON r.project_id = p.id""")
 def _(projects, bids, results):
     at = F.expr("make_timestamp(2024, 1, cast(1 + id % 28 as int), 0, 0, cast(id % 60 + if(id % 2 = 1, 0.5, 0) as decimal(8, 6)))")
-    return P.project_overview(projects.withColumn("created_at", at), bids.where("qty > 10"), results.where("total_score > 90")).select("id", "bid_count", "result_count", "created_at")
+    return P.project_overview(projects.withColumn("created_at", at), bids, results).select("id", "bid_count", "result_count", "created_at")
 
 
 query("project_bidders", "v_bids", sql="SELECT project_id, id, bidder_name, processing_status, file_path, file_size FROM {v_bids}")(P.project_bidders)

@@ -14,8 +14,11 @@ from ..functions import text as T
 from ..operators import names, pages, prices, rules, sections, tables
 from ..sources.tables import as_json, changed_documents, schema
 from ..operators.writes import check_schema
-from ..streaming.status import run_status_stream, score_on_complete
+from ..sources.kept import KeptTable
+from ..streaming.status import BIDS, PROGRESS, live_progress, run_status_stream, score_on_complete, status_of
 from . import flows
+from .score_queries import _OTHER as OTHER
+from .score_queries import _R2 as R2
 from .score_queries import _SCORED as SCORED
 from .views import frames, with_views
 
@@ -192,8 +195,8 @@ query("section_names", "supplier", sql=f"SELECT s_suppkey AS doc_id, {_NAME} AS
 def _nametables(supplier):
     row = lambda a, b: F.array(a, b)
     name = F.concat(F.lit("山东"), F.col("s_suppkey").cast("string"), F.lit("号创杰装备有限公司"))
-    data = F.array(row(F.lit("序号"), F.lit("供应商名称")), row(F.lit("1"), F.lit("无")), row(F.lit("2"), name))
-    return supplier.where("s_suppkey % 3 = 2").select(F.col("s_suppkey").alias("doc_id"), F.lit(1).alias("table_no"), data[0].alias("headers"), data.alias("data"))
+    data = F.array(row(F.lit("序号"), F.lit("供应商名称")), row(F.lit("1"), F.lit("无")), row(F.lit("2"), F.when(F.col("s_suppkey") % 3 == 2, name).otherwise("空")))
+    return supplier.select(F.col("s_suppkey").alias("doc_id"), F.lit(1).alias("table_no"), data[0].alias("headers"), data.alias("data"))
 
 
 query("table_names", "supplier", sql=f"SELECT s_suppkey AS doc_id, {_NAME} AS name FROM {{supplier}} WHERE s_suppkey % 3 = 2")(lambda s: names.table_names(_nametables(s)))
@@ -254,17 +257,20 @@ query("rules_from_rows", "part", sql=f"WITH {_ROWS} SELECT * FROM u")(lambda p:
 
 
 def _numberings(part):
-    """Nine parts are a rule tree of three levels; some are missing, so that rules hang on what is left above them."""
+    """Rules of up to 12 levels, in documents of up to 63; parts of every sixth size are a document of their own, so that rules
+    hang on what is left above them."""
     k = F.col("p_partkey") % 9
     number = lambda x: F.lpad(x.cast("string"), 3, "0")
-    deep = F.array(number(F.floor(F.col("p_partkey") / 9) % 7), number(F.floor(k / 5)), number(k))
-    depth = F.when(k == 0, 1).when(k.isin(1, 5), 2).otherwise(3)
-    return part.where("p_size % 6 <> 0").select(F.floor(F.col("p_partkey") / 63).alias("doc"), "p_partkey", F.slice(deep, F.lit(1), depth).alias("numbering"))
+    deep = F.concat(F.array(number(F.floor(F.col("p_partkey") / 9) % 7), number(F.floor(k / 5)), number(k)), F.array_repeat(F.lit("001"), 9))
+    depth = F.when(k == 0, 1).when(k.isin(1, 5), 2).otherwise(3 + F.col("p_size") % 10)
+    doc = F.floor(F.col("p_partkey") / 63) * 2 + F.when(F.col("p_size") % 6 == 0, 1).otherwise(0)
+    return part.select(doc.alias("doc"), "p_partkey", F.slice(deep, F.lit(1), depth).alias("numbering"))
 
 
-query("attach_parent", "part", sql="""WITH n AS (SELECT p_partkey // 63 AS doc, p_partkey, p_partkey % 9 AS k, lpad((p_partkey // 9 % 7)::VARCHAR, 3, '0') AS a, lpad((p_partkey % 9 // 5)::VARCHAR, 3, '0') AS b FROM {part} WHERE p_size % 6 <> 0),
-    m AS (SELECT doc, p_partkey, CASE WHEN k = 0 THEN 1 WHEN k IN (1, 5) THEN 2 ELSE 3 END AS depth, CASE WHEN k = 0 THEN a WHEN k IN (1, 5) THEN concat(a, '.', b) ELSE concat(a, '.', b, '.', lpad(k::VARCHAR, 3, '0')) END AS num FROM n)
-    SELECT doc, p_partkey, CASE depth WHEN 2 THEN last_value(CASE WHEN depth < 2 THEN num END IGNORE NULLS) OVER w WHEN 3 THEN last_value(CASE WHEN depth < 3 THEN num END IGNORE NULLS) OVER w END AS parent FROM m WINDOW w AS (PARTITION BY doc ORDER BY num ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")(lambda p: rules.attach_parent(_numberings(p)).select("doc", "p_partkey", F.array_join("parent", ".").alias("parent")))
+query("attach_parent", "part", sql="""WITH n AS (SELECT p_partkey // 63 * 2 + CASE WHEN p_size % 6 = 0 THEN 1 ELSE 0 END AS doc, p_partkey, CASE WHEN p_partkey % 9 = 0 THEN 1 WHEN p_partkey % 9 IN (1, 5) THEN 2 ELSE 3 + p_size % 10 END AS depth,
+        concat(lpad((p_partkey // 9 % 7)::VARCHAR, 3, '0'), '.', lpad((p_partkey % 9 // 5)::VARCHAR, 3, '0'), '.', lpad((p_partkey % 9)::VARCHAR, 3, '0'), repeat('.001', 9)) AS deep FROM {part}),
+    m AS (SELECT doc, p_partkey, depth, substr(deep, 1, 4 * depth - 1) AS num FROM n)
+    SELECT m.doc, m.p_partkey, max(b.num) AS parent FROM m LEFT JOIN m b ON b.doc = m.doc AND b.num < m.num AND b.depth < m.depth GROUP BY 1, 2""")(lambda p: rules.attach_parent(_numberings(p)).select("doc", "p_partkey", F.array_join("parent", ".").alias("parent")))
 
 
 def _rulelines(part):
@@ -310,7 +316,7 @@ def _(bids, rules_):
 
 # Sources, schemas, streams.
 query("load_tables", "v_projects", "v_bids", "v_results", "v_rules", sql="""SELECT 'tender_project' AS name, count(*) AS n, sum(id) AS ids, count(scoring_rules_summary) AS filled FROM {v_projects} UNION ALL SELECT 'bid_document', count(*), sum(id), count(bidder_name) FROM {v_bids} UNION ALL SELECT 'analysis_result', count(*), sum(id), count(total_score) FROM {v_results}
-    UNION ALL SELECT 'scoring_rule', count(*), sum(id), count(Child_Item_Name) FROM {v_rules} UNION ALL SELECT 'score_modification_history', count(*), sum(id), count(detailed_scores) FROM {v_results} WHERE total_score > 90 UNION ALL SELECT 'project_audit_log', count(*), sum(id), count(status) FROM {v_projects}""")(lambda *tables_: _loaded(*tables_))
+    UNION ALL SELECT 'scoring_rule', count(*), sum(id), count(Child_Item_Name) FROM {v_rules} UNION ALL SELECT 'score_modification_history', count(*), sum(id), count(detailed_scores) FROM {v_results} UNION ALL SELECT 'project_audit_log', count(*), sum(id), count(status) FROM {v_projects}""")(lambda *tables_: _loaded(*tables_))
 
 
 def _loaded(projects, bids, results, rules_):
@@ -320,7 +326,7 @@ def _loaded(projects, bids, results, rules_):
     from ..sources.tables import load_tables
 
     spark, path = projects.sparkSession, _scratch(projects.sparkSession)
-    history = results.where("total_score > 90").select("id", F.col("id").alias("result_id"), F.col("detailed_scores").alias("old_scores"))
+    history = results.select("id", F.col("id").alias("result_id"), F.col("detailed_scores").alias("old_scores"))
     log = projects.select("id", F.col("id").alias("project_id"), F.col("status").alias("operation"))
     own = {"tender_project": projects, "bid_document": bids, "analysis_result": results, "scoring_rule": rules_, "score_modification_history": history, "project_audit_log": log}
     filled = {"tender_project": "scoring_rules_summary", "bid_document": "bidder_name", "analysis_result": "total_score", "scoring_rule": "Child_Item_Name", "score_modification_history": "old_scores", "project_audit_log": "operation"}
@@ -378,29 +384,48 @@ def _checked(rules_):
 
 
 def _status_stream(spark, sf_dir):
-    """The stream over all events, then its table."""
-    latest = run_status_stream(spark, sf_dir, spark.read.parquet(f"{sf_dir}/events.parquet").schema, _scratch(spark), _scratch(spark), "events.parquet")
-    return latest.select("id", "status", "value")
+    """Events in three files, of which some come late and one file comes again, then what is kept of the bids."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    rule = F.when(F.col("event_type") == "click", (F.floor("value") % 20).cast("string"))
+    rows = events.select(F.col("user_id").alias("id"), (F.col("user_id") % 10).alias("project_id"), F.col("ts").cast("timestamp").alias("ts"), status_of(F.col("event_type")).alias("status"), "value", rule.alias("rule"), "event_id")
+    source = _scratch(spark)
+    third = F.least(F.floor(F.col("event_id") * 3 / events.count()) + F.when(F.col("event_id") % 100 == 7, 1).otherwise(0), F.lit(2))
+    for k in (0, 1, 1, 2):
+        rows.where(third == k).drop("event_id").coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(rows.drop("event_id").schema).option("maxFilesPerTrigger", 1).parquet(source)
+    table = KeptTable(spark, _scratch(spark), PROGRESS, ["id"], buckets=16)
+    kept = run_status_stream(stream, table, _scratch(spark), delay="1000 days")
+    totals = rows.select("project_id").distinct().withColumn("progress_total_rules", F.lit(20))
+    report = live_progress(kept, totals).drop("processing_status")
+    return report.join(kept.select("id", F.col("processing_status").alias("status"), "value"), "id")
 
 
 QUERIES["status_stream"] = _status_stream
-ORACLE["status_stream"] = "SELECT user_id AS id, CASE arg_max(event_type, ts) WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'processing' WHEN 'click' THEN 'processing' WHEN 'purchase' THEN 'completed' ELSE arg_max(event_type, ts) END AS status, arg_max(value, ts) AS value FROM events GROUP BY 1"
+ORACLE["status_stream"] = """WITH l AS (SELECT user_id AS id, user_id % 10 AS project_id, CASE arg_max(event_type, ts) WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'processing' WHEN 'click' THEN 'processing' WHEN 'purchase' THEN 'completed' ELSE arg_max(event_type, ts) END AS status, arg_max(value, ts) AS value,
+    count(DISTINCT floor(value)::BIGINT % 20) FILTER (event_type = 'click')::INT AS progress_completed FROM events GROUP BY 1)
+    SELECT id, project_id, status, value, progress_completed, 20 AS progress_total, progress_completed * 5.0e0 AS percent, count(*) FILTER (status IN ('completed', 'error')) OVER (PARTITION BY project_id) * 100.0e0 / count(*) OVER (PARTITION BY project_id) AS overall_percent FROM l"""
 
 
 def _score_stream(spark, sf_dir):
-    """Bids as a stream: projects that are complete get their price scores, project by project."""
-    from ..operators.scores import bid_prices, price_rule_max, score_prices
-
+    """Bids as a stream of three files, one of which comes again: projects that are complete get price scores, totals and status."""
     bids, results, rules_ = frames(spark, sf_dir, "v_bids", "v_results", "v_rules")
-    source, target = _scratch(spark), _scratch(spark)
+    source = _scratch(spark)
     done = bids.withColumn("processing_status", F.when(F.col("project_id") % 2 == 0, "completed").otherwise(F.col("processing_status"))).select("id", "project_id", "processing_status")
-    done.write.parquet(source)
-    top = price_rule_max(rules_)
-    handle = score_on_complete(target, lambda: (spark.read.parquet(source), results), lambda r: score_prices(bid_prices(r), top))
-    stream = spark.readStream.schema(done.schema).parquet(source)
+    for k in (0, 1, 0, 2):
+        done.where(F.col("id") % 3 == k).coalesce(1).write.mode("append").parquet(source)
+    by_project = ["project_id"]
+    kept = KeptTable(spark, _scratch(spark), BIDS, ["project_id", "id"], by_project, 16)
+    at_rest = KeptTable(spark, _scratch(spark), results.schema, ["project_id", "id"], by_project, 16)
+    at_rest.replace(results)
+    scores, projects = KeptTable(spark, _scratch(spark), results.schema, by_project, buckets=16), KeptTable(spark, _scratch(spark), "project_id long, status string", by_project, buckets=16)
+    stream = spark.readStream.schema(done.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    handle = score_on_complete(kept, at_rest.read, rules_, scores, projects)
     stream.writeStream.foreachBatch(handle).option("checkpointLocation", _scratch(spark)).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(target).select(F.col("project_id").cast("long").alias("project_id"), "bidder_name", "price", "price_score")
+    return scores.read().select("id", "project_id", "bidder_name", "price_score", "total_score").join(projects.read(), "project_id")
 
 
 QUERIES["score_on_complete_stream"] = _score_stream
-ORACLE["score_on_complete_stream"] = with_views(f"""WITH {SCORED}, ready AS (SELECT project_id FROM {{v_bids}} GROUP BY 1 HAVING project_id % 2 = 0 OR count(*) FILTER (processing_status = 'processing') = 0) SELECT project_id, bidder_name, price, price_score FROM scored JOIN ready USING (project_id)""")
+ORACLE["score_on_complete_stream"] = with_views(f"""WITH {SCORED}, {OTHER}, firsts AS (SELECT min(id) AS id, project_id, bidder_name FROM {{v_bids}} GROUP BY 2, 3),
+    new AS (SELECT firsts.id, price_score, {R2.format('other_total + price_score')} AS total FROM firsts JOIN scored USING (project_id, bidder_name) JOIN other ON other.id = firsts.id),
+    s AS (SELECT project_id, CASE WHEN count(*) FILTER (processing_status = 'error' AND project_id % 2 = 1) > 0 THEN 'completed_with_errors' ELSE 'completed' END AS status FROM {{v_bids}} GROUP BY 1 HAVING project_id % 2 = 0 OR count(*) FILTER (processing_status = 'processing') = 0)
+    SELECT r.id, r.project_id, r.bidder_name, coalesce(new.price_score, r.price_score) AS price_score, coalesce(new.total, r.total_score) AS total_score, status FROM {{v_results}} r JOIN s ON s.project_id = r.project_id LEFT JOIN new ON new.id = r.id""")

@@ -99,23 +99,6 @@ def test_price_scores_of_seven_bidders(spark):
     assert {r["bidder_name"]: r["price_score"] for r in scores.score_prices(df, top).collect()} == {n: s for n, _, s in bidders}
 
 
-def test_status_stream_keeps_its_table_in_files(spark, tmp_path):
-    from tenderlake.streaming.status import run_status_stream
-
-    source, target, checkpoint = (f"file://{tmp_path}/{x}" for x in ("source", "target", "checkpoint"))
-
-    def run(*rows):
-        events = spark.createDataFrame(rows, "user_id long, event_type string, ts string, value double").withColumn("ts", F.to_timestamp("ts"))
-        events.coalesce(1).write.mode("append").parquet(source)
-        out = run_status_stream(spark, source, events.schema, target, checkpoint)
-        assert out.inputFiles()
-        return {r["id"]: (r["status"], r["value"]) for r in out.collect()}
-
-    assert run((1, "signup", "2024-01-05 00:00:00", 1.0), (2, "view", "2024-01-05 00:00:00", 2.0), (1, "click", "2024-01-06 00:00:00", 3.0)) == {1: ("processing", 3.0), 2: ("processing", 2.0)}
-    # The next batch brings one older event and one newer one.
-    assert run((1, "error", "2024-01-01 00:00:00", 4.0), (2, "purchase", "2024-02-01 00:00:00", 5.0), (3, "x", "2023-01-01 00:00:00", 6.0)) == {1: ("processing", 3.0), 2: ("completed", 5.0), 3: ("x", 6.0)}
-
-
 TREES = [
     (1, 1, "a", '[{"Child_Item_Name":"x","score":5,"weight":2.50},{"criteria_name":"t","score":1,"children":[{"criteria_name":"u","children":[{"criteria_name":"PRICE","score":3,"k":[1]}]}]},7]'),
     (2, 1, "b", '{"方案":1.5,"价格分":{"score":4}}'), (3, 1, "c", "oops"), (4, 1, "d", '[{"criteria_name":"报价","score":0},{"is_price_criteria":true,"score":9}]'), (5, 1, "e", None), (6, 1, "f", '[{"criteria_name":"报价"}]'), (7, 2, "a", '[{"criteria_name":"报价","score":1}]'),
@@ -197,19 +180,76 @@ def test_rules_hang_on_the_nearest_less_deep_one(spark):
     assert out == {"1": None, "1.1": "1", "1.1.1": "1.1", "1.1.1.1": "1.1.1", "1.2.1": "1.1", "2.1.1": "1.1", "2.2": "1"}
 
 
-def test_complete_projects_are_scored_over_batches_and_replays(spark, tmp_path):
-    from tenderlake.streaming.status import score_on_complete
-
-    target, kind = f"file://{tmp_path}/scores", "id long, project_id long, processing_status string"
-    results = spark.createDataFrame([(1, 10.0), (2, 20.0), (1, 30.0)], "project_id long, price double")
-    state = {"bids": [(1, 1, "completed"), (2, 1, "processing"), (3, 2, "completed")]}
-    handle = score_on_complete(target, lambda: (spark.createDataFrame(state["bids"], kind), results), lambda r: r.groupBy("project_id").agg(F.count(F.lit(1)).alias("n"), F.sum("price").alias("total")))
-    read = lambda: {(r["project_id"], r["n"], r["total"]) for r in spark.read.parquet(target).collect()}
-    first = spark.createDataFrame(state["bids"], kind)
-    handle(first, 0)
-    assert read() == {(2, 1, 20.0)}
-    state["bids"][1] = (2, 1, "completed")
-    second = spark.createDataFrame([state["bids"][1]], kind)
-    for _ in range(2):  # a batch that comes again changes nothing
-        handle(second, 1)
-        assert read() == {(1, 2, 40.0), (2, 1, 20.0)}
+def test_rules_of_any_depth_equal_a_plain_stack(spark):
+    import random
+
+    r = random.Random(2)
+    numbers_ = [(d, [f"{r.randint(0, 2)}" for _ in range(r.choice([1, 2, 3, 40, 17, 5]))]) for d in "ab" for _ in range(300)] + [("a", [str(i) for i in range(n)]) for n in range(1, 41)]
+    numbers_ += [("c", ["1"]), ("c", ["1"]), ("c", ["1", "1"]), ("d", None)]
+    df = spark.createDataFrame(numbers_, "doc string, numbering array<string>")
+    want = {}
+    for doc in "abc":
+        stack = []
+        for x in sorted(n for d, n in numbers_ if d == doc):
+            while stack and len(stack[-1]) >= len(x):
+                stack.pop()
+            want[doc, tuple(x)] = tuple(stack[-1]) if stack else None
+            stack.append(x)
+    for block in (1024, 7):
+        rows = rules.attach_parent(df, block=block).collect()
+        assert len(rows) == len(numbers_)
+        assert {(r["doc"], tuple(r["numbering"])): r["parent"] and tuple(r["parent"]) for r in rows if r["numbering"]} == want
+
+
+def _deep(depth, wide=0):
+    item = {"criteria_name": "报价", "score": 6.5, "k": [1]}
+    for i in range(depth):
+        item = {"criteria_name": f"t{i}", "score": i, "children": [{"criteria_name": "x", "score": 1}, {"criteria_name": "价格", "score": 0, "children": []}] * (i % 7 == 3) + [item]}
+    return [{"criteria_name": f"w{i}", "score": 1} for i in range(wide)] + [item, {"criteria_name": "last", "is_price_criteria": True, "score": 9.0}]
+
+
+def _find(scores):
+    for s in scores:
+        if not isinstance(s, dict):
+            continue
+        price = any(w in s.get("criteria_name", "").lower() for w in ("价格", "price", "报价")) or s.get("is_price_criteria", False)
+        if price and "score" in s:
+            return float(s["score"])
+        if s.get("children") and (below := _find(s["children"])) != 0.0:
+            return below
+    return 0.0
+
+
+def _put(scores, new, put):
+    out = []
+    for s in scores:
+        if isinstance(s, dict):
+            price = any(w in s.get("criteria_name", "").lower() for w in ("价格", "price", "报价")) or s.get("is_price_criteria", False)
+            s = s | (put if price else {})
+            if s.get("children"):
+                s = s | {"children": _put(s["children"], new, put)}
+        out.append(s)
+    return out
+
+
+def test_score_trees_of_any_depth_and_width_equal_recursion(spark):
+    import json
+
+    from tenderlake.operators import scores
+
+    trees = [_deep(40), _deep(41), _deep(3), _deep(0), _deep(2, 2000), [1, [2], None, "x", {"criteria_name": "a", "children": [3, {"criteria_name": "PRICE", "score": 2}]}], []]
+    trees.append([{"criteria_name": "parent", "children": [{"criteria_name": f"c{i}", "score": 1} for i in range(100_000)] + [{"criteria_name": "报价", "score": 4}]}])
+    results = spark.createDataFrame([(i, 1, f"b{i}", json.dumps(t, ensure_ascii=False)) for i, t in enumerate(trees)], "id long, project_id long, bidder_name string, detailed_scores string")
+    assert dict(scores.find_price_score(results).collect()) == {i: _find(t) for i, t in enumerate(trees)}
+    scored = spark.createDataFrame([(1, f"b{i}", 12.5) for i in range(len(trees))], "project_id long, bidder_name string, price_score double")
+    put = {"score": 12.5, "is_price_criteria": True, "reason": scores.NEW_REASON + "12.5"}
+    for r in scores.update_price_in_scores(results, scored).collect():
+        assert json.loads(r["detailed_scores"]) == _put(trees[r["id"]], 12.5, put), r["id"]
+
+
+def test_items_of_one_name_under_two_parents_are_told_apart(spark):
+    rows = [(1, 1, "技术", 10, "方案", 6, False, False), (2, 1, "商务", 10, "方案", 3, False, False), (3, 1, "价格", 40, None, None, False, True)]
+    df = spark.createDataFrame(rows, "id long, project_id long, Parent_Item_Name string, Parent_max_score int, Child_Item_Name string, Child_max_score int, is_veto boolean, is_price_criteria boolean")
+    leaves = spark.createDataFrame([(1, 7, 1, 6.0), (1, 7, 2, 3.0), (1, 7, 3, None)], "project_id long, bid_id long, rule_id long, score double")
+    out = {(r["name"], r["level"], r["rule_id"]): (r["score"], r["leaves"]) for r in rules.veto_and_tree_scores(df, leaves).collect()}
+    assert out == {("方案", 2, 1): (6.0, 1), ("方案", 2, 2): (3.0, 1), ("价格", 1, 3): (0.0, 1), ("技术", 1, None): (6.0, 1), ("商务", 1, None): (3.0, 1)}
