@@ -7,10 +7,11 @@ of their projections. The join descends from pairs of whole sequences to pairs o
 drops a pair of intervals as soon as their boxes are more than epsilon apart. Surviving block pairs are compared exactly, in
 tiles of 8 by 8 blocks, so that a block's vectors travel once a tile and not once a pair.
 
-A pair of blocks hands on a count and a root for each linked vector, not its pairs. Equal vectors are folded into one
-before the join and count as links of each other. Edge cases: vectors that are null, empty, zero or hold null or
+A pair of blocks hands on a count and a root for each linked vector, not its pairs. Equal vectors (up to a power of two) are
+folded into one node before the join and count as links of each other. Edge cases: vectors that are null, empty, zero or hold null or
 non-finite components, and rows with a null label or id, link with nothing (n_links 0, own component, kept); vectors of
-unequal length never link; repeated rows count as vectors of their own; an empty table gives an empty result; columns
+unequal length never link; repeated rows count as vectors of their own, and so do
+different vectors of one id, each with its own links; an empty table gives an empty result; columns
 n_links, component_id and kept of the input are replaced, other columns stay.
 """
 
@@ -38,7 +39,8 @@ def _vectors(key: bytes) -> np.ndarray:
 
 
 def _packed(rows: DataFrame, vector: str, key: str) -> DataFrame:
-    """rows with the vector's components as packed doubles, null where it can't link."""
+    """rows with the vector's components as packed doubles, null where it can't link. Vectors are scaled by a power of two, so
+    that squares of tiny and huge components are no zeros and no infinities; cosines stay the same."""
 
     @F.arrow_udf("binary")
     @frugal
@@ -47,7 +49,7 @@ def _packed(rows: DataFrame, vector: str, key: str) -> DataFrame:
             out = []
             for x in batch.to_pylist():
                 v = None if x is None or None in x else np.array(x, "<f8")
-                out.append(v.tobytes() if v is not None and len(v) and np.isfinite(v).all() and 0 < np.dot(v, v) < np.inf else None)
+                out.append(np.ldexp(v, -np.frexp(np.abs(v).max())[1]).astype("<f8").tobytes() if v is not None and len(v) and np.isfinite(v).all() and v.any() else None)
             yield pa.array(out, pa.binary())
 
     return rows.withColumn(key, pack(F.col(vector)))
@@ -196,7 +198,7 @@ def link_vectors(rows: DataFrame, cosine: float = 0.93, id: str = "vec_id", vect
         packed = written(_packed(rows, vector, key).withColumn(lab, F.col(label).cast("string")), "vectors")
         usable = F.col(key).isNotNull() & F.col(lab).isNotNull() & F.col(id).isNotNull()
         distinct = packed.where(usable).groupBy(F.col(lab).alias("label"), F.col(key).alias("key")).agg(F.min(F.col(id).cast("long")).alias("id"), F.count(F.lit(1)).alias("n"))
-        distinct = written(distinct.withColumn("dim", (F.octet_length("key") / 8).cast("long")), "distinct")
+        distinct = written(distinct.withColumns({"dim": (F.octet_length("key") / 8).cast("long"), "node": F.monotonically_increasing_id()}), "distinct")
         axes = rows.sparkSession.sparkContext.broadcast(_axes(distinct))
 
         @F.arrow_udf("array<double>")
@@ -215,8 +217,8 @@ def link_vectors(rows: DataFrame, cosine: float = 0.93, id: str = "vec_id", vect
         placed = distinct.withColumn("at", project("key"))
         cells = [f"cell{i}" for i in range(AXES)]
         placed = placed.withColumns({c: F.floor(F.get("at", F.lit(i)) / eps) for i, c in enumerate(cells)})
-        order = ["label", "dim", *cells, "id"]
-        ordered = placed.repartitionByRange(*order).sortWithinPartitions(*order).select("label", "dim", "id", "at", "key", "n")
+        order = ["label", "dim", *cells, "node"]
+        ordered = placed.repartitionByRange(*order).sortWithinPartitions(*order).select("label", "dim", F.col("node").alias("id"), "at", "key", "n")
         blocks = written(ordered.mapInArrow(frugal(_blocks), "part long, seq long, label string, dim long, lo array<double>, hi array<double>, ids binary, counts binary, vectors binary"), "blocks")
         blocks = _numbered(blocks)
         tile = ["label", "dim", "ta", "tb"]
@@ -225,12 +227,14 @@ def link_vectors(rows: DataFrame, cosine: float = 0.93, id: str = "vec_id", vect
         both = pairs.join(blocks, ["label", "dim", "idx"]).repartition(*tile).sortWithinPartitions(*tile, "idx")
         found = written(both.mapInArrow(frugal(_compare(cosine, eps)), "id long, n long, root long"), "found")
         kept(packed, distinct, found)
-        counts = found.groupBy("id").agg(F.sum("n").alias("n_others"))
+        counts = found.groupBy(F.col("id").alias("node")).agg(F.sum("n").alias("n_others"))
         comps = connected(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
+        ids = comps.join(distinct.select("node", "id"), "node")
+        least = written(ids.groupBy("component").agg(F.min("id").alias("component_id")), "least")
+        comps = written(comps.join(least, "component").select("node", "component_id"), "components")
         kept(comps)
-        comps = comps.select(F.col("node").alias("id"), "component")
-        classes = distinct.select(F.col("label").alias(lab), F.col("key").alias(key), F.col("id"), "n").join(counts, "id", "left").join(comps, "id", "left")
-        classes = classes.select(lab, key, (F.coalesce("n_others", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+        classes = distinct.select(F.col("label").alias(lab), F.col("key").alias(key), "node", "id", "n").join(counts, "node", "left").join(comps, "node", "left")
+        classes = classes.select(lab, key, (F.coalesce("n_others", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
         own = F.when(usable, F.col("component_id")).otherwise(F.col(id).cast("long"))
         out = packed.join(classes, [lab, key], "left").withColumn("n_links", F.when(usable, F.col("n_links")).otherwise(0).cast("long")).withColumn("component_id", own)
         return out.withColumn("kept", F.coalesce(F.col(id) == F.col("component_id"), F.lit(True))).select(*rows.columns, "n_links", "component_id", "kept")

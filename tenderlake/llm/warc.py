@@ -5,11 +5,14 @@ one with the smallest id is the response and the others are revisits that name i
 ids and digests alone; payloads are dealt out once, by page. A block longer than ``segment`` bytes is cut: the first
 segment is in the response record, the others in continuation records that name it as their origin. A record's name holds
 the page id and a digest of url and payload, so it is known before the record is written. Records are rows of a text sink
-whose line separator is the end of a record, so Spark writes the archives, at most PER_FILE records in each.
+whose line separator is the end of a record, so Spark writes the archives, in each
+at most as many as have ARCHIVE bytes of blocks when all are of full length.
 
 Reading: archive files are parsed by Spark tasks, one file at a time, record by record. Continuations are grouped by
 origin, put in order of their segment numbers, checked (numbers without a gap, total length as the last says), joined, and
-the chunked transfer framing is decoded. A record that fails a check has a text in ``problem`` and no payload.
+the chunked transfer framing is decoded. A record that fails a check has a text in ``problem`` and no payload. So
+has one whose head, length or number can't be read, after which reading goes on at the next record that starts as one should,
+and what is left of an archive that is cut off or whose compression is damaged.
 
 Edge cases: null or empty html is an empty payload (always a response); null urls are written as urn:none and read back
 as null; rows with a null page id are written and read back, and never are responses that others refer to; repeated rows
@@ -31,7 +34,7 @@ from .common import frugal, new_path, small_batches, tidy, written
 LEAST = 100
 SEGMENT = 32 << 10
 CHUNK = 4 << 10
-PER_FILE = 20_000  # records in an archive: under 1 GB with segments of 32 KB, as a reader's task holds an archive at once
+ARCHIVE = 256 << 20  # bytes of blocks in an archive, as a reader's task holds an archive at once
 _END = "\r\n\r\n"
 _HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 
@@ -57,7 +60,10 @@ def dechunked(body: bytes) -> bytes:
     out, at = [], 0
     while True:
         stop = body.index(b"\r\n", at)
-        size = int(body[at:stop].split(b";")[0], 16)
+        digits = body[at:stop].split(b";")[0].strip()
+        if not re.fullmatch(rb"[0-9A-Fa-f]{1,16}", digits):
+            raise ValueError("a chunk's size isn't a hexadecimal number")
+        size = int(digits, 16)
         at = stop + 2
         if not size:
             return b"".join(out)
@@ -122,7 +128,7 @@ def write(pages: DataFrame, path: str | None = None, id: str = "page_id", url: s
         revisits = written(revisits.groupBy("name").agg(F.first("first").alias("first")), "revisits")
         known = rows.join(revisits, "name", "left")
         records = known.select("name", "url", F.when(F.col("first").isNull(), F.col("html")).alias("html"), "digest", "first").mapInArrow(frugal(_records(segment)), "value string")
-        records.write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", PER_FILE).text(path)
+        records.write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", max(1, ARCHIVE // segment)).text(path)
     return path
 
 
@@ -132,20 +138,29 @@ class _Reader:
     def __init__(self, data: bytes):
         self.view, self.at, self.have = memoryview(data), 0, bytearray()
         self.gzip = zlib.decompressobj(31) if data[:2] == b"\x1f\x8b" else None
+        self.inside, self.problem = False, None
 
     def more(self) -> bool:
         if self.at >= len(self.view):
             return False
-        part = self.view[self.at : self.at + (1 << 18)]
+        part = self.view[self.at : self.at + (1 << 13)]  # little, as what a damaged part holds before the damage is lost
         self.at += len(part)
         if self.gzip is None:
             self.have += part
             return True
-        while len(part):
-            self.have += self.gzip.decompress(part)
-            part = self.gzip.unused_data
-            if self.gzip.eof:
-                self.gzip = zlib.decompressobj(31)
+        try:
+            while len(part):
+                self.have += self.gzip.decompress(part)
+                part = self.gzip.unused_data
+                if self.gzip.eof:
+                    self.gzip, self.inside = zlib.decompressobj(31), False
+                else:
+                    self.inside = True
+        except zlib.error:
+            self.problem, self.at = "archive's compression is damaged", len(self.view)
+            return False
+        if self.at >= len(self.view) and self.inside:
+            self.problem = "archive is cut off"
         return True
 
     def until(self, mark: bytes) -> bytes | None:
@@ -158,6 +173,13 @@ class _Reader:
         del self.have[: k + len(mark)]
         return out
 
+    def resume(self) -> bool:
+        """Go on at the next record that starts as one should."""
+        if self.until(_END.encode() + b"WARC/") is None:
+            return False
+        self.have[:0] = b"WARC/"
+        return True
+
     def take(self, n: int) -> bytes:
         while len(self.have) < n and self.more():
             pass
@@ -166,29 +188,49 @@ class _Reader:
         return out
 
 
-_FIELDS = ["type", "id", "target", "digest", "refers_to", "origin", "number", "total", "block", "short"]
-_SCHEMA = "type string, id string, target string, digest string, refers_to string, origin string, number long, total long, block binary, short boolean"
+_FIELDS = ["type", "id", "target", "digest", "refers_to", "origin", "number", "total", "block", "short", "problem"]
+_SCHEMA = "type string, id string, target string, digest string, refers_to string, origin string, number long, total long, block binary, short boolean, problem string"
+_KINDS = [pa.string()] * 6 + [pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.string()]
+_NAMES = ["warc-type", "warc-record-id", "warc-target-uri", "warc-payload-digest", "warc-refers-to", "warc-segment-origin-id"]
+
+
+def _read_archive(data: bytes) -> Iterator[list]:
+    """The records of an archive, in the order of _FIELDS."""
+    reader = _Reader(data)
+    while (head := reader.until(b"\r\n\r\n")) is not None:
+        lines = head.strip(b"\r\n").decode("utf-8", "replace").split("\r\n")
+        field = {a.strip().lower(): b.strip() for a, _, b in (x.partition(":") for x in lines[1:])}
+        said = [field.get(n) for n in _NAMES]
+        length, number, total = (field.get(n) for n in ("content-length", "warc-segment-number", "warc-segment-total-length"))
+        fine = all(x is None or re.fullmatch("[0-9]{1,18}", x) for x in (length, number, total))
+        if not lines[0].startswith("WARC/") or length is None or not fine:
+            yield [*said, None, None, None, False, "head can't be read"]
+            reader.have[:0] = b"\r\n\r\n"
+            if not reader.resume():
+                break
+            continue
+        block = reader.take(int(length))
+        yield [*said, number and int(number), total and int(total), block, len(block) < int(length), None]
+        reader.take(4)
+    if reader.problem or reader.have.strip(b"\r\n"):
+        yield [None] * 9 + [False, reader.problem or "archive is cut off"]
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.string()] * 6 + [pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
+    def flush(rows: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _KINDS, strict=True)], _FIELDS)
+
     for batch in batches:
         for k in range(batch.num_rows):
-            reader, rows, size = _Reader(batch.column(0)[k].as_py()), [], 0
-            while (head := reader.until(b"\r\n\r\n")) is not None:
-                lines = head.strip(b"\r\n").decode("utf-8", "replace").split("\r\n")
-                field = {a.strip().lower(): b.strip() for a, _, b in (x.partition(":") for x in lines[1:])}
-                n = int(field.get("content-length", 0))
-                block = reader.take(n)
-                number, total = field.get("warc-segment-number"), field.get("warc-segment-total-length")
-                rows.append([field.get("warc-type"), field.get("warc-record-id"), field.get("warc-target-uri"), field.get("warc-payload-digest"), field.get("warc-refers-to"), field.get("warc-segment-origin-id"), number and int(number), total and int(total), block, len(block) < n])
-                reader.take(4)
-                size += n
+            rows, size = [], 0
+            for row in _read_archive(batch.column(0)[k].as_py()):
+                rows.append(row)
+                size += len(row[8] or b"")
                 if size > 1 << 22:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], _FIELDS)
+                    yield flush(rows)
                     rows, size = [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], _FIELDS)
+                yield flush(rows)
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
@@ -198,8 +240,9 @@ def records(spark: SparkSession, path: str) -> DataFrame:
 
 def whole(raw: DataFrame) -> DataFrame:
     """Response, revisit and other records with their segments joined: block, and problem where a check failed."""
-    single = raw.where("origin is null and number is null").select("type", "id", "target", "digest", "refers_to", "block", F.when(F.col("short"), "block shorter than its length").alias("problem"))
-    cut = raw.where("origin is not null or number is not null").withColumn("id", F.coalesce("origin", "id"))
+    problem = F.coalesce("problem", F.when(F.col("short"), "block shorter than its length"))
+    single = raw.where("problem is not null or origin is null and number is null").select("type", "id", "target", "digest", "refers_to", "block", problem.alias("problem"))
+    cut = raw.where("problem is null and (origin is not null or number is not null)").withColumn("id", F.coalesce("origin", "id"))
     # Rows that were written twice have the same name: their segments are equal.
     fields = ["type", "target", "digest", "refers_to"]
     cut = cut.groupBy("id", "number").agg(*[F.max(F.when(F.col("origin").isNull(), F.col(c))).alias(c) for c in fields], F.max("total").alias("total"), F.first("block").alias("block"), F.max("short").alias("short"), F.count(F.lit(1)).alias("copies"))

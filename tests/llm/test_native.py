@@ -237,3 +237,23 @@ def test_linked_spans_equal_brute_force(spark):
     out = dict(credential_scan.scan(df).select("doc_id", credential_scan.span_list(F.col("spans"))).collect())
     for i, text in enumerate(texts):
         assert out[i] == _linked_spans(text), (i, text)
+
+
+def test_a_long_dialogue_is_spread_over_tasks(spark):
+    turns = [(1, i, ("user", "assistant", "tool")[i % 3], f"text {i}") for i in range(700)] + [(None, 1, "user", "a"), (None, 2, "user", "b"), (2, 1, "system", "x")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    out = chat.perspectives(df)
+    rows = out.collect()
+    assert {(r["conv_id"], r["perspective"]) for r in rows} == {(1, "user"), (1, "assistant"), (1, "tool"), (None, "user")}
+    for who in ("user", "assistant", "tool"):
+        whole, spoken = "", []
+        for r in sorted((r for r in rows if r["conv_id"] == 1 and r["perspective"] == who), key=lambda r: r["block_no"]):
+            assert r["char_offset"] == len(whole) and r["n_turns"] <= chat.BLOCK
+            whole += r["rendered"]
+            spoken += [r["rendered"][int(a) : int(b)] for a, b in (x.split(":") for x in r["mask"].split(","))]
+        assert whole == "".join(f"<|im_start|>{'assistant' if s == who else 'user name=' + s}\n{t}<|im_end|>\n" for _, _, s, t in turns[:700])
+        assert spoken == [t + "<|im_end|>\n" for _, _, s, t in turns[:700] if s == who]
+    # Windows over a dialogue see lengths, not texts.
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    windows = [line for line in plan.split("\n") if " Window [" in line or "+- Window" in line]
+    assert windows and not any("text" in line or "all#" in line for line in windows)

@@ -86,3 +86,15 @@ def test_near_duplicates_on_the_small_table(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     out = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash_dedup.near_duplicates(rows, width=2).collect()}
     assert out == brute.near_duplicates(dict(rows.collect()))
+
+
+def test_tiny_and_huge_vectors_and_vectors_of_one_id(spark):
+    rows = [
+        (1, [1e-170, 1e-170], 0), (2, [1e-170, 1e-170], 0), (3, [1e200, 1e200], 0), (4, [5e-324, 5e-324], 0), (5, [-1e308, 1e308], 0), (6, [-2e-300, 2e-300], 0), (7, [1e308, 5e-324], 0),
+        (11, [1.0, 0.0, 0.0], 1), (12, [0.99, 0.01, 0.0], 1), (11, [0.0, 1.0, 0.0], 1), (13, [0.0, 0.99, 0.01], 1), (14, [0.01, 0.99, 0.0], 1), (None, [1.0, 0.0, 0.0], 1), (15, [0.0, 0.0, 1.0], None),
+    ]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((r["vec_id"] or 0, r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.link_vectors(df).collect())
+    small = [(i, 3, 1, i == 1) for i in (1, 2, 3, 4)] + [(5, 1, 5, True), (6, 1, 5, False), (7, 0, 7, True)]
+    ones = [(11, 1, 11, True), (11, 2, 11, True), (12, 1, 11, False), (13, 2, 11, False), (14, 2, 11, False), (0, 0, None, True), (15, 0, 15, True)]
+    assert got == sorted(small + ones, key=lambda r: (r[0], r[1], str(r[2]), r[3]))

@@ -38,10 +38,41 @@ def test_round_trip(spark):
 
 def test_missing_segments_and_broken_frames_are_told(spark, tmp_path):
     raw = spark.createDataFrame([("response", "<a>", 1, None, None), ("continuation", "<a:3>", 3, "<a>", 9)], "type string, id string, number long, origin string, total long")
-    raw = raw.select("type", "id", F.lit("t").alias("target"), F.lit("d").alias("digest"), F.lit(None).cast("string").alias("refers_to"), "origin", "number", "total", F.encode(F.lit("abc"), "utf-8").alias("block"), F.lit(False).alias("short"))
+    raw = raw.select("type", "id", F.lit("t").alias("target"), F.lit("d").alias("digest"), F.lit(None).cast("string").alias("refers_to"), "origin", "number", "total", F.encode(F.lit("abc"), "utf-8").alias("block"), F.lit(False).alias("short"), F.lit(None).cast("string").alias("problem"))
     assert [r["problem"] for r in warc.whole(raw).collect()] == ["segment missing"]
     with pytest.raises(ValueError):
         warc.dechunked(b"5\r\nabc\r\n0\r\n\r\n")
     record = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1:0>\r\nContent-Length: 44\r\n\r\n"
     (tmp_path / "a.warc.gz").write_bytes(gzip.compress(record + b"HTTP/1.1 200 OK\r\n\r\nhello"))
     assert [r["problem"] for r in warc.read(spark, str(tmp_path)).collect()] == ["block shorter than its length"]
+
+
+def _plain(n, payload=b"hello"):
+    block = b"HTTP/1.1 200 OK\r\n\r\n" + payload
+    return b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:%d:0>\r\nContent-Length: %d\r\n\r\n%b\r\n\r\n" % (n, len(block), block)
+
+
+@pytest.mark.parametrize("size", [b"-6", b"+3", b"0x3", b"", b"g", b" ", b"1_0", b"f" * 40])
+def test_sizes_that_are_no_numbers(size):
+    with pytest.raises(ValueError):
+        warc.dechunked(b"1\r\na\r\n" + size + b"\r\nabc\r\n0\r\n\r\n")
+
+
+def test_what_cannot_be_read_is_told_and_good_records_are_read(spark, tmp_path):
+    bad = _plain(2).replace(b"Content-Length: 24", b"Content-Length: x")
+    files = {
+        "length": _plain(1) + bad + _plain(3), "none": _plain(4) + _plain(5).replace(b"Content-Length: 24\r\n", b"") + _plain(6), "negative": _plain(7).replace(b": 24", b": -24") + _plain(8),
+        "number": _plain(9).replace(b"Content-Length", b"WARC-Segment-Number: one\r\nContent-Length") + _plain(10), "head": b"junk\r\n\r\n" + _plain(11), "cut": _plain(12) + _plain(13)[:40], "empty": b"",
+        "members.gz": gzip.compress(_plain(14)) + gzip.compress(_plain(15)),
+    }
+    damaged = bytearray(gzip.compress(b"".join(_plain(100 + i, bytes(str(i * i), "ascii") * 200) for i in range(3000)), 1))
+    damaged[len(damaged) // 2 : len(damaged) // 2 + 40] = b"\xff" * 40
+    files |= {"damaged.gz": bytes(damaged), "ends.gz": gzip.compress(_plain(20) + _plain(21, b"x" * 100))[:-30]}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    rows = warc.read(spark, str(tmp_path)).collect()
+    good = {r["page_id"] for r in rows if r["problem"] is None}
+    assert {1, 3, 4, 6, 8, 10, 11, 12, 14, 15} <= good and not good & {2, 5, 7, 9, 13} and 100 in good
+    told = sorted(r["problem"] for r in rows if r["problem"])
+    assert told.count("head can't be read") == 5 and "archive's compression is damaged" in told and "archive is cut off" in told
+    assert warc.resolved(warc.read(spark, str(tmp_path))).count() == len(rows)
