@@ -71,24 +71,41 @@ def bid_rule_pairs(bids: DataFrame, rules: DataFrame) -> DataFrame:
 
 def relevant_pages(pairs: DataFrame, pages: DataFrame, window: int = 2) -> DataFrame:
     """pair_id, doc_id, page_no: for each pair (pair_id, doc_id, item, description) the pages that hold one of its keywords
-    and the window pages after them; the first window + 1 pages if none does. Pages meet pairs of their document only."""
+    and the window pages after them; the first window + 1 pages if none does. A document's pairs make up one dictionary of
+    distinct words, so a page is read and gone through once however many pairs there are; its hits go back to pairs by word."""
     words = F.array_distinct(F.filter(F.split(F.concat_ws(" ", F.coalesce("item", F.lit("")), F.coalesce("description", F.lit(""))), SPLIT_KEYWORDS), lambda w: F.length(w) > 1))
-    own = pairs.select("pair_id", "doc_id", F.transform(words, lambda w: F.lower(w)).alias("words"))
-    text = pages.select("doc_id", "page_no", F.lower("text").alias("low"))
-    hits = own.join(text, "doc_id").where(F.exists("words", lambda w: F.col("low").contains(w))).select("pair_id", "doc_id", "page_no")
+    own = pairs.select("pair_id", "doc_id", F.explode_outer(F.array_distinct(F.transform(words, lambda w: F.lower(w)))).alias("word"))
+    dictionary = own.where("word is not null").groupBy("doc_id").agg(F.collect_set("word").alias("words"))
+    # Pages meet one row a document. A text is made lower once, by a generator, and then searched for each distinct word.
+    low = pages.join(dictionary, "doc_id").select("doc_id", "page_no", "words", F.explode(F.array(F.lower("text"))).alias("low"))
+    found = low.select("doc_id", "page_no", F.explode(F.filter("words", lambda w: F.col("low").contains(w))).alias("word"))
+    hits = found.join(own, ["doc_id", "word"]).select("pair_id", "doc_id", "page_no").distinct()
     last = pages.groupBy("doc_id").agg(F.max("page_no").alias("last"))
     near = lambda df, first: df.join(last, "doc_id").select("pair_id", "doc_id", F.explode(F.sequence(first, F.least(first + window, F.col("last")))).alias("page_no"))
-    found = near(hits, F.col("page_no")).distinct()
-    rest = near(own.select("pair_id", "doc_id").join(hits.select("pair_id").distinct(), "pair_id", "left_anti"), F.lit(0))
-    return found.unionByName(rest)
+    rest = pairs.select("pair_id", "doc_id").join(hits.select("pair_id").distinct(), "pair_id", "left_anti")
+    return near(hits, F.col("page_no")).distinct().unionByName(near(rest, F.lit(0)))
 
 
-def page_ranges(chosen: DataFrame, pages: DataFrame) -> DataFrame:
+def page_ranges(chosen: DataFrame, pages: DataFrame, budget: int | None = None) -> DataFrame:
     """pair_id, context: chosen pages in runs, each under a heading with its first and last page (from 1), runs apart by an
-    empty line."""
-    rows = chosen.join(pages.select("doc_id", "page_no", F.coalesce("text", F.lit("")).alias("text")), ["doc_id", "page_no"])
-    run = F.col("page_no") - F.row_number().over(Window.partitionBy("pair_id").orderBy("page_no"))
-    runs = rows.withColumn("run", run).groupBy("pair_id", "run").agg(F.min("page_no").alias("a"), F.max("page_no").alias("b"), F.array_sort(F.collect_list(F.struct("page_no", "text"))).alias("p"))
-    part = F.concat(F.lit("--- Pages "), (F.col("a") + 1).cast("string"), F.lit("-"), (F.col("b") + 1).cast("string"), F.lit(" ---\n"), F.array_join(F.transform("p", lambda x: x["text"]), "\n"))
-    of = runs.select("pair_id", "a", part.alias("part")).groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("a", "part"))).alias("all"))
-    return of.select("pair_id", F.array_join(F.transform("all", lambda x: x["part"]), "\n\n").alias("context"))
+    empty line. With a budget, the first so many characters: which pages they come from, and how much of each, is told from
+    lengths before any text is joined, and pages are cut to the budget before they are moved."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    in_order = Window.partitionBy("pair_id").orderBy("page_no")
+    runs = Window.partitionBy("pair_id", "run")
+    rows = chosen.join(pages.select("doc_id", "page_no", F.length(text).alias("size")), ["doc_id", "page_no"])
+    rows = rows.withColumn("run", F.col("page_no") - F.row_number().over(in_order)).withColumns({"a": F.min("page_no").over(runs), "b": F.max("page_no").over(runs), "first": F.min("page_no").over(Window.partitionBy("pair_id"))})
+    heading = F.concat(F.lit("--- Pages "), (F.col("a") + 1).cast("string"), F.lit("-"), (F.col("b") + 1).cast("string"), F.lit(" ---\n"))
+    before = F.when(F.col("page_no") > F.col("a"), "\n").when(F.col("a") > F.col("first"), F.concat(F.lit("\n\n"), heading)).otherwise(heading)
+    rows = rows.withColumn("before", before)
+    short = pages.select("doc_id", "page_no", text.alias("text"))
+    if budget is not None:
+        full = F.length("before") + F.col("size")
+        room = budget - F.coalesce(F.sum(full).over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        rows = rows.withColumn("room", room).where("room > 0")
+        short = short.withColumn("text", F.substring("text", 1, budget))
+    rows = rows.join(short, ["doc_id", "page_no"])
+    part = F.concat("before", "text")
+    part = part if budget is None else F.substring(part, F.lit(1), F.col("room").cast("int"))
+    of = rows.groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("page_no", part.alias("part")))).alias("all"))
+    return of.select("pair_id", F.array_join(F.transform("all", lambda x: x["part"]), "").alias("context"))

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.text import strip
+from .scores import find_price_score
+
+FAILED_RULE = "分析出错"  # fixed value: what a failed bid says it is working on
 
 
 def replace_by_key(target: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -17,17 +21,38 @@ def replace_by_key(target: DataFrame, new: DataFrame, keys: Sequence[str]) -> Da
 
 
 def patch_rows(target: DataFrame, patch: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """target with the values of patch (one row a key) where they aren't blank; patched says which rows it named."""
+    """target with the values of patch (one row a key) where they aren't blank; patched says which rows have got a value,
+    even if it is the one they had."""
     named = patch.select(F.col(key), F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in columns])
     out = target.join(named, key, "left")
-    new = {c: F.coalesce(F.when(strip(F.col(f"_new_{c}").cast("string")) != "", F.col(f"_new_{c}")), F.col(c)) for c in columns}
-    return out.withColumns(new).withColumn("patched", F.coalesce("_hit", F.lit(False))).select(*target.columns, "patched")
+    filled = {c: F.coalesce(strip(F.col(f"_new_{c}").cast("string")) != "", F.lit(False)) for c in columns}
+    new = {c: F.when(filled[c], F.col(f"_new_{c}")).otherwise(F.col(c)) for c in columns}
+    hit = reduce(lambda a, b: a | b, filled.values()) & F.coalesce("_hit", F.lit(False))
+    return out.withColumns({**new, "patched": hit}).select(*target.columns, "patched")
+
+
+def count_patched(patched: DataFrame, name: str = "patched_rows") -> tuple[DataFrame, Observation]:
+    """patch_rows' result without its mark, and an observation whose ``get`` says how many rows were named and how many there
+    were, as they are counted while the result is written: no second pass."""
+    seen = Observation(name)
+    counted = patched.observe(seen, F.count_if("patched").alias("patched"), F.count(F.lit(1)).alias("rows"))
+    return counted.drop("patched"), seen
 
 
 def purge_project(tables: dict[str, DataFrame], projects: DataFrame) -> dict[str, DataFrame]:
-    """tables without the given projects (column id) and all rows of theirs."""
+    """tables without the given projects (column id) and all rows of theirs: by project_id, or, where a table has none but
+    names results (result_id), by the projects of those."""
     gone = projects.select(F.col("id").alias("project_id")).distinct()
-    return {name: df.join(gone if name != "tender_project" else gone.select(F.col("project_id").alias("id")), "id" if name == "tender_project" else "project_id", "left_anti") for name, df in tables.items()}
+
+    def left(name: str, df: DataFrame) -> DataFrame:
+        if name == "tender_project":
+            return df.join(gone.select(F.col("project_id").alias("id")), "id", "left_anti")
+        if "project_id" in df.columns:
+            return df.join(gone, "project_id", "left_anti")
+        results = tables["analysis_result"].join(gone, "project_id", "left_semi").select(F.col("id").alias("result_id")).distinct()
+        return df.join(results, "result_id", "left_anti")
+
+    return {name: left(name, df) for name, df in tables.items()}
 
 
 def migrate_rules(old: DataFrame) -> DataFrame:
@@ -52,8 +77,15 @@ def check_schema(df: DataFrame, schema: StructType) -> DataFrame:
 
 def upsert_result(bids: DataFrame, results: DataFrame, analyses: DataFrame) -> tuple[DataFrame, DataFrame]:
     """New results and bids after analyses (the columns of results, and error): finished ones replace the result of their
-    project and bid, failed ones set their bid's status and message."""
-    good, bad = analyses.where("error is null"), analyses.where("error is not null")
+    project and bid, failed ones set their bid's status, message and current rule. A price score of 0 or none gives way to that of the items."""
+    good = analyses.where("error is null")
+    asked = F.coalesce("price_score", F.lit(0.0)) == 0
+    found = find_price_score(good.where(asked).select("id", "detailed_scores")).select(F.col("id").alias("_id"), "found_score")
+    good = good.join(found, good["id"] == F.col("_id"), "left").withColumn("price_score", F.when(asked, F.coalesce("found_score", F.lit(0.0))).otherwise(F.col("price_score"))).drop("_id", "found_score")
     new = replace_by_key(results, good, ["project_id", "bid_document_id"])
-    said = analyses.select(F.col("bid_document_id").alias("id"), F.when(F.col("error").isNull(), "completed").otherwise("error").alias("processing_status"), F.col("error").alias("error_message"))
-    return new, patch_rows(bids, said, "id", ["processing_status", "error_message"]).drop("patched") if bad is not None else bids
+    failed = F.col("error").isNotNull()
+    said = {"processing_status": F.when(failed, "error").otherwise("completed"), "error_message": F.col("error")}
+    if "progress_current_rule" in bids.columns:
+        said["progress_current_rule"] = F.when(failed, FAILED_RULE)
+    named = analyses.select(F.col("bid_document_id").alias("id"), *[x.alias(c) for c, x in said.items()])
+    return new, patch_rows(bids, named, "id", list(said)).drop("patched")

@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.answers import build_prompt, parse_score_answer
+from ..functions.answers import CONTEXT_LIMIT, build_prompt, parse_score_answer
 from ..operators.pages import bid_rule_pairs, page_ranges, relevant_pages
-from ..operators.rules import adjusted_tree, rules_from_rows
+from ..operators.rules import adjusted_tree, price_rule_from_text, rules_from_rows, rules_from_text
+from ..operators.sections import slice_scoring_section
+from ..sources.shared import written
 from ..operators.tables import merge_page_tables, rule_rows
 
 
 def prompts(bids: DataFrame, rules: DataFrame, pages: DataFrame) -> DataFrame:
     """pair_id, bid_id, project_id, item, max_score, prompt: what is asked about each bid and rule. Pages are keyed by bid id."""
     pairs = bid_rule_pairs(bids, rules).withColumn("pair_id", F.concat_ws(":", F.col("bid_id").cast("string"), F.col("rule_id").cast("string"))).withColumn("doc_id", F.col("bid_id"))
-    context = page_ranges(relevant_pages(pairs, pages), pages)
+    # One character more than a prompt takes, so that the cut is told.
+    context = page_ranges(relevant_pages(pairs, pages), pages, CONTEXT_LIMIT + 1)
     out = pairs.join(context, "pair_id", "left")
     return out.select("pair_id", "bid_id", "project_id", "rule_id", "parent", "item", "max_score", build_prompt(F.col("item"), F.col("description"), F.col("max_score"), F.coalesce("context", F.lit(""))).alias("prompt"))
 
@@ -29,7 +32,25 @@ def score_bids(asked: DataFrame, answers: DataFrame) -> DataFrame:
     return of.select("bid_id", "project_id", json.alias("detailed_scores"), "total_score")
 
 
-def extract_rules(fragments: DataFrame) -> DataFrame:
-    """Rules of the rule tables that fragments make up (doc, parent_no, child_no, criteria_name, max_score, description,
-    is_price_criteria), with parents' maxima and totals adjusted; documents without such a table get the default rules."""
-    return adjusted_tree(rules_from_rows(rule_rows(merge_page_tables(fragments))), fragments.select(F.col("doc_id").alias("doc")))
+def rules_of_texts(docs: DataFrame, skip: DataFrame | None = None) -> DataFrame:
+    """Rules of running texts (doc_id, text): the scoring section, or the whole text where there is none, is read line by
+    line; similar rules become one, a stated price rule is added or takes the place of the first. Rules that texts state have
+    no numbering, so each is a parent."""
+    text = docs if skip is None else docs.join(skip.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_anti")
+    section = slice_scoring_section(text).join(text.select("doc_id", "text"), "doc_id").select(F.col("doc_id").alias("doc"), F.coalesce(F.nullif(F.trim("section"), F.lit("")), F.col("text")).alias("text"))
+    section = written(section)
+    lines = section.select("doc", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    rules = price_rule_from_text(section, written(rules_from_text(lines)))
+    return rules.select("doc", F.col("nth").cast("int").alias("parent_no"), F.lit(None).cast("int").alias("child_no"), "criteria_name", "max_score", "description", "is_price_criteria")
+
+
+def extract_rules(fragments: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """Rules of documents (doc, parent_no, child_no, criteria_name, max_score, description, is_price_criteria), with parents'
+    maxima and totals adjusted: those of the rule tables that fragments make up; where a document has none, those of its text
+    (doc_id, text), if it is given; and the default rules where neither says any."""
+    found = written(rules_from_rows(rule_rows(merge_page_tables(fragments))))
+    docs = fragments.select(F.col("doc_id").alias("doc"))
+    if texts is not None:
+        found = written(found.unionByName(rules_of_texts(texts, found)))
+        docs = docs.unionByName(texts.select(F.col("doc_id").alias("doc")))
+    return adjusted_tree(found, docs.distinct())

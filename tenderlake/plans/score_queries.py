@@ -10,6 +10,7 @@ from ..operators import rules as R
 from ..operators import scores as S
 from ..operators import status as P
 from ..operators import writes as W
+from ..sources.tables import schema
 from .views import frames, with_views
 
 QUERIES, ORACLE = {}, {}
@@ -213,7 +214,7 @@ def _pairs(bids, rules):
 
 # Writes.
 query("replace_by_key", "v_results", sql="SELECT id, project_id, CASE WHEN project_id % 4 = 0 THEN 1.0e0 ELSE total_score END AS total_score FROM {v_results} WHERE project_id % 4 <> 0 OR id % 2 = 0")(lambda r: W.replace_by_key(r.select("id", "project_id", "total_score"), r.where("project_id % 4 = 0 and id % 2 = 0").select("id", "project_id", F.lit(1.0).alias("total_score")), ["project_id"]))
-query("patch_rows", "v_bids", sql="SELECT id, CASE WHEN id % 3 = 0 AND id % 2 = 0 THEN concat('N', bidder_name) ELSE bidder_name END AS bidder_name, id % 3 = 0 AS patched FROM {v_bids}")(lambda b: W.patch_rows(b.select("id", "bidder_name"), b.where("id % 3 = 0").select("id", F.when(F.col("id") % 2 == 0, F.concat(F.lit("N"), "bidder_name")).otherwise("  ").alias("bidder_name")), "id", ["bidder_name"]))
+query("patch_rows", "v_bids", sql="SELECT id, CASE WHEN id % 3 = 0 AND id % 2 = 0 THEN concat('N', bidder_name) ELSE bidder_name END AS bidder_name, id % 3 = 0 AND id % 2 = 0 AS patched FROM {v_bids}")(lambda b: W.patch_rows(b.select("id", "bidder_name"), b.where("id % 3 = 0").select("id", F.when(F.col("id") % 2 == 0, F.concat(F.lit("N"), "bidder_name")).otherwise("  ").alias("bidder_name")), "id", ["bidder_name"]))
 query("purge_project", "v_projects", "v_bids", "v_results", "v_rules", sql="SELECT 'tender_project' AS t, count(*) AS n FROM {v_projects} WHERE id % 5 <> 0 UNION ALL SELECT 'bid_document', count(*) FROM {v_bids} WHERE project_id % 5 <> 0 UNION ALL SELECT 'analysis_result', count(*) FROM {v_results} WHERE project_id % 5 <> 0 UNION ALL SELECT 'scoring_rule', count(*) FROM {v_rules} WHERE project_id % 5 <> 0")(lambda p, b, r, ru: _purged(p, b, r, ru))
 
 
@@ -224,12 +225,12 @@ def _purged(projects, bids, results, rules):
     return reduce(lambda a, b: a.unionByName(b), [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("t"), "n") for t, df in left.items()])
 
 
-query("migrate_schema", "part", sql="SELECT p_partkey AS id, p_size AS project_id, substr(p_name, 1, 20) AS Parent_Item_Name, p_size AS Parent_max_score, substr(p_name, 1, 20) AS Child_Item_Name, p_size AS Child_max_score, p_type AS description, false AS is_veto, p_size % 2 = 0 AS is_price_criteria FROM {part}")(lambda p: W.migrate_rules(p.select(F.col("p_partkey").alias("id"), F.col("p_size").alias("project_id"), F.col("p_name").alias("criteria_name"), F.col("p_size").cast("double").alias("max_score"), F.col("p_type").alias("description"), F.lit(None).cast("boolean").alias("is_veto"), (F.col("p_size") % 2 == 0).alias("is_price_criteria"))))
-query("upsert_result", "v_bids", "v_results", sql="SELECT b.id, CASE WHEN qty % 5 = 0 THEN 'error' WHEN qty % 5 = 1 THEN 'completed' ELSE processing_status END AS processing_status, CASE WHEN qty % 5 = 0 THEN 'failed' END AS error_message, CASE WHEN qty % 5 = 1 THEN 50.0e0 ELSE total_score END AS total_score FROM {v_bids} b JOIN {v_results} r ON r.id = b.id")(lambda b, r: _upserted(b, r))
+query("migrate_schema", "part", sql="SELECT p_partkey AS id, p_size AS project_id, substr(p_name, 1, 20) AS Parent_Item_Name, p_size AS Parent_max_score, substr(p_name, 1, 20) AS Child_Item_Name, p_size AS Child_max_score, p_type AS description, false AS is_veto, p_size % 2 = 0 AS is_price_criteria, CAST(NULL AS string) AS price_formula FROM {part}")(lambda p: W.add_missing_columns(W.migrate_rules(p.select(F.col("p_partkey").alias("id"), F.col("p_size").alias("project_id"), F.col("p_name").alias("criteria_name"), F.col("p_size").cast("double").alias("max_score"), F.col("p_type").alias("description"), F.lit(None).cast("boolean").alias("is_veto"), (F.col("p_size") % 2 == 0).alias("is_price_criteria"))), schema("scoring_rule")))
+query("upsert_result", "v_bids", "v_results", sql="SELECT b.id, CASE WHEN qty % 5 = 0 THEN 'error' WHEN qty % 5 = 1 THEN 'completed' ELSE processing_status END AS processing_status, CASE WHEN qty % 5 = 0 THEN 'failed' END AS error_message, CASE WHEN qty % 5 = 1 THEN 50.0e0 ELSE total_score END AS total_score, CASE WHEN qty % 5 = 1 THEN CASE WHEN flag = 'R' THEN 7.0e0 ELSE 0.0e0 END END AS price_score FROM {v_bids} b JOIN {v_results} r ON r.id = b.id")(lambda b, r: _upserted(b, r))
 
 
 def _upserted(bids, results):
     own = results.join(bids.select("id", (F.col("qty") % 5).alias("m")), "id").where("m < 2")
     analyses = own.withColumn("error", F.when(F.col("m") == 0, "failed")).withColumn("total_score", F.lit(50.0)).drop("m")
     new, after = W.upsert_result(bids.withColumn("error_message", F.lit(None).cast("string")), results, analyses)
-    return after.select("id", "processing_status", "error_message").join(new.select("id", "total_score"), "id")
+    return after.select("id", "processing_status", "error_message").join(new.select("id", "total_score", "price_score"), "id")

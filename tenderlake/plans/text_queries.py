@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import answers as A
 from ..functions import numbers as N
 from ..functions import text as T
 from ..operators import names, pages, prices, rules, sections, tables
-from ..sources.tables import as_json, changed_documents, schema
+from ..sources.tables import changed_documents, export_json, schema
 from ..operators.writes import check_schema
 from ..sources.kept import KeptTable
+from ..sources.shared import scratch as _scratch
 from ..streaming.status import BIDS, PROGRESS, live_progress, run_status_stream, score_on_complete, status_of
 from . import flows
 from .score_queries import _OTHER as OTHER
@@ -289,7 +286,17 @@ query("extract_rules", "part", sql=f"""WITH {_ROWS}, g AS (SELECT doc, parent_no
     o AS (SELECT doc, sum(top) AS others FROM t GROUP BY 1), p AS (SELECT doc, arg_max(max_score, parent_no) AS price FROM u WHERE is_price_criteria GROUP BY 1),
     f AS (SELECT d.doc, CASE WHEN abs(others + coalesce(price, 0) - 100) > 0.1 AND price > 30 AND others > 0 THEN (100 - price) / others ELSE 1.0e0 END AS f FROM (SELECT DISTINCT doc FROM u) d LEFT JOIN o ON o.doc = d.doc LEFT JOIN p ON p.doc = d.doc)
     SELECT u.doc, u.parent_no, u.child_no, replace(criteria_name, ' ', '') AS criteria_name, cast(round(CASE WHEN is_price_criteria THEN max_score WHEN child_no IS NULL THEN top * f ELSE max_score * f END * 1000) AS bigint) AS max_score, replace(description, ' ', '') AS description, is_price_criteria FROM u JOIN f ON f.doc = u.doc LEFT JOIN t ON t.doc = u.doc AND t.parent_no = u.parent_no WHERE u.doc % 7 <> 3
-    UNION ALL SELECT doc, n, NULL, name, cast(top * 1000 AS bigint), said, flag FROM (SELECT DISTINCT p_partkey // 50 AS doc FROM {{part}}) d CROSS JOIN ({_DEFAULTS}) x WHERE doc % 7 = 3 OR doc NOT IN (SELECT doc FROM u)""")(lambda p: flows.extract_rules(_rulefragments(p)).withColumn("max_score", F.round(F.col("max_score") * 1000).cast("long")))
+    UNION ALL SELECT doc, n, NULL, name, cast(round(top * 1000 * CASE WHEN flag THEN 1 ELSE 60.0e0 / (31 + doc % 20) END) AS bigint), said, flag FROM (SELECT DISTINCT p_partkey // 50 AS doc FROM {{part}}) d CROSS JOIN (SELECT 1 AS n, '技术方案水平' AS name, 30.0e0 AS top, '技术方案水平' AS said, false AS flag UNION ALL SELECT 2, '售后服务承诺', NULL, '售后服务承诺', false UNION ALL SELECT 3, '价格分', 40, '价格分计算', true) x WHERE doc % 14 = 3 AND n <> 2
+    UNION ALL SELECT doc, 2, NULL, '售后服务承诺', cast(round((doc % 20 + 1) * 1000 * 60.0e0 / (31 + doc % 20)) AS bigint), '售后服务承诺', false FROM (SELECT DISTINCT p_partkey // 50 AS doc FROM {{part}}) d WHERE doc % 14 = 3
+    UNION ALL SELECT doc, n, NULL, name, cast(top * 1000 AS bigint), said, flag FROM (SELECT DISTINCT p_partkey // 50 AS doc FROM {{part}}) d CROSS JOIN ({_DEFAULTS}) x WHERE doc % 14 <> 3 AND (doc % 7 = 3 OR doc NOT IN (SELECT doc FROM u))""")(lambda p: flows.extract_rules(_rulefragments(p), _ruletexts(p)).withColumn("max_score", F.round(F.col("max_score") * 1000).cast("long")))
+
+
+def _ruletexts(part):
+    """A text for each document; half of those without a rule table state rules, some of these under no title."""
+    doc = part.select(F.floor(F.col("p_partkey") / 50).alias("doc_id")).distinct()
+    title = F.when(F.col("doc_id") % 28 == 3, "评分标准\n").otherwise("")
+    rules_ = F.concat(title, F.lit("技术方案水平(30分)\n售后服务承诺 "), (F.col("doc_id") % 20 + 1).cast("string"), F.lit("分\n价格分 40分\n"))
+    return doc.withColumn("text", F.when(F.col("doc_id") % 7 != 3, "评分标准\n另有说明(50分)").when(F.col("doc_id") % 14 == 3, rules_).otherwise("没有规则"))
 
 
 def _rulefragments(part):
@@ -337,16 +344,6 @@ def _loaded(projects, bids, results, rules_):
     return reduce(lambda a, b: a.unionByName(b), [loaded[name].agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"), F.count(c).alias("filled")).select(F.lit(name).alias("name"), "n", "ids", "filled") for name, c in filled.items()])
 
 
-def _scratch(spark):
-    """A new folder that all executors share."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = "file://" + tempfile.mkdtemp(prefix="tenderlake-")
-    return f"{shared.rstrip('/')}/scratch-{uuid.uuid4().hex}"
-
-
 query("load_page_cache", "conversations", sql="SELECT conv_id::VARCHAR AS doc_path, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS page_no, text FROM {conversations}")(lambda c: _cached(c))
 
 
@@ -370,7 +367,16 @@ def _changed(orders):
     return changed_documents(files, old).select("path")
 
 
-query("export_json", "supplier", sql="""SELECT concat('{"s_suppkey":', s_suppkey, ',"s_name":"', s_name, '","s_nationkey":', CASE WHEN s_nationkey = 3 THEN 'null' ELSE s_nationkey::VARCHAR END, '}') AS json FROM {supplier}""")(lambda s: as_json(s.select("s_suppkey", "s_name", F.nullif("s_nationkey", F.lit(3)).alias("s_nationkey"))))
+query("export_json", "supplier", sql="""SELECT concat('{"s_suppkey":', s_suppkey, ',"s_name":"', s_name, '","s_nationkey":', CASE WHEN s_nationkey = 3 THEN 'null' ELSE s_nationkey::VARCHAR END, '}') AS json FROM {supplier}""")(lambda s: _exported(s))
+
+
+def _exported(supplier):
+    """Rows written as JSON files, and their lines."""
+    path = _scratch(supplier.sparkSession)
+    export_json(supplier.select("s_suppkey", "s_name", F.nullif("s_nationkey", F.lit(3)).alias("s_nationkey")), path)
+    return supplier.sparkSession.read.text(path).select(F.col("value").alias("json"))
+
+
 query("check_schema", "v_rules", sql="""SELECT 'id' AS field, true AS "exists", 'bigint' AS actual_type, count(id) AS n_values FROM {v_rules} UNION ALL SELECT 'project_id', true, 'bigint', count(project_id) FROM {v_rules} UNION ALL SELECT 'Parent_Item_Name', true, 'string', count(Parent_Item_Name) FROM {v_rules} UNION ALL SELECT 'Parent_max_score', true, 'int', count(Parent_max_score) FROM {v_rules}
     UNION ALL SELECT 'Child_Item_Name', true, 'string', count(Child_Item_Name) FROM {v_rules} UNION ALL SELECT 'Child_max_score', true, 'int', count(Child_max_score) FROM {v_rules} UNION ALL SELECT 'description', false, NULL, 0 UNION ALL SELECT 'is_veto', true, 'boolean', count(is_veto) FROM {v_rules}
     UNION ALL SELECT 'is_price_criteria', true, 'boolean', count(is_price_criteria) FROM {v_rules} UNION ALL SELECT 'price_formula', true, 'string', count(price_formula) FROM {v_rules} UNION ALL SELECT 'note', true, 'string', count(CASE WHEN id % 2 = 0 THEN description END) FROM {v_rules}""")(lambda r: _checked(r))

@@ -253,3 +253,78 @@ def test_items_of_one_name_under_two_parents_are_told_apart(spark):
     leaves = spark.createDataFrame([(1, 7, 1, 6.0), (1, 7, 2, 3.0), (1, 7, 3, None)], "project_id long, bid_id long, rule_id long, score double")
     out = {(r["name"], r["level"], r["rule_id"]): (r["score"], r["leaves"]) for r in rules.veto_and_tree_scores(df, leaves).collect()}
     assert out == {("方案", 2, 1): (6.0, 1), ("方案", 2, 2): (3.0, 1), ("价格", 1, 3): (0.0, 1), ("技术", 1, None): (6.0, 1), ("商务", 1, None): (3.0, 1)}
+
+
+def test_budgeted_contexts_are_the_first_characters_of_whole_ones(spark):
+    import random
+
+    from tenderlake.operators import pages
+
+    r = random.Random(7)
+    texts = [(d, n, None if r.random() < 0.1 else "".join(r.choice("abcdefgh ") for _ in range(r.choice([0, 5, 300, 4000])))) for d in range(4) for n in range(12)]
+    df = spark.createDataFrame(texts, "doc_id long, page_no int, text string")
+    pairs = [(f"{d}:{k}", d, r.choice(["ab", "gh", "zz", "a"]) + " " + r.choice(["bc，cd", "", "Fe。hh"]), r.choice([None, "", "de"])) for d in range(4) for k in range(6)]
+    pairs_df = spark.createDataFrame(pairs, "pair_id string, doc_id long, item string, description string")
+    chosen = pages.relevant_pages(pairs_df, df)
+    want = {}
+    for pair, doc, item, said in pairs:
+        words = {w.lower() for w in (item + " " + (said or "")).replace("，", " ").replace("。", " ").split() if len(w) > 1}
+        hits = [n for d, n, t in texts if d == doc and t is not None and any(w in t.lower() for w in words)] or [0]
+        want[pair] = {m for n in hits for m in range(n, min(n + 2, 11) + 1)}
+    got = {}
+    for row in chosen.collect():
+        got.setdefault(row["pair_id"], []).append(row["page_no"])
+    assert {k: set(v) for k, v in got.items()} == want and all(len(v) == len(set(v)) for v in got.values())
+    whole = dict(pages.page_ranges(chosen, df).collect())
+    text_of = {(d, n): t or "" for d, n, t in texts}
+    for pair, numbers_ in want.items():
+        parts, run = [], []
+        for n in [*sorted(numbers_), None]:
+            if run and n != run[-1] + 1:
+                parts.append(f"--- Pages {run[0] + 1}-{run[-1] + 1} ---\n" + "\n".join(text_of[int(pair[0]), k] for k in run))
+                run = []
+            run.append(n)
+        assert whole[pair] == "\n\n".join(parts)
+    for budget in (1, 17, 25, 500, 8001, 10**6):
+        assert dict(pages.page_ranges(chosen, df, budget).collect()) == {k: v[:budget] for k, v in whole.items()}
+
+
+def test_rules_of_texts_with_and_without_a_section(spark):
+    from tenderlake.plans import flows
+
+    texts = [("a", "投标须知\n第三章 评分标准\n技术方案水平（30分）\n售后服务承诺 20分\n价格分 40分\n第四章 合同\n不算的规则(9分)"), ("b", "企业信誉情况(12分)"), ("c", "没有"), ("d", None)]
+    docs = spark.createDataFrame(texts, "doc_id string, text string")
+    none = spark.createDataFrame([], "doc_id string, page int, table_index int, cols int, headers array<string>, data array<array<string>>")
+    out = {}
+    for r in flows.extract_rules(none, docs).orderBy("doc", "parent_no").collect():
+        out.setdefault(r["doc"], []).append((r["criteria_name"], round(r["max_score"], 6), r["is_price_criteria"]))
+    assert {("技术方案水平", False), ("售后服务承诺", False), ("价格分", True)} <= {(n, p) for n, _, p in out["a"]} and out["b"] == [("企业信誉情况", 12.0, False)]
+    assert [x[0] for x in out["c"]] == [x[0] for x in out["d"]] == ["技术方案", "价格分"]
+
+
+def test_changed_rows_are_counted_as_they_are_written(spark, tmp_path):
+    from tenderlake.operators import writes
+
+    target = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, None)], "id long, name string")
+    patch = spark.createDataFrame([(1, "x"), (2, "  "), (3, "c"), (4, None), (9, "y")], "id long, name string")
+    rows, seen = writes.count_patched(writes.patch_rows(target, patch, "id", ["name"]))
+    rows.write.parquet(f"file://{tmp_path}/out")
+    assert seen.get == {"patched": 2, "rows": 4}  # a blank and a missing name and an unknown id change nothing, an equal name counts
+    assert sorted(map(tuple, spark.read.parquet(f"file://{tmp_path}/out").collect()), key=str) == [(1, "x"), (2, "b"), (3, "c"), (4, None)]
+
+
+def test_purge_reaches_tables_without_a_project(spark):
+    from tenderlake.operators import writes
+
+    one = lambda rows, kind: spark.createDataFrame(rows, kind)
+    tables_ = {"tender_project": one([(1,), (2,)], "id long"), "analysis_result": one([(10, 1), (20, 2)], "id long, project_id long"), "score_modification_history": one([(5, 10), (6, 20)], "id long, result_id long")}
+    left = writes.purge_project(tables_, one([(1,)], "id long"))
+    assert {k: [tuple(r) for r in df.select("id").collect()] for k, df in left.items()} == {"tender_project": [(2,)], "analysis_result": [(20,)], "score_modification_history": [(6,)]}
+
+
+def test_files_are_listed(spark, tmp_path):
+    from tenderlake.sources.tables import list_files
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.txt").write_text("abc")
+    assert [(r["path"].rsplit("/", 1)[1], r["length"]) for r in list_files(spark, f"file://{tmp_path}").collect()] == [("x.txt", 3)]
