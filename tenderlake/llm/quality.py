@@ -17,8 +17,9 @@ still too small, have the base rules only. What comes to the driver is counts of
 
 Edge cases: null text counts as empty (no words: fails the base rules); words are runs of anything but ASCII white space,
 so texts of any length and script are measured whole; a null stratum is a stratum of its own; a document labelled twice
-counts once, as good if any label says so, and so do repeated rows in cutoffs; labels that are null are ignored; repeated rows each get their row; empty
-documents or labels give an empty result or unused rules; result columns of the input are replaced, other columns stay.
+counts once, as good if any label says so; equal texts (by a 64-bit hash) of one stratum and label count once in cutoffs, whatever their ids; labels that are null are ignored; repeated rows each get their row; empty
+documents or labels give an empty result or unused rules; near copies among the holdouts count each, so the bound is
+exact for texts drawn independently; a pooled stratum by itself has the bound of a pool in which all false rejections are its own; result columns of the input are replaced, other columns stay.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, let, written
+from .common import free_name, let, tidy, written
 
 BLANK = "\\x20\\x09-\\x0D"
 RISK = 0.005  # false rejections of the joint verdict allowed in a stratum
@@ -129,37 +130,45 @@ def _tail(n: Column, k: Column, p: float) -> Column:
     return F.aggregate(terms, F.struct(first.alias("term"), F.exp(first).alias("sum")), step)["sum"]
 
 
-def _first_level(rules: list[str]) -> Column:
-    """The mildest level at which one of the rules rejects a document, LEVELS if none does."""
-    of = [F.coalesce(*[F.when(F.col(rule) >= cut, F.lit(i)) for i, cut in enumerate(LADDERS[rule])], F.lit(LEVELS)) for rule in rules]
-    return F.least(*of)
+def _first_level(rule: str) -> Column:
+    """The mildest level at which a rule rejects a document, LEVELS if none does."""
+    return F.coalesce(*[F.when(F.col(rule) >= cut, F.lit(i)) for i, cut in enumerate(LADDERS[rule])], F.lit(LEVELS))
 
 
-def cutoffs(measured: DataFrame, labels: DataFrame, key: str = "doc_id", stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """A row for each stratum in which a configuration passed, with a column for each rule: its cutoff, or null if unused."""
+def cutoffs(measured: DataFrame, labels: DataFrame, key: str = "doc_id", stratum: str = "lang", risk: float = RISK, delta: float = DELTA, text: str | None = None) -> DataFrame:
+    """A row for each stratum in which a configuration passed, with a column for each rule: its cutoff, or null if unused.
+    text names a column of measured that tells texts apart (a hash, or the text): equal texts are one trial."""
     by_doc = labels.where(F.col("quality").isNotNull()).groupBy(key).agg(F.max("quality").alias("good"))
-    held = measured.where("not base_failed").select(key, stratum, *LADDERS).join(by_doc, key)
-    # Rows of one id count once, by the strictest of them.
-    held = held.groupBy(key, stratum, "good").agg(*[F.min(_first_level(rules)).alias(f"set{s}") for s, rules in enumerate(RULE_SETS)])
-    sums = [F.count_if((F.col("good") == good) & (F.col(f"set{s}") <= i)).alias(f"{name}_{s}_{i}") for name, good in (("k", 1), ("bad", 0)) for s in range(len(RULE_SETS)) for i in range(LEVELS)]
-    by_stratum = written(held.groupBy(stratum).agg(F.count_if(F.col("good") == 1).alias("n"), *sums).where("n > 0"), "strata")
-    # No more is tested than there are strata, so a stratum that may stand alone by their number can pass by its own size.
-    alone = _tail(F.col("n"), F.lit(0).cast("long"), risk) <= delta / len(RULE_SETS) / max(1, by_stratum.count())
-    placed = by_stratum.withColumn("alone", alone).withColumn("own", F.when(alone, F.col(stratum)))
-    groups = placed.where("alone").count() + bool(placed.where("not alone").limit(1).count())
-    pooled = placed.groupBy("alone", "own").agg(*[F.sum(c).alias(c) for c in by_stratum.columns if c != stratum])
-    cells = F.array(*[F.struct(F.lit(s).alias("set"), F.lit(i).alias("level"), F.col(f"k_{s}_{i}").alias("k"), F.col(f"bad_{s}_{i}").alias("bad")) for s in range(len(RULE_SETS)) for i in range(LEVELS)])
-    rows = pooled.select("alone", "own", "n", F.explode(cells).alias("cell")).select("alone", "own", "n", "cell.*")
-    few = F.col("k") <= F.col("n") * risk  # more could not pass, and their tail would take long to add up
-    passes = few & (_tail(F.col("n"), F.when(few, F.col("k")).otherwise(0), risk) <= delta / len(RULE_SETS) / max(1, groups))
-    so_far = F.min(passes).over(Window.partitionBy("alone", "own", "set").orderBy("level").rowsBetween(Window.unboundedPreceding, 0))
-    best = F.max_by(F.struct("set", "level"), F.struct("bad", "level", -F.col("set"))).alias("best")
-    chosen = rows.withColumn("ok", so_far).where("ok").groupBy("alone", "own").agg(best)
-    at = lambda rule: F.get(F.array(*[F.lit(x).cast("long") for x in LADDERS[rule]]), F.least(F.col("best.level"), F.lit(len(LADDERS[rule]) - 1)))
-    used = lambda rule: F.col("best.set").isin(*[s for s, rules in enumerate(RULE_SETS) if rule in rules])
-    chosen = chosen.select(F.col("alone").alias("a"), F.col("own").alias("o"), *[F.when(used(rule), at(rule)).alias(f"{rule}_from") for rule in LADDERS])
-    out = placed.join(chosen, (F.col("alone") == F.col("a")) & F.col("own").eqNullSafe(F.col("o"))).select(stratum, *[f"{rule}_from" for rule in LADDERS])
-    return written(out, "cutoffs")
+    held = measured.where("not base_failed").select(key, stratum, F.col(text or key).alias("trial"), *LADDERS).join(by_doc, key)
+    # A trial counts once, by the strictest of its rows: copies of a good document say no more than it does.
+    held = held.groupBy("trial", stratum, "good").agg(*[F.min(_first_level(rule)).alias(rule) for rule in LADDERS])
+    first = F.array(*[F.least(*rules) for rules in RULE_SETS])  # of each set of rules
+    with tidy() as kept:
+        count = held.select(stratum, "good", F.posexplode(first).alias("set", "level")).groupBy(stratum, "set", "level")
+        count = written(count.agg(F.count_if(F.col("good") == 1).alias("k"), F.count_if(F.col("good") == 0).alias("bad")), "levels")
+        by_stratum = count.where(F.col("set") == 0).groupBy(stratum).agg(F.sum("k").alias("n")).where("n > 0")
+        # No more is tested than there are strata, so a stratum that may stand alone by their number can pass by its own size.
+        alone = _tail(F.col("n"), F.lit(0).cast("long"), risk) <= delta / len(RULE_SETS) / max(1, by_stratum.count())
+        placed = written(by_stratum.withColumn("alone", alone).withColumn("own", F.when(alone, F.col(stratum))), "strata")
+        groups = placed.where("alone").count() + bool(placed.where("not alone").limit(1).count())
+        grid = F.explode(F.sequence(F.lit(0), F.lit(len(RULE_SETS) * LEVELS - 1)))
+        pooled = placed.groupBy("alone", "own").agg(F.sum("n").alias("n")).withColumn("cell", grid).select("alone", "own", "n", F.floor(F.col("cell") / LEVELS).cast("int").alias("set"), (F.col("cell") % LEVELS).alias("level"))
+        cells = count.join(placed.select(F.col(stratum).alias("s"), F.col("alone").alias("a"), F.col("own").alias("o")), F.col(stratum).eqNullSafe(F.col("s")))
+        cells = cells.groupBy("a", "o", F.col("set").alias("s"), F.col("level").alias("l")).agg(F.sum("k").alias("k"), F.sum("bad").alias("bad"))
+        rows = pooled.join(cells, (F.col("alone") == F.col("a")) & F.col("own").eqNullSafe(F.col("o")) & (F.col("set") == F.col("s")) & (F.col("level") == F.col("l")), "left")
+        so_far = Window.partitionBy("alone", "own", "set").orderBy("level").rowsBetween(Window.unboundedPreceding, 0)
+        rows = rows.select("alone", "own", "n", "set", "level", *[F.sum(F.coalesce(c, F.lit(0))).over(so_far).alias(c) for c in ("k", "bad")])
+        few = F.col("k") <= F.col("n") * risk  # more could not pass, and their tail would take long to add up
+        passes = few & (_tail(F.col("n"), F.when(few, F.col("k")).otherwise(0), risk) <= delta / len(RULE_SETS) / max(1, groups))
+        best = F.max_by(F.struct("set", "level"), F.struct("bad", "level", -F.col("set"))).alias("best")
+        chosen = rows.withColumn("ok", F.min(passes).over(so_far)).where("ok").groupBy("alone", "own").agg(best)
+        at = lambda rule: F.get(F.array(*[F.lit(x).cast("long") for x in LADDERS[rule]]), F.least(F.col("best.level"), F.lit(len(LADDERS[rule]) - 1)))
+        used = lambda rule: F.col("best.set").isin(*[s for s, rules in enumerate(RULE_SETS) if rule in rules])
+        chosen = chosen.select(F.col("alone").alias("a"), F.col("own").alias("o"), *[F.when(used(rule), at(rule)).alias(f"{rule}_from") for rule in LADDERS])
+        out = placed.join(chosen, (F.col("alone") == F.col("a")) & F.col("own").eqNullSafe(F.col("o"))).select(stratum, *[f"{rule}_from" for rule in LADDERS])
+        out = written(out, "cutoffs")
+        kept(out)
+        return out
 
 
 def judge(measured: DataFrame, chosen: DataFrame, stratum: str = "lang") -> DataFrame:
@@ -176,12 +185,14 @@ def judge(measured: DataFrame, chosen: DataFrame, stratum: str = "lang") -> Data
 def judge_quality(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """The columns of docs but text, with features and kept. Texts are read once and never shuffled: what was measured is
     written, and labels are joined to that."""
-    measured = written(features(docs, text).drop(text), "measured")
-    return judge(measured, cutoffs(measured, labels, key, stratum, risk, delta), stratum)
+    same = free_name(docs, "same")
+    measured = written(features(docs, text).withColumn(same, F.xxhash64(text)).drop(text), "measured")
+    return judge(measured, cutoffs(measured, labels, key, stratum, risk, delta, same), stratum).drop(same)
 
 
 def filter_quality(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """docs, texts included, with features and kept. Texts are measured once and written with their features; the cutoffs
     read only the columns they need, and no text is shuffled."""
-    measured = written(features(docs, text), "measured")
-    return judge(measured, cutoffs(measured, labels, key, stratum, risk, delta), stratum)
+    same = free_name(docs, "same")
+    measured = written(features(docs, text).withColumn(same, F.xxhash64(text)), "measured")
+    return judge(measured, cutoffs(measured, labels, key, stratum, risk, delta, same), stratum).drop(same)

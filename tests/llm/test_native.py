@@ -257,3 +257,16 @@ def test_a_long_dialogue_is_spread_over_tasks(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     windows = [line for line in plan.split("\n") if " Window [" in line or "+- Window" in line]
     assert windows and not any("text" in line or "all#" in line for line in windows)
+
+
+def test_equal_texts_are_one_trial(spark):
+    """700 distinct good texts in three copies each are 700 trials, too few for anything to pass."""
+    ok = "word " * 30 + " ".join(f"w{i}" for i in range(40))
+    rows = [(i, "x", f"{ok} {i % 700}") for i in range(2100)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    labels = spark.range(2100).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    measured = quality.features(docs)
+    assert quality.cutoffs(measured, labels).count() == 1
+    assert quality.cutoffs(measured, labels, text="text").count() == 0
+    distinct = quality.features(docs.withColumn("text", F.concat("text", F.lit(" "), F.col("doc_id").cast("string"))))
+    assert quality.cutoffs(distinct, labels, text="text").count() == 1
