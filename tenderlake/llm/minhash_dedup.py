@@ -176,7 +176,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
 
 def _chunked(members: DataFrame, group: str) -> DataFrame:
     """members once for each pair of blocks of their group that holds their block: columns i <= j and own."""
-    sizes = members.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    sizes = written(members.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "sizes")
     own = F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int")
     rows = members.join(sizes, group).withColumn("own", own)
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -187,10 +187,11 @@ def _across(members: DataFrame) -> DataFrame:
     """members (key, id, comp, ...) of buckets with several components, once for each pair of blocks in which they meet
     others. Members of the bucket's smallest component, most of a large group as a rule, meet only the rest, which
     meets itself too; so a large component isn't copied for pairs of its own."""
-    low = members.groupBy("key").agg(F.min("comp").alias("low"))
+    # What is told of buckets is written first: joins of two tables can be split where very many rows are in one bucket.
+    low = written(members.groupBy("key").agg(F.min("comp").alias("low")), "lows")
     rows = members.join(low, "key").withColumn("main", F.col("comp") == F.col("low")).drop("low")
     sizes = rows.groupBy("key").agg(F.ceil(F.count_if("main") / BLOCK).cast("int").alias("mains"), F.ceil(F.count_if(~F.col("main")) / BLOCK).cast("int").alias("rests"))
-    rows = rows.join(sizes, "key")
+    rows = rows.join(written(sizes, "sizes"), "key")
     place = lambda n: F.pmod(F.xxhash64("id", F.lit(3)), n).cast("int")
     rows = rows.withColumn("own", F.when(F.col("main"), place(F.col("mains"))).otherwise(F.col("mains") + place(F.col("rests"))))
     first = F.when(F.col("main"), F.col("mains")).otherwise(0)
@@ -345,7 +346,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
         texts_all = _texts(docs, id, text, width, reps) if shared is not None else docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
         placed = reps.select("id", F.explode("bands").alias("key"))
         leads = placed.groupBy("key").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "lead")
-        members = written(placed.join(leads, "key"), "members")
+        members = written(placed.join(written(leads, "leads"), "key"), "members")
         sketches = reps.select("id", "sketch")
         pairs = members.where("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
         pairs = pairs.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sketch_a")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sketch_b")), "b")
@@ -357,7 +358,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
 
         joined = members.join(comps.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
         mixed = joined.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        open_ = written(joined.join(mixed, "key", "left_semi"), "open")
+        open_ = written(joined.join(written(mixed, "mixed"), "key", "left_semi"), "open")
         group = ["key", "i", "j"]
         spread = lambda df: df.repartition(*group).sortWithinPartitions(*group)
         blocks = spread(_across(open_.join(sketches, "id")))
