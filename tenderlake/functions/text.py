@@ -14,7 +14,7 @@ CRITERIA_MARKS = "※★▲●○◆■□△▽◇"
 STOP_PHRASES = ["法定代表", "授权代表", "单位地址", "通信地址", "电话", "传真", "(盖单位章)", "（盖单位章）", "投标单位", "投标人", "（盖章）", "(盖章)", "地址", "邮政编码", "联系人", "手机"]
 NAME_SUFFIXES = ["公司章", "公章", "单位章"]
 COMPANY_WORDS = ["公司", "有限", "股份", "集团", "厂", "院", "所", "社", "中心"]
-NOT_COMPANY_WORDS = ["招标", "投标", "项目", "文件", "正本", "副本", "单位章", "法定代表", "中车眉山车辆有限公司"]
+NOT_COMPANY_WORDS = ["招标", "投标", "项目", "文件", "正本", "副本", "单位章", "法定代表"]
 UPDATE_WORDS = ["公司", "有限", "股份", "集团", "厂", "院", "所", "中心"]
 BRACKETS = "[\\]()（）【】〔〕\\[]"
 NAME_CHARACTERS = "[一-龥A-Za-z0-9·．.（）()有限公司集团股份]"
@@ -74,6 +74,7 @@ def filter_bidder_name(text: Column, stop_phrases: Sequence[str] = STOP_PHRASES,
 
 
 def valid_company_name(name: Column, words: Sequence[str] = COMPANY_WORDS, invalid: Sequence[str] = NOT_COMPANY_WORDS) -> Column:
+    """invalid: words that no bidder's name holds; a project adds its buyer's name."""
     return F.coalesce((F.length(name) > 5) & any_of(name, words) & ~any_of(name, invalid), F.lit(False))
 
 

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import let, plain_number
-from ..functions.text import clean_criteria_name, is_price_rule, name_similarity, score_in_text, squeeze_text, strip
+from ..functions.text import clean_criteria_name, is_price_rule, score_in_text, squeeze_text, strip
+from ..sources.shared import written
+from .similar import alike, groups, similar_names
 
 
 def _flag() -> Column:
@@ -204,21 +206,36 @@ def rules_from_text(lines: DataFrame, patterns: list[str] = LINE_RULES, price_wo
     return out if not fold else out.join(dedupe_similar_rules(out).select("doc", "nth"), ["doc", "nth"], "left_semi")
 
 
-def dedupe_similar_rules(rules: DataFrame, threshold: float = 0.8) -> DataFrame:
+def dedupe_similar_rules(rules: DataFrame, threshold: float = 0.8, fold: int = 256) -> DataFrame:
     """Greedy by order (nth) in each doc: a rule similar to one kept before (equal, contained, or alike in characters)
-    gives way to it, or takes its place if its maximum is higher."""
-    kind = "array<struct<nth:int,criteria_name:string,max_score:double>>"
-    alike = lambda a, b: (a == b) | a.contains(b) | b.contains(a) | (name_similarity(a, b) > threshold)
+    gives way to it, or takes its place if its maximum is higher. Documents of up to ``fold`` rules are gone through in a row. Of
+    longer ones the similar names are joined first, as a rule's fate depends on those alone that a chain of similar names
+    leads to: each such group is gone through by itself, and no row holds the document."""
+    kind = "array<struct<born:int,nth:int,criteria_name:string,max_score:double>>"
 
     def step(kept: Column, x: Column) -> Column:
-        at = F.array_position(F.transform(kept, lambda y: alike(y["criteria_name"], x["criteria_name"])), F.lit(True))
-        swapped = F.transform(kept, lambda y, i: F.when((i + 1 == at) & (x["max_score"] > y["max_score"]), x).otherwise(y))
+        at = F.array_position(F.transform(kept, lambda y: alike(y["criteria_name"], x["criteria_name"], threshold)), F.lit(True))
+        instead = lambda y: F.struct(y["born"].alias("born"), x["nth"].alias("nth"), x["criteria_name"].alias("criteria_name"), x["max_score"].alias("max_score"))
+        swapped = F.transform(kept, lambda y, i: F.when((i + 1 == at) & (x["max_score"] > y["max_score"]), instead(y)).otherwise(y))
         return F.when(at == 0, F.concat(kept, F.array(x))).otherwise(swapped)
 
-    one = F.struct(F.col("nth").cast("int").alias("nth"), F.coalesce("criteria_name", F.lit("")).alias("criteria_name"), F.col("max_score").cast("double").alias("max_score"))
-    all_ = rules.groupBy("doc").agg(F.array_sort(F.collect_list(one)).alias("all"))
-    kept = F.aggregate("all", F.array().cast(kind), step)
-    return all_.select("doc", F.posexplode(kept).alias("slot", "x")).select("doc", "slot", "x.*")
+    nth = F.col("nth").cast("int")
+    one = F.struct(nth.alias("born"), nth.alias("nth"), F.col("criteria_name"), F.col("max_score").cast("double").alias("max_score"))
+
+    def chosen(rows: DataFrame, by: list[str]) -> DataFrame:
+        kept = F.aggregate("all", F.array().cast(kind), step)
+        return rows.groupBy(*by).agg(F.array_sort(F.collect_list(one)).alias("all")).select("doc", F.explode(kept).alias("x")).select("doc", "x.*")
+
+    rows = written(rules.select("doc", "nth", F.coalesce("criteria_name", F.lit("")).alias("criteria_name"), "max_score"))
+    long = written(rows.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > fold).select("doc"))
+    out = chosen(rows.join(long, "doc", "left_anti"), ["doc"])
+    if not long.isEmpty():
+        more = rows.join(long, "doc", "left_semi")
+        names = written(more.select("doc", F.col("criteria_name").alias("name")).distinct().withColumn("node", F.monotonically_increasing_id()))
+        grouped = names.join(groups(names, similar_names(names, threshold)), "node").select("doc", F.col("name").alias("criteria_name"), "grp")
+        out = out.unionByName(chosen(more.join(grouped, ["doc", "criteria_name"]), ["doc", "grp"]))
+    slot = F.row_number().over(Window.partitionBy("doc").orderBy("born")) - 1
+    return out.select("doc", slot.alias("slot"), "nth", "criteria_name", "max_score")
 
 
 # Where a price rule is described and scored in a text.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scores import price_scores
@@ -26,13 +26,14 @@ def progress_report(bids: DataFrame) -> DataFrame:
     """Per bid: rules done and in all, their share (0 without rules) and its project's share of finished bids, in percent;
     what else bids say of their progress; partial_analysis_results as JSON, null where it can't be read."""
     share = F.coalesce(F.try_divide(F.col("progress_completed_rules") * 100.0, F.col("progress_total_rules")), F.lit(0.0))
-    of = bids.groupBy("project_id").agg((F.count_if(F.col("processing_status").isin(FINISHED)) * 100.0 / F.count(F.lit(1))).cast("double").alias("overall_percent"))
+    own = Window.partitionBy("project_id")
+    overall = F.count_if(F.col("processing_status").isin(FINISHED)).over(own) * 100.0 / F.count(F.lit(1)).over(own)
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("int")
     said = [F.col(c) for c in REPORTED if c in bids.columns]
     if "partial_analysis_results" in bids.columns:
         said.append(F.to_json(F.try_parse_json("partial_analysis_results")).alias("partial_analysis_results"))
     counts = [zero("progress_completed_rules").alias("progress_completed"), zero("progress_total_rules").alias("progress_total")]
-    return bids.join(of, "project_id").select("id", "project_id", "processing_status", *counts, share.cast("double").alias("percent"), "overall_percent", *said)
+    return bids.select("id", "project_id", "processing_status", *counts, share.cast("double").alias("percent"), overall.cast("double").alias("overall_percent"), *said)
 
 
 def recalc_gate(bids: DataFrame, results: DataFrame, rules: DataFrame) -> DataFrame:

@@ -57,6 +57,24 @@ def merge_page_tables(fragments: DataFrame) -> DataFrame:
     return out.select("doc_id", "table_no", F.array_min(F.transform("all", lambda x: x["page"])).alias("start_page"), F.array_max(F.transform("all", lambda x: x["page"])).alias("end_page"), F.size("all").alias("page_count"), F.size("data").alias("total_rows"), F.transform(F.get("all", F.lit(0))["headers"], clean_cell_text).alias("headers"), "data")
 
 
+def merged_rows(fragments: DataFrame) -> DataFrame:
+    """merge_page_tables in long form: doc_id, table_no, row_no (from 0, the header), headers, cells; a row for each row of a
+    table, numbered by running sums over its fragments, so that no table is one row, over however many pages it goes."""
+    order = Window.partitionBy("doc_id", "island").orderBy("page", "table_index")
+    rows = continued(fragments).withColumn("nth", F.row_number().over(order))
+    first = F.col("nth") == 1
+    size = F.greatest(F.size("data") - F.when(first, 0).otherwise(1), F.lit(0))
+    rows = rows.withColumns({"before": F.coalesce(F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "head": F.first("headers").over(order)})
+    body = F.when(first, F.col("data")).otherwise(F.slice("data", F.lit(2), F.greatest(F.size("data"), F.lit(0))))
+    each = rows.select("doc_id", F.col("island").alias("table_no"), "before", F.transform("head", clean_cell_text).alias("headers"), F.posexplode(body).alias("k", "cells"))
+    return each.select("doc_id", "table_no", (F.col("before") + F.col("k")).cast("int").alias("row_no"), "headers", F.transform("cells", clean_cell_text).alias("cells"))
+
+
+def _long(tables: DataFrame) -> DataFrame:
+    """Tables in long form, as they are or out of whole tables (data)."""
+    return tables if "cells" in tables.columns else tables.select("doc_id", "table_no", "headers", F.posexplode("data").alias("row_no", "cells"))
+
+
 def filter_rule_tables(tables: DataFrame, words: Sequence[str] = RULE_HEADERS) -> DataFrame:
     """Tables whose cleaned headers hold all the words."""
     has = F.lit(True)
@@ -67,8 +85,8 @@ def filter_rule_tables(tables: DataFrame, words: Sequence[str] = RULE_HEADERS) -
 
 def table_rows(tables: DataFrame) -> DataFrame:
     """doc_id, table_no, row_no (from 1, the header is 0 and left out), col_no, header, cell: rows as cells; where a row has
-    more or fewer cells than there are headers its columns are named column_1, column_2, ..."""
-    rows = tables.select("doc_id", "table_no", "headers", F.posexplode("data").alias("row_no", "cells")).where("row_no > 0")
+    more or fewer cells than there are headers its columns are named column_1, column_2, ... Tables are whole or in long form."""
+    rows = _long(tables).where("row_no > 0")
     odd = F.size("cells") != F.size("headers")
     cells = rows.select("doc_id", "table_no", "row_no", odd.alias("odd"), "headers", F.posexplode("cells").alias("col_no", "cell"))
     name = F.when(F.col("odd"), F.concat(F.lit("column_"), (F.col("col_no") + 1).cast("string"))).otherwise(clean_cell_text(F.get("headers", F.col("col_no"))))
@@ -77,7 +95,7 @@ def table_rows(tables: DataFrame) -> DataFrame:
 
 def rule_rows(tables: DataFrame) -> DataFrame:
     """doc, row_no, project_cell, detail, standard of rule tables: the column under 评价项目, the second, the one under 评价标准 (else 标准)."""
-    rows = filter_rule_tables(tables).select("doc_id", "table_no", "headers", F.posexplode("data").alias("row_no", "cells")).where("row_no > 0")
+    rows = filter_rule_tables(_long(tables)).where("row_no > 0")
     at = lambda w: F.array_position(F.transform("headers", lambda h: F.coalesce(h.contains(w), F.lit(False))), F.lit(True))
     cell = lambda i: F.get("cells", (i - 1).cast("int"))
     standard = F.coalesce(F.nullif(at("评价标准"), F.lit(0)), at("标准"))

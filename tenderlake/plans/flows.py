@@ -9,8 +9,8 @@ from ..functions.answers import CONTEXT_LIMIT, build_prompt, parse_score_answer
 from ..operators.pages import bid_rule_pairs, page_ranges, relevant_pages
 from ..operators.rules import adjusted_tree, price_rule_from_text, rules_from_rows, rules_from_text
 from ..operators.sections import slice_scoring_section
+from ..operators.tables import merged_rows, rule_rows
 from ..sources.shared import written
-from ..operators.tables import merge_page_tables, rule_rows
 
 
 def prompts(bids: DataFrame, rules: DataFrame, pages: DataFrame) -> DataFrame:
@@ -48,7 +48,7 @@ def extract_rules(fragments: DataFrame, texts: DataFrame | None = None) -> DataF
     """Rules of documents (doc, parent_no, child_no, criteria_name, max_score, description, is_price_criteria), with parents'
     maxima and totals adjusted: those of the rule tables that fragments make up; where a document has none, those of its text
     (doc_id, text), if it is given; and the default rules where neither says any."""
-    found = written(rules_from_rows(rule_rows(merge_page_tables(fragments))))
+    found = written(rules_from_rows(rule_rows(merged_rows(fragments))))
     docs = fragments.select(F.col("doc_id").alias("doc"))
     if texts is not None:
         found = written(found.unionByName(rules_of_texts(texts, found)))

@@ -45,7 +45,8 @@ def test_chinese_numerals(spark, written, value):
 
 @pytest.mark.parametrize("name, valid, garbled", [("山东创杰智慧装备科技有限公司", True, False), ("昆｀＂卫贸有限;？", True, True), ("中车眉山车辆有限公司", False, False), ("投标文件", False, True), ("", False, True), ("XXX公司（盖章）", True, True), ("A" * 100, False, False), (None, False, True)])
 def test_names(spark, name, valid, garbled):
-    assert _one(spark, name, text.valid_company_name) is valid
+    buyer = [*text.NOT_COMPANY_WORDS, "中车眉山车辆有限公司"]
+    assert _one(spark, name, lambda c: text.valid_company_name(c, invalid=buyer)) is valid
     assert _one(spark, name, text.garbled_name) is garbled
 
 
@@ -155,11 +156,8 @@ def test_standard_formulas(spark):
     assert _one(spark, "投标报价得分 x\n无", answers.formula_from_standard) == "投标报价得分 x\n无"
 
 
-def test_similar_rules_equal_brute_force(spark):
-    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/part.parquet").selectExpr("cast(p_partkey div 20 as int)", "cast(p_partkey as int)", "p_name", "cast(p_size as double)").limit(1000).collect()]
-    df = spark.createDataFrame(rows, "doc int, nth int, criteria_name string, max_score double")
-    got = {(r["doc"], r["slot"]): (r["nth"], r["criteria_name"], r["max_score"]) for r in rules.dedupe_similar_rules(df).collect()}
-    kept: dict[int, list] = {}
+def _greedy(rows):
+    kept: dict = {}
     for doc, nth, name, top in sorted(rows, key=lambda r: r[1]):
         own = kept.setdefault(doc, [])
         for k, (_, other, most) in enumerate(own):
@@ -169,8 +167,58 @@ def test_similar_rules_equal_brute_force(spark):
                 break
         else:
             own.append((nth, name, top))
-    assert got == {(doc, k): x for doc, own in kept.items() for k, x in enumerate(own)}
-    assert len(got) < len(rows)
+    return {(doc, k): x for doc, own in kept.items() for k, x in enumerate(own)}
+
+
+def _similar(spark, rows, **options):
+    df = spark.createDataFrame(rows, "doc int, nth int, criteria_name string, max_score double")
+    return {(r["doc"], r["slot"]): (r["nth"], r["criteria_name"], r["max_score"]) for r in rules.dedupe_similar_rules(df, **options).collect()}
+
+
+def test_similar_rules_equal_brute_force(spark):
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/part.parquet").selectExpr("cast(p_partkey div 20 as int)", "cast(p_partkey as int)", "p_name", "cast(p_size as double)").limit(1000).collect()]
+    want = _greedy(rows)
+    assert _similar(spark, rows) == want and len(want) < len(rows)
+    assert _similar(spark, rows, fold=0) == want
+
+
+def test_similar_rules_by_groups_equal_the_fold(spark):
+    """Chains, equal, contained, one-letter and empty names, and maxima that make rules take others' places."""
+    import random
+
+    r = random.Random(6)
+    letters = "abcdefgh评审技术"
+    names_ = ["", "a", "b", "ab", "评", "评审"] + ["".join(r.choice(letters) for _ in range(r.randint(1, 9))) for _ in range(300)]
+    rows = [(d, n, r.choice(names_), float(r.randint(1, 9))) for d in range(3) for n in range(150)] + [(3, n, r.choice(names_[3:]), float(r.randint(1, 9))) for n in range(150)]
+    assert _similar(spark, rows, fold=10) == _greedy(rows)
+
+
+def test_ten_thousand_rules_of_one_document(spark):
+    import random
+
+    r = random.Random(1)
+    letters = [chr(0x4E00 + i) for i in range(3000)]
+    base = ["".join(r.sample(letters, 8)) for _ in range(6000)]
+    rows = [(1, n, x, float(r.randint(1, 9))) for n, x in enumerate(base)]
+    for n in range(6000, 10_000):
+        x = r.choice(base)
+        rows.append((1, n, r.choice([x, x[:5], x + "一二三", x[1:] + x[0], x[:7] + x[0]]), float(r.randint(1, 9))))
+    got = _similar(spark, rows)
+    # The plain fold, with candidates by shared characters so that it ends in time.
+    kept, by_char = [], {}
+    for _, nth, name, top in rows:
+        near = sorted({k for c in set(name) for k in by_char.get(c, ())})
+        hit = next((k for k in near if name in kept[k][1] or kept[k][1] in name or len(set(name) & set(kept[k][1])) / len(set(name) | set(kept[k][1])) > 0.8), None)
+        if hit is None:
+            kept.append((nth, name, top))
+            hit = len(kept) - 1
+        elif top > kept[hit][2]:
+            kept[hit] = (nth, name, top)
+        else:
+            continue
+        for c in set(name):
+            by_char.setdefault(c, set()).add(hit)
+    assert got == {(1, k): x for k, x in enumerate(kept)}
 
 
 def test_rules_hang_on_the_nearest_less_deep_one(spark):
@@ -328,3 +376,79 @@ def test_files_are_listed(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a" / "x.txt").write_text("abc")
     assert [(r["path"].rsplit("/", 1)[1], r["length"]) for r in list_files(spark, f"file://{tmp_path}").collect()] == [("x.txt", 3)]
+
+
+def test_tables_in_long_form_equal_whole_ones(spark):
+    import random
+
+    r = random.Random(8)
+    rows = []
+    for doc in range(12):
+        for page in range(9):
+            cols = r.choice([2, 2, 2, 3])
+            head = ["评价项目", "评价标准", "x"][:cols] if r.random() < 0.7 else ["a", "b", "c"][:cols]
+            data = [head] + [[r.choice(["", " p ", "q\t1", None]) for _ in range(cols)] for _ in range(r.randint(0, 3))]
+            rows.append((doc, page if r.random() < 0.9 else page + 20, 0, cols, head, data if r.random() < 0.95 else []))
+    kind = "doc_id long, page int, table_index int, cols int, headers array<string>, data array<array<string>>"
+    df = spark.createDataFrame(rows, kind)
+    whole = {(t["doc_id"], t["table_no"]): (t["headers"], t["data"]) for t in tables.merge_page_tables(df).collect()}
+    long = {}
+    for t in tables.merged_rows(df).orderBy("doc_id", "table_no", "row_no").collect():
+        head, data = long.setdefault((t["doc_id"], t["table_no"]), (t["headers"], []))
+        assert t["row_no"] == len(data) and head == t["headers"]
+        data.append(t["cells"])
+    assert long == {k: v for k, v in whole.items() if v[1]}
+    both = [sorted(map(str, f(x).collect())) for f in (tables.rule_rows, tables.table_rows) for x in (tables.merge_page_tables(df), tables.merged_rows(df))]
+    assert both[0] == both[1] and both[2] == both[3] and both[0]
+
+
+def test_a_table_over_very_many_pages(spark):
+    n = 100_000
+    row = F.array(F.lit("评价项目"), F.lit("评价标准"))
+    df = spark.range(n).select(F.lit(1).alias("doc_id"), F.col("id").cast("int").alias("page"), F.lit(0).alias("table_index"), F.lit(2).alias("cols"), row.alias("headers"), F.array(row, F.array(F.col("id").cast("string"), F.lit("5分"))).alias("data"))
+    out = tables.rule_rows(tables.merged_rows(df)).agg(F.count(F.lit(1)), F.max("row_no"), F.count_if(F.col("project_cell") == (F.col("row_no") - 1).cast("string"))).first()
+    assert tuple(out) == (n, n, n)
+
+
+def _section(text):
+    """The scoring section in plain loops."""
+    from tenderlake.operators.sections import CHAPTER, END_WORDS, SCORING_WORDS, STILL_SCORING, STOPS
+    import re
+
+    lines = (text or "").split("\n")
+    n, has = len(lines), lambda x, words: any(w in x for w in words)
+    start = next((i for i, x in enumerate(lines) if has(x, SCORING_WORDS) and len(re.sub(r"\s+", "", x)) < 100), -1)
+    if start < 0:
+        other = next((i for i, x in enumerate(lines) if has(x, SCORING_WORDS) and "分" in x), -1)
+        if other < 0:
+            return ""
+        start = max(other - 10, 0)
+    end = next((i for i in range(start + 1, n) if (t := lines[i].strip()) and (re.search(CHAPTER, t) or has(t, END_WORDS)) and not has(t, [*SCORING_WORDS, *STILL_SCORING])), n)
+    out = "\n".join(lines[start:end])
+    if len(out) < 500:
+        out = "\n".join(lines[start : min(start + 200, n)])
+    if len(out) < 500:
+        stop = next((i for i in range(start, min(start + 500, n)) if has(lines[i], STOPS) and len(lines[i].strip()) < 30), min(start + 500, n))
+        out = "\n".join(lines[start:stop])
+    if len(out) < 800:
+        out = "\n".join(lines[max(start - 50, 0) : min(n, start + 500)])
+    return out
+
+
+def test_sections_equal_plain_loops_on_every_branch(spark):
+    import random
+
+    r = random.Random(12)
+    lines = ["普通的一行文字", "说明", "第三章 其他", "第四章 合同条款", "附件 一", "1. 投标须知", "价格 部分", "  ", "x" * 90, "二、 商务", "评审内容" + "长" * 120 + " 10分", "评标办法" + "字" * 101]
+    texts = [None, "", "评分标准"]
+    for k in range(300):
+        n, body = r.choice([3, 12, 60, 260, 700]), r.choice([lines[:2], lines, lines[:8], ["短"], ["很长的一行" * 8]])
+        all_ = [r.choice(body) for _ in range(n)]
+        if k % 4:
+            all_[r.randrange(n)] = r.choice(["评分标准", "第二章 评标办法", "评审内容" + "长" * 120 + " 10分"])
+        texts.append("\n".join(all_))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["section"] for r in sections.slice_scoring_section(df).collect()}
+    sizes = [len(got[i]) for i in got]
+    assert got == {i: _section(t) for i, t in enumerate(texts)}
+    assert any(0 < s < 500 for s in sizes) and any(500 <= s < 800 for s in sizes) and any(s >= 800 for s in sizes) and 0 in sizes
