@@ -337,10 +337,11 @@ def repeated_runs(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     classes = written(classes, "classes")
     again = found.join(classes.where("n > 1"), ["gram", "c1", "c2"]).where(F.struct("id", "tie", "at") != F.col("first"))
     runs = written(again.where(F.col("size") >= width).select("id", "tie", F.col("left").alias("start"), (F.col("left") + F.col("size")).alias("stop")), "again")
-    several = classes.groupBy("gram").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1").select("gram")
+    # A table by itself, so that the join with an anchor that has very many contexts can be split.
+    several = written(classes.groupBy("gram").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1").select("gram"), "several")
     firsts = written(classes.join(several, "gram", "left_semi").select("first.id", "first.tie", "first.at"), "first-places")
     some, first = _pick(docs, firsts, ["id", "tie", "at"])
-    forget(found, classes)
+    forget(found, classes, several)
     # A bitmap may let other occurrences through; they do no harm, as their strings are repeats.
     rows = written(some.mapInArrow(frugal(_contexts(width, shared, first, True)), "gram long, id long, tie long, at long, left long, size long, bytes binary"), "firsts")
     forget(firsts, twice)
