@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenderlake.llm import credential_scan, minhash_dedup, packing, quality, suffix_dedup
-from tenderlake.llm.common import new_path
+from tenderlake.llm.common import forget, written
 
 CACHED = 1 << 18  # pre-tokens that a packing worker keeps, few, as workers of the stages before are still there
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -64,9 +64,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. A stage's output is deleted once the next one's is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        path = new_path(spark, "pipeline-" + name.replace(" ", "-"))
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        before, docs = docs, written(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        forget(before)
     return docs
