@@ -31,7 +31,7 @@ from .components import connected
 
 BANDS, ROWS = 40, 4
 SKETCH_BITS = 512
-MARGIN = 0.2  # estimates lower than the threshold by this (six standard deviations) are dismissed
+MARGIN = 0.2  # estimates lower than the threshold by this (some five standard deviations: one linked pair in 10**7 or fewer, were it not found by another) are dismissed
 BLOCK = 512  # members of a bucket or cluster in one block
 _FILTER_BITS = 26
 

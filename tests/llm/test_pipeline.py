@@ -1,3 +1,4 @@
+import os
 import re
 import zlib
 
@@ -124,3 +125,15 @@ def test_stages_take_odd_and_empty_tables(spark, name):
     else:
         assert {str(i) for i, _ in ODD} == set(ids) and all(0 < r["length"] <= 2048 for r in out)
     assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_run_gives_the_last_stage_and_keeps_no_other(spark):
+    sf = "/root/testdata/sf0.001"
+    out = corpus_pipeline.run(spark, sf)
+    folders = {f.split("/pipeline-")[1].split("/")[0].rsplit("-", 1)[0] for f in out.inputFiles()}
+    assert folders == {"best-fit-packing"}
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    left = {x.rsplit("-", 1)[0] for x in os.listdir(shared) if x.startswith("pipeline-")}
+    assert left == {"pipeline-best-fit-packing"}
+    ids = {r[0] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect()}
+    assert {r["doc_id"] for r in out.collect()} <= ids and all(0 < r["length"] <= 2048 for r in out.collect())
