@@ -13,6 +13,7 @@ from pyspark.sql.types import StructType
 from ..operators.scores import apply_totals, bid_prices, price_rule_max, score_prices
 from ..operators.status import FINISHED, completion_status, progress_report
 from ..sources.kept import KeptTable
+from ..sources.shared import written
 
 # What an event says of its bid.
 STATUS_OF = {"signup": "pending", "view": "processing", "click": "processing", "purchase": "completed", "error": "error"}
@@ -112,8 +113,8 @@ def score_on_complete(bids: KeptTable, load: Callable[[DataFrame], DataFrame], r
             last = F.max_by(F.struct("processing_status"), newest)
             batch = batch.groupBy("id", "project_id").agg(last.alias("x")).select("id", "project_id", "x.processing_status")
         bids.replace(batch, epoch)
-        touched = batch.select("project_id").distinct()
-        status = completion_status(bids.read(touched))
+        touched = written(batch.select("project_id").distinct())
+        status = written(completion_status(bids.read(touched)))
         ready = status.where("n_open = 0").select("project_id")
         results = load(ready)
         scored = score_prices(bid_prices(results), price_rule_max(rules.join(ready, "project_id", "left_semi")))
