@@ -47,20 +47,21 @@ def write(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", to
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        file, at = TaskContext.get().partitionId(), 0
+        file, at, end = TaskContext.get().partitionId(), 0, np.array([end_id], np.int32)
         for batch in batches:
             have, first, total = [], 0, 0
 
             def flush(stop):
-                sizes = np.array([len(x) for x in have], np.int64)
-                ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(np.concatenate(have), pa.int32()))
+                sizes = np.array([len(x) + 1 for x in have], np.int64)
+                flat = np.concatenate([x for ids in have for x in (ids, end)])
+                ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(flat, pa.int32()))
                 until = at + np.cumsum(sizes)
                 own = [pa.array(np.full(len(have), file)), pa.array(until - sizes), pa.array(until), pa.array(sizes), ids]
                 return pa.RecordBatch.from_arrays([*(batch.column(i).slice(first, stop - first) for i in range(len(names))), *own], [*names, *OWN])
 
             for i, ids in enumerate(encode_texts(tokenizer, [x or "" for x in batch.column(len(names)).to_pylist()], cached), 1):
-                have.append(np.append(ids, end_id).astype(np.int32))
-                total += len(have[-1])
+                have.append(ids)
+                total += len(ids) + 1
                 if total > 1_000_000:
                     yield flush(i)
                     have, first, at, total = [], i, at + total, 0
