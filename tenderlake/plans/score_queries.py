@@ -213,7 +213,7 @@ def _pairs(bids, rules):
 
 
 # Writes.
-query("replace_by_key", "v_results", sql="SELECT id, project_id, CASE WHEN project_id % 4 = 0 THEN 1.0e0 ELSE total_score END AS total_score FROM {v_results} WHERE project_id % 4 <> 0 OR id % 2 = 0")(lambda r: W.replace_by_key(r.select("id", "project_id", "total_score"), r.where("project_id % 4 = 0 and id % 2 = 0").select("id", "project_id", F.lit(1.0).alias("total_score")), ["project_id"]))
+query("replace_by_key", "v_results", sql="WITH n AS (SELECT DISTINCT project_id FROM {v_results} WHERE project_id % 4 = 0 AND id % 2 = 0) SELECT r.id, r.project_id, r.total_score FROM {v_results} r LEFT JOIN n ON n.project_id = r.project_id WHERE n.project_id IS NULL UNION ALL SELECT id, project_id, 1.0e0 FROM {v_results} WHERE project_id % 4 = 0 AND id % 2 = 0")(lambda r: W.replace_by_key(r.select("id", "project_id", "total_score"), r.where("project_id % 4 = 0 and id % 2 = 0").select("id", "project_id", F.lit(1.0).alias("total_score")), ["project_id"]))
 query("patch_rows", "v_bids", sql="SELECT id, CASE WHEN id % 3 = 0 AND id % 2 = 0 THEN concat('N', bidder_name) ELSE bidder_name END AS bidder_name, id % 3 = 0 AND id % 2 = 0 AS patched FROM {v_bids}")(lambda b: W.patch_rows(b.select("id", "bidder_name"), b.where("id % 3 = 0").select("id", F.when(F.col("id") % 2 == 0, F.concat(F.lit("N"), "bidder_name")).otherwise("  ").alias("bidder_name")), "id", ["bidder_name"]))
 query("purge_project", "v_projects", "v_bids", "v_results", "v_rules", sql="SELECT 'tender_project' AS t, count(*) AS n FROM {v_projects} WHERE id % 5 <> 0 UNION ALL SELECT 'bid_document', count(*) FROM {v_bids} WHERE project_id % 5 <> 0 UNION ALL SELECT 'analysis_result', count(*) FROM {v_results} WHERE project_id % 5 <> 0 UNION ALL SELECT 'scoring_rule', count(*) FROM {v_rules} WHERE project_id % 5 <> 0")(lambda p, b, r, ru: _purged(p, b, r, ru))
 

@@ -43,6 +43,17 @@ def test_query_equals_its_sql(spark, tables, name):
     assert got == sorted(tuple(_plain(r[i]) for i in at) for r in cursor.fetchall())
 
 
+def test_projects_without_new_rows_keep_theirs(spark, tmp_path):
+    """Project 4 has no new row, as the ids of its bids are odd."""
+    lines = [(1, 4, 7, 1), (2, 4, 7, 3), (3, 8, 7, 1), (3, 8, 7, 2), (4, 5, 7, 1)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").selectExpr("*", "10d l_quantity", "2000d l_extendedprice", "0d l_discount", "0d l_tax", "'R' l_returnflag", "'F' l_linestatus").write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in QUERIES["replace_by_key"](spark, str(tmp_path)).select("id", "project_id", "total_score").collect())
+    assert got == sorted(con.execute(f"SELECT id, project_id, total_score FROM ({ORACLE['replace_by_key']}) x").fetchall())
+    assert got == [(11, 4, 20.0), (23, 4, 20.0), (32, 8, 1.0), (41, 5, 20.0)]
+
+
 def test_entry_and_registry(spark):
     import __spark_entry__
 
