@@ -452,3 +452,33 @@ def test_sections_equal_plain_loops_on_every_branch(spark):
     sizes = [len(got[i]) for i in got]
     assert got == {i: _section(t) for i, t in enumerate(texts)}
     assert any(0 < s < 500 for s in sizes) and any(500 <= s < 800 for s in sizes) and any(s >= 800 for s in sizes) and 0 in sizes
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pages_are_cleaned_by_patterns_alone(spark):
+    import re
+
+    cases = [" a \n \t b　\r\n\n\nc   d\x1c\n\x1f ", "\n \n", "a \n \n b", "", None, "x", "\t\n\u0085y\x0b\n", "（Ａ）：  ；\r\r b "]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "i int, text string")
+    out = df.select("i", text.clean_page_text(F.col("text")).alias("t"))
+    assert "transform(" not in _plan(out)
+
+    def plain(t):
+        t = re.sub("\r\n|\r| | ", "\n", t or "").translate(str.maketrans(*text.PAGE_PUNCTUATION))
+        return "\n".join(x.strip() for x in re.sub(" +", " ", re.sub("\n+", "\n", t)).split("\n")).strip()
+
+    assert [r["t"] for r in out.orderBy("i").collect()] == [plain(t) for t in cases]
+
+
+def test_patterns_without_letters_leave_case_alone_and_words_lose_no_match(spark):
+    assert text.flags(prices.CAPITAL[2]).startswith("(?U)") and text.flags(r"no\.\s*(\d+)").startswith("(?Ui)")
+    parts = ["小写", "小写金额", "大写", "大写金额：", "投标报价", "总报价", "总价", "人民币", "￥", "元", "保证金", "：", " ", "1,234.5", "99", "壹拾万", "\n"]
+    texts = ["".join(parts[(i * k + j) % len(parts)] for k in range(1, 6)) for i in range(40) for j in range(5)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = [F.count_if(F.col("t").rlike(f"(?Ui){p}") & ~text.any_of(F.col("t"), w)) for p, w in prices.PATTERN_WORDS.items()]
+    same = [F.count_if(~F.regexp_extract("t", f"(?Ui){p}", 0).eqNullSafe(F.regexp_extract("t", text.flags(p), 0))) for p in prices.PATTERN_WORDS]
+    assert set(df.agg(*found, *same).first()) == {0}
+    assert set(prices.PATTERN_WORDS) == {*prices.SMALL_EXPLICIT, *prices.SMALL_GENERAL, *prices.CAPITAL, *prices.BOND_SUMMARY}
