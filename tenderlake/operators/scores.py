@@ -37,6 +37,12 @@ def _item_array(text: Column) -> Column:
     return F.coalesce(F.transform(from_list, flat), pairs)
 
 
+def _may_hold(text: Column, *words: str) -> Column:
+    """Whether a text of JSON may have one of the words in a name or a value: it has the word itself, or escapes. So texts
+    that have neither need not be parsed."""
+    return any_of(text, [*words, "\\u"])
+
+
 def score_items(results: DataFrame) -> DataFrame:
     """results with one row an item: pos, item (Child_Item_Name, else criteria_name), score, price_item, item_price; lists
     and maps alike. Results without items give none."""
@@ -47,7 +53,7 @@ def bid_prices(results: DataFrame, unpriced: bool = False) -> DataFrame:
     """project_id, bidder_name, price: a price item's price in the list first, else extracted_price; of a bidder's rows the
     last (by id) with a price. Bidders without a price are left out, or with unpriced have null."""
     text = F.col("detailed_scores")
-    items = F.filter(F.when(text.rlike(r"^\s*\["), F.from_json(text, PRICED)), lambda x: F.coalesce(x["is_price_criteria"], F.lit(False)))
+    items = F.filter(F.when(_may_hold(text, "is_price_criteria") & text.rlike(r"^\s*\["), F.from_json(text, PRICED)), lambda x: F.coalesce(x["is_price_criteria"], F.lit(False)))
     of_item = F.get(F.transform(items, lambda x: F.coalesce(x["extracted_price"], x["score"].try_cast("double"))), F.lit(0))
     priced = results.select("project_id", "bidder_name", "id", F.coalesce(of_item, F.col("extracted_price")).alias("price"))
     # Rows without a price come last in order, so that the JSON text is read once and not for a filter too.
@@ -116,7 +122,7 @@ def _field(item: Column, name: str, kind: str) -> Column:
 
 
 def _is_price_item(item: Column) -> Column:
-    return any_of(F.lower(_field(item, "criteria_name", "string")), PRICE_RULE_WORDS["scores"]) | F.coalesce(_field(item, "is_price_criteria", "boolean"), F.lit(False))
+    return let(F.lower(_field(item, "criteria_name", "string")), lambda name: any_of(name, PRICE_RULE_WORDS["scores"])) | F.coalesce(_field(item, "is_price_criteria", "boolean"), F.lit(False))
 
 
 def _deeper(items: Column, levels: int = LEVELS) -> Column:
@@ -185,17 +191,29 @@ def _price_score(items: Column, levels: int = LEVELS) -> Column:
     return F.get(F.array_compact(F.transform(items, own)), F.lit(0))
 
 
-def find_price_score(results: DataFrame) -> DataFrame:
-    """id, found_score: in a list the first price item's score, depth first at any depth, where what is found below an item
-    counts if it isn't 0; in a map the first number, or object with a score, under a key that names a price; none is 0."""
+def _found_price_score(results: DataFrame) -> DataFrame:
+    """results with found_score, in the row. Texts that hold no word of prices are not parsed."""
     text = F.col("detailed_scores")
-    rows = results.select("id", "detailed_scores", _items(F.try_parse_json(text)).alias("_items")).withColumn("_deep", _deeper(F.col("_items")))
+    may = _may_hold(F.lower(text), *PRICE_RULE_WORDS["scores"])
+    rows = results.withColumn("_items", _items(F.when(may, F.try_parse_json(text)))).withColumn("_deep", F.when(_may_hold(text, "children"), _deeper(F.col("_items"))).otherwise(False))
     listed = F.when(F.col("_deep"), _deep_price_score(F.when(F.col("_deep"), text))).otherwise(_price_score(F.col("_items")))
-    pairs = F.map_entries(F.when(text.rlike(r"^\s*\{"), F.from_json(text, "map<string,variant>")))
+    pairs = F.map_entries(F.when(may & text.rlike(r"^\s*\{"), F.from_json(text, "map<string,variant>")))
     value = lambda v: F.coalesce(F.when(~F.schema_of_variant(v).startswith("STRING"), F.try_variant_get(v, "$", "double")), _field(v, "score", "double"))
     named = lambda k: any_of(k, [PRICE_ITEM]) | any_of(F.lower(k), ["price"])
     mapped = F.get(F.array_compact(F.transform(F.filter(pairs, lambda x: named(x["key"])), lambda x: value(x["value"]))), F.lit(0))
-    return rows.select("id", F.coalesce(listed, mapped, F.lit(0.0)).alias("found_score"))
+    return rows.select(*results.columns, F.coalesce(listed, mapped, F.lit(0.0)).alias("found_score"))
+
+
+def find_price_score(results: DataFrame) -> DataFrame:
+    """id, found_score: in a list the first price item's score, depth first at any depth, where what is found below an item
+    counts if it isn't 0; in a map the first number, or object with a score, under a key that names a price; none is 0."""
+    return _found_price_score(results.select("id", "detailed_scores")).select("id", "found_score")
+
+
+def with_found_price_score(results: DataFrame, asked: Column) -> DataFrame:
+    """results whose price_score is that of the items where it is asked for; it is found in the row, so nothing is joined."""
+    found = _found_price_score(results.withColumns({"_asked": asked, "_text": F.col("detailed_scores"), "detailed_scores": F.when(asked, F.col("detailed_scores"))}))
+    return found.withColumns({"detailed_scores": F.col("_text"), "price_score": F.when(F.col("_asked"), F.col("found_score")).otherwise(F.col("price_score"))}).select(*results.columns)
 
 
 def first_per_bidder(results: DataFrame) -> DataFrame:
@@ -226,9 +244,7 @@ def ranking_summary(bids: DataFrame, results: DataFrame) -> DataFrame:
 
 def results_ordered(results: DataFrame) -> DataFrame:
     """Ranked results with a price score: the stored one, else that found in the items."""
-    found = find_price_score(results)
-    out = results.join(found, "id").withColumn("price_score", F.coalesce("price_score", "found_score")).drop("found_score")
-    return rank_bidders(out)
+    return rank_bidders(with_found_price_score(results, F.col("price_score").isNull()))
 
 
 def bid_results(bids: DataFrame, results: DataFrame) -> DataFrame:
@@ -237,40 +253,52 @@ def bid_results(bids: DataFrame, results: DataFrame) -> DataFrame:
     return results.join(own, ["bid_document_id", "project_id"])
 
 
-def item_scores(results: DataFrame, rules: DataFrame, missing: float | None = None, last: bool = False) -> DataFrame:
-    """One row for each result and child rule that is no price rule: the score of the first (or last) item of that name.
-    Items are looked up in the result's own row, so results meet rules in one join by project."""
-    children = rules.where(F.col("Child_Item_Name").isNotNull() & ~F.coalesce("is_price_criteria", F.lit(False))).select("project_id", F.col("id").alias("rule_id"), F.col("Parent_Item_Name").alias("parent"), F.col("Child_Item_Name").alias("item"))
-    items = _item_array(F.col("detailed_scores"))
+def _children(rules: DataFrame) -> DataFrame:
+    """Child rules that are no price rules: project_id, rule_id, parent, item."""
+    return rules.where(F.col("Child_Item_Name").isNotNull() & ~F.coalesce("is_price_criteria", F.lit(False))).select("project_id", F.col("id").alias("rule_id"), F.col("Parent_Item_Name").alias("parent"), F.col("Child_Item_Name").alias("item"))
+
 
-    def scores(found: Column) -> Column:
-        names = F.transform(found, lambda x: x["item"])
+def _scores_by_item(text: Column, last: bool = False) -> Column:
+    """map(item, score) of a text of scores: the score of the first (or last) item of each name."""
+    items = _item_array(text)
+
+    def scores(found: Column, names: Column) -> Column:
         firsts = F.filter(found, lambda x, i: F.coalesce(F.array_position(names, x["item"]) == i + 1, F.lit(False)))
         return F.map_from_entries(F.transform(firsts, lambda x: F.struct(x["item"], x["score"])))
 
-    own = results.select("id", "project_id", "bidder_name", let(F.reverse(items) if last else items, scores).alias("_scores"))
-    out = own.join(children, "project_id").withColumn("score", F.try_element_at("_scores", F.col("item")))
-    return out.select("id", "item", "project_id", "bidder_name", "rule_id", "parent", F.coalesce("score", F.lit(missing).cast("double")).alias("score"))
+    return let(F.reverse(items) if last else items, lambda found: let(F.transform(found, lambda x: x["item"]), lambda names: scores(found, names)))
+
+
+def item_scores(results: DataFrame, rules: DataFrame, missing: float | None = None, last: bool = False, keep: Sequence[str] = ()) -> DataFrame:
+    """One row for each result and child rule that is no price rule: the score of the first (or last) item of that name.
+    Items are looked up in the result's own row, so results meet rules in one join by project. keep: more columns of results."""
+    own = results.select("id", "project_id", "bidder_name", *keep, _scores_by_item(F.col("detailed_scores"), last).alias("_scores"))
+    out = own.join(_children(rules), "project_id").withColumn("score", F.try_element_at("_scores", F.col("item")))
+    return out.select("id", "item", "project_id", "bidder_name", *keep, "rule_id", "parent", F.coalesce("score", F.lit(missing).cast("double")).alias("score"))
 
 
 def score_summary(results: DataFrame, rules: DataFrame, items: Sequence[str] | None = None) -> DataFrame:
     """A row a result: scores by item, price score, total over the present scores and the price score, rank by the stored
     total. With a list of items, one column each; else one map, so that projects may have any items."""
+    # A project's child rules come to its results as one array, so that no row is multiplied and grouped again.
+    children = _children(rules).groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct("rule_id", "item"))).alias("_rules"))
+    own = rank_bidders(results).select("id", "project_id", "bidder_name", "rank", F.coalesce("price_score", F.lit(0.0)).alias("price_score"), _scores_by_item(F.col("detailed_scores")).alias("_scores"))
+    own = own.join(children, "project_id", "left")
+    of = own.withColumn("_all", F.transform("_rules", lambda r: F.struct(r["item"].alias("item"), F.try_element_at("_scores", r["item"]).alias("score"))))
     if items:
-        wanted = [F.first(F.when(F.col("item") == x, F.col("score")), ignorenulls=True).alias(x) for x in items]
+        first = lambda name: F.get(F.filter("_all", lambda x: (x["item"] == name) & x["score"].isNotNull()), F.lit(0))["score"]
+        wanted = [first(name).alias(name) for name in items]
     else:
-        wanted = [F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("rule_id", "item", F.coalesce("score", F.lit(0.0)).alias("score")))), lambda x: F.struct(x["item"], x["score"]))).alias("item_scores")]
-    by = item_scores(results, rules).groupBy("id").agg(*wanted, F.sum("score").alias("items_total"))
-    own = rank_bidders(results).select("id", "project_id", "bidder_name", "rank", F.coalesce("price_score", F.lit(0.0)).alias("price_score"))
-    total = round_half_up(F.coalesce("items_total", F.lit(0.0)) + F.col("price_score"))
-    return own.join(by, "id", "left").withColumn("total", total).drop("items_total")
+        wanted = [F.map_from_entries(F.transform("_all", lambda x: F.struct(x["item"], F.coalesce(x["score"], F.lit(0.0))))).alias("item_scores")]
+    total = round_half_up(F.coalesce(F.aggregate("_all", F.lit(0.0), lambda acc, x: acc + F.coalesce(x["score"], F.lit(0.0))), F.lit(0.0)) + F.col("price_score"))
+    return of.select("id", "project_id", "bidder_name", "rank", "price_score", *wanted, total.alias("total"))
 
 
 def display_table(bids: DataFrame, results: DataFrame, rules: DataFrame) -> DataFrame:
     """Long form for display: missing items count 0, two decimals, rank by total or 0."""
     own = bid_results(bids, results)
-    ranked = rank_bidders(own, [F.coalesce("total_score", F.lit(0.0)).desc(), F.col("id")]).select("id", "rank")
-    return item_scores(own, rules, missing=0.0, last=True).join(ranked, "id").withColumn("score", round_half_up(F.col("score"))).select("project_id", "id", "bidder_name", "rank", "rule_id", "item", "score")
+    ranked = rank_bidders(own, [F.coalesce("total_score", F.lit(0.0)).desc(), F.col("id")])
+    return item_scores(ranked, rules, missing=0.0, last=True, keep=["rank"]).withColumn("score", round_half_up(F.col("score"))).select("project_id", "id", "bidder_name", "rank", "rule_id", "item", "score")
 
 
 def summary_headers(rules: DataFrame) -> DataFrame:
@@ -310,8 +338,10 @@ def _with_price(item: Column, new: Column, levels: int = LEVELS) -> Column:
             out = let(out, lambda m: F.when(F.size(kids) > 0, F.map_concat(F.map_filter(m, lambda k, v: k != "children"), below)).otherwise(m))
         return F.to_variant_object(out)
 
+    # An item that is no price and has no children stays as it is.
     fields = F.try_variant_get(item, "$", "map<string,variant>")
-    return F.when(fields.isNull(), item).otherwise(let(fields, changed))
+    touched = _is_price_item(item) if levels == 1 else _is_price_item(item) | F.coalesce(F.size(_field(item, "children", "array<variant>")) > 0, F.lit(False))
+    return F.when(touched, F.coalesce(let(fields, lambda f: F.when(f.isNotNull(), changed(f))), item)).otherwise(item)
 
 
 def update_price_in_scores(results: DataFrame, scored: DataFrame) -> DataFrame:
@@ -320,7 +350,7 @@ def update_price_in_scores(results: DataFrame, scored: DataFrame) -> DataFrame:
     as it is (fields of objects come in order of name); so do texts that are neither, and bidders without one."""
     new = results.join(scored.select("project_id", "bidder_name", F.col("price_score").alias("_new")), ["project_id", "bidder_name"], "left")
     text, score = F.col("detailed_scores"), F.col("_new")
-    new = new.withColumn("_tree", F.when(score.isNotNull(), F.try_parse_json(text))).withColumn("_deep", _deeper(_items(F.col("_tree"))))
+    new = new.withColumn("_tree", F.when(score.isNotNull(), F.try_parse_json(text))).withColumn("_deep", F.when(_may_hold(text, "children"), _deeper(_items(F.col("_tree")))).otherwise(False))
     tree, deep = F.col("_tree"), F.col("_deep")
     listed = F.to_json(F.transform(F.when(~deep, _items(tree)), lambda x: _with_price(x, score)))
     walked = _deep_with_price(F.when(deep, text), score, F.concat(F.lit(NEW_REASON), plain_number(score)))
@@ -331,10 +361,23 @@ def update_price_in_scores(results: DataFrame, scored: DataFrame) -> DataFrame:
 
 def merge_score_maps(results: DataFrame) -> DataFrame:
     """id, item, score: items of detailed_scores, with dynamic_scores (a number or an object with one) on top."""
-    base = score_items(results.select("id", "detailed_scores")).groupBy("id", "item").agg(F.max_by("score", "pos").alias("base"))
-    over = results.select("id", F.explode(F.from_json("dynamic_scores", "map<string,string>")).alias("item", "v"))
-    over = over.select("id", "item", F.coalesce(F.col("v").try_cast("double"), F.get_json_object("v", "$.score").try_cast("double")).alias("over"))
-    return base.join(over, ["id", "item"], "full").select("id", "item", F.coalesce("over", "base").alias("score"))
+    number = lambda v: F.coalesce(v.try_cast("double"), F.get_json_object(v, "$.score").try_cast("double"))
+
+    def merged(items: Column, over: Column) -> Column:
+        """Both are of one row, so they are merged in it: the last item of each name, then dynamic items of other names."""
+        names = F.transform(items, lambda x: x["item"])
+        pair = lambda item, score: F.struct(item.alias("item"), score.alias("score"))
+        lasts = lambda n: F.filter(items, lambda x, i: ~F.exists(F.slice(n, i + 2, F.size(n)), lambda y: y.eqNullSafe(x["item"])))
+        base = let(names, lambda n: F.transform(lasts(n), lambda x: pair(x["item"], F.coalesce(F.try_element_at(over, x["item"]), x["score"]))))
+        more = let(names, lambda n: F.filter(F.map_entries(over), lambda e: ~F.coalesce(F.array_contains(n, e["key"]), F.lit(False))))
+        return F.concat(base, F.transform(more, lambda e: pair(e["key"], e["value"])))
+
+    none = F.array().cast("array<struct<pos:int,item:string,score:double,price_item:boolean,item_price:double>>")
+    items = F.coalesce(_item_array(F.col("detailed_scores")), none)
+    said = F.transform_values(F.from_json("dynamic_scores", "map<string,string>"), lambda k, v: number(v))
+    over = F.coalesce(said, F.create_map().cast("map<string,double>"))
+    both = let(items, lambda i: let(over, lambda o: merged(i, o)))
+    return results.select("id", F.explode(both).alias("x")).select("id", "x.item", "x.score")
 
 
 def price_audit(bids: DataFrame, results: DataFrame, rules: DataFrame) -> DataFrame:

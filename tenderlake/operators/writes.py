@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.text import strip
-from .scores import find_price_score
+from .scores import with_found_price_score
 
 FAILED_RULE = "分析出错"  # fixed value: what a failed bid says it is working on
 
@@ -80,8 +80,7 @@ def upsert_result(bids: DataFrame, results: DataFrame, analyses: DataFrame) -> t
     project and bid, failed ones set their bid's status, message and current rule. A price score of 0 or none gives way to that of the items."""
     good = analyses.where("error is null")
     asked = F.coalesce("price_score", F.lit(0.0)) == 0
-    found = find_price_score(good.where(asked).select("id", "detailed_scores")).select(F.col("id").alias("_id"), "found_score")
-    good = good.join(found, good["id"] == F.col("_id"), "left").withColumn("price_score", F.when(asked, F.coalesce("found_score", F.lit(0.0))).otherwise(F.col("price_score"))).drop("_id", "found_score")
+    good = with_found_price_score(good, asked)
     new = replace_by_key(results, good, ["project_id", "bid_document_id"])
     failed = F.col("error").isNotNull()
     said = {"processing_status": F.when(failed, "error").otherwise("completed"), "error_message": F.col("error")}

@@ -482,3 +482,44 @@ def test_patterns_without_letters_leave_case_alone_and_words_lose_no_match(spark
     same = [F.count_if(~F.regexp_extract("t", f"(?Ui){p}", 0).eqNullSafe(F.regexp_extract("t", text.flags(p), 0))) for p in prices.PATTERN_WORDS]
     assert set(df.agg(*found, *same).first()) == {0}
     assert set(prices.PATTERN_WORDS) == {*prices.SMALL_EXPLICIT, *prices.SMALL_GENERAL, *prices.CAPITAL, *prices.BOND_SUMMARY}
+
+
+def _joins(df):
+    return _plan(df).count("Join ")
+
+
+def test_scores_of_items_are_found_in_the_row(spark):
+    from tenderlake.operators import scores, writes
+
+    results = spark.createDataFrame(TREES, "id long, project_id long, bidder_name string, detailed_scores string").selectExpr("*", "id bid_document_id", "double(null) total_score", "if(id = 2, 9d, null) price_score", "1d extracted_price")
+    ordered = scores.results_ordered(results)
+    assert _joins(ordered) == 0
+    assert {r["id"]: (r["price_score"], r["detailed_scores"]) for r in ordered.collect()} == {i: (s, t[3]) for t, (i, s) in zip(TREES, {1: 3.0, 2: 9.0, 3: 0.0, 4: 0.0, 5: 0.0, 6: 0.0, 7: 1.0}.items(), strict=True)}
+    escaped = spark.createDataFrame([(1, r'[{"criteria_name":"价格","score":4}]'), (2, r'[{"is_price_criteria":true,"score":5}]'), (3, r'{"PRICE":6}')], "id long, detailed_scores string")
+    assert dict(scores.find_price_score(escaped).collect()) == {1: 4.0, 2: 5.0, 3: 6.0}
+    new, _ = writes.upsert_result(results.selectExpr("id", "project_id", "'' processing_status", "'' error_message"), results, results.selectExpr("*", "string(null) error"))
+    assert _joins(new) == 1 and {r["id"]: r["price_score"] for r in new.collect()} == {1: 3.0, 2: 9.0, 3: 0.0, 4: 0.0, 5: 0.0, 6: 0.0, 7: 1.0}
+
+
+def test_score_maps_are_merged_in_the_row(spark):
+    from tenderlake.operators import scores
+
+    rows = [(1, '[{"Child_Item_Name":"a","score":1},{"Child_Item_Name":"a","score":2},{"score":3},{"score":4},{"criteria_name":"b","score":"x"}]', '{"b":{"score":5},"c":6,"d":"y"}'), (2, "oops", '{"a":1}'), (3, '{"a":1}', None), (4, None, None), (5, '{"a":1}', '{"a":"x"}')]
+    out = scores.merge_score_maps(spark.createDataFrame(rows, "id long, detailed_scores string, dynamic_scores string"))
+    assert "Join" not in _plan(out) and "Aggregate" not in _plan(out)
+    assert sorted(out.collect(), key=str) == sorted([(1, "a", 2.0), (1, None, 4.0), (1, "b", 5.0), (1, "c", 6.0), (1, "d", None), (2, "a", 1.0), (3, "a", 1.0), (5, "a", 1.0)], key=str)
+
+
+def test_tables_of_scores_are_not_grouped_by_result(spark):
+    from tenderlake.operators import scores
+
+    text = '[{"Child_Item_Name":"x","score":1},{"Child_Item_Name":"y","score":"n"},{"Child_Item_Name":"x","score":3}]'
+    results = spark.createDataFrame([(1, 1, 1, "a", text), (2, 1, 2, "b", None), (3, 2, 3, "c", text)], "id long, project_id long, bid_document_id long, bidder_name string, detailed_scores string").selectExpr("*", "double(id) total_score", "if(id = 1, 2d, null) price_score")
+    rules_ = spark.createDataFrame([(1, 1, "p", "x", False), (2, 1, "q", "x", False), (3, 1, "p", "y", False), (4, 1, "p", "z", True)], "id long, project_id long, Parent_Item_Name string, Child_Item_Name string, is_price_criteria boolean")
+    wide = scores.score_summary(results, rules_, ["x", "y"])
+    assert _joins(wide) == 1
+    assert sorted(tuple(r) for r in wide.select("id", "rank", "price_score", "x", "y", "total").collect()) == [(1, 2, 2.0, 1.0, None, 4.0), (2, 1, 0.0, None, None, 0.0), (3, 1, 0.0, None, None, 0.0)]
+    bids = results.selectExpr("id", "project_id", "'' processing_status", "'' file_path")
+    shown = scores.display_table(bids, results, rules_)
+    assert _joins(shown) == 2
+    assert sorted(tuple(r) for r in shown.select("id", "rank", "rule_id", "score").collect()) == [(1, 2, 1, 3.0), (1, 2, 2, 3.0), (1, 2, 3, 0.0), (2, 1, 1, 0.0), (2, 1, 2, 0.0), (2, 1, 3, 0.0)]
