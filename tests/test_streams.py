@@ -107,3 +107,13 @@ def test_complete_projects_get_scores_totals_and_status(spark, tmp_path):
     # A bid that is taken up again takes its project's scores away.
     handle(batch((2, 1, "processing", 4)), 2)
     assert read() == ([(3, 40.0, 45.0)], {1: "processing", 2: "completed_with_errors"})
+
+
+def test_no_part_of_the_stream_of_bids_is_written_by_one_task(spark, monkeypatch):
+    from tenderlake.plans import text_queries
+
+    def refused(*_):
+        raise AssertionError("a whole part would go through one task")
+
+    monkeypatch.setattr(type(spark.range(1)), "coalesce", refused)
+    assert text_queries.QUERIES["score_on_complete_stream"](spark, "/root/testdata/sf0.001").count() > 0
