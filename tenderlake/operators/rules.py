@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import let, plain_number
-from ..functions.text import clean_criteria_name, is_price_rule, score_in_text, squeeze_text, strip
+from ..functions.text import clean_criteria_name, flags, is_price_rule, score_in_text, squeeze_text, strip
 from ..sources.shared import written
 from .similar import alike, groups, similar_names
 
@@ -192,18 +192,37 @@ def rules_from_rows(rows: DataFrame) -> DataFrame:
 
 # Patterns of a rule in a line of text.
 LINE_RULES = [r"^\s*([（\(]?\s*(?:价格分|报价分)\s*[）\)]?.*?)[\s（\(]+(\d{1,2}(?:\.\d)?)\s*分[\)）]?", r"([^\n\(]*?[一-龥]+[^\n\)]*?)\s*[\(（]\s*(\d{1,2}(?:\.\d)?)\s*分\s*[\)）]", r"([^\n\(]*?[一-龥]+[^\n\)]*?)\s+(\d{1,2}(?:\.\d)?)\s*分"]
+# What every match of these patterns ends in, or holds: it is found in one pass, where a pattern goes back and forth.
+LINE_ENDS_IN = [r"(?:价格分|报价分)", r"[\(（]\s*\d{1,2}(?:\.\d)?\s*分\s*[\)）]", r"\s\d{1,2}(?:\.\d)?\s*分"]
 
 
 def rules_from_text(lines: DataFrame, patterns: list[str] = LINE_RULES, price_words: list[str] | None = None, fold: bool = True) -> DataFrame:
     """Rules in lines (doc, line_no, line): every match of every pattern with a valid score and a name of 3 to 99
     characters; numbered in order of line, pattern and match. With fold, similar rules of a document become one."""
-    every = F.flatten(F.array(*[F.transform(F.arrays_zip(F.regexp_extract_all("line", F.lit(f"(?Ui){p}"), F.lit(1)).alias("a"), F.regexp_extract_all("line", F.lit(f"(?Ui){p}"), F.lit(2)).alias("b")), lambda x: x) for p in patterns]))
-    found = lines.select("doc", "line_no", F.posexplode(every).alias("k", "x"))
-    d = F.col("x.b").try_cast("double")
-    found = found.select("doc", "line_no", "k", clean_criteria_name(F.col("x.a")).alias("criteria_name"), d.alias("max_score")).where((F.length("criteria_name") > 2) & (F.length("criteria_name") < 100) & (F.col("max_score") > 0))
+    line = F.col("line")
+
+    def matches(p: str) -> Column:
+        q = flags(p)
+        groups_ = lambda text: F.struct(F.regexp_extract(text, q, 1).alias("a"), F.regexp_extract(text, q, 2).alias("b"))
+        if p not in LINE_RULES:
+            return F.arrays_zip(F.regexp_extract_all(line, F.lit(q), F.lit(1)).alias("a"), F.regexp_extract_all(line, F.lit(q), F.lit(2)).alias("b"))
+        # The groups are read out of the match, and lines without what the pattern ends in are not gone through.
+        may = line.rlike(f"(?U){LINE_ENDS_IN[LINE_RULES.index(p)]}")
+        return F.when(may, F.transform(F.regexp_extract_all(line, F.lit(q), F.lit(0)), groups_))
+
+    def named(x: Column) -> Column:
+        return F.struct(clean_criteria_name(x["a"]).alias("criteria_name"), x["b"].try_cast("double").alias("max_score"))
+
+    none = F.array().cast("array<struct<a:string,b:string>>")
+    every = F.transform(F.concat(*[F.coalesce(matches(p), none) for p in patterns]), named)
+    fine = F.filter(every, lambda x: (F.length(x["criteria_name"]) > 2) & (F.length(x["criteria_name"]) < 100) & (x["max_score"] > 0))
+    # Lines are short and their patterns dear, so they are dealt out to all tasks, however few files they come from.
+    own = lines.where(line.contains("分")) if all(p in LINE_RULES for p in patterns) else lines
+    found = own.repartition("doc", "line_no").select("doc", "line_no", F.posexplode(fine).alias("k", "x")).select("doc", "line_no", "k", "x.*")
     nth = F.row_number().over(Window.partitionBy("doc").orderBy("line_no", "k"))
-    out = found.select("doc", nth.alias("nth"), "criteria_name", "max_score", F.col("criteria_name").alias("description"), is_price_rule("text", F.col("criteria_name"), words=price_words).alias("is_price_criteria"))
-    return out if not fold else out.join(dedupe_similar_rules(out).select("doc", "nth"), ["doc", "nth"], "left_semi")
+    out = found.select("doc", nth.alias("nth"), "criteria_name", "max_score")
+    out = dedupe_similar_rules(out) if fold else out
+    return out.select("doc", "nth", "criteria_name", "max_score", F.col("criteria_name").alias("description"), is_price_rule("text", F.col("criteria_name"), words=price_words).alias("is_price_criteria"))
 
 
 def dedupe_similar_rules(rules: DataFrame, threshold: float = 0.8, fold: int = 256) -> DataFrame:

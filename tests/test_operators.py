@@ -523,3 +523,12 @@ def test_tables_of_scores_are_not_grouped_by_result(spark):
     shown = scores.display_table(bids, results, rules_)
     assert _joins(shown) == 2
     assert sorted(tuple(r) for r in shown.select("id", "rank", "rule_id", "score").collect()) == [(1, 2, 1, 3.0), (1, 2, 2, 3.0), (1, 2, 3, 0.0), (2, 1, 1, 0.0), (2, 1, 2, 0.0), (2, 1, 3, 0.0)]
+
+
+def test_lines_of_one_file_are_gone_through_by_many_tasks(spark):
+    """A line without points is not gone through by patterns that go back and forth, however long it is."""
+    lines = spark.createDataFrame([(d, n, t) for d in range(60) for n, t in enumerate([f"服务评审({d % 50 + 1}分)", "技术" * 400 + "分", "价格分 （40 分）", "方案评审 5.5分", None])], "doc int, line_no int, line string").coalesce(1)
+    found = rules.rules_from_text(lines, fold=False)
+    assert "line_no" in found._jdf.queryExecution().executedPlan().toString().split("Exchange hashpartitioning(doc")[-1].split(")")[0]
+    got = sorted((r["doc"], r["nth"], r["criteria_name"], r["max_score"], r["is_price_criteria"]) for r in found.where("doc < 2").collect())
+    assert got == [x for d in range(2) for x in ((d, 1, "服务评审", d + 1.0, False), (d, 2, "价格分", 40.0, True), (d, 3, "价格分", 40.0, True), (d, 4, "方案评审", 5.5, False))]
