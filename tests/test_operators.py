@@ -532,3 +532,18 @@ def test_lines_of_one_file_are_gone_through_by_many_tasks(spark):
     assert "line_no" in found._jdf.queryExecution().executedPlan().toString().split("Exchange hashpartitioning(doc")[-1].split(")")[0]
     got = sorted((r["doc"], r["nth"], r["criteria_name"], r["max_score"], r["is_price_criteria"]) for r in found.where("doc < 2").collect())
     assert got == [x for d in range(2) for x in ((d, 1, "服务评审", d + 1.0, False), (d, 2, "价格分", 40.0, True), (d, 3, "价格分", 40.0, True), (d, 4, "方案评审", 5.5, False))]
+
+
+def test_asked_sources_alone_are_looked_for_and_long_numbers_cost_one_pass(spark):
+    import time
+
+    rows = [(1, 0, "投标一览表\n小写金额：￥2,270,000.00\n合计 9"), (1, 1, "12.5 合计 和 1.2,3 总价 ￥7 5元\0 8 总计"), (1, 2, None)]
+    own = spark.createDataFrame(rows, "doc_id int, page_no int, text string")
+    every = prices.union_candidates(own, include_general=True).drop("seq")
+    for rank in (0, 1, 2):
+        got = prices.union_candidates(own, sources=[rank]).drop("seq")
+        assert sorted(got.collect()) == sorted(every.where(F.col("source_rank") == rank).collect())
+    assert sorted(r["value"] for r in every.where("page_no = 1 and source_rank = 1 and pattern_no = 1").collect()) == [8.0, 12.5, 23.0]
+    long = spark.range(4).select(F.lit(1).alias("doc_id"), F.col("id").alias("page_no"), F.lit("9" * 20000 + "x 合计 1").alias("text"))
+    began = time.time()
+    assert [r["value"] for r in prices.union_candidates(long, sources=[1]).collect()] == [1.0] * 4 and time.time() - began < 60
