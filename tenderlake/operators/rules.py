@@ -105,21 +105,47 @@ VETO_REASON, SUM_REASON, PENDING_REASON = "否决项规则，需人工核查是
 def veto_and_tree_scores(rules: DataFrame, leaf_scores: DataFrame) -> DataFrame:
     """project_id, bid_id, rule_id, name, level, max_score, score, reason, is_veto, leaves. Leaves (level 2) have their scores
     out of leaf_scores (project_id, bid_id, rule_id, score and perhaps reason, extracted_price), by the id of their rule, as
-    items of one name may stand under several parents; a veto rule has maximum and score 0 and a fixed reason; a price rule
+    items of one name may stand under several parents (or in scores, an array of these for each bid); a veto rule has maximum and score 0 and a fixed reason; a price rule
     has score 0 until prices are compared, and a reason that holds its price. Parents (level 1, without a rule id) have the
     sum of their leaves, whose number is leaves. Scores without a rule id go to the rules of their item's name (item)."""
+    by_id = "scores" in leaf_scores.columns or "rule_id" in leaf_scores.columns
+    key = "rule_id" if by_id else "item"
+    if "scores" in leaf_scores.columns:
+        of_bid = leaf_scores.select("project_id", "bid_id", F.transform("scores", lambda x: F.struct(x["rule_id"].alias("key"), x["score"].alias("given"), x["reason"].alias("said"), x["extracted_price"].alias("extracted_price"))).alias("_given"))
+    else:
+        text = lambda c, kind: F.col(c) if c in leaf_scores.columns else F.lit(None).cast(kind)
+        one = F.struct(F.col(key).alias("key"), F.col("score").alias("given"), text("reason", "string").alias("said"), text("extracted_price", "double").alias("extracted_price"))
+        of_bid = leaf_scores.groupBy("project_id", "bid_id").agg(F.collect_list(one).alias("_given"))
+    # A project's rules come to its bids as one map, so that no score is moved by itself: leaves and parents are worked out
+    # in the row of their bid.
     top = F.coalesce(F.nullif("Child_max_score", F.lit(0)), F.col("Parent_max_score")).cast("double")
-    veto = F.coalesce("is_veto", F.lit(False))
-    kids = rules.where(_flag() | F.col("Child_Item_Name").isNotNull()).select("project_id", F.col("id").alias("rule_id"), F.col("Parent_Item_Name").alias("parent"), F.coalesce("Child_Item_Name", "Parent_Item_Name").alias("item"), veto.alias("is_veto"), _flag().alias("price_leaf"), top.alias("max_score"), F.col("Child_Item_Name").isNotNull().alias("is_child"), F.coalesce("Parent_max_score", F.lit(0)).cast("double").alias("parent_max"))
-    text = lambda c, kind: F.col(c) if c in leaf_scores.columns else F.lit(None).cast(kind)
-    by_id = "rule_id" in leaf_scores.columns
-    given = leaf_scores.select("project_id", "bid_id", "rule_id" if by_id else "item", F.col("score").alias("given"), text("reason", "string").alias("said"), text("extracted_price", "double").alias("extracted_price"))
-    leaves = given.join(kids, ["project_id", "rule_id" if by_id else "item"])
-    leaves = leaves.withColumn("score", F.when(F.col("is_veto") | F.col("price_leaf"), 0.0).otherwise(F.coalesce("given", F.lit(0.0))))
-    reason = F.when(F.col("is_veto"), VETO_REASON).when(F.col("price_leaf"), F.concat(F.lit(PENDING_REASON), F.coalesce(plain_number(F.col("extracted_price")), F.lit("None")))).otherwise(F.col("said"))
-    low = leaves.select("project_id", "bid_id", "rule_id", F.col("item").alias("name"), F.when(F.col("is_child"), 2).otherwise(1).alias("level"), F.when(F.col("is_veto"), 0.0).otherwise(F.col("max_score")).alias("max_score"), "score", reason.alias("reason"), "is_veto", F.lit(1).cast("long").alias("leaves"))
-    high = leaves.where("is_child").groupBy("project_id", "bid_id", F.coalesce("parent", F.lit("")).alias("name")).agg(F.max("parent_max").alias("max_score"), F.sum("score").alias("score"), F.count(F.lit(1)).alias("leaves"))
-    return low.unionByName(high.withColumns({"rule_id": F.lit(None).cast("long"), "level": F.lit(1), "reason": F.lit(SUM_REASON), "is_veto": F.lit(False)}))
+    item = F.coalesce("Child_Item_Name", "Parent_Item_Name")
+    kid = F.struct(F.col("id").alias("rule_id"), F.col("Parent_Item_Name").alias("parent"), item.alias("item"), F.coalesce("is_veto", F.lit(False)).alias("is_veto"), _flag().alias("price_leaf"), top.alias("max_score"), F.col("Child_Item_Name").isNotNull().alias("is_child"), F.coalesce("Parent_max_score", F.lit(0)).cast("double").alias("parent_max"))
+    kids = rules.where(_flag() | F.col("Child_Item_Name").isNotNull()).withColumn("_key", F.col("id") if by_id else item).where("_key is not null")
+    kids = kids.groupBy("project_id", "_key").agg(F.collect_list(kid).alias("_same")).groupBy("project_id").agg(F.map_from_entries(F.collect_list(F.struct("_key", "_same"))).alias("_kids"))
+
+    def leaf(g: Column, k: Column) -> Column:
+        pending = F.concat(F.lit(PENDING_REASON), F.coalesce(plain_number(g["extracted_price"]), F.lit("None")))
+        reason = F.when(k["is_veto"], VETO_REASON).when(k["price_leaf"], pending).otherwise(g["said"])
+        score = F.when(k["is_veto"] | k["price_leaf"], 0.0).otherwise(F.coalesce(g["given"].cast("double"), F.lit(0.0)))
+        row = _tree_row(k["rule_id"], k["item"], F.when(k["is_child"], 2).otherwise(1), F.when(k["is_veto"], 0.0).otherwise(k["max_score"]), score, reason, k["is_veto"], F.lit(1))
+        return F.struct(row.alias("row"), k["is_child"].alias("is_child"), F.coalesce(k["parent"], F.lit("")).alias("parent"), k["parent_max"].alias("parent_max"))
+
+    def parent(name: Column, all_: Column) -> Column:
+        own = F.filter(all_, lambda x: x["is_child"] & (x["parent"] == name))
+        total = lambda of: F.aggregate(of, F.lit(0.0), lambda acc, x: acc + x["row"]["score"])
+        return let(own, lambda of: _tree_row(F.lit(None), name, F.lit(1), F.array_max(F.transform(of, lambda x: x["parent_max"])), total(of), F.lit(SUM_REASON), F.lit(False), F.size(of)))
+
+    def whole(all_: Column) -> Column:
+        parents = F.array_distinct(F.transform(F.filter(all_, lambda x: x["is_child"]), lambda x: x["parent"]))
+        return F.concat(F.transform(all_, lambda x: x["row"]), F.transform(parents, lambda name: parent(name, all_)))
+
+    met = F.flatten(F.transform("_given", lambda g: F.coalesce(F.transform(F.try_element_at("_kids", g["key"]), lambda k: leaf(g, k)), F.array())))
+    return of_bid.join(kids, "project_id").select("project_id", "bid_id", F.inline(let(met, whole)))
+
+
+def _tree_row(rule_id: Column, name: Column, level: Column, top: Column, score: Column, reason: Column, veto: Column, leaves: Column) -> Column:
+    return F.struct(rule_id.cast("long").alias("rule_id"), name.alias("name"), level.cast("int").alias("level"), top.cast("double").alias("max_score"), score.cast("double").alias("score"), reason.alias("reason"), veto.alias("is_veto"), leaves.cast("long").alias("leaves"))
 
 
 def flatten_rules(tree: DataFrame, live: bool = True) -> DataFrame:

@@ -277,6 +277,16 @@ def item_scores(results: DataFrame, rules: DataFrame, missing: float | None = No
     return out.select("id", "item", "project_id", "bidder_name", *keep, "rule_id", "parent", F.coalesce("score", F.lit(missing).cast("double")).alias("score"))
 
 
+def item_score_lists(results: DataFrame, rules: DataFrame) -> DataFrame:
+    """project_id, bid_id (the result's id), scores: of each result, an array of (rule_id, score, reason, extracted_price) with
+    the score of the first item of each child rule's name, and the result's price for each price rule."""
+    flag = F.coalesce("is_price_criteria", F.lit(False))
+    wanted = rules.where(flag | F.col("Child_Item_Name").isNotNull()).groupBy("project_id").agg(F.collect_list(F.struct(F.col("id").alias("rule_id"), flag.alias("price"), F.col("Child_Item_Name").alias("item"))).alias("_rules"))
+    own = results.select("project_id", F.col("id").alias("bid_id"), "extracted_price", _scores_by_item(F.col("detailed_scores")).alias("_scores")).join(wanted, "project_id")
+    one = lambda r: F.struct(r["rule_id"].alias("rule_id"), F.when(~r["price"], F.try_element_at("_scores", r["item"])).alias("score"), F.lit(None).cast("string").alias("reason"), F.when(r["price"], F.col("extracted_price")).alias("extracted_price"))
+    return own.select("project_id", "bid_id", F.transform("_rules", one).alias("scores"))
+
+
 def score_summary(results: DataFrame, rules: DataFrame, items: Sequence[str] | None = None) -> DataFrame:
     """A row a result: scores by item, price score, total over the present scores and the price score, rank by the stored
     total. With a list of items, one column each; else one map, so that projects may have any items."""

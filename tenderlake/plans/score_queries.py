@@ -151,11 +151,9 @@ query("rules_view", "v_projects", "v_rules", sql="""SELECT project_id, Parent_It
     UNION ALL SELECT r.project_id, r.id, u.id, '价格', 1, 40.0e0, 0.0e0, concat('{R.PENDING_REASON}', coalesce(cast(extracted_price AS string), 'None')), false, 1 FROM {{v_results}} r JOIN {{v_rules}} u ON u.project_id = r.project_id AND u.is_price_criteria""")
 def _(results, rules):
     """In every second project two parents have a child of one name."""
-    given = S.item_scores(results, rules).select("project_id", F.col("id").alias("bid_id"), "rule_id", "score", F.lit(None).cast("double").alias("extracted_price"))
-    price = rules.where("is_price_criteria").select("project_id", F.col("id").alias("rule_id"))
-    priced = results.join(price, "project_id").select("project_id", F.col("id").alias("bid_id"), "rule_id", F.lit(None).cast("double").alias("score"), "extracted_price")
+    given = S.item_score_lists(results, rules)
     named = F.when((F.col("Child_Item_Name") == "资质") & (F.col("project_id") % 2 == 0), "方案").otherwise(F.col("Child_Item_Name"))
-    return R.veto_and_tree_scores(rules.withColumn("Child_Item_Name", named), given.unionByName(priced))
+    return R.veto_and_tree_scores(rules.withColumn("Child_Item_Name", named), given)
 
 
 @query("flatten_rules", "part", sql="""SELECT p_partkey AS project_id, CASE WHEN p_size % 2 = 0 THEN concat('T', p_brand) ELSE p_name END AS Parent_Item_Name, CASE WHEN p_size % 2 = 0 THEN p_size END AS Parent_max_score, CASE WHEN p_size % 2 <> 0 THEN p_name END AS Child_Item_Name, CASE WHEN p_size % 2 <> 0 THEN p_size END AS Child_max_score, false AS is_price_criteria, 1 AS id FROM {part}

@@ -547,3 +547,16 @@ def test_asked_sources_alone_are_looked_for_and_long_numbers_cost_one_pass(spark
     long = spark.range(4).select(F.lit(1).alias("doc_id"), F.col("id").alias("page_no"), F.lit("9" * 20000 + "x 合计 1").alias("text"))
     began = time.time()
     assert [r["value"] for r in prices.union_candidates(long, sources=[1]).collect()] == [1.0] * 4 and time.time() - began < 60
+
+
+def test_scores_of_a_bid_are_worked_out_in_its_row(spark):
+    """Scores in one array for each bid give what rows of scores give, and only bids and rules are moved."""
+    rows = [(1, 1, "技术", 10, "方案", 6, False, False), (2, 1, "商务", 10, "方案", 3, True, False), (3, 1, "价格", 40, None, None, False, True)]
+    df = spark.createDataFrame(rows, "id long, project_id long, Parent_Item_Name string, Parent_max_score int, Child_Item_Name string, Child_max_score int, is_veto boolean, is_price_criteria boolean")
+    leaves = spark.createDataFrame([(1, 7, 1, 6.0, "好", None), (1, 7, 2, 3.0, None, None), (1, 7, 3, None, None, 5.5), (1, 7, 9, 1.0, None, None), (2, 8, 1, 1.0, None, None)], "project_id long, bid_id long, rule_id long, score double, reason string, extracted_price double")
+    lists = leaves.groupBy("project_id", "bid_id").agg(F.collect_list(F.struct("rule_id", "score", "reason", "extracted_price")).alias("scores"))
+    key = lambda df_: sorted((tuple(map(str, r)) for r in df_.select("project_id", "bid_id", "rule_id", "name", "level", "max_score", "score", "reason", "is_veto", "leaves").collect()))
+    got = key(rules.veto_and_tree_scores(df, lists))
+    assert got == key(rules.veto_and_tree_scores(df, leaves)) and len(got) == 5
+    plan = rules.veto_and_tree_scores(df, leaves)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "Union" not in plan
