@@ -560,3 +560,10 @@ def test_scores_of_a_bid_are_worked_out_in_its_row(spark):
     assert got == key(rules.veto_and_tree_scores(df, leaves)) and len(got) == 5
     plan = rules.veto_and_tree_scores(df, leaves)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1 and "Union" not in plan
+
+
+def test_answers_are_read_once_and_odd_values_keep_their_meaning(spark):
+    said = ['{"score": 5, "reason": 1.50}', '{"score": "7"}', '{"score": 1E400}', '{"score": 99, "reason": {"a":1}', '{"score": true, "reason": null}', '得8.5分', None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(said)], "i int, x string").select("i", answers.parse_score_answer(F.col("x"), F.lit(10)).alias("a"))
+    assert [tuple(r["a"]) for r in df.orderBy("i").collect()] == [(5.0, "1.5"), (0.0, "未提供理由。"), (0.0, "未提供理由。"), (0.0, "解析AI响应失败。"), (0.0, "未提供理由。"), (8.5, "从文本中提取到分数: 得8.5分"), (0.0, "模型调用失败: ")]
+    assert "StructField(score" not in df._jdf.queryExecution().optimizedPlan().toString()  # the score comes with the one parse
