@@ -20,6 +20,9 @@ from ..functions.text import PRICE_RULE_WORDS, any_of
 
 ITEM = "Child_Item_Name string, criteria_name string, Parent_Item_Name string, max_score double, score string, reason string, is_price_criteria boolean, extracted_price double"
 ITEMS = f"array<struct<{ITEM.replace(' string', ': string').replace(' double', ': double').replace(' boolean', ': boolean')}, children: array<struct<{ITEM.replace(' string', ': string').replace(' double', ': double').replace(' boolean', ': boolean')}>>>>"
+# What is read of an item where nothing else is asked for: fields that are left out need not be turned into values.
+LISTED = "array<struct<Child_Item_Name: string, criteria_name: string, score: string, is_price_criteria: boolean, extracted_price: double>>"
+NAMED = "array<struct<Child_Item_Name: string, criteria_name: string, score: string>>"
 PRICE_ITEM = "价格"
 PRICED = "array<struct<score: string, is_price_criteria: boolean, extracted_price: double>>"
 LEVELS = 3  # levels of a tree of scores that column functions go through; deeper trees are walked by a function of their own
@@ -27,14 +30,32 @@ LEVELS = 3  # levels of a tree of scores that column functions go through; deepe
 NEW_REASON, PRICE_REASON, NO_PRICE_REASON = "根据评标规则重新计算的价格分: ", "根据价格评分规则计算得出。提取到的报价为: ", "未提取到有效报价，价格分设为0"
 
 
+def _listed(text: Column, kind: str = LISTED) -> Column:
+    """The items of a text of scores, a list or a map, as they are read: an array of kind, null if neither. A map's items
+    have their name in criteria_name."""
+    from_list = F.when(text.rlike(r"^\s*\["), F.from_json(text, kind))
+    from_map = F.when(text.rlike(r"^\s*\{"), F.from_json(text, "map<string,string>"))
+    pair = lambda x: F.named_struct(F.lit("Child_Item_Name"), F.lit(None).cast("string"), F.lit("criteria_name"), x["key"], F.lit("score"), x["value"], *more)
+    more = [F.lit("is_price_criteria"), F.lit(None).cast("boolean"), F.lit("extracted_price"), F.lit(None).cast("double")] if kind == LISTED else []
+    return F.coalesce(from_list, F.transform(F.map_entries(from_map), pair))
+
+
+def _name(item: Column) -> Column:
+    return F.coalesce(F.nullif(item["Child_Item_Name"], F.lit("")), item["criteria_name"])
+
+
+def _number_in(text: Column) -> Column:
+    """A text as a double, null if it is none. Texts without a digit or the name of a number aren't tried: it costs an exception."""
+    return F.when(text.rlike("[0-9]|(?i)nan|inf"), text.try_cast("double"))
+
+
+def _is_flagged(item: Column) -> Column:
+    return F.coalesce(item["is_price_criteria"], F.lit(False))
+
+
 def _item_array(text: Column) -> Column:
     """The items of a text of scores, a list or a map: array of (pos, item, score, price_item, item_price), null if neither."""
-    from_list = F.when(text.rlike(r"^\s*\["), F.from_json(text, ITEMS))
-    from_map = F.when(text.rlike(r"^\s*\{"), F.from_json(text, "map<string,string>"))
-    name = lambda x: F.coalesce(F.nullif(x["Child_Item_Name"], F.lit("")), x["criteria_name"])
-    flat = lambda x, i: F.struct(i.alias("pos"), name(x).alias("item"), x["score"].try_cast("double").alias("score"), F.coalesce(x["is_price_criteria"], F.lit(False)).alias("price_item"), x["extracted_price"].alias("item_price"))
-    pairs = F.transform(F.map_entries(from_map), lambda x, i: F.struct(i.alias("pos"), x["key"].alias("item"), x["value"].try_cast("double").alias("score"), F.lit(False).alias("price_item"), F.lit(None).cast("double").alias("item_price")))
-    return F.coalesce(F.transform(from_list, flat), pairs)
+    return F.transform(_listed(text), lambda x, i: F.struct(i.alias("pos"), _name(x).alias("item"), _number_in(x["score"]).alias("score"), _is_flagged(x).alias("price_item"), x["extracted_price"].alias("item_price")))
 
 
 def _may_hold(text: Column, *words: str) -> Column:
@@ -258,22 +279,23 @@ def _children(rules: DataFrame) -> DataFrame:
     return rules.where(F.col("Child_Item_Name").isNotNull() & ~F.coalesce("is_price_criteria", F.lit(False))).select("project_id", F.col("id").alias("rule_id"), F.col("Parent_Item_Name").alias("parent"), F.col("Child_Item_Name").alias("item"))
 
 
-def _scores_by_item(text: Column, last: bool = False) -> Column:
-    """map(item, score) of a text of scores: the score of the first (or last) item of each name."""
-    items = _item_array(text)
+def _with_scores(results: DataFrame, last: bool = False) -> DataFrame:
+    """results with _names and _scores, the names and the scores of its items, in order (or with last from the end)."""
+    read = results.withColumn("_items", _listed(F.col("detailed_scores"), NAMED))
+    names, scores = F.transform("_items", _name), F.transform("_items", lambda x: _number_in(x["score"]))
+    return read.withColumns({"_names": F.reverse(names) if last else names, "_scores": F.reverse(scores) if last else scores}).drop("_items")
 
-    def scores(found: Column, names: Column) -> Column:
-        firsts = F.filter(found, lambda x, i: F.coalesce(F.array_position(names, x["item"]) == i + 1, F.lit(False)))
-        return F.map_from_entries(F.transform(firsts, lambda x: F.struct(x["item"], x["score"])))
 
-    return let(F.reverse(items) if last else items, lambda found: let(F.transform(found, lambda x: x["item"]), lambda names: scores(found, names)))
+def _score_of(item: Column) -> Column:
+    """The score of the first item of that name in _names; null without one."""
+    return F.get("_scores", (F.array_position("_names", item) - 1).cast("int"))
 
 
 def item_scores(results: DataFrame, rules: DataFrame, missing: float | None = None, last: bool = False, keep: Sequence[str] = ()) -> DataFrame:
     """One row for each result and child rule that is no price rule: the score of the first (or last) item of that name.
     Items are looked up in the result's own row, so results meet rules in one join by project. keep: more columns of results."""
-    own = results.select("id", "project_id", "bidder_name", *keep, _scores_by_item(F.col("detailed_scores"), last).alias("_scores"))
-    out = own.join(_children(rules), "project_id").withColumn("score", F.try_element_at("_scores", F.col("item")))
+    own = _with_scores(results, last).select("id", "project_id", "bidder_name", *keep, "_names", "_scores")
+    out = own.join(_children(rules), "project_id").withColumn("score", _score_of(F.col("item")))
     return out.select("id", "item", "project_id", "bidder_name", *keep, "rule_id", "parent", F.coalesce("score", F.lit(missing).cast("double")).alias("score"))
 
 
@@ -282,8 +304,8 @@ def item_score_lists(results: DataFrame, rules: DataFrame) -> DataFrame:
     the score of the first item of each child rule's name, and the result's price for each price rule."""
     flag = F.coalesce("is_price_criteria", F.lit(False))
     wanted = rules.where(flag | F.col("Child_Item_Name").isNotNull()).groupBy("project_id").agg(F.collect_list(F.struct(F.col("id").alias("rule_id"), flag.alias("price"), F.col("Child_Item_Name").alias("item"))).alias("_rules"))
-    own = results.select("project_id", F.col("id").alias("bid_id"), "extracted_price", _scores_by_item(F.col("detailed_scores")).alias("_scores")).join(wanted, "project_id")
-    one = lambda r: F.struct(r["rule_id"].alias("rule_id"), F.when(~r["price"], F.try_element_at("_scores", r["item"])).alias("score"), F.lit(None).cast("string").alias("reason"), F.when(r["price"], F.col("extracted_price")).alias("extracted_price"))
+    own = _with_scores(results).select("project_id", F.col("id").alias("bid_id"), "extracted_price", "_names", "_scores").join(wanted, "project_id")
+    one = lambda r: F.struct(r["rule_id"].alias("rule_id"), F.when(~r["price"], _score_of(r["item"])).alias("score"), F.lit(None).cast("string").alias("reason"), F.when(r["price"], F.col("extracted_price")).alias("extracted_price"))
     return own.select("project_id", "bid_id", F.transform("_rules", one).alias("scores"))
 
 
@@ -292,9 +314,9 @@ def score_summary(results: DataFrame, rules: DataFrame, items: Sequence[str] | N
     total. With a list of items, one column each; else one map, so that projects may have any items."""
     # A project's child rules come to its results as one array, so that no row is multiplied and grouped again.
     children = _children(rules).groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct("rule_id", "item"))).alias("_rules"))
-    own = rank_bidders(results).select("id", "project_id", "bidder_name", "rank", F.coalesce("price_score", F.lit(0.0)).alias("price_score"), _scores_by_item(F.col("detailed_scores")).alias("_scores"))
+    own = _with_scores(rank_bidders(results)).select("id", "project_id", "bidder_name", "rank", F.coalesce("price_score", F.lit(0.0)).alias("price_score"), "_names", "_scores")
     own = own.join(children, "project_id", "left")
-    of = own.withColumn("_all", F.transform("_rules", lambda r: F.struct(r["item"].alias("item"), F.try_element_at("_scores", r["item"]).alias("score"))))
+    of = own.withColumn("_all", F.transform("_rules", lambda r: F.struct(r["item"].alias("item"), _score_of(r["item"]).alias("score"))))
     if items:
         first = lambda name: F.get(F.filter("_all", lambda x: (x["item"] == name) & x["score"].isNotNull()), F.lit(0))["score"]
         wanted = [first(name).alias(name) for name in items]

@@ -525,6 +525,21 @@ def test_tables_of_scores_are_not_grouped_by_result(spark):
     assert sorted(tuple(r) for r in shown.select("id", "rank", "rule_id", "score").collect()) == [(1, 2, 1, 3.0), (1, 2, 2, 3.0), (1, 2, 3, 0.0), (2, 1, 1, 0.0), (2, 1, 2, 0.0), (2, 1, 3, 0.0)]
 
 
+def test_scores_are_looked_up_in_what_is_read(spark):
+    """Items are neither grouped nor made into a map, and fields that are not asked for are not read."""
+    from tenderlake.operators import scores
+
+    texts = ['[{"Child_Item_Name":"x","score":1},{"Child_Item_Name":"","criteria_name":"x","score":" 2 "},{"criteria_name":"y","score":"none"}]', '{"x":"3","y":"-Infinity"}', '[{"criteria_name":"x","score":true,"max_score":"bad"},{"score":4},{"criteria_name":"y","score":"1e1"}]', '[null,{"criteria_name":"x","score":[1],"children":5}]', "[]", "x", None]
+    results = spark.createDataFrame(list(enumerate(texts)), "id long, detailed_scores string").selectExpr("*", "1L project_id", "id bid_document_id", "'b' bidder_name", "double(-id) total_score")
+    rules_ = spark.createDataFrame([(1, 1, "p", "x", False), (2, 1, "p", "y", False)], "id long, project_id long, Parent_Item_Name string, Child_Item_Name string, is_price_criteria boolean")
+    kept = lambda last: {(r["id"], r["item"]): r["score"] for r in scores.item_scores(results, rules_, last=last).collect()}
+    want = {(0, "x"): 1.0, (0, "y"): None, (1, "x"): 3.0, (1, "y"): float("-inf"), (2, "x"): None, (2, "y"): 10.0, **{(i, k): None for i in (3, 4, 5, 6) for k in "xy"}}
+    assert kept(False) == want
+    assert kept(True) == {**want, (0, "x"): 2.0}
+    shown = _plan(scores.display_table(results.selectExpr("id", "project_id", "'' processing_status", "'' file_path"), results, rules_))
+    assert "map_from_entries" not in shown and "max_score" not in shown and "children" not in shown
+
+
 def test_lines_of_one_file_are_gone_through_by_many_tasks(spark):
     """A line without points is not gone through by patterns that go back and forth, however long it is."""
     lines = spark.createDataFrame([(d, n, t) for d in range(60) for n, t in enumerate([f"服务评审({d % 50 + 1}分)", "技术" * 400 + "分", "价格分 （40 分）", "方案评审 5.5分", None])], "doc int, line_no int, line string").coalesce(1)
