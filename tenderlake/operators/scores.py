@@ -77,9 +77,10 @@ def bid_prices(results: DataFrame, unpriced: bool = False) -> DataFrame:
     items = F.filter(F.when(_may_hold(text, "is_price_criteria") & text.rlike(r"^\s*\["), F.from_json(text, PRICED)), lambda x: F.coalesce(x["is_price_criteria"], F.lit(False)))
     of_item = F.get(F.transform(items, lambda x: F.coalesce(x["extracted_price"], x["score"].try_cast("double"))), F.lit(0))
     priced = results.select("project_id", "bidder_name", "id", F.coalesce(of_item, F.col("extracted_price")).alias("price"))
-    # Rows without a price come last in order, so that the JSON text is read once and not for a filter too.
-    last = F.max_by("price", F.struct(F.col("price").isNotNull(), F.col("id")))
-    out = priced.groupBy("project_id", "bidder_name").agg(last.alias("price"))
+    # Rows without a price have no place in the order, so that the JSON text is read once and not for a filter too. The order
+    # is no struct, as groups would have to be sorted for that; a price whose row has no id counts where there is no other.
+    last = F.max_by("price", F.when(F.col("price").isNotNull(), F.col("id")))
+    out = priced.groupBy("project_id", "bidder_name").agg(F.coalesce(last, F.first("price", ignorenulls=True)).alias("price"))
     return out if unpriced else out.where("price is not null")
 
 
@@ -98,8 +99,9 @@ def score_prices(prices: DataFrame, tops: DataFrame, answers: DataFrame | None =
     """project_id, bidder_name, price, benchmark, price_score: benchmark / price of the maximum, two decimals. The benchmark
     is the lowest price, or with mean the arithmetic mean. Answers (project_id, bidder_name, score) go before, where a
     project has some."""
-    benchmark = prices.groupBy("project_id").agg((F.avg("price") if mean else F.min("price")).alias("benchmark"))
-    own = prices.join(benchmark, "project_id").join(tops, "project_id")
+    # Over a window of bidders' prices (one row each), so that prices are not worked out a second time to be grouped.
+    benchmark = (F.avg("price") if mean else F.min("price")).over(Window.partitionBy("project_id"))
+    own = prices.withColumn("benchmark", benchmark).join(tops, "project_id")
     share = F.try_divide(F.col("benchmark"), F.col("price")) * F.col("max_price_score")
     own = own.withColumn("price_score", F.coalesce(round_half_up(share), F.lit(0.0)))
     if answers is not None:
@@ -125,8 +127,9 @@ def paired_price_score(prices: DataFrame, tops: DataFrame) -> DataFrame:
 
 
 def _other_total(text: Column, price_word: str = PRICE_ITEM) -> Column:
-    others = F.filter(_item_array(text), lambda x: ~x["price_item"] & ~F.coalesce(x["item"].startswith(price_word), F.lit(False)) & x["score"].isNotNull())
-    return F.coalesce(F.aggregate(others, F.lit(0.0), lambda total, x: total + x["score"]), F.lit(0.0))
+    other = lambda x: ~_is_flagged(x) & ~F.coalesce(_name(x).startswith(price_word), F.lit(False))
+    add = lambda total, x: total + F.coalesce(F.when(other(x), _number_in(x["score"])), F.lit(0.0))
+    return F.coalesce(F.aggregate(_listed(text), F.lit(0.0), add), F.lit(0.0))
 
 
 def other_scores_total(results: DataFrame, price_word: str = PRICE_ITEM) -> DataFrame:
@@ -246,9 +249,10 @@ def apply_totals(results: DataFrame, scored: DataFrame) -> DataFrame:
     """results whose first row of each scored bidder has the new price score, price and total (other scores + price score)."""
     place = F.row_number().over(Window.partitionBy("project_id", "bidder_name").orderBy("id"))
     new = scored.select("project_id", "bidder_name", F.col("price_score").alias("_score"), F.col("price").alias("_price"))
-    out = results.withColumn("_first", place == 1).join(new, ["project_id", "bidder_name"], "left")
+    # Totals are taken before rows move, so that texts move only where they are asked for.
+    out = results.withColumn("_other", _other_total(F.col("detailed_scores"))).withColumn("_first", place == 1).join(new, ["project_id", "bidder_name"], "left")
     hit = F.col("_first") & F.col("_score").isNotNull()
-    total = round_half_up(_other_total(F.col("detailed_scores")) + F.col("_score"))
+    total = round_half_up(F.col("_other") + F.col("_score"))
     put = {"price_score": F.col("_score"), "extracted_price": F.coalesce("_price", "extracted_price"), "total_score": total}
     return out.withColumns({c: F.when(hit, x).otherwise(F.col(c)) for c, x in put.items()}).select(*results.columns)
 

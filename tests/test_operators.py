@@ -540,6 +540,20 @@ def test_scores_are_looked_up_in_what_is_read(spark):
     assert "map_from_entries" not in shown and "max_score" not in shown and "children" not in shown
 
 
+def test_totals_work_prices_out_once(spark):
+    """The lowest price needs no second reading of results."""
+    from tenderlake.operators import scores
+
+    price = '[{"Child_Item_Name":"a","score":2.5},{"criteria_name":"b","score":"none"},{"criteria_name":"价格分","score":9},{"is_price_criteria":true,"score":7,"extracted_price":%s}]'
+    rows = [(1, 1, "a", price % 50, 1.0), (2, 1, "a", '{"a":3}', 40.0), (3, 1, "a", None, None), (4, 1, "b", '{"a":1.005,"c":"NaN?"}', 80.0), (5, 1, None, "[]", 20.0), (6, 2, "a", price % 5, 5.0), (7, 1, "c", None, None), (None, 3, "d", None, 8.0), (9, 3, "e", "x", 4.0)]
+    results = spark.createDataFrame(rows, "id long, project_id long, bidder_name string, detailed_scores string, extracted_price double").selectExpr("*", "1d total_score", "2d price_score")
+    tops = spark.createDataFrame([(1, 40.0), (3, 10.0)], "project_id long, max_price_score double")
+    out = scores.apply_totals(results, scores.score_prices(scores.bid_prices(results), tops)).select("id", "price_score", "extracted_price", "total_score")
+    assert _joins(out) == 2
+    # The price of a bidder without a name is a project's lowest one all the same; the bidder itself gets no score.
+    assert {r[0]: tuple(r)[1:] for r in out.collect()} == {1: (20.0, 40.0, 22.5), 2: (2.0, 40.0, 1.0), 3: (2.0, None, 1.0), 4: (10.0, 80.0, 11.01), 5: (2.0, 20.0, 1.0), 6: (2.0, 5.0, 1.0), 7: (2.0, None, 1.0), None: (5.0, 8.0, 5.0), 9: (10.0, 4.0, 10.0)}
+
+
 def test_lines_of_one_file_are_gone_through_by_many_tasks(spark):
     """A line without points is not gone through by patterns that go back and forth, however long it is."""
     lines = spark.createDataFrame([(d, n, t) for d in range(60) for n, t in enumerate([f"服务评审({d % 50 + 1}分)", "技术" * 400 + "分", "价格分 （40 分）", "方案评审 5.5分", None])], "doc int, line_no int, line string").coalesce(1)
