@@ -54,6 +54,18 @@ def test_projects_without_new_rows_keep_theirs(spark, tmp_path):
     assert got == [(11, 4, 20.0), (23, 4, 20.0), (32, 8, 1.0), (41, 5, 20.0)]
 
 
+def test_the_union_of_candidates_holds_all_three_sources(spark, tmp_path):
+    """A summary page's figure is a candidate as such and as an amount with a mark, but for amounts beside a bond; small ones as the latter alone."""
+    lines = [(1, 1, 2_500_000.0, 0.01, "R"), (1, 2, 3000.0, 0.0, "R"), (1, 3, 4000.0, 0.02, "A"), (1, 4, 5000.0, 0.02, "N"), (2, 1, 900.0, 0.08, "R")]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_extendedprice double, l_tax double, l_returnflag string").selectExpr("*", "1L l_partkey", "1L l_suppkey", "timestamp'2024-01-01' l_shipdate", "5d l_quantity").write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    columns = ["doc_id", "page_no", "source_rank", "value", "confidence", "seq"]
+    got = sorted(tuple(r) for r in QUERIES["union_candidates"](spark, str(tmp_path)).select(*columns).collect())
+    assert got == sorted(con.execute(f"SELECT {', '.join(columns)} FROM ({ORACLE['union_candidates']}) x").fetchall())
+    assert got == [(1, 0, 0, 2_500_000.0, 100.0, 1), (1, 0, 2, 2_500_000.0, 52.5, 2), (1, 1, 0, 3000.0, 100.0, 3), (1, 2, 1, 4000.0, 50.0, 4), (2, 0, 2, 900.0, 50.0, 1)]
+
+
 def test_entry_and_registry(spark):
     import __spark_entry__
 
