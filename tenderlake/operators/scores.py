@@ -70,12 +70,22 @@ def score_items(results: DataFrame) -> DataFrame:
     return results.withColumn("_item", F.explode(_item_array(F.col("detailed_scores")))).select(*results.columns, "_item.*")
 
 
+def _item_price(text: Column) -> Column:
+    """The price of the first price item of a list."""
+    items = F.filter(F.when(_may_hold(text, "is_price_criteria") & text.rlike(r"^\s*\["), F.from_json(text, PRICED)), lambda x: F.coalesce(x["is_price_criteria"], F.lit(False)))
+    return F.get(F.transform(items, lambda x: F.coalesce(x["extracted_price"], x["score"].try_cast("double"))), F.lit(0))
+
+
+def with_read_scores(results: DataFrame) -> DataFrame:
+    """results with item_price and other_total, so that bid_prices and apply_totals need not read their texts."""
+    text = F.col("detailed_scores")
+    return results.withColumns({"item_price": _item_price(text), "other_total": _other_total(text)})
+
+
 def bid_prices(results: DataFrame, unpriced: bool = False) -> DataFrame:
     """project_id, bidder_name, price: a price item's price in the list first, else extracted_price; of a bidder's rows the
     last (by id) with a price. Bidders without a price are left out, or with unpriced have null."""
-    text = F.col("detailed_scores")
-    items = F.filter(F.when(_may_hold(text, "is_price_criteria") & text.rlike(r"^\s*\["), F.from_json(text, PRICED)), lambda x: F.coalesce(x["is_price_criteria"], F.lit(False)))
-    of_item = F.get(F.transform(items, lambda x: F.coalesce(x["extracted_price"], x["score"].try_cast("double"))), F.lit(0))
+    of_item = F.col("item_price") if "item_price" in results.columns else _item_price(F.col("detailed_scores"))
     priced = results.select("project_id", "bidder_name", "id", F.coalesce(of_item, F.col("extracted_price")).alias("price"))
     # Rows without a price have no place in the order, so that the JSON text is read once and not for a filter too. The order
     # is no struct, as groups would have to be sorted for that; a price whose row has no id counts where there is no other.
@@ -250,7 +260,8 @@ def apply_totals(results: DataFrame, scored: DataFrame) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("project_id", "bidder_name").orderBy("id"))
     new = scored.select("project_id", "bidder_name", F.col("price_score").alias("_score"), F.col("price").alias("_price"))
     # Totals are taken before rows move, so that texts move only where they are asked for.
-    out = results.withColumn("_other", _other_total(F.col("detailed_scores"))).withColumn("_first", place == 1).join(new, ["project_id", "bidder_name"], "left")
+    other = F.col("other_total") if "other_total" in results.columns else _other_total(F.col("detailed_scores"))
+    out = results.withColumn("_other", other).withColumn("_first", place == 1).join(new, ["project_id", "bidder_name"], "left")
     hit = F.col("_first") & F.col("_score").isNotNull()
     total = round_half_up(F.col("_other") + F.col("_score"))
     put = {"price_score": F.col("_score"), "extracted_price": F.coalesce("_price", "extracted_price"), "total_score": total}

@@ -1,8 +1,9 @@
 """Tables at rest that change by key while they are read: rows in buckets, versions told by small files.
 
-A table is a folder with data/<change>/bucket=<n> (Parquet) and versions/<number>, JSON texts that say which folder holds
-each bucket. A change reads the buckets that its keys fall in, writes them anew to a folder of its own, and then publishes a
-version by creating a file that must not exist yet. So a reader sees the table as before a change or as after it, a change
+A table is a folder with data/<change>/new and old, each with _bucket=<n> (Parquet), and versions/<number>, JSON texts that
+say which folders hold each bucket: one or two. A change writes its rows in buckets, once; of the buckets that its keys fall in
+it reads the old rows and writes those that stay beside them, in a folder of its own; and then publishes a version by creating a
+file that must not exist yet. So a reader sees the table as before a change or as after it, a change
 that fails half way leaves files that nobody reads, and of two changes at a time the second is refused. A version knows the
 stream's batch that made it: a batch that comes again changes nothing. Buckets that a change doesn't touch are neither read
 nor written, and a reader that knows its keys reads their buckets only.
@@ -18,8 +19,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..operators.writes import replace_by_key
-
 BUCKET = "_bucket"
 
 
@@ -42,11 +41,13 @@ class KeptTable:
         return sorted(int(s.getPath().getName()) for s in fs.listStatus(p) if s.getPath().getName().isdigit()) if fs.exists(p) else []
 
     def version(self, number: int | None = None) -> dict:
-        """A version, the newest by default: number, batch (of the stream that made it), buckets (number to folder)."""
+        """A version, the newest by default: number, batch (of the stream that made it), buckets (number to folders)."""
         numbers = self._numbers()
         if not numbers:
             return {"number": 0, "batch": None, "buckets": {}}
-        return json.loads(self.spark.read.text(f"{self.path}/versions/{numbers[-1] if number is None else number}", wholetext=True).first()[0])
+        said = json.loads(self.spark.read.text(f"{self.path}/versions/{numbers[-1] if number is None else number}", wholetext=True).first()[0])
+        # A version of a table from before buckets had two folders names one.
+        return said | {"buckets": {b: [f] if isinstance(f, str) else f for b, f in said["buckets"].items()}}
 
     def _publish(self, version: dict) -> None:
         fs, p = self._fs(f"{self.path}/versions/{version['number']}")
@@ -66,12 +67,19 @@ class KeptTable:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/{f}" for f in folders])
 
+    def _write(self, rows: DataFrame, folder: str) -> dict[str, str]:
+        """Write rows in buckets, and say which folder holds which."""
+        self._bucketed(rows).hint("rebalance", BUCKET).write.option("compression", "zstd").partitionBy(BUCKET).parquet(f"{self.path}/{folder}")
+        fs, p = self._fs(f"{self.path}/{folder}")
+        names = [s.getPath().getName() for s in fs.listStatus(p)]
+        return {n.split("=")[1]: f"{folder}/{n}" for n in names if "=" in n}
+
     def read(self, touched: DataFrame | None = None, version: int | None = None) -> DataFrame:
         """The table, or, with touched (a frame that has the columns ``by``), its rows for touched's keys, out of their buckets alone."""
         have = self.version(version)["buckets"]
         if touched is None:
-            return self._load(list(have.values()))
-        some = self._load([have[str(b)] for b in self._buckets(touched) if str(b) in have])
+            return self._load([f for own in have.values() for f in own])
+        some = self._load([f for b in self._buckets(touched) for f in have.get(str(b), [])])
         return some.join(touched.select(*self.by).distinct(), self.by, "left_semi")
 
     def replace(self, new: DataFrame, batch: int | None = None, gone: DataFrame | None = None) -> bool:
@@ -80,27 +88,23 @@ class KeptTable:
         if batch is not None and now["batch"] is not None and now["batch"] >= batch:
             return False
         change = f"data/{uuid.uuid4().hex}"
-        # What comes in is written first: it is read for its buckets, its keys and its rows.
-        new.select(*[F.col(f.name).cast(f.dataType) for f in self.schema]).write.parquet(f"{self.path}/{change}/new")
-        new = self._load([f"{change}/new"])
-        keys = new.select(*self.keys) if gone is None else new.select(*self.keys).unionByName(gone.select(*self.keys))
-        touched = self._buckets(keys)
-        old = self._load([now["buckets"][str(b)] for b in touched if str(b) in now["buckets"]])
-        left = old if gone is None else old.join(gone.select(*self.keys).distinct(), self.keys, "left_anti")
-        rows = self._bucketed(replace_by_key(left, new, self.keys)).hint("rebalance", BUCKET)
-        rows.write.partitionBy(BUCKET).parquet(f"{self.path}/{change}/rows")
-        fs, p = self._fs(f"{self.path}/{change}/rows")
-        filled = {s.getPath().getName().split("=")[1]: f"{change}/rows/{s.getPath().getName()}" for s in fs.listStatus(p) if "=" in s.getPath().getName()}
-        buckets = {b: f for b, f in now["buckets"].items() if int(b) not in touched} | filled
+        # What comes in is written once, and read for its keys alone.
+        put = self._write(new.select(*[F.col(f.name).cast(f.dataType) for f in self.schema]), f"{change}/new")
+        keys = self._load(list(put.values())).select(*self.keys)
+        touched = {int(b) for b in put}
+        if gone is not None:
+            keys, touched = keys.unionByName(gone.select(*self.keys)), touched | set(self._buckets(gone))
+        before = [f for b in sorted(touched) for f in now["buckets"].get(str(b), [])]
+        left = self._write(self._load(before).join(keys.distinct(), self.keys, "left_anti").select(*self.schema.names), f"{change}/old") if before else {}
+        parts = {str(b): [x[str(b)] for x in (left, put) if str(b) in x] for b in sorted(touched)}
+        buckets = {b: f for b, f in now["buckets"].items() if int(b) not in touched} | {b: f for b, f in parts.items() if f}
         self._publish({"number": now["number"] + 1, "batch": now["batch"] if batch is None else batch, "buckets": buckets})
-        fs, p = self._fs(f"{self.path}/{change}/new")
-        fs.delete(p, True)
         return True
 
     def vacuum(self, keep: int = 2) -> None:
         """Forget all versions but the newest ones, and delete what none of those reads. Not while a change is under way."""
         numbers = self._numbers()
-        live = {f.split("/")[1] for n in numbers[-keep:] for f in self.version(n)["buckets"].values()}
+        live = {f.split("/")[1] for n in numbers[-keep:] for own in self.version(n)["buckets"].values() for f in own}
         for n in numbers[:-keep]:
             fs, p = self._fs(f"{self.path}/versions/{n}")
             fs.delete(p, False)

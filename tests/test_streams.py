@@ -117,3 +117,30 @@ def test_no_part_of_the_stream_of_bids_is_written_by_one_task(spark, monkeypatch
 
     monkeypatch.setattr(type(spark.range(1)), "coalesce", refused)
     assert text_queries.QUERIES["score_on_complete_stream"](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_the_stream_of_bids_keeps_one_version_no_shuffles_and_texts_at_rest_alone(spark, monkeypatch):
+    from tenderlake.plans import text_queries
+
+    made = []
+    monkeypatch.setattr(text_queries, "KeptTable", lambda *args, **more: made.append(KeptTable(*args, **more)) or made[-1])
+    shuffles = lambda: set(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n"))
+    before = shuffles()
+    got = text_queries.QUERIES["score_on_complete_stream"](spark, "/root/testdata/sf0.001")
+    assert not [f for f in shuffles() - before if "shuffle_" in f]
+    assert [len(table._numbers()) for table in made] == [1] * 4
+    assert ["detailed_scores" in spark.read.parquet(*[f"{t.path}/{f}" for own in t.version()["buckets"].values() for f in own]).columns for t in made] == [False, True, False, False]
+    assert got.count() > 0
+
+
+def test_a_change_writes_its_rows_once_and_reads_tables_of_one_folder_a_bucket(spark, tmp_path):
+    table = KeptTable(spark, f"file://{tmp_path}/t", "p long, v string", ["p"], buckets=2)
+    frame = lambda *rows: spark.createDataFrame(rows, "p long, v string")
+    table.replace(frame((1, "a"), (2, "a"), (3, "a")), batch=0)
+    first = table.version()
+    table._publish(first | {"number": 2, "buckets": {b: own[0] for b, own in first["buckets"].items()}})  # as such a table says it
+    assert table.replace(frame((2, "b"), (9, "b")), batch=1) and _rows(table.read()) == [(1, "a"), (2, "b"), (3, "a"), (9, "b")]
+    stored = [(f, r["p"]) for own in table.version()["buckets"].values() for f in own for r in spark.read.parquet(f"{table.path}/{f}").collect()]
+    assert sorted(p for f, p in stored if "/new/" in f) == [2, 9]
+    table.vacuum(keep=1)
+    assert _rows(table.read()) == [(1, "a"), (2, "b"), (3, "a"), (9, "b")]
