@@ -596,3 +596,23 @@ def test_answers_are_read_once_and_odd_values_keep_their_meaning(spark):
     df = spark.createDataFrame([(i, x) for i, x in enumerate(said)], "i int, x string").select("i", answers.parse_score_answer(F.col("x"), F.lit(10)).alias("a"))
     assert [tuple(r["a"]) for r in df.orderBy("i").collect()] == [(5.0, "1.5"), (0.0, "未提供理由。"), (0.0, "未提供理由。"), (0.0, "解析AI响应失败。"), (0.0, "未提供理由。"), (8.5, "从文本中提取到分数: 得8.5分"), (0.0, "模型调用失败: ")]
     assert "StructField(score" not in df._jdf.queryExecution().optimizedPlan().toString()  # the score comes with the one parse
+
+
+def test_what_is_asked_and_what_is_answered_meet_in_the_row_of_their_bid(spark):
+    """Nothing is joined by pair, and ids that no pair has, several answers and bids of two projects count as a join would count them."""
+    from tenderlake.plans import flows
+
+    rows = [("1:11", 1, 7, 11, "技术", "方案", 20), ("1:12", 1, 7, 12, None, "团队", 10), ("1:12", 1, 8, 12, "商务", "团队", 10), ("2:11", 2, 7, 11, "技术", "方案", 20), ("3:13", 3, 9, 13, None, "服务", None)]
+    asked = spark.createDataFrame(rows, "pair_id string, bid_id long, project_id long, rule_id long, parent string, item string, max_score int")
+    said = [("1:11", '{"score": 5, "reason": "a"}'), ("1:11", "得30分"), ("1:12", None), ("01:12", '{"score": 9}'), ("2:12", '{"score": 9}'), ("2:11", "Error: y"), ("9:9", '{"score": 1}'), ("7", '{"score": 1}'), (None, '{"score": 1}'), ("3:13", '{"score": 700, "reason": "b"}'), ("1:11:2", '{"score": 1}'), ("1:+11", '{"score": 1}')]
+    df = flows.score_bids(asked, spark.createDataFrame(said, "pair_id string, response string"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Aggregate [") == 1
+    item = lambda name, top, score, reason, parent=None: f'{{"Child_Item_Name":"{name}",' + (f'"max_score":{top},' if top else "") + f'"score":{score},"reason":"{reason}"' + (f',"Parent_Item_Name":"{parent}"' if parent else "") + "}"
+    first = ",".join([item("方案", 20.0, 5.0, "a", "技术"), item("方案", 20.0, 20.0, "从文本中提取到分数: 得30分", "技术"), item("团队", 10.0, 0.0, "模型调用失败: ")])
+    assert sorted(tuple(r) for r in df.select("bid_id", "project_id", "detailed_scores", "total_score").collect()) == [
+        (1, 7, f"[{first}]", 25.0),
+        (1, 8, f"[{item('团队', 10.0, 0.0, '模型调用失败: ', '商务')}]", 0.0),
+        (2, 7, f"[{item('方案', 20.0, 0.0, '模型调用失败: Error: y', '技术')}]", 0.0),
+        (3, 9, f"[{item('服务', None, 700.0, 'b')}]", 700.0),
+    ]
